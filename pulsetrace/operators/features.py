@@ -165,21 +165,21 @@ def _derived_state(df: DataFrame) -> DataFrame:
     })
 
 
-def add_context(sessions: DataFrame) -> DataFrame:
-    """Fan-in, fan-out and destination flow count.
+def add_context(sessions: DataFrame, per: Sequence[str] = ()) -> DataFrame:
+    """Fan-in, fan-out and destination flow count, within each value of the ``per`` columns.
 
     They follow from the session table alone: it already has one row per host pair and port, with
     its flow count, so the flows are not read again.
     """
-    dest = sessions.groupBy("resp_h").agg(
+    dest = sessions.groupBy(*per, "resp_h").agg(
         F.count_distinct("orig_h").cast("double").alias("dest_fanin"),
         F.sum("n_flows").cast("double").alias("dest_flow_count"),
         F.count("*").alias("_dest_rows"))
-    source = sessions.groupBy("orig_h").agg(
+    source = sessions.groupBy(*per, "orig_h").agg(
         F.count_distinct("resp_h").cast("double").alias("src_fanout"),
         F.count("*").alias("_source_rows"))
-    out = lookup_join(sessions, dest, "resp_h", "_dest_rows", ["orig_h", "resp_p"])
-    return lookup_join(out, source, "orig_h", "_source_rows", ["resp_h", "resp_p"])
+    out = lookup_join(sessions, dest, [*per, "resp_h"], "_dest_rows", ["orig_h", "resp_p"])
+    return lookup_join(out, source, [*per, "orig_h"], "_source_rows", ["resp_h", "resp_p"])
 
 
 def session_features(flows: DataFrame, settings: Settings = DEFAULTS,
@@ -232,9 +232,9 @@ def feature_matrix(flows: DataFrame, settings: Settings = DEFAULTS) -> DataFrame
     The flows are read once for the hot-session check (keys only) and once for the features; the
     session rows are written before the context is taken from them.
     """
-    table = add_context(materialise(session_features(flows, settings)))
-    carried = [c for c in ("target", "detailed_label", "capture_id", "last_uid") if c in table.columns]
     extra = [k for k in settings.session_keys if k not in ("orig_h", "resp_h", "resp_p")]
+    table = add_context(materialise(session_features(flows, settings)), extra)
+    carried = [c for c in ("target", "detailed_label", "capture_id", "last_uid") if c in table.columns]
     return table.select(
         session_id(settings.session_keys).alias("session_id"), "orig_h", "resp_h", "resp_p", *extra,
         *carried, "first_us", "last_us", "n_flows", *NUMERIC_FEATURES, *STATE_CATEGORIES)

@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_SLICE = 2_000_000
 
 
-def lookup_join(left: DataFrame, lookup: DataFrame, on: str, weight: str, spread_by: list[str],
-                rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """Left join to a table with one row per key, where ``weight`` is the key's row count on the left.
+def lookup_join(left: DataFrame, lookup: DataFrame, on: Sequence[str], weight: str,
+                spread_by: Sequence[str], rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """Left join to a table with one row per key; ``weight`` is the key's row count on the left.
 
     A key with more rows than one slice should hold is cut into several: its lookup row is copied
     once per slice and its left rows are dealt out by hash. The list of such keys is at most
     (left rows / rows_per_slice) long, which is what makes broadcasting it safe.
     """
+    on = list(on)
     slices = F.ceil(F.col(weight) / F.lit(float(rows_per_slice))).cast("int")
     heavy = (lookup.where(F.col(weight) > rows_per_slice)
-             .select(on, slices.alias("_slices")))
+             .select(*on, slices.alias("_slices")))
     dealt = F.pmod(F.xxhash64(*spread_by), F.coalesce(F.col("_slices"), F.lit(1)).cast("bigint"))
     left = (left.join(F.broadcast(heavy), on, "left")
             .withColumn("_slice", dealt.cast("int")).drop("_slices"))
     copies = F.explode(F.sequence(F.lit(0), F.greatest(slices, F.lit(1)) - 1))
     right = lookup.withColumn("_slice", copies).drop(weight)
-    return left.join(right, [on, "_slice"], "left").drop("_slice")
+    return left.join(right, [*on, "_slice"], "left").drop("_slice")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pulsetrace.plans import feature_queries, flow_queries, score_queries  # noqa: F401
+from pulsetrace.plans import feature_queries, flow_queries, score_queries, sweep_queries  # noqa: F401
 from pulsetrace.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
