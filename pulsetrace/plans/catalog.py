@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pulsetrace.plans import feature_queries, flow_queries, score_queries, sweep_queries  # noqa: F401
+from pulsetrace.plans import (  # noqa: F401
+    feature_queries, flow_queries, model_queries, score_queries, sweep_queries,
+)
 from pulsetrace.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
