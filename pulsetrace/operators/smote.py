@@ -33,7 +33,9 @@ def nearest_neighbours(points: DataFrame, k: int, rows_per_block: int = ROWS_PER
         F.xxhash64("session_id"), F.lit(blocks)).cast("int").alias("block"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     asking = dealt.withColumnRenamed("block", "a").withColumn("b", every)
-    offered = dealt.withColumnRenamed("block", "b").withColumn("a", every)
+    offered = dealt.select(
+        F.col("session_id").alias("other"), F.col("x").alias("y"), F.col("lane").alias("lane2"),
+        F.col("block").alias("b2")).withColumn("a2", every)
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"session_id": pd.Series(dtype=str), "other": pd.Series(dtype=str),
@@ -41,9 +43,9 @@ def nearest_neighbours(points: DataFrame, k: int, rows_per_block: int = ROWS_PER
                               "y": pd.Series(dtype=object)})
         if left.empty or right.empty:
             return empty
-        right = right.sort_values("session_id")
-        q, r = np.stack(left["x"].to_numpy()), np.stack(right["x"].to_numpy())
-        ids, others = left["session_id"].to_numpy(), right["session_id"].to_numpy()
+        right = right.sort_values("other")
+        q, r = np.stack(left["x"].to_numpy()), np.stack(right["y"].to_numpy())
+        ids, others = left["session_id"].to_numpy(), right["other"].to_numpy()
         out = []
         for start in range(0, len(q), 256):
             part = q[start:start + 256]
@@ -58,7 +60,8 @@ def nearest_neighbours(points: DataFrame, k: int, rows_per_block: int = ROWS_PER
                         out.append((ids[start + i], others[j], gap[i, j], part[i], r[j]))
         return pd.DataFrame(out, columns=empty.columns) if out else empty
 
-    pairs = asking.groupBy("lane", "a", "b").cogroup(offered.groupBy("lane", "a", "b")).applyInPandas(
+    together = asking.groupBy("lane", "a", "b").cogroup(offered.groupBy("lane2", "a2", "b2"))
+    pairs = together.applyInPandas(
         best, "session_id string, other string, distance double, x array<double>, y array<double>")
     # k rows per block and point arrive here, so a group is k x blocks rows.
     listed = F.slice(F.array_sort(F.collect_list(F.struct("distance", "other", "y"))), 1, k)
