@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsetrace.config import (
@@ -25,130 +25,116 @@ from pulsetrace.session import materialise
 BLOCKS = ("timing", "periodicity", "volume", "state", "meta")
 
 
-def _zero(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(0))
+# Expressions are SQL text: one text is one call into the JVM, however long the formula.
 
+BASE_SUMS = (
+    "count(*) AS n_flows",
+    "min(ts_us) AS first_us",
+    "max(ts_us) AS last_us",
+    "sum(coalesce(duration, 0D)) AS duration_sum",
+)
 
-def _base_sums() -> list[Column]:
-    """Inputs of the timing block that add up over flows."""
-    return [
-        F.count("*").alias("n_flows"),
-        F.min("ts_us").alias("first_us"),
-        F.max("ts_us").alias("last_us"),
-        F.sum(F.coalesce("duration", F.lit(0.0))).alias("duration_sum"),
-    ]
+# A missing payload size counts as zero, so an unknown response looks silent.
+VOLUME_SUMS = (
+    "cast(sum(coalesce(orig_ip_bytes, 0)) AS double) AS sent",
+    "cast(sum(coalesce(resp_ip_bytes, 0)) AS double) AS received",
+    "cast(sum(coalesce(orig_pkts, 0)) AS double) AS pkts_out",
+    "cast(sum(coalesce(resp_pkts, 0)) AS double) AS pkts_in",
+    "avg(cast(coalesce(resp_bytes, 0) = 0 AS int)) AS silent_share",
+    "var_pop(cast(coalesce(orig_ip_bytes, 0) + coalesce(resp_ip_bytes, 0) AS double)) AS bytes_var",
+)
 
+STATE_SUMS = (
+    "coalesce(mode(conn_state, true), 'unknown') AS conn_state_mode",
+    "coalesce(mode(proto, true), 'unknown') AS proto_mode",
+    "coalesce(mode(service, true), 'unknown') AS service_mode",
+    "avg(length(coalesce(history, ''))) AS history_len",
+    "avg(cast(contains(coalesce(history, ''), 'S') AS int)) AS history_has_S",
+    "avg(cast(contains(coalesce(history, ''), 'D') AS int)) AS history_has_D",
+    f"avg(cast(coalesce(orig_p >= {EPHEMERAL_PORT_FLOOR}, false) AS int)) AS is_ephemeral_orig_port",
+)
 
-def _volume_sums() -> list[Column]:
-    sent, received = _zero("orig_ip_bytes"), _zero("resp_ip_bytes")
-    return [
-        F.sum(sent).cast("double").alias("sent"),
-        F.sum(received).cast("double").alias("received"),
-        F.sum(_zero("orig_pkts")).cast("double").alias("pkts_out"),
-        F.sum(_zero("resp_pkts")).cast("double").alias("pkts_in"),
-        F.avg((_zero("resp_bytes") == 0).cast("int")).alias("silent_share"),
-        F.var_pop((sent + received).cast("double")).alias("bytes_var"),
-    ]
 
+def first_value(name: str) -> str:
+    """First non-null value by time, ties by uid."""
+    return f"min_by({name}, CASE WHEN {name} IS NOT NULL THEN struct(ts_us, uid) END) AS {name}"
 
-def _state_sums() -> list[Column]:
-    history = F.coalesce("history", F.lit(""))
-    ephemeral = F.coalesce(F.col("orig_p") >= EPHEMERAL_PORT_FLOOR, F.lit(False))
-    return [
-        *[F.coalesce(F.mode(c, True), F.lit("unknown")).alias(f"{c}_mode")
-          for c in ("conn_state", "proto", "service")],
-        F.avg(F.length(history)).alias("history_len"),
-        F.avg(F.contains(history, F.lit("S")).cast("int")).alias("history_has_S"),
-        F.avg(F.contains(history, F.lit("D")).cast("int")).alias("history_has_D"),
-        F.avg(ephemeral.cast("int")).alias("is_ephemeral_orig_port"),
-    ]
 
+def _meta_picks(columns: Sequence[str]) -> list[str]:
+    picks = ["max_by(uid, CASE WHEN uid IS NOT NULL THEN struct(ts_us, uid) END) AS last_uid",
+             first_value("detailed_label")]
+    return picks + ([first_value("capture_id")] if "capture_id" in columns else [])
 
-def first_value(name: str, alias: str) -> Column:
-    """First non-null value by time, ties by uid."""
-    order = F.when(F.col(name).isNotNull(), F.struct(F.col("ts_us"), F.col("uid")))
-    return F.min_by(F.col(name), order).alias(alias)
-
-
-def _meta_picks(columns: Sequence[str]) -> list[Column]:
-    known = F.when(F.col("uid").isNotNull(), F.struct("ts_us", "uid"))
-    picks = [F.max_by("uid", known).alias("last_uid"),
-             first_value("detailed_label", "detailed_label")]
-    if "capture_id" in columns:
-        picks.append(first_value("capture_id", "capture_id"))
-    return picks
-
-
-def _sorted_times() -> Column:
-    return F.sort_array(F.collect_list("ts_us"))
-
-
-def _interval_columns(df: DataFrame) -> DataFrame:
-    """Interval statistics from the array ``times``."""
-    n = F.size("times")
-    df = df.withColumn("iats", F.when(n >= 2, F.zip_with(
-        F.slice("times", F.lit(2), n - 1), F.slice("times", F.lit(1), n - 1), lambda b, a: b - a)
-    ).otherwise(F.array().cast("array<bigint>")))
-    df = df.withColumn("_ranked", F.sort_array("iats")).withColumn("_m", F.size("iats"))
-    lower = F.floor((F.col("_m") - 1) / 2).cast("int")
-    upper = F.ceil((F.col("_m") - 1) / 2).cast("int")
-
-    def twice_median(name: str) -> Column:
-        return F.get(name, lower) + F.get(name, upper)
-
-    df = df.withColumn("_mean", F.try_divide(F.col("last_us") - F.col("first_us"), F.col("_m")))
-    df = df.withColumn("_median2", twice_median("_ranked"))
-    # Twice the deviation from the median: whole numbers, so the two middle ones average exactly.
-    df = df.withColumn("_devs", F.sort_array(F.transform(
-        "iats", lambda x: F.abs(2 * x - F.col("_median2")))))
-    spread = F.aggregate("iats", F.lit(0.0), lambda acc, x: acc + F.pow(x - F.col("_mean"), 2.0))
-    second = F.lit(1e6)
-    return df.withColumns({
-        "iat_mean": F.coalesce(F.col("_mean") / second, F.lit(0.0)),
-        "iat_std": F.coalesce(F.sqrt(F.try_divide(spread, F.col("_m"))) / second, F.lit(0.0)),
-        "iat_median": F.coalesce(F.col("_median2") / 2 / second, F.lit(0.0)),
-        "iat_min": F.coalesce(F.get("_ranked", F.lit(0)) / second, F.lit(0.0)),
-        "iat_max": F.coalesce(F.get("_ranked", F.col("_m") - 1) / second, F.lit(0.0)),
-        "iat_mad": F.coalesce(twice_median("_devs") / 4 / second, F.lit(0.0)),
-    }).drop("times", "_ranked", "_m", "_mean", "_median2", "_devs")
-
-
-def _derived_timing(df: DataFrame) -> DataFrame:
-    span = (F.col("last_us") - F.col("first_us")) / F.lit(1e6)
-    hours = F.floor(F.col("first_us") / F.lit(3_600_000_000))
-    days = F.floor(F.col("first_us") / F.lit(86_400_000_000))
-    # Day 0 of the epoch was a Thursday, i.e. weekday 3 with Monday as 0.
-    weekday = F.pmod(days + 3, F.lit(7))
-    return df.withColumns({
-        "iat_cv": F.when(F.col("iat_mean") > 0, F.col("iat_std") / F.col("iat_mean"))
-        .otherwise(F.lit(0.0)),
-        "session_flow_count": F.col("n_flows").cast("double"),
-        "session_span_hours": F.coalesce(span / F.lit(3600.0), F.lit(0.0)),
-        "duty_cycle": F.when(span > 0, F.col("duration_sum") / span).otherwise(F.lit(0.0)),
-        "hour_of_day": F.coalesce(F.pmod(hours, F.lit(24)).cast("double"), F.lit(-1.0)),
-        "is_weekend": F.coalesce((weekday >= 5).cast("double"), F.lit(0.0)),
-    })
-
-
-def _derived_volume(df: DataFrame, settings: Settings) -> DataFrame:
-    sent, received = F.col("sent"), F.col("received")
-    out, back = F.col("pkts_out"), F.col("pkts_in")
-    df = df.withColumns({
-        "orig_resp_byte_ratio": sent / (received + 1),
-        "total_bytes": sent + received,
-        "orig_bytes": sent,
-        "resp_bytes": received,
-        "orig_pkts": out,
-        "resp_pkts": back,
-        "pkt_ratio": out / (back + 1),
-        "mean_pkt_size_orig": sent / (out + 1),
-        "mean_pkt_size_resp": received / (back + 1),
-        "bytes_per_second": (sent + received) / (F.col("duration_sum") + F.lit(1e-6)),
-        "resp_bytes_is_zero": F.col("silent_share"),
-        "session_byte_variance": F.col("bytes_var"),
-        "duration": F.col("duration_sum") / F.col("n_flows"),
-    })
-    return log_transform(df, settings.log_scaled)
+
+def _middle(array: str) -> str:
+    """Sum of the two middle entries of a sorted array of ``_m`` entries."""
+    return (f"(get({array}, cast(floor((_m - 1) / 2) AS int))"
+            f" + get({array}, cast(ceil((_m - 1) / 2) AS int)))")
+
+
+def _interval_columns(df: DataFrame, keep_series: bool) -> DataFrame:
+    """Interval statistics from the sorted array ``times``.
+
+    The deviations are twice the distance from the median: whole numbers, so the two middle ones
+    average exactly.
+    """
+    df = df.selectExpr(
+        "* EXCEPT (times)",
+        "CASE WHEN size(times) >= 2 THEN zip_with(slice(times, 2, size(times) - 1), "
+        "slice(times, 1, size(times) - 1), (b, a) -> b - a) ELSE cast(array() AS array<bigint>) "
+        "END AS iats")
+    df = df.selectExpr("*", "sort_array(iats) AS _ranked", "size(iats) AS _m",
+                       "try_divide(last_us - first_us, size(iats)) AS _mean")
+    df = df.selectExpr("*", f"{_middle('_ranked')} AS _median2")
+    df = df.selectExpr("*", "sort_array(transform(iats, x -> abs(2 * x - _median2))) AS _devs")
+    spread = "aggregate(iats, 0D, (total, x) -> total + (x - _mean) * (x - _mean))"
+    dropped = "_ranked, _m, _mean, _median2, _devs" + ("" if keep_series else ", iats")
+    return df.selectExpr(
+        f"* EXCEPT ({dropped})",
+        "coalesce(_mean / 1e6, 0D) AS iat_mean",
+        f"coalesce(sqrt(try_divide({spread}, _m)) / 1e6, 0D) AS iat_std",
+        "coalesce(_median2 / 2 / 1e6, 0D) AS iat_median",
+        "coalesce(get(_ranked, 0) / 1e6, 0D) AS iat_min",
+        "coalesce(get(_ranked, _m - 1) / 1e6, 0D) AS iat_max",
+        f"coalesce({_middle('_devs')} / 4 / 1e6, 0D) AS iat_mad")
+
+
+# Day 0 of the epoch was a Thursday, i.e. weekday 3 with Monday as 0.
+DERIVED_TIMING = (
+    "CASE WHEN iat_mean > 0 THEN iat_std / iat_mean ELSE 0D END AS iat_cv",
+    "cast(n_flows AS double) AS session_flow_count",
+    "coalesce((last_us - first_us) / 1e6 / 3600, 0D) AS session_span_hours",
+    "CASE WHEN last_us > first_us THEN duration_sum / ((last_us - first_us) / 1e6) ELSE 0D END "
+    "AS duty_cycle",
+    "coalesce(cast(pmod(floor(first_us / 3600000000), 24) AS double), -1D) AS hour_of_day",
+    "coalesce(cast(pmod(floor(first_us / 86400000000) + 3, 7) >= 5 AS double), 0D) AS is_weekend",
+)
+
+DERIVED_VOLUME = (
+    "sent / (received + 1) AS orig_resp_byte_ratio",
+    "sent + received AS total_bytes",
+    "sent AS orig_bytes",
+    "received AS resp_bytes",
+    "pkts_out AS orig_pkts",
+    "pkts_in AS resp_pkts",
+    "pkts_out / (pkts_in + 1) AS pkt_ratio",
+    "sent / (pkts_out + 1) AS mean_pkt_size_orig",
+    "received / (pkts_in + 1) AS mean_pkt_size_resp",
+    "(sent + received) / (duration_sum + 1e-6) AS bytes_per_second",
+    "silent_share AS resp_bytes_is_zero",
+    "bytes_var AS session_byte_variance",
+    "duration_sum / n_flows AS duration",
+)
+
+DERIVED_STATE = (
+    "cast(resp_p AS double) AS resp_port",
+    f"cast(coalesce(resp_p IN {COMMON_SERVICE_PORTS}, false) AS double) AS is_common_service_port",
+)
+
+
+def _log_scaled(expression: str, columns: Sequence[str]) -> str:
+    value, name = expression.rsplit(" AS ", 1)
+    return f"log1p(greatest({value}, 0D)) AS {name}" if name in columns else expression
 
 
 def log_transform(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -157,27 +143,17 @@ def log_transform(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                            for c in columns if c in df.columns})
 
 
-def _derived_state(df: DataFrame) -> DataFrame:
-    common = F.coalesce(F.col("resp_p").isin(*COMMON_SERVICE_PORTS), F.lit(False))
-    return df.withColumns({
-        "resp_port": F.col("resp_p").cast("double"),
-        "is_common_service_port": common.cast("double"),
-    })
-
-
 def add_context(sessions: DataFrame, per: Sequence[str] = ()) -> DataFrame:
     """Fan-in, fan-out and destination flow count, within each value of the ``per`` columns.
 
     They follow from the session table alone: it already has one row per host pair and port, with
     its flow count, so the flows are not read again.
     """
-    dest = sessions.groupBy(*per, "resp_h").agg(
-        F.count_distinct("orig_h").cast("double").alias("dest_fanin"),
-        F.sum("n_flows").cast("double").alias("dest_flow_count"),
-        F.count("*").alias("_dest_rows"))
-    source = sessions.groupBy(*per, "orig_h").agg(
-        F.count_distinct("resp_h").cast("double").alias("src_fanout"),
-        F.count("*").alias("_source_rows"))
+    dest = sessions.groupBy(*per, "resp_h").agg(*map(F.expr, (
+        "cast(count(DISTINCT orig_h) AS double) AS dest_fanin",
+        "cast(sum(n_flows) AS double) AS dest_flow_count", "count(*) AS _dest_rows")))
+    source = sessions.groupBy(*per, "orig_h").agg(*map(F.expr, (
+        "cast(count(DISTINCT resp_h) AS double) AS src_fanout", "count(*) AS _source_rows")))
     out = lookup_join(sessions, dest, [*per, "resp_h"], "_dest_rows", ["orig_h", "resp_p"])
     return lookup_join(out, source, [*per, "orig_h"], "_source_rows", ["resp_h", "resp_p"])
 
@@ -190,40 +166,39 @@ def session_features(flows: DataFrame, settings: Settings = DEFAULTS,
     one, and the features. The context block is separate, see ``add_context``.
     """
     keys = list(settings.session_keys)
-    sums = _base_sums()
+    sums = list(BASE_SUMS)
     if "volume" in blocks:
-        sums += _volume_sums()
+        sums += VOLUME_SUMS
     if "state" in blocks:
-        sums += _state_sums()
+        sums += STATE_SUMS
     if "meta" in blocks:
         sums += _meta_picks(flows.columns)
     if "target" in flows.columns:
-        sums.append(F.max("target").alias("target"))
-    timed = "timing" in blocks or "periodicity" in blocks
+        sums.append("max(target) AS target")
+    timed, spectral = "timing" in blocks or "periodicity" in blocks, "periodicity" in blocks
     hot = find_hot_sessions(flows, keys, settings.hot_session_flows)
     normal = hot.outside(flows) if hot else flows
-    series = [_sorted_times().alias("times")] if timed else []
-    table = (normal.groupBy(*keys).agg(*sums, *series)
-             .where(F.col("n_flows") >= settings.min_session_flows))
+    series = ["sort_array(collect_list(ts_us)) AS times"] if timed else []
+    table = (normal.groupBy(*keys).agg(*map(F.expr, sums + series))
+             .where(f"n_flows >= {settings.min_session_flows}"))
     if timed:
-        table = _interval_columns(table)
-        if "periodicity" in blocks:
-            table = table.withColumn("_s", series_scores("iats")).withColumns({
-                "periodicity_score": F.col("_s.periodicity_score"),
-                "fft_dominant_power": F.col("_s.fft_dominant_power")}).drop("_s")
-        table = table.drop("iats")
+        table = _interval_columns(table, spectral)
+    if spectral:
+        table = table.select("*", series_scores("iats").alias("_s")).selectExpr(
+            "* EXCEPT (iats, _s)", "_s.periodicity_score", "_s.fft_dominant_power")
     if hot:
-        few = hot.inside(flows).groupBy(*keys).agg(*sums)
+        few = hot.inside(flows).groupBy(*keys).agg(*map(F.expr, sums))
         if timed:
-            few = hot_timing(few, flows, hot, spectral="periodicity" in blocks)
+            few = hot_timing(few, flows, hot, spectral)
         table = table.unionByName(few)
+    derived = []
     if timed:
-        table = _derived_timing(table)
+        derived += DERIVED_TIMING
     if "volume" in blocks:
-        table = _derived_volume(table, settings)
+        derived += [_log_scaled(e, settings.log_scaled) for e in DERIVED_VOLUME]
     if "state" in blocks:
-        table = _derived_state(table)
-    return table
+        derived += DERIVED_STATE
+    return table.selectExpr("*", *derived) if derived else table
 
 
 def feature_matrix(flows: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:

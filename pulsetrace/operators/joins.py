@@ -19,12 +19,11 @@ def lookup_join(left: DataFrame, lookup: DataFrame, on: Sequence[str], weight: s
     (left rows / rows_per_slice) long, which is what makes broadcasting it safe.
     """
     on = list(on)
-    slices = F.ceil(F.col(weight) / F.lit(float(rows_per_slice))).cast("int")
-    heavy = (lookup.where(F.col(weight) > rows_per_slice)
-             .select(*on, slices.alias("_slices")))
-    dealt = F.pmod(F.xxhash64(*spread_by), F.coalesce(F.col("_slices"), F.lit(1)).cast("bigint"))
-    left = (left.join(F.broadcast(heavy), on, "left")
-            .withColumn("_slice", dealt.cast("int")).drop("_slices"))
-    copies = F.explode(F.sequence(F.lit(0), F.greatest(slices, F.lit(1)) - 1))
-    right = lookup.withColumn("_slice", copies).drop(weight)
+    slices = f"cast(ceil({weight} / {float(rows_per_slice)}D) AS int)"
+    heavy = lookup.where(f"{weight} > {rows_per_slice}").selectExpr(*on, f"{slices} AS _slices")
+    left = left.join(F.broadcast(heavy), on, "left").selectExpr(
+        "* EXCEPT (_slices)",
+        f"cast(pmod(xxhash64({', '.join(spread_by)}), coalesce(_slices, 1)) AS int) AS _slice")
+    right = lookup.selectExpr(
+        f"* EXCEPT ({weight})", f"explode(sequence(0, greatest({slices}, 1) - 1)) AS _slice")
     return left.join(right, [*on, "_slice"], "left").drop("_slice")

@@ -86,7 +86,14 @@ flows_long AS (
     concat('d', l_returnflag, l_linestatus) AS resp_h, 443 AS resp_p,
     CAST(l_quantity AS BIGINT) AS orig_ip_bytes,
     CAST(FLOOR(l_extendedprice) AS BIGINT) AS resp_ip_bytes,
-    l_discount AS duration, 'Benign' AS detailed_label
+    l_discount AS duration, 'Benign' AS detailed_label,
+    CAST(32768 + l_partkey % 32768 AS INT) AS orig_p, 'tcp' AS proto,
+    CASE WHEN l_linenumber = 1 THEN 'ssl' ELSE NULL END AS service,
+    CASE l_linenumber % 3 WHEN 0 THEN 'SF' WHEN 1 THEN 'S0' ELSE 'REJ' END AS conn_state,
+    CASE WHEN l_linenumber % 2 = 0 THEN 'ShADadFf' ELSE 'S' END AS history,
+    CAST(l_linenumber AS BIGINT) AS orig_pkts, CAST(l_linenumber % 4 AS BIGINT) AS resp_pkts,
+    CAST(FLOOR(l_extendedprice) AS BIGINT) * (l_linenumber % 2) AS resp_bytes,
+    CAST(l_quantity AS BIGINT) AS orig_bytes, 'long' AS capture_id
   FROM lineitem)
 """
 
