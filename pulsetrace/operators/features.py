@@ -143,7 +143,7 @@ def log_transform(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                            for c in columns if c in df.columns})
 
 
-def add_context(sessions: DataFrame, per: Sequence[str] = ()) -> DataFrame:
+def add_context(sessions: DataFrame, per: Sequence[str] = (), rows: int | None = None) -> DataFrame:
     """Fan-in, fan-out and destination flow count, within each value of the ``per`` columns.
 
     They follow from the session table alone: it already has one row per host pair and port, with
@@ -154,8 +154,10 @@ def add_context(sessions: DataFrame, per: Sequence[str] = ()) -> DataFrame:
         "cast(sum(n_flows) AS double) AS dest_flow_count", "count(*) AS _dest_rows")))
     source = sessions.groupBy(*per, "orig_h").agg(*map(F.expr, (
         "cast(count(DISTINCT resp_h) AS double) AS src_fanout", "count(*) AS _source_rows")))
-    out = lookup_join(sessions, dest, [*per, "resp_h"], "_dest_rows", ["orig_h", "resp_p"])
-    return lookup_join(out, source, [*per, "orig_h"], "_source_rows", ["resp_h", "resp_p"])
+    out = lookup_join(sessions, dest, [*per, "resp_h"], "_dest_rows", ["orig_h", "resp_p"],
+                      left_rows=rows)
+    return lookup_join(out, source, [*per, "orig_h"], "_source_rows", ["resp_h", "resp_p"],
+                       left_rows=rows)
 
 
 def session_features(flows: DataFrame, settings: Settings = DEFAULTS,
@@ -208,7 +210,8 @@ def feature_matrix(flows: DataFrame, settings: Settings = DEFAULTS) -> DataFrame
     session rows are written before the context is taken from them.
     """
     extra = [k for k in settings.session_keys if k not in ("orig_h", "resp_h", "resp_p")]
-    table = add_context(materialise(session_features(flows, settings)), extra)
+    stored = materialise(session_features(flows, settings))
+    table = add_context(stored, extra, stored.count())
     carried = [c for c in ("target", "detailed_label", "capture_id", "last_uid") if c in table.columns]
     return table.select(
         session_id(settings.session_keys).alias("session_id"), "orig_h", "resp_h", "resp_p", *extra,

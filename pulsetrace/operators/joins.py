@@ -11,14 +11,18 @@ ROWS_PER_SLICE = 2_000_000
 
 
 def lookup_join(left: DataFrame, lookup: DataFrame, on: Sequence[str], weight: str,
-                spread_by: Sequence[str], rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+                spread_by: Sequence[str], rows_per_slice: int = ROWS_PER_SLICE,
+                left_rows: int | None = None) -> DataFrame:
     """Left join to a table with one row per key; ``weight`` is the key's row count on the left.
 
     A key with more rows than one slice should hold is cut into several: its lookup row is copied
     once per slice and its left rows are dealt out by hash. The list of such keys is at most
-    (left rows / rows_per_slice) long, which is what makes broadcasting it safe.
+    (left rows / rows_per_slice) long, which is what makes broadcasting it safe. When the caller
+    knows the left side to fit one slice, no key can be heavy and the plain join is used.
     """
     on = list(on)
+    if left_rows is not None and left_rows <= rows_per_slice:
+        return left.join(lookup.drop(weight), on, "left")
     slices = f"cast(ceil({weight} / {float(rows_per_slice)}D) AS int)"
     heavy = lookup.where(f"{weight} > {rows_per_slice}").selectExpr(*on, f"{slices} AS _slices")
     left = left.join(F.broadcast(heavy), on, "left").selectExpr(

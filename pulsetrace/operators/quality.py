@@ -43,10 +43,11 @@ def coerce_numeric(df: DataFrame, types: dict[str, str] = NUMERIC_TYPES) -> Data
     casts = {}
     for name, kind in types.items():
         if name in df.columns:
-            exact = F.col(name).try_cast(kind)
-            # Text such as "12.0" is a valid whole number in the logs.
-            casts[name] = exact if kind == "double" else F.coalesce(
-                exact, F.col(name).try_cast("double").try_cast(kind))
+            exact = f"try_cast(`{name}` AS {kind})"
+            # "NaN" is no number here, and text such as "12.0" is a valid whole number.
+            casts[name] = F.expr(
+                f"CASE WHEN NOT isnan({exact}) THEN {exact} END" if kind == "double" else
+                f"coalesce({exact}, try_cast(try_cast(`{name}` AS double) AS {kind}))")
     return df.withColumns(casts)
 
 

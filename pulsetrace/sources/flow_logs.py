@@ -25,9 +25,11 @@ def canonical_name(name: str) -> str:
 
 
 def _null_texts_to_null(df: DataFrame, token: str) -> DataFrame:
-    strings = [n for n, kind in df.dtypes if kind == "string" and n != "capture_id"]
+    """Null texts of the text columns; in number columns they fail the cast and end as null anyway."""
+    texts = [n for n, kind in df.dtypes
+             if kind == "string" and n != "capture_id" and n not in NUMERIC_TYPES]
     empty = [token, *NULL_TEXTS]
-    return df.withColumns({c: F.when(~F.trim(F.col(c)).isin(*empty), F.col(c)) for c in strings})
+    return df.withColumns({c: F.when(~F.col(c).isin(*empty), F.col(c)) for c in texts})
 
 
 def _capture_id(path: Column) -> Column:
@@ -55,7 +57,7 @@ def read_native_log(spark: SparkSession, paths: str | Sequence[str], token: str
     partitioned = "capture_id" in raw.columns
     capture = F.col("capture_id").cast("string") if partitioned else _capture_id(
         F.col("_metadata.file_path"))
-    text = F.trim(F.regexp_replace("value", r"#.*$", ""))
+    text = F.trim(F.substring_index("value", "#", 1))
     cells = raw.select(capture.alias("capture_id"), text.alias("line")).where("line <> ''").select(
         "capture_id", F.split("line", r"\s+").alias("cell"))
     named = cells.select(*[F.get("cell", F.lit(i)).alias(canonical_name(n))
