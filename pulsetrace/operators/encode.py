@@ -19,13 +19,15 @@ def _quoted(text: str) -> str:
 
 def vocabulary(train: DataFrame, columns: Sequence[str] = STATE_CATEGORIES) -> dict[str, list[str]]:
     """Known categories per column, from training rows only; ``unknown`` is always a slot of its own."""
-    lists = train.agg(*[F.collect_set(c).alias(c) for c in columns]).first() \
-        if columns else {}
-    out = {c: sorted(v for v in lists[c] if v != "unknown") for c in columns}
-    too_long = [c for c, v in out.items() if len(v) > MAX_CATEGORIES]
-    if too_long:
-        raise ValueError(f"not categorical: {too_long}")
-    return out
+    if not columns:
+        return {}
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in columns])
+    bound = MAX_CATEGORIES * len(columns)
+    rows = train.select(F.inline(pairs)).distinct().limit(bound + 1).collect()
+    if len(rows) > bound:
+        raise ValueError(f"too many categories in {list(columns)}")
+    return {c: sorted(r["value"] for r in rows
+                      if r["name"] == c and r["value"] not in (None, "unknown")) for c in columns}
 
 
 def dummy_columns(words: dict[str, list[str]]) -> list[str]:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsetrace.functions.text import entropy
+from pulsetrace.operators.joins import counted_lookup
 
 TLS_FEATURES = ("ja3_known_client", "cipher_suite_count", "tls_version", "extension_count",
                 "cert_validity_days", "cert_is_self_signed", "cert_subject_cn_entropy")
@@ -29,11 +30,11 @@ def tls_features(flows: DataFrame, tls: DataFrame, allowed_ja3: DataFrame,
                  keep: Sequence[str] = ("uid",)) -> DataFrame:
     """Properties of each flow's handshake, joined on ``uid``; never its identities.
 
-    Both sides have one row per ``uid``, so no key is hot. The allow list is a reference list;
-    the planner broadcasts it when its size permits.
+    Both sides have one row per ``uid``, so no key is hot there. Most handshakes may share one client
+    fingerprint, so the allow list is matched per distinct fingerprint and dealt out in slices.
     """
     known = allowed_ja3.select("ja3").distinct().withColumn("_known", F.lit(True))
-    described = tls.join(known, "ja3", "left").select(
+    described = counted_lookup(tls, known, ["ja3"], ["uid"]).select(
         "uid",
         F.coalesce("_known", F.lit(False)).alias("ja3_known_client"),
         _listed("ciphers").alias("cipher_suite_count"), "tls_version",
@@ -100,11 +101,10 @@ def domain_lexical(names: DataFrame, column: str = "query") -> DataFrame:
 def domain_facts(flows: DataFrame, domains: DataFrame, column: str = "query") -> DataFrame:
     """Age in days and reputation of each flow's domain.
 
-    Names are joined once per distinct name, then the few facts go back to the flows, so a popular
-    name is one row on both sides of the wide join's key range.
+    Facts are matched per distinct name; the flows of a popular name are dealt out in slices.
     """
     facts = domains.select(F.col("domain").alias(column), "registered_us", "reputation")
-    return flows.join(facts, column, "left").withColumn(
+    return counted_lookup(flows, facts, [column], ["uid"]).withColumn(
         "domain_age_days",
         F.floor((F.col("ts_us") - F.col("registered_us")) / F.lit(DAY_US)).cast("int")
     ).drop("registered_us")

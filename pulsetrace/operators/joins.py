@@ -31,3 +31,14 @@ def lookup_join(left: DataFrame, lookup: DataFrame, on: Sequence[str], weight: s
     right = lookup.selectExpr(
         f"* EXCEPT ({weight})", f"explode(sequence(0, greatest({slices}, 1) - 1)) AS _slice")
     return left.join(right, [*on, "_slice"], "left").drop("_slice")
+
+
+def counted_lookup(left: DataFrame, facts: DataFrame, on: Sequence[str], spread_by: Sequence[str],
+                   rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """``lookup_join`` to facts that do not know their row counts on the left.
+
+    The counts are combined before their shuffle, and facts are first matched to distinct keys.
+    """
+    counts = left.groupBy(*on).agg(F.count("*").alias("_rows"))
+    return lookup_join(left, counts.join(facts, list(on), "left"), on, "_rows", spread_by,
+                       rows_per_slice)

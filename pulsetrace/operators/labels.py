@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsetrace.config import DEFAULTS, Settings
+from pulsetrace.operators.order_stats import MAX_GROUPS
 
 
 def clean_label(label: str = "detailed_label") -> Column:
@@ -52,17 +53,16 @@ def fold_rare_classes(df: DataFrame, settings: Settings = DEFAULTS, label: str =
                       fold_into: str = "other-C&C") -> DataFrame:
     """Add ``multiclass_label``, with rare beacon families folded into one bucket.
 
-    Only families named in the settings can fold, so the counts are one small conditional
-    aggregate and no row is moved.
+    Only the names of the rare families reach the driver; folding is then a filter expression, so no
+    flow is shuffled by its label, however common that label is.
     """
     families = df.where(F.col(label).startswith("C&C")).groupBy(label).count()
-    rare = families.where(F.col("count") < settings.rare_class_min_count).select(
-        F.col(label), F.lit(True).alias("_rare"))
-    # Distinct labels are an enumeration, so the planner sees a small side and broadcasts it.
-    return (df.join(rare, label, "left")
-            .withColumn("multiclass_label",
-                        F.when(F.col("_rare"), F.lit(fold_into)).otherwise(F.col(label)))
-            .drop("_rare"))
+    rows = (families.where(F.col("count") < settings.rare_class_min_count).select(label)
+            .limit(MAX_GROUPS + 1).collect())
+    if len(rows) > MAX_GROUPS:
+        raise ValueError(f"{label} has more than {MAX_GROUPS} rare families")
+    rare = F.col(label).isin(*[r[0] for r in rows]) if rows else F.lit(False)
+    return df.withColumn("multiclass_label", F.when(rare, F.lit(fold_into)).otherwise(F.col(label)))
 
 
 def multiclass_target(df: DataFrame, settings: Settings = DEFAULTS,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pulsetrace.config import DEFAULTS
 from pulsetrace.operators import curves, decision, fusion, splits
 from pulsetrace.operators.hosts import merge_feedback
-from pulsetrace.operators.joins import lookup_join
+from pulsetrace.operators.joins import counted_lookup, lookup_join
 from pulsetrace.operators.order_stats import exact_quantiles, kth_smallest
 
 
@@ -190,3 +190,13 @@ def test_latest_override_wins(spark):
                                   "session_id string, analyst_label int, at int")
     got = {r.session_id: (r.target, r.overridden) for r in merge_feedback(scored, notes).collect()}
     assert got == {"a": (1, True), "b": (1, False)}
+
+
+def test_facts_reach_popular_and_unknown_keys(spark):
+    rng = random.Random(10)
+    left = spark.createDataFrame([(rng.choice("aaaabc"), i) for i in range(300)] + [(None, 300)],
+                                 "k string, i int")
+    facts = spark.createDataFrame([("a", 1), ("b", 2), ("z", 9)], "k string, fact int")
+    plain = {tuple(r) for r in left.join(facts, "k", "left").collect()}
+    got = counted_lookup(left, facts, ["k"], ["i"], rows_per_slice=20)
+    assert {tuple(r) for r in got.collect()} == plain and got.count() == 301
