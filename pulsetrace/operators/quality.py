@@ -39,15 +39,17 @@ def null_token(df: DataFrame, token: str = "-") -> DataFrame:
 
 
 def coerce_numeric(df: DataFrame, types: dict[str, str] = NUMERIC_TYPES) -> DataFrame:
-    """Cast the known numeric columns; unreadable text becomes null."""
-    casts = {}
+    """Cast the known numeric columns; unreadable text becomes null.
+
+    Whole numbers are read as doubles first, since exports write them as "12.0" when a column has gaps.
+    """
+    kinds, casts = dict(df.dtypes), {}
     for name, kind in types.items():
-        if name in df.columns:
-            exact = f"try_cast(`{name}` AS {kind})"
-            # "NaN" is no number here, and text such as "12.0" is a valid whole number.
-            casts[name] = F.expr(
-                f"CASE WHEN NOT isnan({exact}) THEN {exact} END" if kind == "double" else
-                f"coalesce({exact}, try_cast(try_cast(`{name}` AS double) AS {kind}))")
+        if name not in kinds or (kinds[name] == kind and kind != "double"):
+            continue
+        number = f"`{name}`" if kinds[name] == "double" else f"try_cast(`{name}` AS double)"
+        casts[name] = F.expr(f"nullif({number}, double('NaN'))" if kind == "double"
+                             else f"try_cast({number} AS {kind})")
     return df.withColumns(casts)
 
 

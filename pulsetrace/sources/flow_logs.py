@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from pulsetrace.config import DEFAULTS, NATIVE_LOG_COLUMNS, NUMERIC_TYPES, Settings
 from pulsetrace.operators.labels import binary_target, fold_rare_classes
@@ -68,9 +69,15 @@ def read_native_log(spark: SparkSession, paths: str | Sequence[str], token: str
 def read_csv_export(spark: SparkSession, paths: str | Sequence[str], token: str = "-") -> DataFrame:
     """CSV export with a header, plain or gzipped; all files of one call share a layout.
 
-    Unnamed index columns are dropped. Values are read as text and cast, never inferred.
+    Unnamed index columns are dropped. Types are stated, never inferred; what does not fit is null.
     """
-    raw = spark.read.option("header", True).option("enforceSchema", False).csv(paths)
+    reader = spark.read.option("header", True).option("enforceSchema", False)
+    header = reader.csv(paths)
+    # The header names the columns; only then can each be given its type.
+    for field in header.schema.fields:
+        if canonical_name(field.name) in NUMERIC_TYPES:
+            field.dataType = DoubleType()
+    raw = reader.schema(header.schema).option("nullValue", token).csv(paths)
     names = [n for n in raw.columns if n != "capture_id"]
     unnamed = [n for n in names if n.startswith("_c") and n[2:].isdigit()
                or n.startswith("Unnamed: ")]
