@@ -203,7 +203,11 @@ def train_classifier(name: str, train: DataFrame, settings: Settings = DEFAULTS,
     inputs = learn_inputs(train, columns)
     prepared = Pipeline(stages=inputs.stages).fit(train)
     ready = prepared.transform(train).select("session_id", "target", "features")
-    rows, folds = stratified_folds(ready, settings)
+    searching = len(estimator(name, settings, 1.0)[1]) > 1
+    if searching or calibrate or settings.imbalance == "smote":
+        rows, folds = stratified_folds(ready, settings)
+    else:
+        rows, folds = ready, 0
     weights = encode.class_weights(rows)
     weighted = settings.imbalance in ("class_weight", "focal_loss")
     rows = materialise(encode.add_weight(rows, weights) if weighted else rows)

@@ -17,8 +17,7 @@ from pulsetrace.sources import views
 
 SPECTRAL = ("periodicity_score", "fft_dominant_power")
 SECONDS = ("iat_mean", "iat_std", "iat_median", "iat_min", "iat_max", "iat_mad")
-LARGE = ("session_byte_variance", "bytes_per_second", "mean_pkt_size_orig", "mean_pkt_size_resp",
-         "orig_resp_byte_ratio")
+LARGE = ("session_byte_variance", "bytes_per_second")
 
 
 def places(columns):

@@ -262,3 +262,11 @@ def model_roundtrip(spark, folder):
     return before.join(after, "session_id").agg(
         F.count("*").alias("n_rows"), F.max(F.abs(F.col("before") - F.col("after"))).alias("max_gap")
     ).withColumn("n_features", F.lit(len(metadata["feature_list"])))
+
+
+@query("full_run")
+def full_run(spark, folder):
+    """All deliverables of one run; the result is its report."""
+    settings = SMALL.with_(forest_trees=(10,), forest_depth=(5,))
+    return runs.full_run(kept_flows(spark, folder), scratch_path(spark, "run"), settings,
+                         calibrate=False)

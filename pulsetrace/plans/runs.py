@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from functools import reduce
+
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsetrace.config import DEFAULTS, Settings
 from pulsetrace.models.anomaly import train_detector
+from pulsetrace.models.forest_attribution import tree_attribution
 from pulsetrace.models.supervised import Classifier, train_classifier
-from pulsetrace.operators import curves, fusion, splits, sweeps
-from pulsetrace.operators.decision import Thresholds, calibrate_thresholds
+from pulsetrace.operators import curves, explain, fusion, splits, sweeps
+from pulsetrace.operators.decision import Thresholds, calibrate_thresholds, decision_log
 from pulsetrace.operators.features import feature_matrix, tier_columns
 from pulsetrace.session import materialise
+from pulsetrace.sources import sinks
 
 SPLITS = {"random": splits.stratified_split, "temporal": splits.temporal_split,
           "held_out_family": splits.held_out_family_split}
@@ -120,3 +125,58 @@ def hardening_round(flows: DataFrame, settings: Settings = DEFAULTS,
         one = curve.select(F.lit(stage).alias("stage"), "*")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def _entries(df: DataFrame, section: str, item: str, values: Sequence[str]) -> DataFrame:
+    """Report lines (section, item, metric, value) of a wide metric frame."""
+    pairs = F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("value"))
+                      for v in values])
+    return df.select(F.lit(section).alias("section"), F.expr(item).alias("item"), F.inline(pairs))
+
+
+def full_run(flows: DataFrame, folder: str, settings: Settings = DEFAULTS,
+             detector: str = "components", calibrate: bool = True) -> DataFrame:
+    """Everything one run delivers, under ``folder``: model, thresholds, explained log and report.
+
+    The report covers the three splits, both fusion methods, the tier ablation, feature importance and
+    the jitter curve at the supervised branch's own threshold. Returns the report lines.
+    """
+    spark = flows.sparkSession
+    matrix = session_matrix(flows, settings)
+    found = {name: evaluate_split(matrix, name, settings, detector=detector, calibrate=calibrate)
+             for name in SPLITS}
+    _, scored, limits, classifier = found["random"]
+
+    fitted = PipelineModel([*classifier.inputs.stages, classifier.model])
+    sinks.save_model(fitted, spark, f"{folder}/model",
+                     {**classifier.metadata, "feature_list": classifier.features})
+    sinks.save_thresholds(scored, limits, f"{folder}/thresholds")
+
+    shares, _ = tree_attribution(classifier.inputs.transform(scored), classifier.model,
+                                 classifier.features)
+    shares = materialise(shares)
+    sentences = shares.withColumn("reasons", explain.top_reasons(3)).select(
+        "session_id", explain.explanation_text("reasons").alias("sentence"))
+    sinks.save_decision_log(
+        decision_log(scored.join(sentences, "session_id"), limits, F.col("sentence")),
+        f"{folder}/decisions")
+
+    parts = materialise(SPLITS["random"](matrix, settings))
+    train = parts.where("split = 'train'").drop("split")
+    test = parts.where("split = 'test'").drop("split")
+    own = calibrate_thresholds(scored, "supervised_score", settings)
+    curve = sweeps.jitter_curve(flows, scored_with(classifier), own.high, settings)
+    metrics = ("pr_auc", "roc_auc", "precision_at_threshold", "recall_at_threshold",
+               "f1_at_threshold", "accuracy", "false_positives_per_day", "threshold", "tp", "fp",
+               "fn", "tn")
+    lines = [_entries(rows, "split", "concat(split, '/', branch)", metrics)
+             for rows, *_ in found.values()]
+    lines += [
+        _entries(fusion.compare_fusion(scored, settings=settings), "fusion", "method", ["pr_auc"]),
+        _entries(tier_ablation(train, test, settings), "ablation", "tiers", ["n_features", "pr_auc"]),
+        _entries(explain.global_importance(shares), "importance", "feature", ["importance"]),
+        _entries(curve, "jitter", "cast(jitter_pct AS string)", ["recall_at_threshold", "threshold"])]
+    report = reduce(DataFrame.unionByName, lines)
+    sinks.save_report(report, f"{folder}/report")
+    return sinks.read_report(spark, f"{folder}/report",
+                             "section string, item string, metric string, value double")
