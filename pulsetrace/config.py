@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 # Column layout of the native connection log, in file order.
 NATIVE_LOG_COLUMNS = (
@@ -76,6 +76,8 @@ class Settings:
     positive_labels: tuple[str, ...] = POSITIVE_LABELS
     negative_labels: tuple[str, ...] = NEGATIVE_LABELS
     excluded_labels: tuple[str, ...] = EXCLUDED_LABELS
+    # Column that stands in for a missing detailed label; None drops such flows.
+    label_fallback: str | None = None
     rare_class_min_count: int = 50
     working_sample_size: int | None = None
     log_scaled: tuple[str, ...] = LOG_SCALED_FEATURES

@@ -17,9 +17,9 @@ from pulsetrace.config import (
     STATE_CATEGORIES, STATE_FEATURES, TIERS, TIMING_FEATURES, VOLUME_FEATURES, Settings,
 )
 from pulsetrace.functions.series import series_scores
-from pulsetrace.operators.joins import lookup_join
+from pulsetrace.operators.joins import counted_lookup, lookup_join
 from pulsetrace.operators.long_series import hot_timing
-from pulsetrace.operators.sessions import find_hot_sessions, session_id
+from pulsetrace.operators.sessions import find_hot_sessions, session_id, session_sizes
 from pulsetrace.session import materialise
 
 BLOCKS = ("timing", "periodicity", "volume", "state", "meta")
@@ -203,15 +203,38 @@ def session_features(flows: DataFrame, settings: Settings = DEFAULTS,
     return table.selectExpr("*", *derived) if derived else table
 
 
-def feature_matrix(flows: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def context_from(sessions: DataFrame, flows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Context features counted over other flows, such as the whole capture, joined to the sessions.
+
+    Keys the other flows lack (a sweep's level) do not divide the counts.
+    """
+    known = [k for k in keys if k in flows.columns]
+    per = [k for k in known if k not in ("orig_h", "resp_h", "resp_p")]
+    sizes = session_sizes(flows, known)
+    dest = sizes.groupBy(*per, "resp_h").agg(*map(F.expr, (
+        "cast(count(DISTINCT orig_h) AS double) AS dest_fanin",
+        "cast(sum(n_flows) AS double) AS dest_flow_count")))
+    source = sizes.groupBy(*per, "orig_h").agg(
+        F.expr("cast(count(DISTINCT resp_h) AS double) AS src_fanout"))
+    out = counted_lookup(sessions, dest, [*per, "resp_h"], ["orig_h", "resp_p"])
+    return counted_lookup(out, source, [*per, "orig_h"], ["resp_h", "resp_p"])
+
+
+def feature_matrix(flows: DataFrame, settings: Settings = DEFAULTS,
+                   context_flows: DataFrame | None = None) -> DataFrame:
     """Session id, target, provenance and all 39 features.
 
+    The context counts the flows of the kept sessions, or ``context_flows`` where given.
+
     The flows are read once for the hot-session check (keys only) and once for the features; the
     session rows are written before the context is taken from them.
     """
     extra = [k for k in settings.session_keys if k not in ("orig_h", "resp_h", "resp_p")]
     stored = materialise(session_features(flows, settings))
-    table = add_context(stored, extra, stored.count())
+    if context_flows is None:
+        table = add_context(stored, extra, stored.count())
+    else:
+        table = context_from(stored, context_flows, settings.session_keys)
     carried = [c for c in ("target", "detailed_label", "capture_id", "last_uid") if c in table.columns]
     return table.select(
         session_id(settings.session_keys).alias("session_id"), "orig_h", "resp_h", "resp_p", *extra,

@@ -9,9 +9,13 @@ from pulsetrace.config import DEFAULTS, Settings
 from pulsetrace.operators.order_stats import MAX_GROUPS
 
 
-def clean_label(label: str = "detailed_label") -> Column:
-    """Trimmed label; a missing label reads as the text ``nan``, which no list contains."""
-    return F.coalesce(F.trim(F.col(label)), F.lit("nan"))
+def clean_label(label: str = "detailed_label", fallback: str | None = None) -> Column:
+    """Trimmed label, or the coarse label of the ``fallback`` column where it is missing.
+
+    A label missing altogether reads as the text ``nan``, which no list contains.
+    """
+    names = [label] if fallback is None else [label, fallback]
+    return F.coalesce(*[F.trim(F.col(n)) for n in names], F.lit("nan"))
 
 
 def _known(settings: Settings) -> list[str]:
@@ -21,7 +25,7 @@ def _known(settings: Settings) -> list[str]:
 def binary_target(df: DataFrame, settings: Settings = DEFAULTS,
                   label: str = "detailed_label") -> DataFrame:
     """Keep positive and negative flows, add ``target``; everything else is dropped."""
-    value = clean_label(label)
+    value = clean_label(label, settings.label_fallback)
     kept = [*settings.positive_labels, *settings.negative_labels]
     positive = value.isin(*settings.positive_labels)
     return df.where(value.isin(*kept)).withColumn("target", positive.cast("int"))
@@ -30,7 +34,7 @@ def binary_target(df: DataFrame, settings: Settings = DEFAULTS,
 def unrecognised_labels(df: DataFrame, settings: Settings = DEFAULTS,
                         label: str = "detailed_label") -> DataFrame:
     """Labels named in no list, with their row counts."""
-    value = clean_label(label)
+    value = clean_label(label, settings.label_fallback)
     return (df.where(~value.isin(*_known(settings)))
             .groupBy(value.alias(label)).agg(F.count("*").alias("n_rows")))
 
@@ -38,7 +42,7 @@ def unrecognised_labels(df: DataFrame, settings: Settings = DEFAULTS,
 def target_accounting(df: DataFrame, settings: Settings = DEFAULTS,
                       label: str = "detailed_label") -> DataFrame:
     """Positive, negative and excluded row counts; unrecognised rows count as excluded."""
-    value = clean_label(label)
+    value = clean_label(label, settings.label_fallback)
     positive = value.isin(*settings.positive_labels)
     negative = value.isin(*settings.negative_labels)
     return df.agg(
@@ -68,7 +72,7 @@ def fold_rare_classes(df: DataFrame, settings: Settings = DEFAULTS, label: str =
 def multiclass_target(df: DataFrame, settings: Settings = DEFAULTS,
                       label: str = "detailed_label") -> DataFrame:
     """Three analysis classes: benign, heartbeat beacons, other beacons."""
-    value = clean_label(label)
+    value = clean_label(label, settings.label_fallback)
     kept = binary_target(df, settings, label)
     return kept.withColumn(
         "analysis_class",

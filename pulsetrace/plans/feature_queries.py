@@ -123,6 +123,19 @@ def context_features(spark, folder):
     return _named(features.add_context(table)).select("session_id", *CONTEXT_FEATURES)
 
 
+@query("capture_context", sql.over_sessions("""
+SELECT DISTINCT session_id, dest_fanin, src_fanout, dest_flow_count FROM iv
+JOIN (SELECT resp_h, CAST(COUNT(DISTINCT orig_h) AS DOUBLE) AS dest_fanin,
+        CAST(COUNT(*) AS DOUBLE) AS dest_flow_count FROM flows GROUP BY resp_h) USING (resp_h)
+JOIN (SELECT orig_h, CAST(COUNT(DISTINCT resp_h) AS DOUBLE) AS src_fanout FROM flows
+      GROUP BY orig_h) USING (orig_h)"""))
+def capture_context(spark, folder):
+    """The context block counted over the whole capture, dropped labels and short sessions included."""
+    table = features.session_features(kept_flows(spark, folder), blocks=())
+    return _named(features.context_from(table, views.flows(spark, folder), DEFAULTS.session_keys)
+                  ).select("session_id", *CONTEXT_FEATURES)
+
+
 ALL_PARTS = (sql.timing(), sql.SPECTRAL, sql.VOLUME, sql.STATE, sql.CONTEXT, sql.META)
 MATRIX = {**places(TIMING_FEATURES), **places(VOLUME_FEATURES), **places(STATE_FEATURES),
           **places(CONTEXT_FEATURES)}

@@ -24,9 +24,10 @@ SPLITS = {"random": splits.stratified_split, "temporal": splits.temporal_split,
           "held_out_family": splits.held_out_family_split}
 
 
-def session_matrix(flows: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def session_matrix(flows: DataFrame, settings: Settings = DEFAULTS,
+                   context_flows: DataFrame | None = None) -> DataFrame:
     """The feature matrix, written once: every later step works on sessions, not flows."""
-    return materialise(feature_matrix(flows, settings))
+    return materialise(feature_matrix(flows, settings, context_flows))
 
 
 def score_rows(train: DataFrame, rows: DataFrame, settings: Settings = DEFAULTS,
@@ -99,10 +100,14 @@ def cross_dataset(train: DataFrame, other: DataFrame, settings: Settings = DEFAU
     return curves.ranking_metrics(classifier.score(other, "score"))
 
 
-def scored_with(classifier: Classifier):
-    """Sweep callback: rebuild the matrix of perturbed flows and score it with a fitted model."""
+def scored_with(classifier: Classifier, context_flows: DataFrame | None = None):
+    """Sweep callback: rebuild the matrix of perturbed flows and score it with a fitted model.
+
+    With ``context_flows`` (all flows, say) the context is that of the real network; otherwise it is
+    counted over the perturbed positives alone.
+    """
     def score(flows: DataFrame, settings: Settings) -> DataFrame:
-        return classifier.score(session_matrix(flows, settings), "score")
+        return classifier.score(session_matrix(flows, settings, context_flows), "score")
     return score
 
 

@@ -185,3 +185,20 @@ def test_weekday_and_hour_against_spark(spark):
     wrong = table.where((F.hour(clock) != F.col("hour_of_day"))
                         | ((F.weekday(clock) >= 5).cast("double") != F.col("is_weekend")))
     assert table.count() == len(days) and wrong.count() == 0
+
+
+def test_context_of_the_whole_capture(spark):
+    every = flows(spark, beacon(), irregular(2, orig="10.4.0.1"),
+                  [(*r[:5], "198.51.100.7", *r[6:]) for r in irregular(3, orig="10.4.0.2")])
+    kept = labels.binary_target(every)
+    name = "10.1.0.5|198.51.100.7|443"
+    own = {r.session_id: r for r in feature_matrix(kept).collect()}[name]
+    whole = {r.session_id: r for r in feature_matrix(kept, context_flows=every).collect()}[name]
+    assert (own.dest_fanin, own.dest_flow_count) == (1.0, 6.0)
+    assert (whole.dest_fanin, whole.dest_flow_count, whole.src_fanout) == (2.0, 9.0, 1.0)
+
+
+def test_missing_detailed_label_can_fall_back(spark):
+    df = flows(spark, irregular(4, label=None)).withColumn("label", F.lit("Benign"))
+    assert labels.binary_target(df).count() == 0
+    assert labels.binary_target(df, DEFAULTS.with_(label_fallback="label")).count() == 4
