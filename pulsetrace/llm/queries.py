@@ -3,24 +3,50 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pulsetrace.llm import quality_rules, source_mix
+from pulsetrace.llm import byte_bpe, quality_rules, secret_scan, simhash, source_mix
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, folder, "documents"))
+
+    def count(kind):
+        return F.size(F.filter("found", lambda s: s.kind == kind)).cast("long")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+    base = F.filter("found", lambda s: s.kind != "markov")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in secret_scan.KINDS],
+                        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+
+
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    both = byte_bpe.decode(byte_bpe.encode(docs).drop("text", "token_ends"))
+    return both.select("doc_id", (F.octet_length("tokens") / 4).cast("long").alias("n_tokens"),
+                       F.sha2("tokens", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op4_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return source_mix.counts(table(spark, folder, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.classes(table(spark, folder, "documents"))
+
+
 def _quality_sql() -> str:
     rules = quality_rules.Rules()
     share = {
@@ -76,5 +102,6 @@ def _quality_sql() -> str:
         (NOT base_failed AND fails.rid IS NULL) AS kept FROM base LEFT JOIN fails ON base.rid = fails.rid"""
 
 
-QUERIES = {"op2_quality_rules": op2_quality_rules, "op4_source_mix": op4_source_mix}
+QUERIES = {f.__name__: f for f in (
+    op1_secret_scan, op2_quality_rules, op3_byte_bpe, op4_source_mix, op5_simhash_dedup)}
 ORACLES = {"op2_quality_rules": _quality_sql()}
