@@ -48,7 +48,7 @@ class Scan:
     so that a pair the corpus happens not to have decides nothing alone."""
 
     threshold: float = 15.0
-    limit: float = 3.0
+    limit: float = 4.0
     seed: int = 42
     samples: int = 5000
     mark: str = "[secret]"
