@@ -26,6 +26,7 @@ from pulsetrace.session import materialise
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WINDOW = 5
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_capitals", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
 @dataclass(frozen=True)
@@ -51,7 +52,7 @@ TWO_SIDED = {"word_length"}
 
 
 def measure(docs: DataFrame, keys: list[Column]) -> DataFrame:
-    """``keys`` and the counts n_words, word_chars, n_symbols, n_capitals, n_lines, n_dup_lines, n_repeat_words."""
+    """``keys`` and COUNTS of every document."""
     full = F.col("full")
     lines = F.filter(F.split(full, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
     bare = F.translate(full, BLANKS, "")
@@ -79,7 +80,10 @@ def measure(docs: DataFrame, keys: list[Column]) -> DataFrame:
     new = F.transform("spans", lambda p, k: F.least(
         F.lit(WINDOW), p - F.coalesce(F.get("spans", k - 1), p - WINDOW)))
     covered = F.aggregate(new, F.lit(0), lambda a, x: a + x)
-    return step.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("spans")
+    step = step.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
+    # The generated row keeps Spark from copying these expressions into every later condition on a count.
+    kept = [c for c in step.columns if c not in COUNTS and c != "spans"]
+    return step.select(*kept, F.inline(F.array(F.struct(*COUNTS))))
 
 
 def base_failed(rules: Rules) -> Column:

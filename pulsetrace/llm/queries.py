@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsetrace.llm import byte_bpe, quality_rules, secret_scan, simhash, source_mix
+from pulsetrace.llm import byte_bpe, quality_rules, secret_scan, simhash, source_mix, topk, warc_revisits
+from pulsetrace.session import materialise
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,6 +48,87 @@ def op5_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.classes(table(spark, folder, "documents"))
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """Two archive records per page: a full response, and a revisit that names it by ETag, by date, wrongly or not at all."""
+    day = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    nth = F.col("page_id")
+
+    def at(minutes):
+        return F.timestamp_add("MINUTE", minutes.cast("int"), day)
+
+    tag, changed = F.concat(F.lit('"'), F.md5("html"), F.lit('"')), F.date_format(at(nth % 1000), "yyyy-MM-dd HH:mm")
+    length = F.char_length("html").cast("string")
+    full = pages.select(
+        F.concat(F.lit("r"), nth).alias("record_id"), F.col("url").alias("uri"), at(nth % 1000).alias("date"),
+        F.lit("response").alias("kind"), F.lit(200).alias("status"), F.create_map(
+            F.lit("Content-Type"), F.lit("text/html"), F.lit("Content-Length"), length, F.lit("ETag"), tag,
+            F.lit("Last-Modified"), changed, F.lit("Cache-Control"), F.lit("max-age=60")).alias("headers"), "html")
+    own = F.when(nth % 5 == 0, F.create_map(F.lit("ETag"), F.lit('"stale"'))).when(
+        nth % 7 == 0, F.create_map(F.lit("last-modified"), changed)).when(
+        nth % 13 == 0, F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("etag"), F.concat(F.lit("W/"), tag)))
+    again = pages.select(
+        F.concat(F.lit("v"), nth).alias("record_id"), F.concat("url", F.lit("#again")).alias("uri"),
+        at(F.when(nth % 11 == 0, nth % 1000 - 500).otherwise(nth % 1000 + 700)).alias("date"), F.lit("revisit").alias("kind"),
+        F.lit(304).alias("status"), F.map_concat(own, F.create_map(
+            F.lit("Cache-Control"), F.concat(F.lit("max-age="), nth % 100), F.lit("Content-Length"), F.lit("0"),
+            F.lit("X-Cache"), F.lit("HIT"))).alias("headers"), F.lit(None).cast("string").alias("html"))
+    return full.union(again)
+
+
+def op7_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    records = captures(table(spark, folder, "pages"))
+    resolved = materialise(warc_revisits.resolve(records))
+    bodies = warc_revisits.with_payload(records, resolved).select(F.col("record_id").alias("id"), F.char_length("html").cast("long").alias("body_chars"))
+    number = lambda c: F.substr(F.col(c), F.lit(2)).cast("long")
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws(": ", e.key, e.value))
+    return resolved.join(bodies, F.col("record_id") == F.col("id"), "left").select(
+        number("record_id").alias("page_id"), "url", number("source_id").alias("source_page_id"), "verdict",
+        F.array_join(lines, "; ").alias("headers"), "body_chars")
+
+
+_REVISITS_SQL = r"""
+    WITH p AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages),
+    q AS (SELECT *, string_split(bare, '?')[1] AS address,
+        CASE WHEN instr(bare, '?') > 0 THEN substr(bare, instr(bare, '?') + 1) ELSE '' END AS query FROM p),
+    c AS (SELECT *, regexp_replace(lower(string_split(address, '/')[1]), '^www\.|:(80|443)$', '', 'g')
+        || regexp_replace(CASE WHEN instr(address, '/') > 0 THEN substr(address, instr(address, '/')) ELSE '' END, '/+$', '') AS place,
+        list_sort(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|fbclid|gclid)(=|$)'))) AS params FROM q),
+    u AS (SELECT page_id, html, place || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS url FROM c),
+    r AS (SELECT 'r' || page_id AS id, page_id, url, (page_id % 1000) AS t, true AS is_full FROM u
+        UNION ALL SELECT 'v' || page_id, page_id, url, CASE WHEN page_id % 11 = 0 THEN page_id % 1000 - 500 ELSE page_id % 1000 + 700 END, false FROM u),
+    w AS (SELECT *, last_value(CASE WHEN is_full THEN page_id END IGNORE NULLS) OVER (
+        PARTITION BY url ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hit FROM r),
+    m AS (SELECT w.page_id, w.url, w.hit, me.html AS mine, src.html AS stored,
+        CASE WHEN w.page_id % 5 = 0 THEN '"stale"' WHEN w.page_id % 7 = 0 OR w.page_id % 13 = 0 THEN NULL ELSE 'W/"' || md5(me.html) || '"' END AS etag,
+        CASE WHEN w.page_id % 5 <> 0 AND w.page_id % 7 = 0 THEN strftime(TIMESTAMP '2024-01-01' + INTERVAL (w.page_id % 1000) MINUTE, '%Y-%m-%d %H:%M') END AS changed,
+        '"' || md5(src.html) || '"' AS old_etag, strftime(TIMESTAMP '2024-01-01' + INTERVAL (w.hit % 1000) MINUTE, '%Y-%m-%d %H:%M') AS old_changed
+        FROM w JOIN pages me ON me.page_id = w.page_id LEFT JOIN pages src ON src.page_id = w.hit WHERE NOT w.is_full),
+    v AS (SELECT *, CASE WHEN hit IS NULL THEN 'no_response' WHEN etag IS NULL AND changed IS NULL THEN 'unverified'
+        WHEN coalesce(regexp_replace(etag, '^W/', '') = old_etag, changed = old_changed) THEN 'match' ELSE 'mismatch' END AS verdict FROM m)
+    SELECT page_id, url, CASE WHEN verdict IN ('match', 'unverified') THEN hit END AS source_page_id, verdict,
+        'cache-control: max-age=' || (page_id % 100) || '; content-length: '
+        || CASE WHEN verdict IN ('match', 'unverified') THEN length(stored)::VARCHAR || '; content-type: text/html' ELSE '0' END
+        || coalesce('; etag: ' || coalesce(etag, CASE WHEN verdict IN ('match', 'unverified') THEN old_etag END), '')
+        || coalesce('; last-modified: ' || coalesce(changed, CASE WHEN verdict IN ('match', 'unverified') THEN old_changed END), '')
+        || '; x-cache: HIT' AS headers,
+        CASE WHEN verdict IN ('match', 'unverified') THEN length(stored) END AS body_chars FROM v"""
+
+
+def op9_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    found = topk.nearest(table(spark, folder, "embeddings"))
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+
+
+_TOPK_SQL = """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+        FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+    SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (
+        PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
+
+
 def _quality_sql() -> str:
     rules = quality_rules.Rules()
     share = {
@@ -103,5 +185,6 @@ def _quality_sql() -> str:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scan, op2_quality_rules, op3_byte_bpe, op4_source_mix, op5_simhash_dedup)}
-ORACLES = {"op2_quality_rules": _quality_sql()}
+    op1_secret_scan, op2_quality_rules, op3_byte_bpe, op4_source_mix, op5_simhash_dedup, op7_warc_revisits,
+    op9_exact_topk)}
+ORACLES = {"op2_quality_rules": _quality_sql(), "op7_warc_revisits": _REVISITS_SQL, "op9_exact_topk": _TOPK_SQL}
