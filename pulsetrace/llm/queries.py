@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsetrace.llm import byte_bpe, quality_rules, secret_scan, simhash, source_mix, topk, warc_revisits
+from pulsetrace.llm import byte_bpe, line_crf, quality_rules, secret_scan, simhash, source_mix, topk, warc_revisits
 from pulsetrace.session import materialise
 
 
@@ -48,6 +48,10 @@ def op5_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.classes(table(spark, folder, "documents"))
 
 
+def op6_line_crf(spark: SparkSession, folder: str) -> DataFrame:
+    return line_crf.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def captures(pages: DataFrame) -> DataFrame:
     """Two archive records per page: a full response, and a revisit that names it by ETag, by date, wrongly or not at all."""
     day = F.lit("2024-01-01 00:00:00").cast("timestamp")
@@ -185,6 +189,6 @@ def _quality_sql() -> str:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scan, op2_quality_rules, op3_byte_bpe, op4_source_mix, op5_simhash_dedup, op7_warc_revisits,
-    op9_exact_topk)}
+    op1_secret_scan, op2_quality_rules, op3_byte_bpe, op4_source_mix, op5_simhash_dedup, op6_line_crf,
+    op7_warc_revisits, op9_exact_topk)}
 ORACLES = {"op2_quality_rules": _quality_sql(), "op7_warc_revisits": _REVISITS_SQL, "op9_exact_topk": _TOPK_SQL}
