@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsetrace.llm import byte_bpe, line_crf, quality_rules, secret_scan, simhash, source_mix, topk, warc_revisits
+from pulsetrace.llm import byte_bpe, html_text, line_crf, quality_rules, secret_scan, simhash, source_mix, topk, warc_revisits
 from pulsetrace.session import materialise
 
 
@@ -118,6 +118,10 @@ _REVISITS_SQL = r"""
         CASE WHEN verdict IN ('match', 'unverified') THEN length(stored) END AS body_chars FROM v"""
 
 
+def op8_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op9_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     found = topk.nearest(table(spark, folder, "embeddings"))
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
@@ -190,5 +194,5 @@ def _quality_sql() -> str:
 
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_quality_rules, op3_byte_bpe, op4_source_mix, op5_simhash_dedup, op6_line_crf,
-    op7_warc_revisits, op9_exact_topk)}
+    op7_warc_revisits, op8_html_text, op9_exact_topk)}
 ORACLES = {"op2_quality_rules": _quality_sql(), "op7_warc_revisits": _REVISITS_SQL, "op9_exact_topk": _TOPK_SQL}
