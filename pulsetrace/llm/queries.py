@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsetrace.llm import byte_bpe, html_text, line_crf, quality_rules, secret_scan, simhash, source_mix, topk, warc_revisits
+from pulsetrace.llm import byte_bpe, html_text, line_crf, quality_rules, secret_scan, simhash, source_mix, suffix_dedup, topk, warc_revisits
 from pulsetrace.session import materialise
 
 
@@ -137,6 +137,18 @@ _TOPK_SQL = """
         PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
 
 
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = suffix_dedup.passages(docs)
+    doc, mark = suffix_dedup.identity()
+    words = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x.hi - x.lo)
+    spans = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x.lo, x.hi)), ",")
+    rows = docs.select("doc_id", doc.alias("doc"), mark.alias("mark"))
+    return rows.join(found, ["doc", "mark"]).select(
+        "doc_id", "n_words", words("shared").alias("n_shared"), words("later").alias("n_later"),
+        spans("shared").alias("shared_spans"), spans("later").alias("later_spans"))
+
+
 def _quality_sql() -> str:
     rules = quality_rules.Rules()
     share = {
@@ -194,5 +206,6 @@ def _quality_sql() -> str:
 
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_quality_rules, op3_byte_bpe, op4_source_mix, op5_simhash_dedup, op6_line_crf,
-    op7_warc_revisits, op8_html_text, op9_exact_topk)}
+    op7_warc_revisits, op8_html_text, op9_exact_topk,
+    op10_suffix_dedup)}
 ORACLES = {"op2_quality_rules": _quality_sql(), "op7_warc_revisits": _REVISITS_SQL, "op9_exact_topk": _TOPK_SQL}
