@@ -26,7 +26,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pulsetrace.llm.common import named, text_of
+from pulsetrace.llm.common import OWN, named, numbered, text_of
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -239,9 +239,9 @@ def encode(docs: DataFrame, path: str = VOCABULARY, column: str = "text") -> Dat
     """Adds ``tokens`` (packed little-endian 32-bit ids) and ``token_ends`` (byte offset after each token, packed alike)."""
     vocabulary = read_vocabulary(path)
     names = [c for c in docs.columns if c not in ("tokens", "token_ends")]
-    rows = docs.select(*[named(c).alias(c) for c in names], text_of(column).alias("__llm_text"))
-    kept = rows.schema[: len(names)] if names else []
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["tokens binary", "token_ends binary"])
+    kept = numbered(docs.select(*[named(c) for c in names]))
+    schema = kept.schema.add("tokens", "binary").add("token_ends", "binary")
+    rows = docs.select(*[named(c).alias(OWN + str(i)) for i, c in enumerate(names)], text_of(column).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merge = merger(vocabulary)
@@ -258,14 +258,15 @@ def encode(docs: DataFrame, path: str = VOCABULARY, column: str = "text") -> Dat
                     [*part.columns[:-1], pa.array(packed, pa.binary()), pa.array(ends, pa.binary())],
                     names=[*part.schema.names[:-1], "tokens", "token_ends"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*names, "tokens", "token_ends")
 
 
 def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """Adds ``decoded``, the bytes of the text, to rows with ``tokens``."""
     vocabulary = read_vocabulary(path)
-    rows = encoded.select(*[named(c) for c in encoded.columns if c not in ("decoded", "tokens")], "tokens")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + ["decoded binary"])
+    names = [c for c in encoded.columns if c not in ("decoded", "tokens")] + ["tokens"]
+    rows = numbered(encoded.select(*[named(c) for c in names]))
+    schema = numbered(encoded.select(*[named(c) for c in names])).schema.add("decoded", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = merger(vocabulary).ranks
@@ -278,5 +279,5 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())],
                                              names=[*batch.schema.names, "decoded"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*names, "decoded")
 

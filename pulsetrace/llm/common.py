@@ -18,6 +18,11 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The same columns under plain names, as batch functions do not take every name; ``toDF`` restores them."""
+    return df.select(*[named(c).alias(OWN + str(i)) for i, c in enumerate(df.columns)])
+
+
 def text_of(column: str = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(named(column).cast("string"), F.lit(""))

@@ -1,8 +1,9 @@
 """Secrets in texts: fixed patterns, and character Markov models of random strings and ordinary identifiers.
 
 The models are first-order chains over one alphabet. Samples labelled ordinary are all runs of the corpus outside
-the matches of the patterns; samples labelled random are those matches and a seeded set of uniformly random
-strings over the usual alphabets. Character pairs are counted in Arrow batches, summed by Spark, and only the two
+the matches of the patterns, but for long runs with a letter and a digit, which are what the models are to judge;
+samples labelled random are the patterns' matches and a seeded set of uniformly random strings over the usual
+alphabets. Character pairs are counted in Arrow batches, summed by Spark, and only the two
 fixed-size tables reach the driver. A run of enough characters, with a letter and a digit, is a secret where the
 log-likelihood ratio of random to ordinary reaches the threshold.
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsetrace.llm.common import named, text_of
+from pulsetrace.llm.common import named, numbered, text_of
 
 KINDS = ("assign", "access", "hex", "markov")
 # The patterns of the contract.
@@ -49,6 +50,7 @@ class Scan:
 
     threshold: float = 15.0
     limit: float = 4.0
+    prior: float = 10.0
     seed: int = 42
     samples: int = 5000
     mark: str = "[secret]"
@@ -75,6 +77,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def mixed(piece: str) -> bool:
+    return not piece.isalpha() and any(c.isdigit() for c in piece) and any(c.isalpha() for c in piece)
+
+
 def all_spans(text: str, ratio: np.ndarray, threshold: float) -> list[tuple[int, int, int]]:
     """The patterns' spans and those that the models add."""
     found = base_spans(text)
@@ -83,7 +89,7 @@ def all_spans(text: str, ratio: np.ndarray, threshold: float) -> list[tuple[int,
         piece = run.group()
         if any(s < run.end() and run.start() < e for s, _, e in found):
             continue
-        if not (any(c.isdigit() for c in piece) and any(c.isalpha() for c in piece)):
+        if not mixed(piece):
             continue
         codes = CODE[np.frombuffer(piece.encode(), np.uint8)]
         if ratio[codes[:-1], codes[1:]].sum() >= threshold:
@@ -106,10 +112,14 @@ def train(docs: DataFrame, settings: Scan = Scan()) -> np.ndarray:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 every = pairs(text.encode("utf-8", "surrogatepass"))
-                for start, _, end in merged(base_spans(text)):
+                known = merged(base_spans(text))
+                for start, _, end in known:
                     piece = pairs(text[start:end].encode())
                     sums[1] += piece
                     every = every - piece
+                for run in RUN.finditer(text):
+                    if mixed(run.group()) and not any(s < run.end() and run.start() < e for s, _, e in known):
+                        every = every - pairs(run.group().encode())
                 sums[0] += np.maximum(every, 0)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at // sums.shape[1]), pa.array(at % sums.shape[1]), pa.array(
@@ -122,7 +132,10 @@ def train(docs: DataFrame, settings: Scan = Scan()) -> np.ndarray:
         table[row.label, row.pair] = row.n
     for piece in random_strings(settings):
         table[1] += pairs(piece)
-    table = table.reshape(2, STATES, STATES)[:, 1:, 1:] + 0.5
+    table = table.reshape(2, STATES, STATES)[:, 1:, 1:]
+    # Rarely seen characters lean on the single-character frequencies of their own model.
+    single = table.sum(axis=1, keepdims=True) + 0.5
+    table = table + settings.prior * single / single.sum(axis=2, keepdims=True)
     chance = np.log(table / table.sum(axis=2, keepdims=True))
     ratio = np.zeros((STATES, STATES))
     ratio[1:, 1:] = np.clip(chance[1] - chance[0], -settings.limit, settings.limit)
@@ -176,7 +189,8 @@ def redact(docs: DataFrame, settings: Scan = Scan()) -> DataFrame:
             columns[at] = pa.array([clean(t) for t in columns[at].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    out = docs.withColumn("text", named("text").cast("string")).mapInArrow(run, docs.schema)
+    rows = numbered(docs)
+    out = rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
     return out

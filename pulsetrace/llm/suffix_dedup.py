@@ -286,4 +286,5 @@ def cut(docs: DataFrame, settings: Passages = Passages()) -> DataFrame:
             columns[at] = pa.array([trim(t, g) for t, g in zip(columns[at].to_pylist(), batch.columns[-1].to_pylist())], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return joined.select(*[named(c) for c in docs.columns], OWN + "later").mapInArrow(run, docs.schema)
+    rows = joined.select(*[named(c).alias(OWN + str(i)) for i, c in enumerate(docs.columns)], OWN + "later")
+    return rows.mapInArrow(run, rows.drop(OWN + "later").schema).toDF(*docs.columns)

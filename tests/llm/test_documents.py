@@ -1,0 +1,415 @@
+"""Operators over documents against plain versions, on odd rows and on small corpora."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import tiktoken
+import xxhash
+
+import public_tokenizers
+from pulsetrace.llm import byte_bpe, line_crf, queries, quality_rules, secret_scan, simhash, source_mix, suffix_dedup
+
+FOLDER = "/root/testdata/sf0.001"
+WORD = re.compile("[^\x20\x09-\x0D]+")
+
+
+def rows(df):
+    return [r.asDict(recursive=True) for r in df.collect()]
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in rows(df)}
+
+
+def texts(docs):
+    return [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+
+
+# --- secret scan
+
+
+def plain_base(text):
+    key = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in "password")
+    word = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in k) for k in ("password", "passwd", "secret", "token"))
+    assert key in word
+    assign = re.compile("(" + word + r"|[aA][pP][iI]_?[kK][eE][yY])" + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    found = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    return sorted(found + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24])
+
+
+def test_base_spans_follow_the_patterns():
+    draw = random.Random(1)
+    parts = ["password", "PassWD", "secret", "ToKeN", "api_key", "APIKEY", "tokſen", "toKen", " = ", ":", "='", '"', "AKIA", "AKIA" + "Q" * 16,
+             "abcdef0123456789" * 2, "0f" * 11, "short", "aB3+/=_.-", " ", "\n", "é", "token=secret=abcdefgh"]
+    for _ in range(3000):
+        text = "".join(draw.choices(parts, k=draw.randint(0, 12)))
+        assert secret_scan.base_spans(text) == plain_base(text)
+
+
+def test_scan_adds_random_strings_and_leaves_words(make_docs):
+    draw = random.Random(3)
+    words = ["ordinary", "identifier", "value", "number", "table", "another", "chapter12", "section_4"]
+    docs = [(i, " ".join(draw.choices(words, k=60)), "en", "a") for i in range(200)]
+    secret = "".join(draw.choices(secret_scan.LETTERS[:62], k=40))
+    docs.append((900, f"see {secret} here", "en", "a"))
+    out = by_id(secret_scan.scan(make_docs(docs)))
+    assert out[900]["found"] == [{"kind": "markov", "start": 4, "end": 44}]
+    assert not any(r["found"] for i, r in out.items() if i != 900)
+
+
+def test_scan_and_redact_on_odd_rows(odd_docs, make_docs):
+    assert len(rows(secret_scan.scan(odd_docs))) == odd_docs.count()
+    assert all(not r["found"] for r in rows(secret_scan.scan(odd_docs)) if r["doc_id"] in (3, 4, 5))
+    kept = secret_scan.redact(odd_docs)
+    assert kept.schema.names == odd_docs.schema.names
+    assert sorted(map(str, kept.collect())) == sorted(map(str, odd_docs.collect()))
+    docs = make_docs([(1, 'a password = "hunter22" b ' + "0123456789abcdef" * 2, "en", "a")])
+    row = secret_scan.redact(docs).first()
+    assert row.text == 'a [secret]" b [secret]' and row.n_chars == len(row.text) and row.n_words == "extra"
+    assert secret_scan.redact(odd_docs.limit(0)).count() == 0 and secret_scan.scan(odd_docs.limit(0)).count() == 0
+
+
+# --- quality rules
+
+
+def plain_counts(text):
+    text = text or ""
+    words = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    grams = Counter(tuple(words[i: i + 5]) for i in range(len(words) - 4))
+    spots = {p for i in range(len(words) - 4) if grams[tuple(words[i: i + 5])] > 1 for p in range(i, i + 5)}
+    return (len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(spots))
+
+
+def test_counts_of_odd_rows(odd_docs):
+    out = rows(quality_rules.judge(odd_docs))
+    got = Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in out)
+    assert got == Counter((i, *plain_counts(t)) for i, t in texts(odd_docs))
+    for r in out:
+        assert r["base_failed"] == (r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"])
+        assert not (r["base_failed"] and r["kept"])
+
+
+def test_keep_agrees_with_judge_and_keeps_columns(odd_docs):
+    kept = quality_rules.keep(odd_docs)
+    assert kept.schema.names == odd_docs.schema.names
+    want = Counter(r["doc_id"] for r in rows(quality_rules.judge(odd_docs)) if r["kept"])
+    assert Counter(r["doc_id"] for r in rows(kept)) == want and want
+    assert quality_rules.keep(odd_docs.limit(0)).count() == 0 and quality_rules.judge(odd_docs.limit(0)).count() == 0
+
+
+def test_limits_follow_the_source(make_docs):
+    draw = random.Random(5)
+    line = lambda extra: " ".join(draw.choices(["word", "other", "thing", "place"], k=20)) + extra
+    docs = [(i, line(" ###"), "en", "markdown") for i in range(150)] + [(1000 + i, line(""), "en", "prose") for i in range(150)]
+    docs += [(5000, line(" ########"), "en", "prose"), (5001, line(" ####"), "en", "markdown")]
+    out = by_id(quality_rules.judge(make_docs(docs), quality_rules.Rules(max_repeat_percent=100)))
+    assert not out[5000]["kept"] and out[5001]["kept"]
+
+
+def test_bins_keep_six_digits(spark):
+    values = [0, 1, 63, 64, 65, 127, 128, 9999, 10_000_000_007]
+    df = spark.createDataFrame([(v,) for v in values], "v long").selectExpr("v", quality_rules.bin_of("v") + " AS b")
+    for v, b in df.collect():
+        shift = max(v.bit_length() - 6, 0)
+        assert b == v >> shift << shift and (v - b) * 32 <= v
+
+
+# --- source mix
+
+
+def water_fill(sizes, weights, budget, epochs=2):
+    target, open_ = {}, set(sizes)
+    while True:
+        left = budget - sum(target.values())
+        total = sum(weights[s] for s in open_)
+        over = {s for s in open_ if left * weights[s] / total >= epochs * sizes[s]} if total else set()
+        if not over:
+            return target | {s: left * weights[s] / total for s in open_}
+        target |= {s: epochs * sizes[s] for s in over}
+        open_ -= over
+
+
+def test_targets_and_taken_words(make_docs):
+    draw = random.Random(2)
+    docs = [(i, "w " * draw.randint(0, 300), "en", draw.choice(["a", "b", "b", "b", "ü", "z", None, "c", "\U0001f600"])) for i in range(3000)]
+    out = rows(source_mix.counts(make_docs(docs)))
+    sizes = defaultdict(int)
+    for _, t, _, s in docs:
+        sizes[s] += len(WORD.findall(t))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    want = water_fill(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}, 1.5 * sum(sizes.values()))
+    taken = defaultdict(int)
+    for r in out:
+        assert r["target"] == pytest.approx(want[r["source"]]) and r["source_size"] == sizes[r["source"]]
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        taken[r["source"]] += r["taken"]
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= 150 + 0.001 * want[s]
+    again = {r["doc_id"]: r["taken"] for r in rows(source_mix.counts(make_docs(docs).repartition(7)))}
+    assert again == {r["doc_id"]: r["taken"] for r in out}
+
+
+def test_mix_repeats_documents(odd_docs):
+    mixed = source_mix.mix(odd_docs)
+    assert mixed.schema.names == odd_docs.schema.names
+    words = sum(r["taken"] for r in rows(source_mix.counts(odd_docs)))
+    assert sum(len(WORD.findall(t or "")) for _, t in texts(mixed)) == words
+    assert source_mix.mix(odd_docs.limit(0)).count() == 0 and source_mix.counts(odd_docs.limit(0)).count() == 0
+    blank = odd_docs.where("doc_id IN (3, 4)")
+    assert all(r["taken"] == 0 for r in rows(source_mix.counts(blank)))
+
+
+# --- SimHash
+
+
+def plain_print(text, width=3):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i: i + width]) for i in range(len(words) - width + 1)] or [" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_classes(prints):
+    """id -> smallest id reachable over at most two differing bits."""
+    codes = np.array([p for _, p in prints], np.uint64)
+    parent = list(range(len(codes)))
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for i in range(len(codes)):
+        for j in np.flatnonzero(np.bitwise_count(codes[i] ^ codes[i + 1:]) <= 2):
+            parent[find(i)] = find(i + 1 + int(j))
+    groups = defaultdict(list)
+    for i, (doc, _) in enumerate(prints):
+        groups[find(i)].append(doc)
+    named = {g: min((d for d in ids if d is not None), default=None) for g, ids in groups.items()}
+    return [named[find(i)] for i in range(len(codes))]
+
+
+def test_fingerprints_and_classes_of_odd_rows(odd_docs):
+    pairs = [(i, plain_print(t)) for i, t in texts(odd_docs)]
+    want = Counter((i, f"{p:016x}", c) for (i, p), c in zip(pairs, plain_classes(pairs)))
+    assert Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in rows(simhash.classes(odd_docs))) == want
+    assert simhash.classes(odd_docs.limit(0)).count() == 0 and simhash.keep_one(odd_docs.limit(0)).count() == 0
+
+
+def test_components_of_dense_codes(spark):
+    draw = random.Random(4)
+    codes = []
+    for _ in range(6):
+        base = draw.getrandbits(64)
+        codes += [base ^ sum(1 << b for b in draw.sample(range(64), draw.randint(0, 3))) for _ in range(120)]
+    codes += [draw.getrandbits(64) for _ in range(300)] + [0, 0, 1, (1 << 64) - 1]
+    prints = list(enumerate(codes))
+    df = spark.createDataFrame([(i, c - (1 << 64) if c >> 63 else c) for i, c in prints], "doc_id long, code long")
+    found = {r.doc_id: r.component_id for r in df.join(simhash.components(df), "code").collect()}
+    assert found == dict(enumerate(plain_classes(prints)))
+
+
+def test_keep_one_row_of_each_class(odd_docs):
+    kept = simhash.keep_one(odd_docs)
+    assert kept.schema.names == odd_docs.schema.names
+    prints = [plain_print(t) for _, t in texts(kept)]
+    every = [(i, plain_print(t)) for i, t in texts(odd_docs)]
+    assert len(prints) == len({(c, p if c is None else 0) for (i, p), c in zip(every, plain_classes(every))})
+
+
+# --- byte-level BPE
+
+
+def reference_encoding():
+    ranks = byte_bpe.merger(byte_bpe.read_vocabulary(byte_bpe.VOCABULARY)).ranks
+    return tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_encoding_equals_the_library(make_docs):
+    draw, known = random.Random(6), reference_encoding()
+    letters = list("'''  \n\t 　streveldm abAB12!?.é漢٣\x1c") + ["'s", "'re", "'ll", "'ve", " '", "don't", "\U0001f600", "é"]
+    some = ["".join(draw.choices(letters, k=draw.randint(0, 60))) for _ in range(4000)]
+    some += ["", "a" * 5000, " " * 3000, "xy" * 2000, "\n" * 70 + "x", "ab'" * 700, "'", " ", "<|endoftext|>"]
+    out = by_id(byte_bpe.decode(byte_bpe.encode(make_docs([(i, t, "en", "a") for i, t in enumerate(some)]))))
+    for i, text in enumerate(some):
+        ids = np.frombuffer(out[i]["tokens"], "<u4").tolist()
+        assert ids == known.encode_ordinary(text)
+        assert bytes(out[i]["decoded"]) == text.encode()
+        ends = np.frombuffer(out[i]["token_ends"], "<u4").tolist()
+        assert ends == list(np.cumsum([len(known.decode_single_token_bytes(t)) for t in ids]))
+
+
+def test_pieces_do_not_depend_on_neighbours():
+    merge, some = byte_bpe.merger(byte_bpe.read_vocabulary(byte_bpe.VOCABULARY)), ["it'", "s here", " ", "x", "\n", ""]
+    assert list(byte_bpe.encode_texts(some, merge)) == [next(byte_bpe.encode_texts([t], merge)) for t in some]
+
+
+def test_bpe_on_odd_rows(odd_docs):
+    known = reference_encoding()
+    out = byte_bpe.encode(odd_docs)
+    assert out.schema.names == [*odd_docs.schema.names, "tokens", "token_ends"]
+    for r in out.collect():
+        assert np.frombuffer(r.tokens, "<u4").tolist() == known.encode_ordinary(r.text or "")
+    assert byte_bpe.decode(byte_bpe.encode(odd_docs.limit(0))).count() == 0
+
+
+# --- line CRF
+
+
+def test_marginals_equal_enumeration():
+    draw = np.random.default_rng(1)
+    sizes = np.array([3, 1, 4])
+    emit, trans = draw.normal(size=(8, 2)), draw.normal(size=(2, 2))
+    marginal, both, total = line_crf.Chains(sizes).sweep(emit, trans)
+    start, want_both, want_total = 0, np.zeros((2, 2)), 0.0
+    for n in sizes:
+        mass = np.zeros((n, 2))
+        pair = np.zeros((2, 2))
+        z = 0.0
+        for code in range(2**n):
+            path = [code >> i & 1 for i in range(n)]
+            weight = np.exp(sum(emit[start + i, s] for i, s in enumerate(path)) + sum(trans[a, b] for a, b in zip(path, path[1:])))
+            z += weight
+            for i, s in enumerate(path):
+                mass[i, s] += weight
+            for a, b in zip(path, path[1:]):
+                pair[a, b] += weight
+        np.testing.assert_allclose(marginal[start: start + n], mass / z)
+        want_both, want_total, start = want_both + pair / z, want_total + np.log(z), start + n
+    np.testing.assert_allclose(both, want_both)
+    assert total == pytest.approx(want_total)
+
+
+def test_quality_on_held_out_documents(spark):
+    folder = "/root/testdata/sf0.01"
+    scored = queries.op6_line_crf(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in scored)
+    out = [r for r in scored if r.held_out]
+    assert np.mean([r.predicted == r.quality for r in out]) > 0.93
+    good, bad = ([r.score for r in out if r.quality == q] for q in (1, 0))
+    assert np.mean([[g > b for b in bad] for g in good]) > 0.97
+
+
+def test_crf_on_odd_rows(spark, odd_docs):
+    labels = spark.createDataFrame([(1, 1, 0), (9, 0, 0), (6, 0, 0), (7, None, 0), (None, 1, 0), (77, 1, 0)], "doc_id long, quality int, toxic int")
+    for known in (labels, labels.limit(0)):
+        out = rows(line_crf.score(odd_docs, known))
+        assert len(out) == odd_docs.count()
+        assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in out)
+    assert line_crf.score(odd_docs.limit(0), labels).count() == 0
+
+
+# --- shared passages
+
+
+def plain_passages(docs, width=50):
+    words = {i: (t or "").encode().split() for i, t in docs}
+    seen = defaultdict(set)
+    for i, w in words.items():
+        for s in range(len(w) - width + 1):
+            seen[tuple(w[s: s + width])].add(i)
+
+    def merged(starts):
+        out = []
+        for s in starts:
+            if out and s <= out[-1][1]:
+                out[-1][1] = s + width
+            else:
+                out.append([s, s + width])
+        return [tuple(x) for x in out]
+
+    every = {i: [(s, seen[tuple(w[s: s + width])]) for s in range(len(w) - width + 1)] for i, w in words.items()}
+    return {i: (merged([s for s, d in found if len(d) > 1]), merged([s for s, d in found if min(d) < i])) for i, found in every.items()}
+
+
+@pytest.mark.parametrize("heavy", [16, 0])
+def test_passages_equal_brute_force(make_docs, monkeypatch, heavy):
+    draw = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(400)]
+    text = lambda n: draw.choices(vocabulary, k=n)
+    shared = [text(n) for n in (49, 50, 51, 70, 120, 300)]
+    docs = []
+    for i in range(300):
+        body = text(draw.randint(0, 150))
+        for p in draw.sample(shared, draw.randint(0, 2)):
+            lo = draw.randint(0, max(0, len(p) - 60))
+            body += p[lo:] + text(draw.randint(0, 30))
+        docs.append((i, " ".join(body)))
+    docs += [(400 + i, " ".join(shared[5])) for i in range(150)] + [(900, "same " * 300), (901, None), (902, "")]
+    settings = suffix_dedup.Passages(heavy=heavy)  # 0: every bucket of more than 64 suffixes is split
+    out = by_id(suffix_dedup.passages(make_docs([(i, t, "en", "a") for i, t in docs]), settings).withColumnRenamed("doc", "doc_id"))
+    for i, (both, later) in plain_passages(docs).items():
+        assert [(x["lo"], x["hi"]) for x in out[i]["shared"]] == both
+        assert [(x["lo"], x["hi"]) for x in out[i]["later"]] == later
+
+
+def test_cut_on_odd_rows(odd_docs):
+    out = suffix_dedup.cut(odd_docs)
+    assert out.schema.names == odd_docs.schema.names
+    assert sorted(map(str, out.collect())) == sorted(map(str, odd_docs.collect()))
+    assert suffix_dedup.cut(odd_docs.limit(0)).count() == 0
+
+
+def test_cut_removes_later_copies(make_docs):
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = make_docs([(1, f"one\n{passage} end", "en", "a"), (2, f"two  {passage}  tail", "en", "a"), (3, "three " + passage.replace("p30", "x"), "en", "a")])
+    out = {r.doc_id: r.text for r in suffix_dedup.cut(docs).collect()}
+    assert out == {1: f"one\n{passage} end", 2: "two  tail", 3: "three " + passage.replace("p30", "x")}
+
+
+# --- registered queries against plain versions over a whole table
+
+
+def test_scan_query_digests(spark):
+    docs = dict(texts(spark.read.parquet(f"{FOLDER}/documents.parquet")))
+    for r in rows(queries.op1_secret_scan(spark, FOLDER)):
+        base = plain_base(docs[r["doc_id"]] or "")
+        joined = ",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in base)
+        assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == n for _, k, _ in base) for n in range(3))
+        assert set(filter(None, joined.split(","))) <= set(r["spans"].split(","))
+
+
+def test_bpe_query_digests(spark):
+    known, docs = reference_encoding(), dict(texts(spark.read.parquet(f"{FOLDER}/documents.parquet")))
+    for r in rows(queries.op3_byte_bpe(spark, FOLDER)):
+        text = docs[r["doc_id"]] or ""
+        ids = known.encode_ordinary(text)
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_simhash_query(spark):
+    docs = texts(spark.read.parquet(f"{FOLDER}/documents.parquet"))
+    pairs = [(i, plain_print(t)) for i, t in docs]
+    want = {i: (f"{p:016x}", c) for (i, p), c in zip(pairs, plain_classes(pairs))}
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in rows(queries.op5_simhash_dedup(spark, FOLDER))} == want
+
+
+def test_passages_query(spark):
+    docs = texts(spark.read.parquet(f"{FOLDER}/documents.parquet"))
+    out = {r["doc_id"]: (r["shared_spans"], r["later_spans"]) for r in rows(queries.op10_suffix_dedup(spark, FOLDER))}
+    line = lambda spans: ",".join(f"{a}:{b}" for a, b in spans)
+    assert out == {i: (line(a), line(b)) for i, (a, b) in plain_passages(docs).items()}
+
+
+def test_mix_query(spark):
+    out = rows(queries.op4_source_mix(spark, FOLDER))
+    docs = dict(texts(spark.read.parquet(f"{FOLDER}/documents.parquet")))
+    assert all(r["size"] == len(WORD.findall(docs[r["doc_id"]] or "")) and r["taken"] <= 2 * r["size"] for r in out)
+    assert sum({r["doc_id"]: r["taken"] for r in out}.values()) == pytest.approx(1.5 * sum(r["size"] for r in out), rel=0.1)
+
+
+def test_extra_columns_and_dots(spark):
+    df = spark.createDataFrame([(1, "some words of a text", "en", "a", 20, 1)], "doc_id long, text string, lang string, source string, n_chars long, `odd.name` int")
+    for operator in (quality_rules.keep, simhash.keep_one, secret_scan.redact, source_mix.mix, suffix_dedup.cut):
+        assert operator(df).columns == df.columns
