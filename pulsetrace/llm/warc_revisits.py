@@ -104,10 +104,10 @@ def resolve(records: DataFrame) -> DataFrame:
         ((named("kind") == "response") & (F.coalesce(named("status").cast("int"), F.lit(200)) == 200)).alias("full"),
         lowered(named("headers")).alias("headers")))
     placed = slim.where("url IS NOT NULL AND date IS NOT NULL AND (kind = 'revisit' OR full)")
-    found = last_responses(placed.select("url", "date", "record_id", F.coalesce("full", F.lit(False)).alias("full"), "kind", "headers"))
-    lost = slim.where("kind = 'revisit' AND (url IS NULL OR date IS NULL)").select(
-        "url", "date", "record_id", "kind", "headers", F.lit(None).cast("string").alias("hit"))
-    asked = found.where("kind = 'revisit'").select("url", "date", "record_id", "kind", "headers", "hit").union(lost)
+    hits = last_responses(placed.select("url", "date", "record_id", F.coalesce("full", F.lit(False)).alias("full")))
+    hits = hits.where(F.col("hit").isNotNull() & ~F.col("full")).select(
+        F.col("url").alias("u"), F.col("date").alias("d"), F.col("record_id").alias("r"), "hit").dropDuplicates(["r", "d", "u"])
+    asked = slim.where("kind = 'revisit'").join(hits, F.expr("record_id = r AND date = d AND url = u"), "left")
     stored = slim.where("full").select(F.col("record_id").alias("id"), F.col("headers").alias("old")).dropDuplicates(["id"])
     both = asked.join(stored, F.col("hit") == F.col("id"), "left")
     tag = lambda c: F.regexp_replace(F.element_at(c, "etag"), "^W/", "")
