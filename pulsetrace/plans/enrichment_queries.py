@@ -12,7 +12,7 @@ from pulsetrace.operators.sessions import session_id
 from pulsetrace.plans import sql
 from pulsetrace.plans.inputs import kept_flows, rounded, scored_sessions
 from pulsetrace.plans.registry import query
-from pulsetrace.session import scratch_path
+from pulsetrace.session import materialise, scratch_path
 from pulsetrace.sources import views
 from pulsetrace.streaming import live
 
@@ -214,26 +214,34 @@ def windowed_sessions(spark, folder):
 
 
 @query("partial_sessions", sql.script(f"""
-SELECT {sql.SID} AS session_id, COUNT(*) AS n_flows, ROUND(COALESCE(AVG(iat_us), 0) / 1e6, 4) AS iat_mean,
-  ROUND(COALESCE(STDDEV_POP(iat_us), 0) / 1e6, 4) AS iat_std, CAST(0 AS BIGINT) AS late,
-  COUNT(*) >= 4 AS assessable
-FROM (SELECT *, ts_us - LAG(ts_us) OVER (PARTITION BY {sql.KEYS} ORDER BY ts_us, uid) AS iat_us
-      FROM kept) GROUP BY {sql.KEYS}""", sql.TARGET))
+SELECT {sql.SID} AS session_id, COUNT(*) FILTER (NOT late) AS n_flows,
+  ROUND(COALESCE(AVG(iat_us), 0) / 1e6, 4) AS iat_mean,
+  ROUND(COALESCE(STDDEV_POP(iat_us), 0) / 1e6, 4) AS iat_std,
+  COUNT(*) FILTER (late) AS late, COUNT(*) FILTER (NOT late) >= 4 AS assessable
+FROM (SELECT *, CASE WHEN NOT late THEN ts_us - LAG(ts_us) OVER (
+        PARTITION BY {sql.KEYS}, late ORDER BY ts_us, uid) END AS iat_us
+      FROM (SELECT *, COALESCE(ts_us < mark, FALSE) AS late FROM arrivals JOIN marks USING (part)))
+GROUP BY {sql.KEYS}""", sql.TARGET, f"""
+arrivals AS (SELECT *, CAST(FLOOR((ts_us + ({sql.hash60('uid', salt='order')} % 12) * 900000000)
+                             / 432000000000) AS BIGINT) AS part FROM kept),
+marks AS (SELECT part, MAX(top) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+            - 3600000000 AS mark
+          FROM (SELECT part, MAX(ts_us // 1000) * 1000 AS top FROM arrivals GROUP BY part))"""))
 def partial_sessions(spark, folder):
-    """Running statistics over four time-ordered micro-batches, as after the last one."""
-    flows = kept_flows(spark, folder).select(*STREAMED)
-    cuts = exact_quantiles(flows, "ts_us", [0.25, 0.5, 0.75])[None]
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("ts_us")))
-    source, out = scratch_path(spark, "arrivals"), scratch_path(spark, "sessions")
-    # One file per part, written in order: the file source reads the oldest first.
-    stored = scratch_path(spark, "parts")
-    flows.withColumn("part", part).write.partitionBy("part").parquet(stored)
-    for i in range(4):
-        (spark.read.parquet(stored).where(F.col("part") == i).drop("part").coalesce(1)
-         .write.mode("append").parquet(source))
-    schema = spark.read.parquet(source).schema
-    updates = live.partial_sessions(live.flow_stream(spark, source, schema, files_per_batch=1))
-    live.keep_latest(updates, out, scratch_path(spark, "offsets"))
+    """Running statistics over five-day micro-batches, as after the last one.
+
+    A flow arrives up to 165 minutes after it happened, so batches overlap and some flows are later
+    than the hour the watermark waits.
+    """
+    flows = kept_flows(spark, folder)
+    arrival = F.col("ts_us") + (hash60(42, "uid", "order") % 12) * F.lit(900_000_000)
+    stored = materialise(flows.select(*STREAMED, F.floor(arrival / F.lit(432_000_000_000)).alias("part")))
+    source, out, offsets = (scratch_path(spark, n) for n in ("arrivals", "sessions", "offsets"))
+    # One batch per five days: the stream is resumed after each one has arrived.
+    for row in stored.select("part").distinct().orderBy("part").collect():
+        stored.where(F.col("part") == row.part).drop("part").write.mode("append").parquet(source)
+        updates = live.partial_sessions(live.flow_stream(spark, source, stored.drop("part").schema))
+        live.keep_latest(updates, out, offsets)
     return rounded(live.current_sessions(spark, out).withColumn("session_id", session_id()), {
         "session_id": None, "n_flows": None, "iat_mean": 4, "iat_std": 4, "late": None,
         "assessable": None})

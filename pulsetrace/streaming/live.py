@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -52,50 +53,68 @@ def write_stream(df: DataFrame, path: str, checkpoint: str, mode: str = "append"
     query.awaitTermination()
 
 
-STATE = "n bigint, last_us bigint, mean double, m2 double, late bigint"
+STATE = "n bigint, last_us bigint, mean double, m2 double, late bigint, recent array<bigint>"
 UPDATE = "n_flows bigint, iat_mean double, iat_std double, late bigint, assessable boolean"
 
 
+def fold(n: int, last: int | None, mean: float, m2: float, times: np.ndarray,
+         ) -> tuple[int, int | None, float, float]:
+    """Moments of the intervals of n flows up to ``last``, extended by later flows in time order."""
+    if not len(times):
+        return n, last, mean, m2
+    gaps = np.diff(times if last is None else np.concatenate([[last], times])) / 1e6
+    old, new = max(n - 1, 0), len(gaps)
+    if new:
+        centre = gaps.mean()
+        shift = centre - mean
+        m2 += ((gaps - centre) ** 2).sum() + shift * shift * old * new / (old + new)
+        mean += shift * new / (old + new)
+    return n + len(times), int(times[-1]), float(mean), float(m2)
+
+
 def partial_sessions(flows: DataFrame, settings: Settings = DEFAULTS,
                      idle: str = "30 days", delay: str = "1 hour") -> DataFrame:
     """Running interval statistics per session, updated with every micro-batch.
 
-    The state of a session is five numbers however many flows it has had. ``assessable`` stays false
-    until the session has the minimum number of flows. A flow older than what its session has already
-    consumed cannot be placed in the series and is counted as late. Idle sessions expire.
+    Flows may arrive out of order within ``delay``. A flow the watermark has not passed stays in the
+    state, as an earlier one may still come; what the watermark has passed is folded into five numbers.
+    Every update covers both. A flow older than the watermark cannot be placed any more and is counted
+    as late. ``assessable`` stays false until the session has the minimum number of flows.
+
+    Spark's own watermark trails this one by ``idle``: it then hands over late flows instead of dropping
+    them unseen, and expires a session that got nothing for so long. Only flows late by more than
+    ``idle``, whose session is gone, are dropped (``numRowsDroppedByWatermark`` in the query's progress).
     """
     keys = list(settings.session_keys)
     minimum = settings.min_session_flows
     wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+    trail = f"{int((pd.Timedelta(idle) + pd.Timedelta(delay)).total_seconds())} seconds"
 
     def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        n, last, mean, m2, late = state.get if state.exists else (0, None, 0.0, 0.0, 0)
-        times = sorted(t for pdf in batches for t in pdf["ts_us"].tolist())
-        for t in times:
-            if last is not None and t < last:
-                late += 1
-                continue
-            if last is not None:
-                # Welford's update over the intervals seen so far.
-                x = (t - last) / 1e6
-                gap = x - mean
-                mean += gap / n
-                m2 += gap * (x - mean)
-            n, last = n + 1, t
-        state.update((n, last, mean, m2, late))
-        state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + wait)
-        spread = math.sqrt(m2 / (n - 1)) if n > 1 else 0.0
-        yield pd.DataFrame({**{k: [v] for k, v in zip(keys, key)}, "n_flows": [n],
-                            "iat_mean": [mean], "iat_std": [spread], "late": [late],
-                            "assessable": [n >= minimum]})
+        n, last, mean, m2, late, recent = state.get if state.exists else (0, None, 0.0, 0.0, 0, [])
+        trailing = state.getCurrentWatermarkMs()  # 0 before the first batch is done
+        mark = (trailing + wait) * 1000 if trailing else -(1 << 62)
+        came = np.concatenate([pdf["ts_us"].to_numpy(np.int64) for pdf in batches])
+        fresh = came[came >= mark]
+        late += len(came) - len(fresh)
+        waiting = np.sort(np.concatenate([np.array(recent, np.int64), fresh]))
+        settled = int(np.searchsorted(waiting, mark))
+        n, last, mean, m2 = fold(n, last, mean, m2, waiting[:settled])
+        state.update((n, last, mean, m2, late, waiting[settled:].tolist()))
+        state.setTimeoutTimestamp(max(int(came.max()) // 1000, trailing) + 1)
+        total, _, centre, square = fold(n, last, mean, m2, waiting[settled:])
+        spread = math.sqrt(max(square, 0.0) / (total - 1)) if total > 1 else 0.0
+        yield pd.DataFrame({**{k: [v] for k, v in zip(keys, key)}, "n_flows": [total],
+                            "iat_mean": [centre], "iat_std": [spread], "late": [late],
+                            "assessable": [total >= minimum]})
 
     kinds = dict(flows.dtypes)
     head = ", ".join(f"{k} {kinds[k]}" for k in keys)
     return (flows.select(*keys, "ts_us").withColumn("_time", event_time())
-            .withWatermark("_time", delay).groupBy(*keys)
+            .withWatermark("_time", trail).groupBy(*keys)
             .applyInPandasWithState(advance, f"{head}, {UPDATE}", STATE, "update",
                                     GroupStateTimeout.EventTimeTimeout))
 

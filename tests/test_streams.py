@@ -49,6 +49,23 @@ def test_running_sessions_match_the_batch(spark):
         assert np.isclose(got[key].iat_mean, gaps.mean()) and np.isclose(got[key].iat_std, gaps.std())
 
 
+def test_out_of_order_flows_are_placed_and_late_ones_counted(spark):
+    hour = 3_600
+    arrivals = [[0, 60, 180, 240], [120, 300, 10 * hour], [9 * hour + 5, 30, 11 * hour], [9 * hour + 10, 10 * hour + 1]]
+    source, out, offsets = (scratch_path(spark, n) for n in ("shuffled", "placed", "offsets"))
+    for seconds in arrivals:
+        rows = [("a", "b", 1, (START + t) * 1_000_000) for t in seconds]
+        df = spark.createDataFrame(rows, "orig_h string, resp_h string, resp_p int, ts_us bigint")
+        df.write.mode("append").parquet(source)
+        live.keep_latest(live.partial_sessions(live.flow_stream(spark, source, df.schema)), out, offsets)
+    got = live.current_sessions(spark, out).first()
+    # Watermarks before the batches: none, under 0, 9 h, 10 h; late are 30 s and 9 h 10 s.
+    times = [0, 60, 120, 180, 240, 300, 9 * hour + 5, 10 * hour, 10 * hour + 1, 11 * hour]
+    gaps = np.diff(times)
+    assert (got.n_flows, got.late) == (len(times), 2)
+    assert np.isclose(got.iat_mean, gaps.mean()) and np.isclose(got.iat_std, gaps.std())
+
+
 def test_late_rows_are_counted(spark):
     rows = [(0, 10), (0, 100), (1, 95), (1, 80), (2, 50), (2, 300), (3, 299), (3, 250)]
     df = spark.createDataFrame(rows, "slice_no int, ts_us bigint")
