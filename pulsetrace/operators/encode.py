@@ -10,22 +10,20 @@ from pyspark.sql import functions as F
 
 from pulsetrace.config import NUMERIC_FEATURES, STATE_CATEGORIES
 
-MAX_CATEGORIES = 1000
-
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def vocabulary(train: DataFrame, columns: Sequence[str] = STATE_CATEGORIES) -> dict[str, list[str]]:
-    """Known categories per column, from training rows only; ``unknown`` is always a slot of its own."""
+    """Known categories per column, from training rows only; ``unknown`` is always a slot of its own.
+
+    Each one becomes a column, so the names are the driver's in any case, however many they are.
+    """
     if not columns:
         return {}
     pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in columns])
-    bound = MAX_CATEGORIES * len(columns)
-    rows = train.select(F.inline(pairs)).distinct().limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError(f"too many categories in {list(columns)}")
+    rows = train.select(F.inline(pairs)).distinct().collect()
     return {c: sorted(r["value"] for r in rows
                       if r["name"] == c and r["value"] not in (None, "unknown")) for c in columns}
 
@@ -73,8 +71,8 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def class_weights(df: DataFrame, target: str = "target") -> dict[int, float]:
-    """Balanced weight n / (classes x rows of the class); the counts are two rows."""
-    rows = df.groupBy(target).count().limit(MAX_CATEGORIES).collect()
+    """Balanced weight n / (classes x rows of the class); one row per class."""
+    rows = df.groupBy(target).count().collect()
     total = sum(r["count"] for r in rows)
     return {r[target]: total / (len(rows) * r["count"]) for r in rows}
 

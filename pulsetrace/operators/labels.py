@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsetrace.config import DEFAULTS, Settings
-from pulsetrace.operators.order_stats import MAX_GROUPS
 
 
 def clean_label(label: str = "detailed_label", fallback: str | None = None) -> Column:
@@ -57,16 +56,15 @@ def fold_rare_classes(df: DataFrame, settings: Settings = DEFAULTS, label: str =
                       fold_into: str = "other-C&C") -> DataFrame:
     """Add ``multiclass_label``, with rare beacon families folded into one bucket.
 
-    Only the names of the rare families reach the driver; folding is then a filter expression, so no
-    flow is shuffled by its label, however common that label is.
+    The rare families are a table joined to the flows; Spark broadcasts it where it is small, else it
+    splits the flows of a very common label over several tasks.
     """
     families = df.where(F.col(label).startswith("C&C")).groupBy(label).count()
-    rows = (families.where(F.col("count") < settings.rare_class_min_count).select(label)
-            .limit(MAX_GROUPS + 1).collect())
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"{label} has more than {MAX_GROUPS} rare families")
-    rare = F.col(label).isin(*[r[0] for r in rows]) if rows else F.lit(False)
-    return df.withColumn("multiclass_label", F.when(rare, F.lit(fold_into)).otherwise(F.col(label)))
+    rare = families.where(F.col("count") < settings.rare_class_min_count).select(
+        F.col(label).alias("_rare"))
+    joined = df.join(rare, F.col(label) == F.col("_rare"), "left")
+    folded = F.when(F.col("_rare").isNotNull(), F.lit(fold_into)).otherwise(F.col(label))
+    return joined.withColumn("multiclass_label", folded).drop("_rare")
 
 
 def multiclass_target(df: DataFrame, settings: Settings = DEFAULTS,

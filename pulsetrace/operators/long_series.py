@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsetrace.operators.order_stats import exact_quantiles
+from pulsetrace.operators.order_stats import quantile_table
 from pulsetrace.operators.sessions import HotSessions, hot_intervals, renamed_keys, same_keys
 from pulsetrace.session import materialise
 
@@ -52,19 +52,15 @@ def fourier(points: DataFrame) -> DataFrame:
     return turned.groupBy("series", "part").applyInPandas(_rows_pass, POINTS)
 
 
-def spectral_scores(series: DataFrame, lengths: dict[int, int]) -> DataFrame:
+def spectral_scores(series: DataFrame, lengths: DataFrame) -> DataFrame:
     """Autocorrelation peak and dominant-frequency share per series.
 
     ``series`` has ``no``, position ``i`` and centred value ``x``; ``lengths`` gives each series'
-    point count. The transform of the exact length is taken as a convolution with a chirp, so any
+    point count ``n``. The transform of the exact length is taken as a convolution with a chirp, so any
     length works.
     """
-    spark = series.sparkSession
-    sizes = spark.createDataFrame(
-        [(no, n, (2 * n - 1).bit_length()) for no, n in lengths.items()],
-        "no int, n bigint, bits int")
-    # One row per hot session, a list that is bounded where it is made.
-    base = series.join(F.broadcast(sizes), "no")
+    sizes = lengths.select("no", "n", F.length(F.bin(2 * F.col("n") - 1)).alias("bits"))
+    base = series.join(sizes, "no")
     square = F.col("i").cast("decimal(18,0)") * F.col("i").cast("decimal(18,0)")
     turn = (square % (F.col("n") * 2)).cast("double") * F.lit(np.pi) / F.col("n")
     base = base.withColumn("turn", turn)
@@ -97,7 +93,7 @@ def spectral_scores(series: DataFrame, lengths: dict[int, int]) -> DataFrame:
         (F.col("re") * F.col("cre") - F.col("im") * F.col("cim")).alias("re"),
         (-(F.col("re") * F.col("cim") + F.col("im") * F.col("cre"))).alias("im"))
     back = fourier(power.unionByName(product)).withColumn(
-        "no", F.floor(F.col("series") / 3).cast("int")).join(F.broadcast(sizes), "no")
+        "no", F.expr("series DIV 3")).join(sizes.drop("bits"), "no")
     is_acf = F.col("series") % 3 == 0
     inside = F.col("i").between(1, F.col("n") - 1)
     half = F.col("i") <= F.floor(F.col("n") / 2)
@@ -113,45 +109,33 @@ def hot_timing(sums: DataFrame, flows: DataFrame, hot: HotSessions, spectral: bo
     """Interval statistics and spectral scores of the hot sessions, joined to their sums."""
     keys = hot.keys
     slim = flows.select(*keys, "ts_us", "uid")
-    numbered = renamed_keys(hot.frame(flows).drop("n_flows").withColumnRenamed("_no", "no"), keys)
+    numbered = renamed_keys(hot.table.drop("n_flows").withColumnRenamed("_no", "no"), keys)
     points = materialise(
         hot_intervals(slim, hot).where(F.col("iat_us").isNotNull())
-        .join(F.broadcast(numbered), same_keys(keys))
+        .join(numbered, same_keys(keys))
         .select("no", (F.col("flow_no") - 1).alias("i"), "iat_us"))
     stats = points.groupBy("no").agg(
-        F.count("*").alias("m"), F.avg("iat_us").alias("mean"),
-        F.stddev_pop("iat_us").alias("std"), F.min("iat_us").alias("lo"),
-        F.max("iat_us").alias("hi")).collect()
-    spark = flows.sparkSession
-    medians = {no: q[0] for no, q in exact_quantiles(points, "iat_us", [0.5], "no").items()}
-    centre = spark.createDataFrame([(no, int(2 * q)) for no, q in medians.items()],
-                                   "no int, twice bigint")
-    away = points.join(F.broadcast(centre), "no").withColumn(
-        "dev", F.abs(2 * F.col("iat_us") - F.col("twice")))
-    mads = {no: q[0] for no, q in exact_quantiles(away, "dev", [0.5], "no").items()}
-    rows, open_series = {}, {}
-    for r in stats:
-        mean = r["mean"] / 1e6
-        far = max(r["hi"] - r["mean"], r["mean"] - r["lo"]) / 1e6
-        flat = far <= 1e-8 + 1e-5 * abs(mean)
-        score = 0.0 if r["m"] < 3 else 1.0 if flat else None
-        if score is None:
-            open_series[r["no"]] = (r["m"], mean)
-        rows[r["no"]] = [mean, r["std"] / 1e6, medians[r["no"]] / 1e6, r["lo"] / 1e6,
-                         r["hi"] / 1e6, mads[r["no"]] / 2 / 1e6, score, score]
-    if spectral and open_series:
-        means = spark.createDataFrame([(no, v[1]) for no, v in open_series.items()],
-                                      "no int, centre double")
-        series = points.join(F.broadcast(means), "no").select(
-            "no", "i", (F.col("iat_us") / F.lit(1e6) - F.col("centre")).alias("x"))
-        for r in spectral_scores(series, {no: v[0] for no, v in open_series.items()}).collect():
-            rows[r["no"]][6:] = [r["periodicity_score"], r["fft_dominant_power"]]
-    names = ("iat_mean", "iat_std", "iat_median", "iat_min", "iat_max", "iat_mad",
-             "periodicity_score", "fft_dominant_power")
-    table = spark.createDataFrame(
-        [(*key[:-2], *rows.get(key[-1], [0.0] * 8)) for key in hot.rows],
-        ", ".join([*(f"{k} {dict(flows.dtypes)[k]}" for k in keys),
-                   *(f"{n} double" for n in names)]))
-    table = renamed_keys(table if spectral else table.drop(*names[6:]), keys)
-    return sums.join(F.broadcast(table), same_keys(keys), "left").drop(
-        *[f"_key_{k}" for k in keys])
+        F.count("*").alias("m"), F.avg("iat_us").alias("mean"), F.stddev_pop("iat_us").alias("std"),
+        F.min("iat_us").alias("lo"), F.max("iat_us").alias("hi"))
+    centre = quantile_table(points, "iat_us", [0.5], "no").withColumnRenamed("q0", "median")
+    away = points.join(centre, "no").withColumn(
+        "dev", F.abs(2 * F.col("iat_us") - (2 * F.col("median")).cast("bigint")))
+    spread = quantile_table(away, "dev", [0.5], "no").withColumnRenamed("q0", "mad")
+    far = F.greatest(F.col("hi") - F.col("mean"), F.col("mean") - F.col("lo")) / 1e6
+    flat = far <= 1e-8 + 1e-5 * F.abs(F.col("mean") / 1e6)
+    facts = materialise(stats.join(centre, "no").join(spread, "no").select(
+        "no", "m", (F.col("mean") / 1e6).alias("iat_mean"), (F.col("std") / 1e6).alias("iat_std"),
+        (F.col("median") / 1e6).alias("iat_median"), (F.col("lo") / 1e6).alias("iat_min"),
+        (F.col("hi") / 1e6).alias("iat_max"), (F.col("mad") / 2 / 1e6).alias("iat_mad"),
+        F.when(F.col("m") < 3, 0.0).when(flat, 1.0).alias("score")))
+    scores = ["periodicity_score", "fft_dominant_power"]
+    if spectral:
+        open_ = facts.where("score IS NULL").select("no", F.col("m").alias("n"), "iat_mean")
+        series = points.join(open_.drop("n"), "no").select(
+            "no", "i", (F.col("iat_us") / F.lit(1e6) - F.col("iat_mean")).alias("x"))
+        found = spectral_scores(series, open_.drop("iat_mean"))
+        facts = facts.join(found, "no", "left").withColumns({c: F.coalesce(c, "score") for c in scores})
+    names = ["iat_mean", "iat_std", "iat_median", "iat_min", "iat_max", "iat_mad", *(scores if spectral else [])]
+    table = numbered.join(facts, "no", "left").select(
+        *[f"_key_{k}" for k in keys], *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in names])
+    return sums.join(table, same_keys(keys), "left").drop(*[f"_key_{k}" for k in keys])

@@ -10,19 +10,37 @@ from __future__ import annotations
 import math
 from collections.abc import Hashable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsetrace.session import materialise
+
 BINS = 1024
-MAX_GROUPS = 10_000
+
+
+def _bin(df: DataFrame, value: str) -> Column:
+    """Bin of a value between ``_lo`` and ``_hi``; both ends always fall into different bins.
+
+    Infinite and NaN values get bins of their own, so that the next range is finite.
+    """
+    low, high, at = F.col("_lo").cast("double"), F.col("_hi").cast("double"), F.col(value)
+    width = high / F.lit(float(BINS)) - low / F.lit(float(BINS))
+    offset = (at - F.col("_lo")).cast("double")
+    plain = F.coalesce(F.least(F.floor(F.try_divide(offset, width)), F.lit(BINS - 1)),
+                       F.when(at > F.col("_lo"), 1).otherwise(0))
+    if dict(df.dtypes)[value] not in ("double", "float"):
+        return plain
+    far = F.lit(float("inf"))
+    odd = (low == -far) | (high == far) | F.isnan("_hi")
+    kind = F.when(F.isnan(value), 3).when(at == far, 2).when(at == -far, 0).otherwise(1)
+    return F.when(odd, kind).otherwise(plain)
 
 
 def _group_stats(df: DataFrame, group: str | None, value: str) -> dict:
+    """Of few groups: classes or named columns. ``quantile_table`` takes any number."""
     grouped = df.groupBy(group) if group else df.groupBy()
     rows = grouped.agg(F.count(value).alias("n"), F.min(value).alias("lo"),
-                       F.max(value).alias("hi")).limit(MAX_GROUPS + 1).collect()
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups in {group}")
+                       F.max(value).alias("hi")).collect()
     return {(r[group] if group else None): (r["n"], r["lo"], r["hi"]) for r in rows if r["n"]}
 
 
@@ -48,7 +66,7 @@ def kth_smallest(df: DataFrame, value: str, ranks: dict[Hashable, Sequence[int]]
     slim = df.select(*([group] if group else []), value).where(F.col(value).isNotNull())
     while targets:
         for name, (_, _, lo, hi, _) in list(targets.items()):
-            if lo == hi:
+            if lo == hi or lo != lo:
                 found[name] = lo
                 del targets[name]
         if not targets:
@@ -75,10 +93,7 @@ def kth_smallest(df: DataFrame, value: str, ranks: dict[Hashable, Sequence[int]]
             counted = hits.groupBy("_t", F.col(value).alias("lo")).agg(F.count("*").alias("n"))
             counted = counted.withColumn("hi", F.col("lo"))
         else:
-            width = (F.col("_hi") - F.col("_lo")).cast("double") / F.lit(float(BINS))
-            offset = (F.col(value) - F.col("_lo")).cast("double")
-            bin_no = F.least(F.floor(F.try_divide(offset, width)), F.lit(BINS - 1))
-            counted = (hits.groupBy("_t", bin_no.alias("_bin"))
+            counted = (hits.groupBy("_t", _bin(df, value).alias("_bin"))
                        .agg(F.count("*").alias("n"), F.min(value).alias("lo"),
                             F.max(value).alias("hi")))
         table: dict[int, list] = {}
@@ -86,7 +101,7 @@ def kth_smallest(df: DataFrame, value: str, ranks: dict[Hashable, Sequence[int]]
             table.setdefault(r["_t"], []).append((r["lo"], r["hi"], r["n"]))
         for i, name in enumerate(names):
             key, k, _, _, _ = targets[name]
-            for lo, hi, n in sorted(table[i]):
+            for lo, hi, n in sorted(table[i], key=lambda r: (r[0] != r[0], r[0])):
                 if k < n:
                     targets[name] = (key, k, lo, hi, n)
                     break
@@ -107,12 +122,53 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     out = {}
     for key, spots in places.items():
         at = dict(zip(wanted[key], values[key]))
-        out[key] = [float(at[math.floor(x)]
-                          + (at[math.ceil(x)] - at[math.floor(x)]) * (x - math.floor(x)))
-                    for x in spots]
+        out[key] = []
+        for x in spots:
+            low, high = at[math.floor(x)], at[math.ceil(x)]
+            # Equal ends stay as they are: infinite ones have no difference.
+            out[key].append(float(low if low == high else low + (high - low) * (x - math.floor(x))))
     return out
 
 
+def ranks_by_group(df: DataFrame, value: str, group: str, wanted: Column) -> DataFrame:
+    """(group, n, k, value) of any number of groups: the values at the ranks ``wanted`` (array<bigint>, from n).
+
+    The same narrowing with the open ranges as a table: one row per group and rank, joined to the
+    values, counted by bin, and replaced by the bin that holds the rank. Nothing is collected.
+    """
+    slim = df.select(F.col(group).alias("_g"), F.col(value).alias(value)).where(F.col(value).isNotNull())
+    stats = slim.groupBy("_g").agg(F.count("*").alias("n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    table = materialise(stats.select("*", F.explode(F.array_distinct(wanted)).alias("k")).select(
+        "_g", "n", "k", F.col("k").alias("_rank"), "_lo", "_hi"))
+    order = Window.partitionBy("_g", "k").orderBy("_bin")
+    open_ = ~F.col("_lo").eqNullSafe(F.col("_hi"))
+    while not table.where(open_).isEmpty():
+        ranges = table.where(open_).withColumnRenamed("_g", "_of")
+        hits = slim.join(ranges, F.col("_g").eqNullSafe(F.col("_of")) & F.col(value).between(F.col("_lo"), F.col("_hi")))
+        bins = hits.groupBy("_g", "k", "_rank", F.col("n"), _bin(df, value).alias("_bin")).agg(
+            F.count("*").alias("_rows"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+        # A window spans the bins of one rank, at most BINS rows.
+        upto = bins.withColumn("_upto", F.sum("_rows").over(order))
+        hit = upto.where((F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_rows") <= F.col("_rank")))
+        moved = hit.select("_g", "n", "k", (F.col("_rank") - F.col("_upto") + F.col("_rows")).alias("_rank"), "_lo", "_hi")
+        table = materialise(table.where(~open_).union(moved))
+    return table.select(F.col("_g").alias(group), "n", "k", F.col("_lo").alias(value))
+
+
+def quantile_table(df: DataFrame, value: str, probs: Sequence[float], group: str) -> DataFrame:
+    """Linearly interpolated quantiles ``q0``, ``q1``, ... of any number of groups."""
+    places = [F.lit(float(p)) * (F.col("n") - 1) for p in probs]
+    wanted = F.array(*[f(p).cast("bigint") for p in places for f in (F.floor, F.ceil)])
+    found = ranks_by_group(df, value, group, wanted)
+    at = lambda p, f: F.max(F.when(F.col("k") == f(p).cast("bigint"), F.col(value).cast("double")))
+    out = found.groupBy(group).agg(F.first("n").alias("n"), *[
+        at(p, f).alias(f"_{name}{i}") for i, p in enumerate(places) for name, f in (("a", F.floor), ("b", F.ceil))])
+    return out.select(group, *[
+        F.when(F.col(f"_a{i}") == F.col(f"_b{i}"), F.col(f"_a{i}")).otherwise(
+            F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (p - F.floor(p))).alias(f"q{i}")
+        for i, p in enumerate(places)])
+
+
 def cuts_by_group(df: DataFrame, group: str, value: str, sizes) -> dict:
     """Cut values per group so that the first part holds ``sizes(n)[0]`` rows, and so on.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsetrace.config import NUMERIC_TYPES, REQUIRED_COLUMNS
 from pulsetrace.functions.hashing import hash60
-from pulsetrace.operators.order_stats import cut_at_fractions
+from pulsetrace.operators.order_stats import ranks_by_group
 
 
 class MissingColumnsError(ValueError):
@@ -41,15 +41,18 @@ def null_token(df: DataFrame, token: str = "-") -> DataFrame:
 def coerce_numeric(df: DataFrame, types: dict[str, str] = NUMERIC_TYPES) -> DataFrame:
     """Cast the known numeric columns; unreadable text becomes null.
 
-    Whole numbers are read as doubles first, since exports write them as "12.0" when a column has gaps.
+    Whole numbers are tried as such first, then as doubles, since exports write them as "12.0" when a
+    column has gaps.
     """
     kinds, casts = dict(df.dtypes), {}
     for name, kind in types.items():
         if name not in kinds or (kinds[name] == kind and kind != "double"):
             continue
         number = f"`{name}`" if kinds[name] == "double" else f"try_cast(`{name}` AS double)"
-        casts[name] = F.expr(f"nullif({number}, double('NaN'))" if kind == "double"
-                             else f"try_cast({number} AS {kind})")
+        if kind == "double":
+            casts[name] = F.expr(f"nullif({number}, double('NaN'))")
+        else:
+            casts[name] = F.expr(f"coalesce(try_cast(`{name}` AS {kind}), try_cast({number} AS {kind}))")
     return df.withColumns(casts)
 
 
@@ -87,5 +90,9 @@ def stratified_sample(df: DataFrame, size: int | None, label: str = "detailed_la
     if size >= total:
         return df
     drawn = df.where(F.col(label).isNotNull()).withColumn("_h", hash60(seed, key))
-    part = cut_at_fractions(drawn, label, "_h", [size / total])
-    return drawn.where(part == 0).drop("_h")
+    share = F.lit(size / total) * F.col("n")
+    # The last rank of the sample per label, however many labels there are.
+    last = F.rint(share).cast("bigint") - 1
+    cuts = ranks_by_group(drawn, "_h", label, F.when(last >= 0, F.array(last)).otherwise(F.expr("CAST(array() AS array<bigint>)")))
+    cuts = cuts.select(F.col(label).alias("_label"), F.col("_h").alias("_cut"))
+    return drawn.join(cuts, F.col(label) == F.col("_label")).where("_h <= _cut").drop("_h", "_label", "_cut")

@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from pulsetrace.config import DEFAULTS, SESSION_KEYS, Settings
 from pulsetrace.session import materialise
 
-MAX_HOT_SESSIONS = 100_000
-
 
 def session_id(keys: Sequence[str] = SESSION_KEYS) -> Column:
     """Session text ``orig|resp|port``; a null key reads ``nan``."""
@@ -39,20 +37,15 @@ def same_keys(keys: Sequence[str]) -> Column:
 
 @dataclass(frozen=True)
 class HotSessions:
-    """Keys of the sessions too large for one task, with their flow counts."""
+    """The sessions too large for one task: a table of their keys, ``n_flows`` and a number ``_no``."""
 
     keys: tuple[str, ...]
-    rows: list
-
-    def frame(self, df: DataFrame) -> DataFrame:
-        kinds = dict(df.dtypes)
-        columns = ", ".join(f"{k} {kinds[k]}" for k in self.keys)
-        return df.sparkSession.createDataFrame(self.rows, f"{columns}, n_flows bigint, _no int")
+    table: DataFrame
 
     def _split(self, df: DataFrame, how: str) -> DataFrame:
-        # At most MAX_HOT_SESSIONS rows, checked when the list was made.
-        hot = renamed_keys(self.frame(df).drop("n_flows", "_no"), self.keys)
-        return df.join(F.broadcast(hot), same_keys(self.keys), how)
+        # Spark broadcasts the table where its written size allows, else it splits the large keys.
+        hot = renamed_keys(self.table.drop("n_flows", "_no"), self.keys)
+        return df.join(hot, same_keys(self.keys), how)
 
     def inside(self, df: DataFrame) -> DataFrame:
         return self._split(df, "left_semi")
@@ -68,19 +61,10 @@ def session_sizes(flows: DataFrame, keys: Sequence[str] = SESSION_KEYS) -> DataF
 
 def find_hot_sessions(flows: DataFrame, keys: Sequence[str] = SESSION_KEYS,
                       limit: int = DEFAULTS.hot_session_flows) -> HotSessions | None:
-    """List the sessions above ``limit`` flows, or None; reads the key columns only.
-
-    With too many of them to list, the limit is raised tenfold until the list is short enough.
-    """
-    sizes = session_sizes(flows, keys)
-    while True:
-        rows = sizes.where(F.col("n_flows") > limit).limit(MAX_HOT_SESSIONS + 1).collect()
-        if len(rows) <= MAX_HOT_SESSIONS:
-            break
-        limit *= 10
-    if not rows:
-        return None
-    return HotSessions(tuple(keys), [(*r, i) for i, r in enumerate(rows)])
+    """The sessions above ``limit`` flows, however many, or None; reads the key columns only."""
+    large = session_sizes(flows, keys).where(F.col("n_flows") > limit)
+    table = materialise(large.withColumn("_no", F.monotonically_increasing_id()))
+    return None if table.isEmpty() else HotSessions(tuple(keys), table)
 
 
 def time_segments(flows: DataFrame, keys: Sequence[str], order: Sequence[str] = ("ts_us", "uid"),

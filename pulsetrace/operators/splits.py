@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pulsetrace.config import DEFAULTS, Settings
 from pulsetrace.functions.hashing import hash60
 from pulsetrace.operators.order_stats import (
-    MAX_GROUPS, cut_at_fractions, cuts_by_group, kth_smallest, part_number,
+    cut_at_fractions, cuts_by_group, kth_smallest, part_number,
 )
 
 
@@ -59,23 +59,29 @@ def temporal_split(matrix: DataFrame, settings: Settings = DEFAULTS) -> DataFram
         "split", F.when(in_train, "train").when(in_val, "val").otherwise("test")).drop("_h")
 
 
+def _held_out(matrix: DataFrame, settings: Settings, family: str) -> DataFrame:
+    """One row per family of the test side: the lowest by hash, a null family included."""
+    names = matrix.where("target = 1").select(F.col(family).alias("_family")).distinct()
+    wanted = max(1, round(names.count() * settings.held_out_fraction))
+    text = F.concat(F.lit(f"{settings.seed}|family"), F.coalesce(F.col("_family").cast("string"), F.lit("None")))
+    return names.orderBy(F.md5(text), "_family").limit(wanted)
+
+
 def held_out_families(matrix: DataFrame, settings: Settings = DEFAULTS,
                       family: str = "detailed_label") -> list[str]:
-    """The positive families kept for the test side, the lowest by hash."""
-    rows = (matrix.where("target = 1").select(family).distinct().limit(MAX_GROUPS + 1).collect())
-    names = [r[0] for r in rows]
-    names.sort(key=lambda f: hashlib.md5(f"{settings.seed}|family{f}".encode()).hexdigest())
-    return sorted(names[:max(1, round(len(names) * settings.held_out_fraction))])
+    """The names of the families kept for the test side, for reports."""
+    return sorted((r[0] for r in _held_out(matrix, settings, family).collect()), key=str)
 
 
 def held_out_family_split(matrix: DataFrame, settings: Settings = DEFAULTS,
                           family: str = "detailed_label") -> DataFrame:
     """``split`` in train / test: some families are never seen in training, benign rows are shared."""
-    chosen = held_out_families(matrix, settings, family)
+    chosen = _held_out(matrix, settings, family).withColumn("_chosen", F.lit(True))
     keyed = matrix.withColumn("_h", hash60(settings.seed, "session_id"))
     cuts = cuts_by_group(keyed.where("target = 0"), "target", "_h",
                          lambda n: [math.ceil(n * settings.held_out_fraction)])
     benign_test = F.coalesce(part_number("target", "_h", cuts) == 0, F.lit(False))
-    positive_test = (F.col("target") == 1) & F.col(family).isin(*chosen)
-    return keyed.withColumn(
-        "split", F.when(positive_test | benign_test, "test").otherwise("train")).drop("_h")
+    positive_test = (F.col("target") == 1) & F.coalesce("_chosen", F.lit(False))
+    joined = keyed.join(chosen, F.col(family).eqNullSafe(F.col("_family")), "left")
+    return joined.withColumn("split", F.when(positive_test | benign_test, "test").otherwise(
+        "train")).drop("_h", "_family", "_chosen")

@@ -75,7 +75,8 @@ def read_csv_export(spark: SparkSession, paths: str | Sequence[str], token: str
     header = reader.csv(paths)
     # The header names the columns; only then can each be given its type.
     for field in header.schema.fields:
-        if canonical_name(field.name) in NUMERIC_TYPES:
+        # Whole numbers are read as text, as a double does not hold all of them.
+        if NUMERIC_TYPES.get(canonical_name(field.name)) == "double":
             field.dataType = DoubleType()
     raw = reader.schema(header.schema).option("nullValue", token).csv(paths)
     names = [n for n in raw.columns if n != "capture_id"]

@@ -8,10 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsetrace.config import DEFAULTS
-from pulsetrace.operators import curves, decision, fusion, splits
+from pulsetrace.operators import curves, decision, fusion, labels, quality, splits
 from pulsetrace.operators.hosts import merge_feedback
 from pulsetrace.operators.joins import counted_lookup, lookup_join
-from pulsetrace.operators.order_stats import exact_quantiles, kth_smallest
+from pulsetrace.operators.order_stats import exact_quantiles, kth_smallest, quantile_table
 
 
 @pytest.fixture(scope="module")
@@ -200,3 +200,32 @@ def test_facts_reach_popular_and_unknown_keys(spark):
     plain = {tuple(r) for r in left.join(facts, "k", "left").collect()}
     got = counted_lookup(left, facts, ["k"], ["i"], rows_per_slice=20)
     assert {tuple(r) for r in got.collect()} == plain and got.count() == 301
+
+
+def test_ranks_with_infinite_values_and_many_groups(spark):
+    odd = [float("inf"), float("-inf"), float("nan"), 1e308, -1e308, 5e-324, 0.0]
+    rng = np.random.default_rng(5)
+    numbers = [*rng.normal(size=3000).tolist(), *odd]
+    df = spark.createDataFrame([("a", v) for v in numbers], "g string, v double")
+    ranked = sorted((v for v in numbers if v == v)) + [float("nan")]
+    ranks = [0, 1, 2, 1500, len(numbers) - 4, len(numbers) - 3, len(numbers) - 2, len(numbers) - 1]
+    for found in (kth_smallest(df, "v", {None: ranks}, gather=100)[None], kth_smallest(df, "v", {"a": ranks}, "g", gather=100)["a"]):
+        assert [str(v) for v in found] == [str(ranked[r]) for r in ranks]
+    many = spark.range(60_000).selectExpr("id % 20000 AS g", "pmod(id * 7919, 1000003) AS v")
+    out = {r.g: r.q0 for r in quantile_table(many, "v", [0.5], "g").collect()}
+    assert len(out) == 20_000
+    for g in (0, 7, 19_999):
+        assert out[g] == sorted(i * 7919 % 1000003 for i in (g, g + 20_000, g + 40_000))[1]
+
+
+def test_more_groups_than_the_driver_should_list(spark):
+    rows = spark.range(40_000)
+    folded = labels.fold_rare_classes(
+        rows.selectExpr("CASE WHEN id < 20000 THEN concat('C&C-', id) ELSE 'C&C-common' END AS detailed_label"),
+        DEFAULTS.with_(rare_class_min_count=5)).groupBy("multiclass_label").count().collect()
+    assert {r.multiclass_label: r["count"] for r in folded} == {"other-C&C": 20_000, "C&C-common": 20_000}
+    matrix = rows.where("id < 10500").selectExpr("cast(id AS string) AS session_id", "1 AS target", "concat('f', id) AS detailed_label")
+    held = splits.held_out_family_split(matrix).groupBy("split").count().collect()
+    assert {r.split: r["count"] for r in held}["test"] == round(10_500 * DEFAULTS.held_out_fraction)
+    drawn = quality.stratified_sample(rows.selectExpr("cast(id AS string) AS uid", "concat('l', id % 12000) AS detailed_label"), 20_000)
+    assert {r["count"] for r in drawn.groupBy("detailed_label").count().collect()} <= {1, 2}
