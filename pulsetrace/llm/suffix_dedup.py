@@ -176,13 +176,20 @@ def compare(batch: pa.RecordBatch, width: int) -> pa.RecordBatch | None:
 
     (lo, hi), (cut_lo, cut_hi) = interval(shared), interval(later)
     known = hi > 0
+    # Places of one window in one text share its fate: those that touch are one row.
     open_ = np.flatnonzero(split[item] & ~later)
+    open_ = open_[np.lexsort((place[open_], mark[item[open_]], key[open_]))]
+    apart = np.ones(len(open_), bool)
+    apart[1:] = (key[open_[1:]] != key[open_[:-1]]) | (mark[item[open_[1:]]] != mark[item[open_[:-1]]]) | (
+        place[open_[1:]] - place[open_[:-1]] > width)
+    last = place[open_[np.append(np.flatnonzero(apart)[1:], len(open_)) - 1]] + width if len(open_) else place[:0]
+    open_ = open_[apart]
     n, m = int(known.sum()), len(open_)
     both = lambda a, b: np.concatenate([a, b])
     none = np.zeros(n, np.int64)
     columns = [
         both(np.ones(n, bool), np.zeros(m, bool)), both(doc[known], doc[item[open_]]), both(mark[known], mark[item[open_]]),
-        both(lo[known], place[open_]), both(hi[known], place[open_] + width), both(cut_lo[known], np.zeros(m, np.int64)),
+        both(lo[known], place[open_]), both(hi[known], last), both(cut_lo[known], np.zeros(m, np.int64)),
         both(cut_hi[known], np.full(m, -1)), both(none, gram[item[open_]]), both(none, shift[open_]),
         both(none, check[open_].astype(np.int64)), both(none, high_of[open_])]
     return pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, OUT)], schema=OUT)
