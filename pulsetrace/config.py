@@ -110,6 +110,9 @@ class Settings:
     autoencoder_rate: float = 0.001
     autoencoder_epochs: int = 100
     autoencoder_patience: int = 10
+    autoencoder_batch: int = 256
+    #: Times a lane goes over its rows before weights are averaged.
+    autoencoder_inner_passes: int = 10
 
     def with_(self, **changes) -> "Settings":
         return replace(self, **changes)

@@ -137,69 +137,82 @@ class Autoencoder:
             output, reconstruction(vector_to_array("z"))).drop("z")
 
 
+#: Rows of one lane of the training; a constant of the method, not of the data.
+LANE_ROWS = 8192
+
+
 def train_autoencoder(benign: DataFrame, settings: Settings = DEFAULTS,
                       columns: Sequence[str] | None = None, key: str = "session_id") -> Autoencoder:
-    """Synchronous data-parallel training: one job per step.
+    """Data-parallel training by mini-batches with averaged weights.
 
-    Every task returns its gradient as (position, value) rows, Spark sums them, and the driver, which
-    holds the few thousand weights, takes the Adam step. A tenth of the rows, chosen by hash, measures
-    the validation loss in the same job and stops training when it no longer falls.
+    The rows are dealt into lanes of about ``LANE_ROWS`` by hash. In each pass every lane takes Adam steps over
+    mini-batches of its rows, from the shared weights and moments; the results are averaged by rows and
+    become the next pass' start. A lane is one group, so the outcome does not depend on partitions. A
+    tenth of the rows measures the loss of the shared weights and stops training when it no longer falls.
     """
-    spark = benign.sparkSession
     scaled = learn_scaling(benign, columns)
+    place = hash60(settings.seed, key, "lane")
+    total = benign.count()
+    lanes = max(1, total // LANE_ROWS)
     data = materialise(scaled.transform(benign).select(
-        vector_to_array("z").alias("x"),
+        vector_to_array("z").alias("x"), place.alias("place"), F.pmod(place, F.lit(lanes)).alias("lane"),
         (F.pmod(hash60(settings.seed, key, "validation"), F.lit(10)) == 0).alias("held")))
     layers = _layers(len(scaled.names), settings.autoencoder_hidden)
     rng = np.random.default_rng(settings.seed)
     flat = np.concatenate([np.concatenate([
         rng.uniform(-1, 1, a * b) / np.sqrt(a), rng.uniform(-1, 1, b) / np.sqrt(a)])
         for a, b in layers])
-    first, second = np.zeros_like(flat), np.zeros_like(flat)
+    size, state = len(flat), np.concatenate([flat, np.zeros(2 * len(flat))])
     best, best_loss, waited, epoch = flat, np.inf, 0, 0
-    size, dropout, seed = len(flat), settings.autoencoder_dropout, settings.seed
+    rate, dropout, seed = settings.autoencoder_rate, settings.autoencoder_dropout, settings.seed
+    rows, inner = settings.autoencoder_batch, settings.autoencoder_inner_passes
+
+    def lane_pass(pdf: pd.DataFrame, shared: np.ndarray, epoch: int) -> pd.DataFrame:
+        pdf = pdf.sort_values("place")
+        x, held = np.stack(pdf["x"].to_numpy()), pdf["held"].to_numpy()
+        now, first, second = (shared[i * size:(i + 1) * size].copy() for i in range(3))
+        check, fit = x[held], x[~held]
+        loss = float(((_forward(check, _unpack(now, layers))[-1] - check) ** 2).mean(axis=1).sum()) if len(check) else 0.0
+        draw = np.random.default_rng([seed, epoch, int(pdf["lane"].iat[0])])
+        step = (epoch - 1) * inner * max(1, -(-len(fit) // rows))
+        for _ in range(inner):
+            order = draw.permutation(len(fit))
+            for lo in range(0, len(fit), rows):
+                part = fit[order[lo:lo + rows]]
+                gradient = _gradient(part, _unpack(now, layers), draw, dropout) / len(part)
+                step += 1
+                first = 0.9 * first + 0.1 * gradient
+                second = 0.999 * second + 0.001 * gradient ** 2
+                now = now - rate * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.999 ** step)) + 1e-8)
+        moved = np.concatenate([now, first, second]) * len(fit)
+        return pd.DataFrame({"n": [len(fit)], "held": [len(check)], "loss": [loss], "state": [moved.tobytes()]})
+
+    def from_(shared: np.ndarray, epoch: int):
+        return lambda pdf: lane_pass(pdf, shared, epoch)
+
+    def add_up(batches):
+        n, held, loss, sums = 0, 0, 0.0, np.zeros(3 * size)
+        for pdf in batches:
+            n, held, loss = n + int(pdf["n"].sum()), held + int(pdf["held"].sum()), loss + float(pdf["loss"].sum())
+            for packed in pdf["state"]:
+                sums += np.frombuffer(packed)
+        if n + held:
+            yield pd.DataFrame({"n": [n], "held": [held], "loss": [loss], "state": [sums.tobytes()]})
+
+    kind = "n bigint, held bigint, loss double, state binary"
     for epoch in range(1, settings.autoencoder_epochs + 1):
-        shared = spark.sparkContext.broadcast(flat)
-        step = epoch
-
-        def work(batches, shared=shared, step=step):
-            weights = _unpack(shared.value, layers)
-            total = np.zeros(size + 4)  # gradient, rows, held rows, held loss
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                x, held = np.stack(pdf["x"].to_numpy()), pdf["held"].to_numpy()
-                if held.any():
-                    check = x[held]
-                    loss = ((_forward(check, weights)[-1] - check) ** 2).mean(axis=1)
-                    total[size + 1] += len(check)
-                    total[size + 2] += loss.sum()
-                if not held.all():
-                    part = x[~held]
-                    noise = np.random.default_rng([seed, step, len(part)])
-                    total[:size] += _gradient(part, weights, noise, dropout)
-                    total[size] += len(part)
-            yield pd.DataFrame({"at": np.arange(size + 4), "value": total})
-
-        sums = np.zeros(size + 4)
-        # One row per weight, whatever the number of rows or tasks.
-        for r in (data.mapInPandas(work, "at int, value double").groupBy("at")
-                  .agg(F.sum("value").alias("value")).collect()):
-            sums[r["at"]] = r["value"]
-        shared.unpersist()
-        loss = sums[size + 2] / sums[size + 1] if sums[size + 1] else 0.0
+        # One row per task: the weights and moments, some ten thousand numbers.
+        parts = data.groupBy("lane").applyInPandas(from_(state, epoch), kind).mapInPandas(add_up, kind).collect()
+        n, held = sum(r["n"] for r in parts), sum(r["held"] for r in parts)
+        loss = sum(r["loss"] for r in parts) / held if held else 0.0
         if loss < best_loss:
-            best, best_loss, waited = flat, loss, 0
+            best, best_loss, waited = state[:size], loss, 0
         else:
             waited += 1
             if waited >= settings.autoencoder_patience:
                 break
-        gradient = sums[:size] / max(sums[size], 1.0)
-        first = 0.9 * first + 0.1 * gradient
-        second = 0.999 * second + 0.001 * gradient ** 2
-        rate = settings.autoencoder_rate
-        flat = flat - rate * (first / (1 - 0.9 ** epoch)) / (
-            np.sqrt(second / (1 - 0.999 ** epoch)) + 1e-8)
+        if n:
+            state = sum(np.frombuffer(r["state"]) for r in parts) / n
     return Autoencoder(scaled, best, tuple(settings.autoencoder_hidden), float(best_loss), epoch)
 
 
@@ -217,11 +230,11 @@ def _average_path(n: np.ndarray | float) -> np.ndarray:
 NODES = "tree int, node int, feature int, cut double, left int, right int, size int"
 
 
-def _grow(pdf: pd.DataFrame) -> pd.DataFrame:
+def _grow(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
     """One isolation tree from its sample."""
     tree = int(pdf["tree"].iat[0])
     x = np.stack(pdf.sort_values("_h")["x"].to_numpy())
-    rng = np.random.default_rng([42, tree])
+    rng = np.random.default_rng([seed, tree])
     limit = int(np.ceil(np.log2(max(len(x), 2))))
     nodes: list[list] = []
 
@@ -300,7 +313,8 @@ def train_isolation_forest(benign: DataFrame, trees: int = 100, sample: int = 25
         tree.alias("tree"), token.alias("_h"), "x")
     best = F.slice(F.sort_array(F.collect_list(F.struct("_h", "x"))), 1, sample)
     samples = chosen.groupBy("tree").agg(best.alias("rows")).select("tree", F.inline("rows"))
-    grown = samples.groupBy("tree").applyInPandas(_grow, NODES).toPandas()  # trees x 2 x sample rows
+    grown = samples.groupBy("tree").applyInPandas(
+        lambda pdf: _grow(pdf, seed), NODES).toPandas()  # trees x 2 x sample rows
     return IsolationForest(scaled, grown, min(sample, total))
 
 

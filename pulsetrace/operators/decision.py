@@ -60,18 +60,21 @@ def decision_log(scored: DataFrame, thresholds: Thresholds, explanation: Column
 def cap_blocks(log: DataFrame, cap: int, bucket: Column, salts: int = 64) -> DataFrame:
     """At most ``cap`` BLOCK verdicts per time bucket, the riskiest; the rest become ALERT.
 
-    Rows are ranked in salted parts first. Whatever is below the cap in its part cannot be among the
-    first ``cap`` of the bucket, so the final ranking sees cap x salts rows per bucket at most.
+    Only BLOCK rows are ranked, in salted parts first. Whatever is below the cap in its part cannot be
+    among the first ``cap`` of the bucket, so the final ranking sees cap x salts rows per bucket at most.
+    The ids that stay are joined back; rows of one id share a verdict.
     """
     order = [F.desc("risk_score"), F.asc("session_id")]
     blocked = F.col("action") == "BLOCK"
-    parts = log.withColumn("_bucket", bucket).withColumn(
-        "_salt", F.pmod(F.xxhash64("session_id"), F.lit(salts)).cast("int"))
-    first = Window.partitionBy("_bucket", "_salt", blocked).orderBy(*order)
-    ranked = parts.withColumn("_r", F.row_number().over(first))
-    lane = F.when(blocked & (F.col("_r") <= cap), F.lit(-1)).otherwise(F.col("_salt"))
-    final = Window.partitionBy("_bucket", "_lane").orderBy(*order)
-    capped = ranked.withColumn("_lane", lane).withColumn("_place", F.row_number().over(final))
-    keep = (F.col("_lane") == -1) & (F.col("_place") <= cap)
-    return capped.withColumn("action", F.when(blocked & ~keep, "ALERT").otherwise(F.col("action"))
-                             ).drop("_bucket", "_salt", "_r", "_lane", "_place")
+    parts = log.where(blocked).select("session_id", "risk_score", bucket.alias("_bucket"), F.pmod(
+        F.xxhash64("session_id"), F.lit(salts)).cast("int").alias("_salt"))
+    first = Window.partitionBy("_bucket", "_salt").orderBy(*order)
+    final = Window.partitionBy("_bucket").orderBy(*order)
+    kept = (parts.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= cap)
+            .withColumn("_place", F.row_number().over(final)).where(F.col("_place") <= cap)
+            .select(F.col("session_id").alias("_id"), F.col("_bucket").alias("_kept")).distinct())
+    joined = log.withColumn("_bucket", bucket).join(
+        kept, F.col("session_id").eqNullSafe(F.col("_id")) & F.col("_bucket").eqNullSafe(F.col("_kept")),
+        "left").withColumn("_stays", F.col("_id").isNotNull())
+    return joined.withColumn("action", F.when(blocked & ~F.col("_stays"), "ALERT").otherwise(F.col("action"))
+                             ).drop("_bucket", "_id", "_kept", "_stays")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pulsetrace.config import DEFAULTS, Settings
 from pulsetrace.functions.hashing import hash_uniform
+from pulsetrace.session import materialise
 
 ROWS_PER_BLOCK = 5_000
 
@@ -70,14 +71,25 @@ def nearest_neighbours(points: DataFrame, k: int, rows_per_block: int = ROWS_PER
 
 def synthetic_points(points: DataFrame, wanted: int, k: int, seed: int,
                      per: str | None = None) -> DataFrame:
-    """``wanted`` new positions, spread evenly over the given points."""
+    """Exactly ``wanted`` new positions, spread evenly over the given points.
+
+    With ``per``, a point that is alone in its part borrows its neighbours from all parts. Fewer than
+    two points have no neighbours and make nothing.
+    """
     total = points.count()
     if total < 2 or wanted <= 0:
         return points.limit(0).select("session_id", "x")
-    near = nearest_neighbours(points, k, per=per)
+    near = materialise(nearest_neighbours(points, k, per=per))
+    if per:
+        lonely = points.join(near.select("session_id"), "session_id", "left_anti").select("session_id")
+        if not lonely.isEmpty():
+            near = near.unionByName(nearest_neighbours(points, k).join(lonely, "session_id", "left_semi"))
     each, rest = divmod(wanted, total)
-    rank = F.pmod(F.xxhash64("session_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    copies = F.lit(each) + (rank < F.lit(rest / total)).cast("int")
+    # The points are the minority of a bounded fit; those lowest by hash are used once more.
+    more = points.select("session_id").orderBy(F.xxhash64("session_id"), "session_id").limit(rest).withColumn(
+        "more", F.lit(1))
+    near = near.join(more, "session_id", "left")
+    copies = F.lit(each) + F.coalesce("more", F.lit(0))
     made = near.withColumn("copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies))
                                              .otherwise(F.array().cast("array<int>"))))
     name = F.concat_ws("#", "session_id", "copy")

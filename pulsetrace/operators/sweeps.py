@@ -16,7 +16,7 @@ from pulsetrace.config import DEFAULTS, Settings
 from pulsetrace.functions.hashing import hash_uniform
 from pulsetrace.operators.curves import recall_at_threshold
 from pulsetrace.operators.joins import lookup_join
-from pulsetrace.operators.sessions import intervals
+from pulsetrace.operators.sessions import intervals, renamed_keys, same_keys
 
 
 def _at_levels(flows: DataFrame, levels: Sequence, name: str) -> DataFrame:
@@ -63,18 +63,27 @@ def sweep(perturbed: DataFrame, level: str, score: Callable[[DataFrame, Settings
         "threshold", F.lit(float(threshold)))
 
 
+def _positives(flows: DataFrame, sessions: DataFrame | None, settings: Settings) -> DataFrame:
+    """Positive flows, of the given sessions (a test part, say) where there are any."""
+    positives = flows.where("target = 1")
+    if sessions is None:
+        return positives
+    keys = list(settings.session_keys)
+    return positives.join(renamed_keys(sessions.select(*keys).distinct(), keys), same_keys(keys), "left_semi")
+
+
 def jitter_curve(flows: DataFrame, score: Callable, threshold: float,
-                 settings: Settings = DEFAULTS) -> DataFrame:
+                 settings: Settings = DEFAULTS, sessions: DataFrame | None = None) -> DataFrame:
     """Recall of the positive sessions as their timing is blurred."""
-    positives = flows.where("target = 1")
+    positives = _positives(flows, sessions, settings)
     return sweep(inject_jitter(positives, settings.jitter_levels, settings), "jitter_pct", score,
                  threshold, settings)
 
 
 def padding_curve(flows: DataFrame, score: Callable, threshold: float,
-                  settings: Settings = DEFAULTS) -> DataFrame:
+                  settings: Settings = DEFAULTS, sessions: DataFrame | None = None) -> DataFrame:
     """Recall of the positive sessions as their payloads are padded."""
-    positives = flows.where("target = 1")
+    positives = _positives(flows, sessions, settings)
     return sweep(inject_padding(positives, settings.padding_levels, settings), "padding_factor",
                  score, threshold, settings)
 

@@ -63,7 +63,7 @@ def evaluate_split(matrix: DataFrame, split: str, settings: Settings = DEFAULTS,
 
 
 def tier_ablation(train: DataFrame, test: DataFrame, settings: Settings = DEFAULTS,
-                  model: str = "random_forest", calibrate: bool = False) -> DataFrame:
+                  model: str = "random_forest", calibrate: bool = True) -> DataFrame:
     """Average precision with the features of more and more tiers."""
     long = None
     for tiers in settings.ablation_tiers:
@@ -79,7 +79,7 @@ def tier_ablation(train: DataFrame, test: DataFrame, settings: Settings = DEFAUL
 def model_comparison(train: DataFrame, test: DataFrame, settings: Settings = DEFAULTS,
                      models: Sequence[str] = ("random_forest", "gradient_boosting",
                                               "logistic_regression"),
-                     detector: str = "components", calibrate: bool = False) -> DataFrame:
+                     detector: str = "components", calibrate: bool = True) -> DataFrame:
     """Average precision, ROC-AUC and recall at precision 0.9 of each model, branch and the fusion."""
     scored = train_detector(detector, train, settings).score(test)
     for name in models:
@@ -113,20 +113,27 @@ def scored_with(classifier: Classifier, context_flows: DataFrame | None = None):
 
 def hardening_round(flows: DataFrame, settings: Settings = DEFAULTS,
                     model: str = "logistic_regression", level: int = 30,
-                    threshold: float = 0.5) -> DataFrame:
-    """Recall under jitter before and after training with jittered copies of the positives."""
+                    threshold: float = 0.5, padding: float = 2.0) -> DataFrame:
+    """Recall under jitter before and after training with jittered and padded copies of the positives.
+
+    The copies come from training sessions, the recall from test sessions alone.
+    """
     matrix = session_matrix(flows, settings)
     parts = materialise(splits.stratified_split(matrix, settings))
     train = parts.where("split = 'train'").drop("split")
+    test = parts.where("split = 'test'").drop("split")
     positives = flows.where("target = 1")
-    copies = session_matrix(
-        sweeps.inject_jitter(positives, [level], settings).drop("jitter_pct"), settings)
-    kept = copies.join(train.select("session_id"), "session_id", "left_semi").withColumn(
-        "session_id", F.concat_ws("#", "session_id", F.lit("jitter")))
+    hardened = train
+    for mark, moved in (("jitter", sweeps.inject_jitter(positives, [level], settings).drop("jitter_pct")),
+                        ("padded", sweeps.inject_padding(positives, [padding], settings).drop("padding_factor"))):
+        copies = session_matrix(moved, settings)
+        kept = copies.join(train.select("session_id"), "session_id", "left_semi").withColumn(
+            "session_id", F.concat_ws("#", "session_id", F.lit(mark)))
+        hardened = hardened.unionByName(kept)
     out = None
-    for stage, rows in (("before", train), ("after", train.unionByName(kept))):
+    for stage, rows in (("before", train), ("after", hardened)):
         classifier = train_classifier(model, rows, settings, calibrate=False)
-        curve = sweeps.jitter_curve(flows, scored_with(classifier), threshold, settings)
+        curve = sweeps.jitter_curve(flows, scored_with(classifier), threshold, settings, test)
         one = curve.select(F.lit(stage).alias("stage"), "*")
         out = one if out is None else out.unionByName(one)
     return out

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pulsetrace.config import DEFAULTS
@@ -48,7 +49,7 @@ def test_smote_balances_and_interpolates(spark, rows):
         "session_id", "target", "features")
     out = smote(ready, DEFAULTS)
     counts = dict(out.groupBy("target").count().collect())
-    assert counts[0] == 200 and abs(counts[1] - 200) <= 15
+    assert counts[0] == counts[1] == 200
     real = np.array([r[0].toArray() for r in ready.where("target=1").select("features").collect()])
     for r in out.where("session_id like '%#%'").limit(40).collect():
         p = r.features.toArray()
@@ -58,6 +59,17 @@ def test_smote_balances_and_interpolates(spark, rows):
         assert on_segment
 
 
+def test_smote_fills_folds_with_one_positive(spark, rows):
+    ready = assembler(["iat_cv", "iat_mean", "pkt_ratio"]).transform(rows).select("session_id", "target", "features")
+    few = ready.where("target = 1").orderBy("session_id").limit(5).withColumn(
+        "fold", (F.row_number().over(Window.orderBy("session_id")) - 1).cast("int"))
+    some = few.unionByName(ready.where("target = 0").limit(83).withColumn("fold", F.lit(0)))
+    out = smote(some, DEFAULTS, per="fold")
+    assert dict(out.groupBy("target").count().collect()) == {0: 83, 1: 83}
+    made = out.where("session_id like '%#%'").groupBy("fold").count().collect()
+    assert {r.fold for r in made} == set(range(5))
+
+
 def test_folds_keep_class_shares(rows):
     folded, k = stratified_folds(rows, DEFAULTS)
     assert k == 5
@@ -121,13 +133,13 @@ def test_components_error_matches_numpy(spark, rows):
 
 
 def test_autoencoder_learns_and_repeats(spark, rows):
-    settings = DEFAULTS.with_(autoencoder_epochs=30, autoencoder_rate=0.02)
+    settings = DEFAULTS.with_(autoencoder_epochs=30, autoencoder_rate=0.005)
     columns = ["iat_cv", "iat_mean", "pkt_ratio"]
     benign = rows.where("target = 0").coalesce(1)
     one = anomaly.train_autoencoder(benign, settings, columns)
     short = anomaly.train_autoencoder(benign, settings.with_(autoencoder_epochs=1), columns)
     assert one.validation_loss < short.validation_loss
-    again = anomaly.train_autoencoder(benign, settings, columns)
+    again = anomaly.train_autoencoder(benign.repartition(3), settings, columns)
     assert np.allclose(one.flat, again.flat)
     assert one.error(rows).where("error is null or error < 0").count() == 0
 
