@@ -65,7 +65,7 @@ NUMERIC_FEATURES = TIMING_FEATURES + VOLUME_FEATURES + STATE_FEATURES + CONTEXT_
 
 @dataclass(frozen=True)
 class Settings:
-    """Every threshold and hyper-parameter of a run."""
+    """Every threshold and hyper-parameter of a run. The defaults are fixed values."""
 
     seed: int = 42
     session_keys: tuple[str, ...] = SESSION_KEYS

@@ -218,6 +218,7 @@ def train_classifier(name: str, train: DataFrame, settings: Settings = DEFAULTS,
     total = rows.count()
     model, params, score, est = tuned(name, rows, folds, settings, float(total), weighted)
     calibration = calibrated(est, params, rows, folds, settings.calibration) if calibrate else None
+    # The names in a model's record.
     metadata = {
         "model_name": name, "trained_at": started.isoformat(),
         "imbalance_strategy": settings.imbalance,
