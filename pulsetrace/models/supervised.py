@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -15,7 +16,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsetrace.config import DEFAULTS, STATE_CATEGORIES, Settings
@@ -192,6 +193,31 @@ class Classifier:
         return scored.drop("features", *(c for c in self.features if c not in rows.columns))
 
 
+def save_classifier(classifier: Classifier, spark: SparkSession, path: str) -> None:
+    """Everything that scores: encoding, refitted model, and each fold's model and calibrator."""
+    parts = {"inputs": classifier.inputs, "model": PipelineModel([classifier.model])}
+    folds = classifier.calibration
+    for k, (model, calibrator) in enumerate(folds.pairs if folds else ()):
+        parts[f"fold{k}"] = PipelineModel([model, calibrator])
+    for name, part in parts.items():
+        part.write().overwrite().save(f"{path}/{name}")
+    record = {**classifier.metadata, "feature_list": classifier.features,
+              "calibration": folds.method if folds else None, "saved_folds": len(folds.pairs) if folds else 0}
+    (spark.createDataFrame([(json.dumps(record, sort_keys=True),)], "metadata string")
+     .coalesce(1).write.mode("overwrite").json(f"{path}/metadata"))
+
+
+def load_classifier(spark: SparkSession, path: str, features: Sequence[str] | None = None) -> Classifier:
+    """The classifier as it was saved; a differing feature list is refused."""
+    record = json.loads(spark.read.schema("metadata string").json(f"{path}/metadata").first()["metadata"])
+    if features is not None and list(record["feature_list"]) != list(features):
+        raise ValueError("the model was trained on other features")
+    pairs = [tuple(PipelineModel.load(f"{path}/fold{k}").stages) for k in range(record["saved_folds"])]
+    calibration = Calibrated(pairs, record["calibration"]) if pairs else None
+    return Classifier(PipelineModel.load(f"{path}/inputs"), list(record["feature_list"]),
+                      PipelineModel.load(f"{path}/model").stages[0], calibration, record)
+
+
 def train_classifier(name: str, train: DataFrame, settings: Settings = DEFAULTS,
                      columns: Sequence[str] | None = None, calibrate: bool = True) -> Classifier:
     """Encode, balance, tune by average precision, refit and calibrate.

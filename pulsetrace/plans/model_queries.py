@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from pulsetrace.config import DEFAULTS
@@ -247,21 +244,17 @@ def hardening_round(spark, folder):
 
 @query("model_roundtrip")
 def model_roundtrip(spark, folder):
-    """A saved and reloaded model gives the same scores."""
+    """A saved and reloaded calibrated classifier gives the same scores."""
     train, test = _parts(spark, folder)
-    inputs = supervised.learn_inputs(train)
-    forest = RandomForestClassifier(featuresCol="features", labelCol="target", numTrees=20,
-                                    seed=SMALL.seed)
-    model = Pipeline(stages=[*inputs.stages, forest]).fit(train)
+    model = supervised.train_classifier("random_forest", train, SMALL.with_(forest_trees=(20,)))
     path = scratch_path(spark, "model")
-    sinks.save_model(model, spark, path, {"feature_list": inputs.features})
-    loaded, metadata = sinks.load_model(spark, path, inputs.features)
-    score = vector_to_array("probability")[1]
-    before = model.transform(test).select("session_id", score.alias("before"))
-    after = loaded.transform(test).select("session_id", score.alias("after"))
+    supervised.save_classifier(model, spark, path)
+    loaded = supervised.load_classifier(spark, path, model.features)
+    before = model.score(test, "before").select("session_id", "before")
+    after = loaded.score(test, "after").select("session_id", "after")
     return before.join(after, "session_id").agg(
         F.count("*").alias("n_rows"), F.max(F.abs(F.col("before") - F.col("after"))).alias("max_gap")
-    ).withColumn("n_features", F.lit(len(metadata["feature_list"])))
+    ).withColumn("n_features", F.lit(len(loaded.features)))
 
 
 @query("full_run")

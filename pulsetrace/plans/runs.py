@@ -6,14 +6,13 @@ from collections.abc import Sequence
 
 from functools import reduce
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsetrace.config import DEFAULTS, Settings
 from pulsetrace.models.anomaly import train_detector
 from pulsetrace.models.forest_attribution import tree_attribution
-from pulsetrace.models.supervised import Classifier, train_classifier
+from pulsetrace.models.supervised import Classifier, save_classifier, train_classifier
 from pulsetrace.operators import curves, explain, fusion, splits, sweeps
 from pulsetrace.operators.decision import Thresholds, calibrate_thresholds, decision_log
 from pulsetrace.operators.features import feature_matrix, tier_columns
@@ -159,9 +158,8 @@ def full_run(flows: DataFrame, folder: str, settings: Settings = DEFAULTS,
              for name in SPLITS}
     _, scored, limits, classifier = found["random"]
 
-    fitted = PipelineModel([*classifier.inputs.stages, classifier.model])
-    sinks.save_model(fitted, spark, f"{folder}/model",
-                     {**classifier.metadata, "feature_list": classifier.features})
+    # What gave the scores, thresholds and log of this run, calibration included.
+    save_classifier(classifier, spark, f"{folder}/model")
     sinks.save_thresholds(scored, limits, f"{folder}/thresholds")
 
     shares, _ = tree_attribution(classifier.inputs.transform(scored), classifier.model,
