@@ -53,6 +53,17 @@ def test_host_boilerplate_goes_and_unique_runs_stay(spark):
     assert all(out[200 + i] for i in range(5))
 
 
+@pytest.mark.parametrize("page", [
+    "<body class='has-sidebar'><nav>m</nav><p>one</p><article><p>two</p></article></body>",
+    "<div class='layout header-fixed'><p>one</p><article><p>two</p><div class='share'>s</div></article></div>",
+    "<article class='post share-on'><p>one</p><p>two</p></article><div class=ad>buy</div>",
+    "<main id=related><div class='widget'><article><p>one</p><p>two</p></article></div></main>",
+    "<body class=sidebar><div class='layout header-fixed'><p>one</p><p>two</p></div></body>"])
+def test_a_word_on_a_wrapper_drops_no_main_text(spark, page):
+    pages = spark.createDataFrame([(1, "https://a.example/1", page)], "page_id long, url string, html string")
+    assert html_text.extract(pages).first().text == "one\ntwo"
+
+
 def test_article_text_of_the_table(spark):
     import html
 
