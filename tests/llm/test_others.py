@@ -64,6 +64,18 @@ def test_a_word_on_a_wrapper_drops_no_main_text(spark, page):
     assert html_text.extract(pages).first().text == "one\ntwo"
 
 
+def test_boilerplate_within_articles_goes_and_copies_stay(spark):
+    notice = "all rights reserved by the publisher of this paper"
+    own = lambda i, n=20: " ".join(f"w{i}x{j}" for j in range(n))
+    pages = [(i, f"https://news.example/{i}", f"<article><p>{own(i)}</p><p>{notice}</p></article>") for i in range(40)]
+    pages += [(100 + i, f"https://few.example/{i}", f"<article><p>{own(i)}</p><p>{notice}</p></article>") for i in range(3)]
+    pages += [(200 + i, f"https://copy.example/{i}", f"<article><p>{own(7)}</p><p>{notice} {i}</p></article>") for i in range(40)]
+    out = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == own(i) for i in range(40))
+    assert all(out[100 + i] == f"{own(i)}\n{notice}" for i in range(3))  # three pages are no template
+    assert all(out[200 + i] == f"{own(7)}\n{notice} {i}" for i in range(40))
+
+
 def test_article_text_of_the_table(spark):
     import html
 
