@@ -1,11 +1,12 @@
 """Secrets in texts: fixed patterns, and character Markov models of random strings and ordinary identifiers.
 
 The models are first-order chains over one alphabet. Samples labelled ordinary are all runs of the corpus outside
-the matches of the patterns, but for long runs with a letter and a digit, which are what the models are to judge;
-samples labelled random are the patterns' matches and a seeded set of uniformly random strings over the usual
-alphabets. Character pairs are counted in Arrow batches, summed by Spark, and only the two
-fixed-size tables reach the driver. A run of enough characters, with a letter and a digit, is a secret where the
-log-likelihood ratio of random to ordinary reaches the threshold.
+the matches of the patterns, but for long runs, which are what the models are to judge, and a seeded set of
+identifiers, most of them with digits, paths and dates; samples labelled random are the patterns' matches and a
+seeded set of uniformly random strings over the usual alphabets, letters alone and digits alone among them. Character
+pairs are counted in Arrow batches, summed by Spark, and only the two fixed-size tables reach the driver. Every run of
+enough characters is scored, and a secret where the log-likelihood ratio of random to ordinary reaches the
+threshold: the configured one, or the most that all but a small share of further labelled identifiers reach.
 
 Defined cases. Null text: empty, no spans; ``redact`` leaves it null. Repeated rows: each its own row. Spans may
 overlap between kinds; those of the model never overlap a pattern's. Empty table: empty result, models from the
@@ -41,14 +42,46 @@ RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 STATES = len(LETTERS) + 1  # 0 is whatever is outside a run
 CODE = np.zeros(256, np.uint8)
 CODE[np.frombuffer(LETTERS.encode(), np.uint8)] = np.arange(1, STATES)
+#: Words that names in code, paths and links are commonly made of.
+NAMES = """account action active add address admin after agent alert all api app apply archive area array article asset
+    attribute author auto available back background bar base batch before begin block blog body book bool border bottom box
+    branch buffer build button byte cache calendar call camera cancel capture card cart case category cell center chain change
+    channel char chart check child city class clean click client clock close cloud code collection color column command comment
+    commit common company compare complete component config connect console contact container content context control cookie
+    copy core count country create current customer daily dark data database date day debug decode default define delete delivery
+    deploy design detail device dialog digest direct directory disable display document domain down download draft draw drive drop
+    edge edit editor element email empty enable encode end engine entry error event exception execute export extend external
+    factory fail feature feed field figure file filter find first fix flag float flow folder font footer force form format
+    forum frame free from front full function game gateway general generate get global graph green grid group guide handle
+    handler hash head header health height help history home hook host hour house html http icon identity image import
+    index info init inline input insert install instance int interface internal invoice is item job join json jump kernel key
+    keyboard kind label language large last latest layer layout left legacy length level library license light limit line
+    link list load local location lock log login long loop machine mail main manager map margin market mask master match max
+    media member memory menu merge message meta method min mobile mode model module monitor month mouse move music name native
+    network new news next node normal note notification null number object offer offset old on open option order origin other
+    output overview owner package page paint panel parent parse part partner pass patch path pattern payment people percent
+    phone photo picture pixel place plan player plugin point policy pool popup port position post power prefix press price
+    print privacy process product profile program project promise property provider proxy public publish purchase query queue
+    quick random range rate raw read ready record red reference region release reload remote remove render replace report
+    request require reset resize resource response result return review right role room root route row rule run safe sale sample
+    save scale schema score screen script scroll search second section security select send sensor series server service
+    session set setting setup shadow share shift shop short show side sign simple single site size sketch slice small social
+    sort source space special split stack staff stage standard start state static station status step stop storage store story
+    stream street string style submit success summary support swap switch symbol sync system tab table tag target task
+    team template term test text theme thread thumb ticket time title toggle tool top topic total track trade traffic
+    transfer tree trigger type union unit update upload url use user util valid value vector version video view visible
+    visit wait wall watch water web week weight welcome widget width window wizard word work world wrapper write year
+    yellow young zero zone""".split()
 
 
 @dataclass(frozen=True)
 class Scan:
     """``threshold``: least log-likelihood ratio, in nats, of a run; ``limit``: most that one character adds or takes,
-    so that a pair the corpus happens not to have decides nothing alone."""
+    so that a pair the corpus happens not to have decides nothing alone; ``false_share``: most of the labelled
+    identifiers, none of which the models have seen, that may pass for secrets."""
 
     threshold: float = 15.0
+    false_share: float = 0.001
     limit: float = 4.0
     prior: float = 10.0
     seed: int = 42
@@ -77,8 +110,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def mixed(piece: str) -> bool:
-    return not piece.isalpha() and any(c.isdigit() for c in piece) and any(c.isalpha() for c in piece)
+def score(piece: bytes, ratio: np.ndarray) -> float:
+    """Log-likelihood ratio of random to ordinary of one run."""
+    codes = CODE[np.frombuffer(piece, np.uint8)]
+    return float(ratio[codes[:-1], codes[1:]].sum())
 
 
 def all_spans(text: str, ratio: np.ndarray, threshold: float) -> list[tuple[int, int, int]]:
@@ -89,10 +124,7 @@ def all_spans(text: str, ratio: np.ndarray, threshold: float) -> list[tuple[int,
         piece = run.group()
         if any(s < run.end() and run.start() < e for s, _, e in found):
             continue
-        if not mixed(piece):
-            continue
-        codes = CODE[np.frombuffer(piece.encode(), np.uint8)]
-        if ratio[codes[:-1], codes[1:]].sum() >= threshold:
+        if score(piece.encode(), ratio) >= threshold:
             added.append((run.start(), 3, run.end()))
     return sorted(found + added)
 
@@ -100,13 +132,29 @@ def all_spans(text: str, ratio: np.ndarray, threshold: float) -> list[tuple[int,
 def random_strings(settings: Scan) -> Iterator[bytes]:
     draw = random.Random(settings.seed)
     alphabets = ("0123456789abcdef", string.ascii_uppercase + "234567", string.ascii_letters + string.digits,
-                 string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_")
+                 string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_",
+                 string.ascii_letters, string.digits)
     for i in range(settings.samples):
         yield "".join(draw.choices(alphabets[i % len(alphabets)], k=draw.randint(20, 64))).encode()
 
 
-def train(docs: DataFrame, settings: Scan = Scan()) -> np.ndarray:
-    """Log-likelihood ratio of each character after each other one, from all texts."""
+def identifiers(settings: Scan, seed: int) -> Iterator[bytes]:
+    """Labelled ordinary runs: names in the usual spellings, most of them with digits, paths and dates."""
+    draw = random.Random(seed)
+    for i in range(settings.samples):
+        words = draw.choices(NAMES, k=draw.randint(3, 6))
+        number = str(draw.choice((draw.randint(0, 9), draw.randint(10, 99), draw.randint(1900, 2099), 32, 64, 128, 256)))
+        if draw.random() < 0.7:
+            words.insert(draw.randint(1, len(words)), number)
+        day = f"{draw.randint(1990, 2039)}{{0}}{draw.randint(1, 12):02}{{0}}{draw.randint(1, 28):02}"
+        yield (lambda: "_".join(words), lambda: "-".join(words), lambda: "/".join(words), lambda: "_".join(words).upper(),
+               lambda: "".join(w.title() for w in words), lambda: words[0] + "".join(w.title() for w in words[1:]),
+               lambda: "".join(words), lambda: "-".join([*words, day.format("-")]), lambda: day.format("/") + "/" + "-".join(words),
+               lambda: "_".join([*words, "v" + number]))[i % 10]().encode()
+
+
+def train(docs: DataFrame, settings: Scan = Scan()) -> tuple[np.ndarray, float]:
+    """Log-likelihood ratio of each character after each other one, from all texts, and the threshold."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, STATES * STATES), np.int64)
         for batch in batches:
@@ -118,7 +166,7 @@ def train(docs: DataFrame, settings: Scan = Scan()) -> np.ndarray:
                     sums[1] += piece
                     every = every - piece
                 for run in RUN.finditer(text):
-                    if mixed(run.group()) and not any(s < run.end() and run.start() < e for s, _, e in known):
+                    if not any(s < run.end() and run.start() < e for s, _, e in known):
                         every = every - pairs(run.group().encode())
                 sums[0] += np.maximum(every, 0)
         at = np.flatnonzero(sums)
@@ -126,20 +174,28 @@ def train(docs: DataFrame, settings: Scan = Scan()) -> np.ndarray:
             sums.ravel()[at])], names=["label", "pair", "n"])
 
     rows = docs.select(text_of().alias("text")).mapInArrow(count, "label long, pair long, n long")
-    table = np.zeros((2, STATES * STATES))
+    table, made = np.zeros((2, STATES * STATES)), np.zeros((2, STATES * STATES))
     # At most 2 * STATES**2 rows, whatever the corpus.
     for row in rows.groupBy("label", "pair").agg(F.sum("n").alias("n")).collect():
         table[row.label, row.pair] = row.n
     for piece in random_strings(settings):
-        table[1] += pairs(piece)
-    table = table.reshape(2, STATES, STATES)[:, 1:, 1:]
-    # Rarely seen characters lean on the single-character frequencies of their own model.
-    single = table.sum(axis=1, keepdims=True) + 0.5
-    table = table + settings.prior * single / single.sum(axis=2, keepdims=True)
-    chance = np.log(table / table.sum(axis=2, keepdims=True))
+        made[1] += pairs(piece)
+    for piece in identifiers(settings, settings.seed):
+        made[0] += pairs(piece)
+    mix = np.zeros((2, STATES - 1, STATES - 1))
+    for part in (table, made):  # half each, so that the seeded samples count alike beside any corpus
+        part = part.reshape(2, STATES, STATES)[:, 1:, 1:]
+        # Rarely seen characters lean on the single-character frequencies of their own model.
+        single = part.sum(axis=1, keepdims=True) + 0.5
+        part = part + settings.prior * single / single.sum(axis=2, keepdims=True)
+        mix += part / part.sum(axis=2, keepdims=True) / 2
+    chance = np.log(mix)
     ratio = np.zeros((STATES, STATES))
     ratio[1:, 1:] = np.clip(chance[1] - chance[0], -settings.limit, settings.limit)
-    return ratio
+    # A character repeated, as in a ruler, does not speak for a random string.
+    np.fill_diagonal(ratio, np.minimum(ratio.diagonal(), 0))
+    seen = [score(piece, ratio) for piece in identifiers(settings, settings.seed + 1)]
+    return ratio, max(settings.threshold, float(np.quantile(seen, 1 - settings.false_share)))
 
 
 def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -155,7 +211,7 @@ def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 
 def scan(docs: DataFrame, settings: Scan = Scan()) -> DataFrame:
     """doc_id and ``found``, the document's spans as (kind, start, end) by start, then kind; code points."""
-    ratio, threshold = train(docs, settings), settings.threshold
+    ratio, threshold = train(docs, settings)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +226,7 @@ def scan(docs: DataFrame, settings: Scan = Scan()) -> DataFrame:
 
 def redact(docs: DataFrame, settings: Scan = Scan()) -> DataFrame:
     """The documents with every span replaced by the mark; a column n_chars follows the text."""
-    ratio, threshold, mark = train(docs, settings), settings.threshold, settings.mark
+    (ratio, threshold), mark = train(docs, settings), settings.mark
     at = docs.columns.index("text")
 
     def clean(text: str | None) -> str | None:

@@ -63,6 +63,19 @@ def test_scan_adds_random_strings_and_leaves_words(make_docs):
     assert not any(r["found"] for i, r in out.items() if i != 900)
 
 
+def test_scan_scores_runs_of_any_class(make_docs):
+    draw = random.Random(8)
+    words = ["ordinary", "identifier", "value", "number", "table", "another", "chapter12", "section_4"]
+    docs = [(i, " ".join(draw.choices(words, k=60)), "en", "a") for i in range(200)]
+    letters = ["".join(draw.choices(secret_scan.LETTERS[:52], k=32)) for _ in range(20)]  # no digit
+    docs += [(900 + i, f"see {x} here", "en", "a") for i, x in enumerate(letters)]
+    names = ["section_4_table_12_value_3", "another-identifier-2024-01-31", "numberTable12OrdinaryValue", "-" * 70, "x" * 40]
+    docs += [(1000 + i, f"see {x} here", "en", "a") for i, x in enumerate(names)]
+    out = by_id(secret_scan.scan(make_docs(docs)))
+    assert all(out[900 + i]["found"] == [{"kind": "markov", "start": 4, "end": 36}] for i in range(20))
+    assert not any(r["found"] for i, r in out.items() if not 900 <= i < 1000)
+
+
 def test_scan_and_redact_on_odd_rows(odd_docs, make_docs):
     assert len(rows(secret_scan.scan(odd_docs))) == odd_docs.count()
     assert all(not r["found"] for r in rows(secret_scan.scan(odd_docs)) if r["doc_id"] in (3, 4, 5))
