@@ -17,11 +17,13 @@ BACKGROUND_ROWS = 100
 
 def sampled_attribution(rows: DataFrame, background: DataFrame, model, features: Sequence[str],
                         orders: int = 4, seed: int = 42) -> DataFrame:
-    """``session_id``, ``feature``, ``attribution``: mean gain of each feature over sampled orders.
+    """``session_id``, ``feature``, ``attribution``: mean gain of each feature over sampled orders
+    and all background rows.
 
-    For an order and a background row, features are switched one by one from the background's value
+    For an order and each background row, features are switched one by one from the background's value
     to the row's; each switch's change of the score belongs to that feature. The switched rows are
-    scored by the model as one DataFrame.
+    scored by the model as one DataFrame; the scores of a step are averaged over the background before
+    they are shuffled.
     """
     d = len(features)
     sample = [r[0] for r in background.orderBy(hash60(seed, "session_id", "background"))
@@ -34,22 +36,21 @@ def sampled_attribution(rows: DataFrame, background: DataFrame, model, features:
         places.append([order.index(i) for i in range(d)])
     spark = rows.sparkSession
     # Fixed size: at most 100 rows, and one list per order.
-    shared = F.broadcast(spark.createDataFrame(list(enumerate(sample)), "_b int, _back array<double>"))
+    shared = F.broadcast(spark.createDataFrame(list(enumerate(sample)), "_b int, _back array<double>").drop("_b"))
     ranks = F.broadcast(spark.createDataFrame(list(enumerate(places)), "_o int, _rank array<int>"))
     picked = (rows.select("session_id", vector_to_array("features").alias("_x"),
                           F.explode(F.sequence(F.lit(0), F.lit(orders - 1))).alias("_o"))
-              .withColumn("_b", F.pmod(F.xxhash64("session_id", "_o"), F.lit(len(sample))).cast("int"))
-              .join(shared, "_b").join(ranks, "_o")
+              .join(ranks, "_o").crossJoin(shared)
               .withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(d)))))
     mixed = F.transform("_rank", lambda rank, i: F.when(
         rank < F.col("_step"), F.get("_x", i)).otherwise(F.get("_back", i)))
     scored = (model.transform(picked.withColumn("features", array_to_vector(mixed)))
-              .select("session_id", "_o", "_step", "_rank", positive_probability().alias("_p")))
+              .select("session_id", "_o", "_step", positive_probability().alias("_p"))
+              .groupBy("session_id", "_o", "_step").agg(F.avg("_p").alias("_p")))
     # One small group per row and order: d + 1 steps, sorted by step.
     steps = scored.groupBy("session_id", "_o").agg(
-        F.first("_rank").alias("_rank"),
         F.transform(F.sort_array(F.collect_list(F.struct("_step", "_p"))),
-                    lambda s: s["_p"]).alias("_path"))
+                    lambda s: s["_p"]).alias("_path")).join(ranks, "_o")
     gains = F.transform("_rank", lambda rank: F.get("_path", rank + 1) - F.get("_path", rank))
     names = F.array(*[F.lit(n) for n in features])
     return (steps.select("session_id", F.posexplode(gains).alias("_i", "_gain"))

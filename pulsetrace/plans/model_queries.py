@@ -197,10 +197,7 @@ def forest_rank_disagreement(spark, folder):
 @query("sampled_attribution")
 def sampled_attribution_query(spark, folder):
     train, test = _parts(spark, folder)
-    columns = ["iat_cv", "periodicity_score", "resp_bytes_is_zero", "dest_fanin",
-               "orig_resp_byte_ratio", "resp_port"]
-    classifier = supervised.train_classifier("logistic_regression", train, SMALL, columns,
-                                             calibrate=False)
+    classifier = supervised.train_classifier("logistic_regression", train, SMALL, calibrate=False)
     return sampled_attribution(
         classifier.inputs.transform(test), classifier.inputs.transform(train), classifier.model,
         classifier.features)

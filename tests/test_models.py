@@ -2,12 +2,14 @@
 
 import itertools
 import math
+import random
 
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from pulsetrace.models import anomaly
 from pulsetrace.models.forest_attribution import (
     base_value, forest_nodes, leaf_attribution, leaf_table, tree_attribution,
 )
+from pulsetrace.models.sampled_attribution import sampled_attribution
 from pulsetrace.models.supervised import stratified_folds, train_classifier
 from pulsetrace.operators.encode import assembler
 from pulsetrace.operators.smote import nearest_neighbours, smote
@@ -201,3 +204,28 @@ def test_calibrated_scores_are_probabilities(rows, method):
     assert set(scored.columns) == {*rows.columns, "supervised_score"}
 
 
+def test_sampled_attribution_averages_over_the_whole_background(spark):
+    draw = np.random.default_rng(4)
+    vectors = draw.normal(size=(30, 3))
+    df = spark.createDataFrame([(f"s{i:02}", Vectors.dense(v), float(v[0] + v[1] > 0)) for i, v in enumerate(vectors)],
+                               ["session_id", "features", "label"])
+    model = LogisticRegression(regParam=0.1).fit(df)
+    names = ["a", "b", "c"]
+    found = {}
+    for r in sampled_attribution(df.limit(5), df, model, names, orders=2, seed=7).collect():
+        found[r.session_id, r.feature] = r.attribution
+    chance = lambda x: 1 / (1 + np.exp(-(x @ model.coefficients.toArray() + model.intercept)))
+    rng, orders = random.Random(7), []
+    for _ in range(2):
+        order = [0, 1, 2]
+        rng.shuffle(order)
+        orders.append(order)
+    for i in range(5):
+        want = np.zeros(3)
+        for order in orders:
+            mixed = vectors.copy()
+            for k in order:
+                before = chance(mixed).mean()
+                mixed[:, k] = vectors[i, k]
+                want[k] += (chance(mixed).mean() - before) / 2
+        np.testing.assert_allclose([found[f"s{i:02}", n] for n in names], want, atol=1e-9)
