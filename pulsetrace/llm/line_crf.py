@@ -29,12 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsetrace.llm.common import named, text_of
+from pulsetrace.session import materialise
 
 
 @dataclass(frozen=True)
 class Fit:
     """``docs_per_class`` and ``max_lines`` bound the sample that the model is fitted on: so many documents of each
-    label, by hash of the id, with no more lines and characters than that. Nothing else is bounded."""
+    label, by hash of the id, from those with no more lines and characters than that; of an id that several documents
+    share, one text. Nothing else is bounded."""
 
     docs_per_class: int = 1500
     max_lines: int = 400
@@ -204,16 +206,21 @@ def held_out(doc_id: Column) -> Column:
 
 def sample(docs: DataFrame, labels: DataFrame, fit: Fit) -> tuple[list[str], np.ndarray]:
     """Texts and labels to learn from, at most 2 * docs_per_class, ordered by id."""
+    texts = docs.select(named("doc_id").cast("long").alias("id"), text_of().alias("text")).where(
+        (F.size(F.split("text", "\n")) <= fit.max_lines) & (F.char_length("text") <= fit.max_chars)).withColumn(
+        "mark", F.xxhash64("text"))
+    # One text of each id, known by its hash, before anything is limited.
+    usable = texts.groupBy("id").agg(F.min("mark").alias("mark"))
     known = labels.select(named("doc_id").cast("long").alias("id"), named("quality").cast("int").alias("label")).where(
-        ~held_out(F.col("id")) & F.col("id").isNotNull())
+        ~held_out(F.col("id")) & F.col("id").isNotNull()).join(usable, "id")
     chosen = None
     for label in (0, 1):
         part = known.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(fit.docs_per_class)
         chosen = part if chosen is None else chosen.union(part)
     # Bounded by the limits above, so it fits beside any task.
-    rows = docs.select(named("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(
-        F.broadcast(chosen), F.col("doc_id") == F.col("id")).where(
-        (F.size(F.split("text", "\n")) <= fit.max_lines) & (F.char_length("text") <= fit.max_chars)).select("id", "text", "label").collect()
+    chosen = materialise(chosen)
+    picked = texts.join(F.broadcast(chosen.select("id", "mark").distinct()), ["id", "mark"]).groupBy("id").agg(F.min("text").alias("text"))
+    rows = picked.join(chosen, "id").select("id", "text", "label").collect()
     rows.sort(key=lambda r: (r.id, r.text))
     return [r.text for r in rows], np.array([r.label for r in rows])
 

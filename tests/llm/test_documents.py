@@ -312,6 +312,17 @@ def test_quality_on_held_out_documents(spark):
     assert np.mean([[g > b for b in bad] for g in good]) > 0.97
 
 
+def test_sample_is_full_and_holds_an_id_once(spark, make_docs):
+    docs = [(i, "line\n" * (1000 if i % 2 else 3) + str(i), "en", "a") for i in range(80)]
+    docs += [(0, "again", "en", "a")] * 30 + [(4, docs[4][1], "en", "a")] * 30
+    labels = spark.createDataFrame([(i, i // 40, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    usable = [i for i in range(0, 80, 2) if zlib.crc32(str(i).encode()) % 4 != 2]
+    texts, found = line_crf.sample(make_docs(docs), labels, line_crf.Fit(docs_per_class=10))
+    assert len(texts) == len(found) == sum(min(10, sum(i // 40 == q for i in usable)) for q in (0, 1))
+    texts, found = line_crf.sample(make_docs(docs), labels, line_crf.Fit())
+    assert len(texts) == len(set(texts)) == len(usable)
+
+
 def test_crf_on_odd_rows(spark, odd_docs):
     labels = spark.createDataFrame([(1, 1, 0), (9, 0, 0), (6, 0, 0), (7, None, 0), (None, 1, 0), (77, 1, 0)], "doc_id long, quality int, toxic int")
     for known in (labels, labels.limit(0)):
