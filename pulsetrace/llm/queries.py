@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsetrace.llm import byte_bpe, html_text, line_crf, quality_rules, secret_scan, simhash, source_mix, suffix_dedup, topk, warc_revisits
+from pulsetrace.llm import (byte_bpe, html_text, importance, line_crf, multiprobe, prefix_trie, quality_rules, secret_scan,
+                            simhash, source_mix, suffix_dedup, topk, warc_revisits)
 from pulsetrace.session import materialise
 
 
@@ -204,8 +205,68 @@ def _quality_sql() -> str:
         (NOT base_failed AND fails.rid IS NULL) AS kept FROM base LEFT JOIN fails ON base.rid = fails.rid"""
 
 
+def op11_multiprobe_ann(spark: SparkSession, folder: str) -> DataFrame:
+    found = multiprobe.nearest(table(spark, folder, "embeddings"))
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+
+
+def op12_importance(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def crc32(text: str) -> str:
+    """DuckDB expression: unsigned CRC-32 of a string's UTF-8 bytes, bit by bit."""
+    steps = f"flatten(list_transform(range(octet_length(encode({text}))), lambda i: [('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return (f"xor(list_reduce(list_prepend(4294967295, {steps}), lambda c, x: "
+            "CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295)")
+
+
+_IMPORTANCE_SQL = rf"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+    b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+    one AS (SELECT rid, w, count(*) AS n FROM (SELECT rid, unnest(ws) AS w FROM d) GROUP BY ALL),
+    cells AS (SELECT w, {crc32("w")} % 10000 AS cell FROM (SELECT w FROM one UNION SELECT w FROM b)),
+    s AS (SELECT cell, sum(n)::BIGINT AS s FROM one JOIN cells USING (w) GROUP BY cell),
+    t AS (SELECT cell, count(*) AS t FROM b JOIN cells USING (w) GROUP BY cell),
+    g AS (SELECT cell, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE
+        / ((s + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (cell)),
+    sums AS (SELECT rid, sum(n * gain)::BIGINT AS total FROM one JOIN cells USING (w) JOIN g USING (cell) GROUP BY rid),
+    w AS (SELECT d.rid, doc_id, len(ws)::BIGINT AS n_features, CASE WHEN len(ws) = 0 THEN 0
+        ELSE (total - ((total % len(ws)) + len(ws)) % len(ws)) // len(ws) END::BIGINT AS weight FROM d LEFT JOIN sums USING (rid)),
+    x AS (SELECT *, weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE)
+        / 4294967296::DOUBLE)))::BIGINT AS score FROM w),
+    r AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS rank FROM x WHERE n_features >= 20)
+    SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) * 10 // 100 FROM r) THEN rank END AS rank
+    FROM x LEFT JOIN r USING (rid)"""
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.nodes(table(spark, folder, "conversations"))
+
+
+_TRIE_SQL = f"""
+    WITH own AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, '')) AS turns
+        FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+    shared AS (SELECT conv_id, turns, ({crc32("conv_id::VARCHAR")} % 9)::BIGINT AS h FROM own),
+    built AS (SELECT a.conv_id, list_concat(coalesce(list_slice(b.turns, 1, a.h), []), list_slice(a.turns, a.h + 1, len(a.turns))) AS turns
+        FROM shared a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 5),
+    p AS (SELECT conv_id, len(turns) AS n, unnest(range(len(turns) + 1)) AS depth, turns FROM built),
+    q AS (SELECT conv_id, n, depth, md5(list_slice(turns, 1, depth)::VARCHAR) AS mark, CASE WHEN depth > 0 THEN octet_length(encode(turns[depth].text)) ELSE 0 END AS size FROM p),
+    node AS (SELECT depth, mark, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256 FROM q GROUP BY depth, mark),
+    path AS (SELECT DISTINCT a.depth, a.mark, b.depth AS up_depth, b.mark AS up_mark FROM q a JOIN q b ON a.conv_id = b.conv_id AND b.depth <= a.depth),
+    kids AS (SELECT up_depth AS depth, up_mark AS mark, count(*) AS n_children FROM path WHERE up_depth = depth - 1 GROUP BY ALL),
+    whole AS (SELECT up_depth AS depth, up_mark AS mark, count(*) FILTER (kids.n_children IS NULL) AS n_leaves, sum((n_convs - 1) * size)::BIGINT AS saved_tokens
+        FROM path JOIN node USING (depth, mark) LEFT JOIN kids USING (depth, mark) GROUP BY ALL),
+    above AS (SELECT path.depth, path.mark, node.conv_id AS parent_conv_id FROM path JOIN node ON node.depth = up_depth AND node.mark = up_mark WHERE up_depth = path.depth - 1)
+    SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves, saved_tokens, ends_sha256
+    FROM node JOIN whole USING (depth, mark) LEFT JOIN kids USING (depth, mark) LEFT JOIN above USING (depth, mark)"""
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_quality_rules, op3_byte_bpe, op4_source_mix, op5_simhash_dedup, op6_line_crf,
     op7_warc_revisits, op8_html_text, op9_exact_topk,
-    op10_suffix_dedup)}
-ORACLES = {"op2_quality_rules": _quality_sql(), "op7_warc_revisits": _REVISITS_SQL, "op9_exact_topk": _TOPK_SQL}
+    op10_suffix_dedup, op11_multiprobe_ann, op12_importance, op13_prefix_trie)}
+ORACLES = {"op2_quality_rules": _quality_sql(), "op7_warc_revisits": _REVISITS_SQL, "op9_exact_topk": _TOPK_SQL,
+           "op12_importance": _IMPORTANCE_SQL, "op13_prefix_trie": _TRIE_SQL}
