@@ -18,7 +18,7 @@ them the true neighbours among all rows are found by plain products, and ``reach
 Work: buckets are dealt by hash to tiles of about ``tile_vectors`` rows; a query goes once to each tile in which it
 visits buckets, with their list. Tiles with more rows or queries than their bounds are split both ways, so a bucket
 that holds a third of all rows is many tiles. A tile ranks the rows of a query's visited buckets by their exact inner
-product and lets only the k best leave; lists of one query meet eight at a time. Queries for which fewer than k
+product and lets only the k best leave; what the tables found for a query is merged by candidate and cut to k. Queries for which fewer than k
 rows were visited are compared with every row of the table, in the same tiles.
 
 Defined cases. Vectors that are null, zero or hold null or non-finite components, and rows without an id, take no
@@ -46,7 +46,7 @@ from pulsetrace.session import materialise
 class Index:
     k: int = 20
     tables: int = 8
-    bucket_rows: int = 32
+    bucket_rows: int = 128
     #: Width of a slot in standard deviations of the projections; widened until ``recall`` can be reached.
     slot: float = 2.0
     recall: float = 0.95
@@ -54,7 +54,6 @@ class Index:
     fit_queries: int = 128
     tile_vectors: int = 16384
     tile_queries: int = 16384
-    fan_in: int = 8
     seed: int = 11
 
 
@@ -101,19 +100,25 @@ def inner(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
     return np.cumsum(rows * one, axis=1)[:, -1]
 
 
-def ranked(ids: np.ndarray, rows: np.ndarray, one: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best ids and exact scores, each id once; a rounding margin keeps every row that may belong to them."""
+def ranked(ids: np.ndarray, rows: np.ndarray, one: np.ndarray, k: int, single: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The k best ids and exact scores, each id once; a rounding margin keeps every row that may belong to them.
+
+    ``single``: no id occurs twice.
+    """
     near = rows @ one
+    margin = 1e-9 * max(1.0, np.abs(one).max() * len(one))
     room = max(k, 1)
     while True:
         if len(near) > room:
             least = np.partition(near, len(near) - room)[len(near) - room]
-            chosen = np.flatnonzero(near >= least - 1e-9 * (1 + abs(least)) * max(1.0, np.abs(one).max() * len(one)))
+            chosen = np.flatnonzero(near >= least - margin * (1 + abs(least)))
         else:
             chosen = np.arange(len(near))
         score = inner(rows[chosen], one)
         order = np.lexsort((ids[chosen], -score))
         who, score = ids[chosen][order], score[order]
+        if single:
+            return who[:k], score[:k]
         first = np.sort(np.unique(who, return_index=True)[1])
         if len(first) >= k or len(chosen) == len(near):
             return who[first][:k], score[first][:k]
@@ -290,9 +295,8 @@ def probes(queries: DataFrame, model: Fitted, shards: int) -> DataFrame:
 
 def tile(asked: pa.Table, stored: pa.Table, k: int) -> pa.Table:
     """The k best rows of each query among those of its visited buckets (all rows where ``codes`` is null)."""
-    out_query, out_tile, out_ids, out_scores = [], [], [], []
+    out_query, out_ids, out_scores = [], [], []
     if asked.num_rows and stored.num_rows:
-        number = int(asked.column("tile")[0].as_py())
         for width, rows in by_length(asked):
             mine = asked.take(rows)
             lengths = np.asarray(pa.compute.list_value_length(stored.column("v")))
@@ -300,32 +304,69 @@ def tile(asked: pa.Table, stored: pa.Table, k: int) -> pa.Table:
             if not held.num_rows:
                 continue
             codes, ids, table = held.column("code").to_numpy(), held.column("id").to_numpy(), matrix(held.column("v"))
-            wanted = mine.column("codes").to_pylist()
-            for own, one, want in zip(mine.column("id").to_numpy(), matrix(mine.column("v")), wanted):
-                if want is None:
-                    rows_of = np.flatnonzero(ids != own)
+            first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+            buckets, starts, counts = codes[first], first, np.diff(np.append(first, len(codes)))
+            single = len(np.unique(ids)) == len(ids)
+            lists = mine.column("codes").combine_chunks()
+            visited, cuts, whole = lists.values.to_numpy(), lists.offsets.to_numpy(), lists.is_null().to_numpy(zero_copy_only=False)
+            for i, (own, one) in enumerate(zip(mine.column("id").to_numpy(), matrix(mine.column("v")))):
+                if whole[i]:
+                    rows_of = np.arange(len(ids))
                 else:
-                    want = np.array(want, np.int64)
-                    start, stop = np.searchsorted(codes, want), np.searchsorted(codes, want, "right")
-                    full = stop > start
-                    spans = [np.arange(a, b) for a, b in zip(start[full], stop[full])]
-                    rows_of = np.concatenate(spans) if spans else np.empty(0, np.int64)
-                    rows_of = rows_of[ids[rows_of] != own]
+                    want = visited[cuts[i]: cuts[i + 1]]
+                    at = np.minimum(np.searchsorted(buckets, want), len(buckets) - 1)
+                    at = at[buckets[at] == want]
+                    n = counts[at]
+                    rows_of = np.repeat(starts[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                rows_of = rows_of[ids[rows_of] != own]
                 if len(rows_of):
-                    who, score = ranked(ids[rows_of], table[rows_of], one, k)
+                    who, score = ranked(ids[rows_of], table[rows_of], one, k, single)
                     out_query.append(own)
-                    out_tile.append(number)
                     out_ids.append(who)
                     out_scores.append(score)
-    ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in out_ids])]), pa.int32())
     flat = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
-    return pa.table({"query_id": pa.array(out_query, pa.int64()), "tile": pa.array(out_tile, pa.int64()),
-                     "ids": pa.ListArray.from_arrays(ends, flat(out_ids, np.int64)),
+    ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in out_ids])]), pa.int32())
+    return pa.table({"query_id": pa.array(out_query, pa.int64()), "ids": pa.ListArray.from_arrays(ends, flat(out_ids, np.int64)),
                      "scores": pa.ListArray.from_arrays(ends, flat(out_scores, np.float64))})
 
 
+def first_k(query: np.ndarray, who: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Of each query the k best entries in order, each id once, with their ranks."""
+    order = np.lexsort((who, -score, query))
+    query, who, score = query[order], who[order], score[order]
+    twins = np.lexsort((np.arange(len(who)), who, query))
+    again = (query[twins][1:] == query[twins][:-1]) & (who[twins][1:] == who[twins][:-1])
+    once = np.ones(len(who), bool)
+    once[twins[1:][again]] = False
+    query, who, score = query[once], who[once], score[once]
+    rank = np.arange(len(query)) - np.searchsorted(query, query) + 1
+    return tuple(x[rank <= k] for x in (query, rank, who, score))
+
+
+def merged(lists: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, id, score from the lists of all tiles; one query's lists are in memory at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        for batch in batches:
+            n = np.asarray(pa.compute.list_value_length(batch.column("ids")))
+            now = [np.repeat(batch.column("query_id").to_numpy(), n), *(batch.column(c).flatten().to_numpy() for c in ("ids", "scores"))]
+            query, who, score = (np.concatenate(pair) for pair in zip(left, now))
+            open_from = np.searchsorted(query, query[-1]) if len(query) else 0  # the last query may go on
+            left = [x[open_from:] for x in (query, who, score)]
+            yield ranked_batch(first_k(query[:open_from], who[:open_from], score[:open_from], k))
+        yield ranked_batch(first_k(*left, k))
+
+    by_query = lists.repartition(parallelism(lists), "query_id").sortWithinPartitions("query_id")
+    return by_query.mapInArrow(run, "query_id long, rank int, id long, score double")
+
+
+def ranked_batch(columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=["query_id", "rank", "id", "score"])
+
+
 def met(left: DataFrame, right: DataFrame, settings: Index) -> DataFrame:
-    """query_id, top (below, id) of queries ``left`` against rows ``right``, both dealt to (t, shard)."""
+    """query_id, rank, id, score of queries ``left`` against rows ``right``, both dealt to (t, shard)."""
     held, wanted = (x.groupBy("t", "shard").agg(F.count("*").alias(n)) for x, n in ((right, "rows"), (left, "asked")))
     up = lambda c, most: F.ceil(F.col(c) / most).cast("int")
     parts = materialise(held.join(wanted, ["t", "shard"]).select(
@@ -333,21 +374,12 @@ def met(left: DataFrame, right: DataFrame, settings: Index) -> DataFrame:
     deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = left.join(parts, ["t", "shard"]).withColumn("block", deal("blocks")).withColumn("cut", each("cuts"))
-    right = right.join(parts, ["t", "shard"]).withColumn("cut", deal("cuts")).withColumn("block", each("blocks")).drop("cuts", "blocks")
+    right = right.join(parts, ["t", "shard"]).withColumn("cut", deal("cuts")).withColumn("block", each("blocks"))
     k, where = settings.k, ["t", "shard", "cut", "block"]
-    left = left.withColumn("tile", F.abs(F.xxhash64("t", "shard", "cut"))).drop("cuts", "blocks")
+    left, right = left.drop("cuts", "blocks"), right.drop("cuts", "blocks")
     lists = left.groupBy(*where).cogroup(right.groupBy(*where)).applyInArrow(
-        lambda a, b: tile(a, b, k), "query_id long, tile long, ids array<long>, scores array<double>")
-    entry = F.transform(F.arrays_zip("scores", "ids"), lambda x: F.struct((-x.scores).alias("below"), x.ids.alias("id")))
-    once = F.filter("all", lambda x, i: ~F.exists(F.slice("all", 1, i), lambda y: y.id == x.id))
-    merged = lists.select("query_id", "tile", entry.alias("top"))
-    tiles = max(1, parts.agg(F.sum("cuts")).first()[0] or 1)
-    while tiles > 1:
-        tiles = math.ceil(tiles / settings.fan_in)
-        merged = merged.groupBy("query_id", F.pmod("tile", F.lit(tiles)).alias("tile")).agg(
-            F.array_sort(F.flatten(F.collect_list("top"))).alias("all")).select(
-                "query_id", "tile", F.slice(once, 1, k).alias("top"))
-    return merged.select("query_id", "top")
+        lambda a, b: tile(a, b, k), "query_id long, ids array<long>, scores array<double>")
+    return merged(lists, k)
 
 
 def search(queries: DataFrame, table: DataFrame, settings: Index = Index()) -> DataFrame:
@@ -357,19 +389,18 @@ def search(queries: DataFrame, table: DataFrame, settings: Index = Index()) -> D
         return table.sparkSession.createDataFrame([], "query_id long, rank int, id long, score double")
     sizes = {r.width: r.n for r in table.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n")).collect()}
     shards = math.ceil(sum(sizes.values()) / settings.tile_vectors)
-    queries = queries.groupBy("id").agg(F.min("v").alias("v")).repartition(parallelism(table), "id")
+    queries = materialise(queries.groupBy("id").agg(F.min("v").alias("v")).repartition(parallelism(table)))
     stored = entries(table, model, shards)
     found = materialise(met(probes(queries, model, shards), stored, settings))
     most = F.least(F.lit(settings.k), F.coalesce(*[F.when(F.size("v") == w, F.lit(n - 1)) for w, n in sizes.items()]))
-    short = materialise(queries.join(found.select(F.col("query_id").alias("id"), F.size("top").alias("got")), "id", "left")
-                        .where(F.coalesce("got", F.lit(0)) < most).select("id", "v"))
+    got = found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("got"))
+    short = materialise(queries.join(got, "id", "left").where(F.coalesce("got", F.lit(0)) < most).select("id", "v"))
     if not short.isEmpty():
         every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
         whole = short.select(F.lit(0).alias("t"), every, "id", "v", F.lit(None).cast("array<long>").alias("codes"))
         again = met(whole, stored.where("t = 0"), settings)
         found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").union(again)
-    return found.select("query_id", F.posexplode("top").alias("at", "hit")).select(
-        "query_id", (F.col("at") + 1).alias("rank"), "hit.id", (-F.col("hit.below")).alias("score"))
+    return found
 
 
 def nearest(vectors: DataFrame, every: int = 20, settings: Index = Index(), id_column: str = "vec_id",
