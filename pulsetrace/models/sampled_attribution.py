@@ -1,10 +1,24 @@
-"""Model-agnostic attribution by sampled feature orders against a small background."""
+"""Model-agnostic attribution: a weighted regression of the score on which features a row brings.
+
+A coalition is a set of features taken from the row, the others coming from a background row; its value is the mean
+score over the whole background. Shapley values are the coefficients of the regression of these values on the
+coalitions' indicators under the Shapley kernel, constrained to add up to the row's score less the background's.
+All sets of one feature, and of all but one, are asked; sets of the sizes between are drawn by the kernel, each with
+its complement, and share the kernel's remaining weight.
+
+Every row is asked for the same sets, so the matrix of the normal equations is one d x d matrix; its right side is
+summed per row from one number for each coalition, combined before the shuffle.
+
+Cost: coalitions x background rows model rows per explained row, by default about 4 d x 100.
+"""
 
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,44 +29,82 @@ from pulsetrace.models.supervised import positive_probability
 BACKGROUND_ROWS = 100
 
 
+def coalitions(d: int, drawn: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indicators (sets, d) and kernel weights: the outer sizes whole, ``drawn`` sets of the sizes between."""
+    mass = {s: (d - 1) / (s * (d - s)) for s in range(1, d)}
+    rows, weights = [], []
+    for size in sorted({1, d - 1} & set(mass)):
+        for i in range(d):
+            rows.append([int((j == i) == (size == 1)) for j in range(d)])
+            weights.append(mass[size] / d)
+    inner = [s for s in mass if 2 <= s <= d - 2]
+    rng, counts = random.Random(seed), {}
+    for _ in range(drawn // 2 if inner else 0):
+        members = frozenset(rng.sample(range(d), rng.choices(inner, [mass[s] for s in inner])[0]))
+        for one in (members, frozenset(range(d)) - members):
+            counts[one] = counts.get(one, 0) + 1
+    rest = sum(mass[s] for s in inner)
+    for members, n in counts.items():
+        rows.append([int(j in members) for j in range(d)])
+        weights.append(rest * n / sum(counts.values()))
+    return np.array(rows, float).reshape(-1, d), np.array(weights)
+
+
+def solution(sets: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Matrix and vector that turn the normal equations' right side and the total into the coefficients."""
+    d = sets.shape[1]
+    inverse = np.linalg.pinv(sets.T @ (weights[:, None] * sets)) if len(sets) else np.eye(d)
+    ones = inverse.sum(axis=1)
+    return inverse - np.outer(ones, ones) / ones.sum(), ones / ones.sum()
+
+
 def sampled_attribution(rows: DataFrame, background: DataFrame, model, features: Sequence[str],
-                        orders: int = 4, seed: int = 42) -> DataFrame:
-    """``session_id``, ``feature``, ``attribution``: mean gain of each feature over sampled orders
-    and all background rows.
-
-    For an order and each background row, features are switched one by one from the background's value
-    to the row's; each switch's change of the score belongs to that feature. The switched rows are
-    scored by the model as one DataFrame; the scores of a step are averaged over the background before
-    they are shuffled.
+                        drawn: int | None = None, seed: int = 42) -> DataFrame:
+    """``session_id``, ``feature``, ``attribution`` of every row; ids are distinct.
+
+    ``drawn``: sets of the sizes between (default twice the number of features).
     """
     d = len(features)
-    sample = [r[0] for r in background.orderBy(hash60(seed, "session_id", "background"))
-              .limit(BACKGROUND_ROWS).select(vector_to_array("features")).collect()]
-    rng = random.Random(seed)
-    places = []
-    for _ in range(orders):
-        order = list(range(d))
-        rng.shuffle(order)
-        places.append([order.index(i) for i in range(d)])
+    sample = np.array([r[0] for r in background.orderBy(hash60(seed, "session_id", "background"))
+                       .limit(BACKGROUND_ROWS).select(vector_to_array("features")).collect()])
+    sets, weights = coalitions(d, 2 * d if drawn is None else drawn, seed)
+    matrix, share = solution(sets, weights)
+    taken = sets.astype(bool)
+
+    def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, one in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for lo in range(0, len(taken), 64):
+                    part = taken[lo: lo + 64]
+                    values = np.where(part[:, None, :], np.array(one), sample[None]).reshape(-1, d)
+                    ends = pa.array(np.arange(len(values) + 1) * d, pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name] * len(values), pa.string()), pa.array(np.repeat(np.arange(lo, lo + len(part)), len(sample)), pa.int32()),
+                         pa.ListArray.from_arrays(ends, pa.array(values.ravel()))], names=["session_id", "_set", "_x"])
+
+    asked = rows.select("session_id", vector_to_array("features").alias("_x")).mapInArrow(
+        mixed, "session_id string, _set int, _x array<double>")
+    values = (model.transform(asked.select("session_id", "_set", array_to_vector("_x").alias("features")))
+              .groupBy("session_id", "_set").agg(F.avg(positive_probability()).alias("_v")))
     spark = rows.sparkSession
-    # Fixed size: at most 100 rows, and one list per order.
-    shared = F.broadcast(spark.createDataFrame(list(enumerate(sample)), "_b int, _back array<double>").drop("_b"))
-    ranks = F.broadcast(spark.createDataFrame(list(enumerate(places)), "_o int, _rank array<int>"))
-    picked = (rows.select("session_id", vector_to_array("features").alias("_x"),
-                          F.explode(F.sequence(F.lit(0), F.lit(orders - 1))).alias("_o"))
-              .join(ranks, "_o").crossJoin(shared)
-              .withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(d)))))
-    mixed = F.transform("_rank", lambda rank, i: F.when(
-        rank < F.col("_step"), F.get("_x", i)).otherwise(F.get("_back", i)))
-    scored = (model.transform(picked.withColumn("features", array_to_vector(mixed)))
-              .select("session_id", "_o", "_step", positive_probability().alias("_p"))
-              .groupBy("session_id", "_o", "_step").agg(F.avg("_p").alias("_p")))
-    # One small group per row and order: d + 1 steps, sorted by step.
-    steps = scored.groupBy("session_id", "_o").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("_step", "_p"))),
-                    lambda s: s["_p"]).alias("_path")).join(ranks, "_o")
-    gains = F.transform("_rank", lambda rank: F.get("_path", rank + 1) - F.get("_path", rank))
+    # Fixed size: one row of d numbers per set.
+    design = F.broadcast(spark.createDataFrame([(i, (w * z).tolist()) for i, (z, w) in enumerate(zip(sets, weights))], "_set int, _zw array<double>"))
+    score_of = spark.createDataFrame([(x.tolist(),) for x in sample], "_x array<double>")
+    base = model.transform(score_of.select(array_to_vector("_x").alias("features"))).agg(F.avg(positive_probability())).first()[0]
+    total = model.transform(rows.select("session_id", "features")).select("session_id", (positive_probability() - F.lit(base)).alias("_total"))
+    right = values.join(design, "_set").groupBy("session_id").agg(F.array(*[
+        F.sum(F.get("_zw", i) * (F.col("_v") - F.lit(base))) for i in range(d)]).alias("_right"))
+
+    def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            side = np.array(batch.column(2).to_pylist(), float).reshape(-1, d)
+            found = side @ matrix.T + np.outer(batch.column(1).to_numpy(), share)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * d, pa.int32()), pa.array(found.ravel()))],
+                names=["session_id", "_phi"])
+
+    zeros = F.array(*[F.lit(0.0)] * d)
+    sides = total.join(right, "session_id", "left").select("session_id", "_total", F.coalesce("_right", zeros).alias("_right"))
     names = F.array(*[F.lit(n) for n in features])
-    return (steps.select("session_id", F.posexplode(gains).alias("_i", "_gain"))
-            .withColumn("feature", F.get(names, F.col("_i")))
-            .groupBy("session_id", "feature").agg(F.avg("_gain").alias("attribution")))
+    return sides.mapInArrow(solved, "session_id string, _phi array<double>").select(
+        "session_id", F.inline(F.arrays_zip(names.alias("feature"), F.col("_phi").alias("attribution"))))

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, RandomForestClassifier,
+    GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier,
 )
-from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,17 +31,6 @@ MODELS = ("random_forest", "gradient_boosting", "logistic_regression")
 DEEPEST = 30  # the deepest tree pyspark.ml grows
 
 
-class AveragePrecision(Evaluator):
-    """Average precision of the positive-class probability, for cross-validation."""
-
-    def _evaluate(self, dataset: DataFrame) -> float:
-        scored = dataset.select("target", positive_probability().alias("score"))
-        return average_precision(scored).first()["pr_auc"] or 0.0
-
-    def isLargerBetter(self) -> bool:
-        return True
-
-
 def positive_probability(column: str = "probability") -> Column:
     return vector_to_array(column)[1]
 
@@ -67,7 +56,27 @@ def learn_inputs(train: DataFrame, columns: Sequence[str] | None = None) -> Inpu
     return Inputs([encode.one_hot(words), encode.assembler(names)], names)
 
 
-def estimator(name: str, settings: Settings, total_weight: float, weighted: bool = True):
+@dataclass(frozen=True)
+class Grid:
+    """An unfitted classifier, its parameter maps without the ensemble's size, and the sizes to compare.
+
+    ``sizes`` is empty for a model that is no ensemble; ``size`` names the parameter that holds it.
+    """
+
+    estimator: object
+    shapes: list[dict]
+    size: object = None
+    sizes: tuple[int, ...] = ()
+
+    def largest(self, shape: dict) -> dict:
+        return {**shape, self.size: self.sizes[-1]} if self.sizes else dict(shape)
+
+    @property
+    def points(self) -> int:
+        return len(self.shapes) * max(1, len(self.sizes))
+
+
+def estimator(name: str, settings: Settings, total_weight: float, weighted: bool = True) -> Grid:
     """The unfitted classifier and its parameter grid."""
     common = {"featuresCol": "features", "labelCol": "target"}
     if weighted:
@@ -75,23 +84,22 @@ def estimator(name: str, settings: Settings, total_weight: float, weighted: bool
     if name == "random_forest":
         est = RandomForestClassifier(seed=settings.seed, **common)
         grid = (ParamGridBuilder()
-                .addGrid(est.numTrees, list(settings.forest_trees))
                 .addGrid(est.maxDepth, [d or DEEPEST for d in settings.forest_depth])
                 .addGrid(est.minInstancesPerNode, list(settings.forest_min_leaf)))
-    elif name == "gradient_boosting":
+        return Grid(est, grid.build(), est.numTrees, tuple(sorted(settings.forest_trees)))
+    if name == "gradient_boosting":
         est = GBTClassifier(seed=settings.seed, **common)
         grid = (ParamGridBuilder()
-                .addGrid(est.maxIter, list(settings.boost_rounds))
                 .addGrid(est.maxDepth, list(settings.boost_depth))
                 .addGrid(est.stepSize, list(settings.boost_step)))
-    elif name == "logistic_regression":
+        return Grid(est, grid.build(), est.maxIter, tuple(sorted(settings.boost_rounds)))
+    if name == "logistic_regression":
         est = LogisticRegression(maxIter=200, **common)
         # The usual C is the inverse of the penalty on the summed, not the mean, loss.
         grid = ParamGridBuilder().addGrid(
             est.regParam, [1.0 / (c * total_weight) for c in settings.logistic_c])
-    else:
-        raise ValueError(f"unknown model: {name}")
-    return est, grid.build()
+        return Grid(est, grid.build())
+    raise ValueError(f"unknown model: {name}")
 
 
 def stratified_folds(df: DataFrame, settings: Settings = DEFAULTS, key: str = "session_id",
@@ -107,17 +115,101 @@ def stratified_folds(df: DataFrame, settings: Settings = DEFAULTS, key: str = "s
     return keyed.withColumn("fold", part.cast("int")).drop("_h"), folds
 
 
+def part_of(model, start: int, stop: int):
+    """The ensemble of a fitted ensemble's trees ``start`` to ``stop``, as a model of its own."""
+    java, jvm = model._java_obj, SparkSession.active()._jvm
+    trees, boosted = java.trees(), isinstance(model, GBTClassificationModel)
+    kind = "regression.DecisionTreeRegressionModel" if boosted else "classification.DecisionTreeClassificationModel"
+    gateway = SparkSession.active().sparkContext._gateway
+    chosen = gateway.new_array(getattr(getattr(jvm.org.apache.spark.ml, kind.split(".")[0]), kind.split(".")[1]), stop - start)
+    for i in range(start, stop):
+        chosen[i - start] = trees[i]
+    if boosted:
+        weights = gateway.new_array(jvm.double, stop - start)
+        for i, w in enumerate(java.treeWeights()[start:stop]):
+            weights[i] = w
+        made = jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+            f"{java.uid()}_{start}_{stop}", chosen, weights, java.numFeatures(), java.numClasses())
+    else:
+        made = jvm.org.apache.spark.ml.classification.RandomForestClassificationModel(
+            f"{java.uid()}_{start}_{stop}", chosen, java.numFeatures(), java.numClasses())
+    made = java.copyValues(made, java.extractParamMap())
+    made.set(made.getParam("maxIter" if boosted else "numTrees"), stop - start)
+    return type(model)(made)
+
+
+def prefix_scores(model, rows: DataFrame, sizes: Sequence[int]) -> DataFrame:
+    """``target``, ``size`` and the ``score`` that the first ``size`` trees give, for all sizes in one pass.
+
+    Trees are evaluated once: each run of them between two sizes gives a partial sum (votes of a forest, margin
+    of boosted trees), and a prefix is the sum of the runs before its end.
+    """
+    boosted = isinstance(model, GBTClassificationModel)
+    out, total, found = rows, None, []
+    for n, (start, stop) in enumerate(zip((0, *sizes), sizes)):
+        run = part_of(model, start, stop).setRawPredictionCol(f"_raw{n}").setProbabilityCol("").setPredictionCol("")
+        out = run.transform(out)
+        votes = vector_to_array(f"_raw{n}")
+        one = votes[1] if boosted else F.struct(votes[1].alias("for"), (votes[0] + votes[1]).alias("all"))
+        if boosted:
+            total = one if total is None else total + one
+            score = 1 / (1 + F.exp(-2 * total))
+        else:
+            total = (one["for"], one["all"]) if total is None else (total[0] + one["for"], total[1] + one["all"])
+            score = total[0] / total[1]
+        found.append(F.struct(F.lit(stop).alias("size"), score.alias("score")))
+    return out.select("target", F.inline(F.array(*found)))
+
+
+def fold_precision(model, held: DataFrame, sizes: Sequence[int]) -> list[float]:
+    """Average precision on the held-out fold, of every size of an ensemble or of the model itself."""
+    if not sizes:
+        scored = model.transform(held).select("target", positive_probability().alias("score"))
+        return [average_precision(scored).first()["pr_auc"] or 0.0]
+    found = {r["size"]: r["pr_auc"] or 0.0 for r in average_precision(prefix_scores(model, held, sizes), by=["size"]).collect()}
+    return [found.get(n, 0.0) for n in sizes]
+
+
+@dataclass(frozen=True)
+class Search:
+    """The refitted best model, its parameters and mean score, and its folds' models where they were fitted."""
+
+    model: object
+    params: dict
+    score: float | None
+    fold_models: list | None
+
+
 def tuned(name: str, rows: DataFrame, folds: int, settings: Settings, total_weight: float,
-          weighted: bool, parallelism: int = 4):
-    """Grid search by stratified folds; returns the refitted best model, its parameters and score."""
-    est, grid = estimator(name, settings, total_weight, weighted)
-    if len(grid) == 1:
-        return est.fit(rows, grid[0]), grid[0], None, est
-    search = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=AveragePrecision(),
-                            numFolds=folds, foldCol="fold", parallelism=parallelism)
-    found = search.fit(rows)
-    best = max(range(len(grid)), key=lambda i: found.avgMetrics[i])
-    return found.bestModel, grid[best], found.avgMetrics[best], est
+          weighted: bool, parallelism: int = 8) -> Search:
+    """Grid search by stratified folds, nested in the size of the ensemble.
+
+    Trees are added one after the other, so a forest or boosted model of the largest size holds those of all
+    smaller ones: each shape (the other parameters) is fitted once per fold and compared at every size. The
+    models of the best shape's folds, cut to the best size, are what calibration needs; the others are dropped
+    shape by shape. Folds of one shape are fitted side by side. First of equal points in grid order.
+    """
+    grid = estimator(name, settings, total_weight, weighted)
+    if grid.points == 1:
+        params = grid.largest(grid.shapes[0])
+        return Search(grid.estimator.fit(rows, params), params, None, None)
+
+    def one(shape: dict, k: int):
+        model = grid.estimator.fit(rows.where(F.col("fold") != k), grid.largest(shape))
+        return model, fold_precision(model, rows.where(F.col("fold") == k), grid.sizes)
+
+    best = None
+    with ThreadPoolExecutor(parallelism) as pool:
+        for shape in grid.shapes:
+            found = list(pool.map(lambda k: one(shape, k), range(folds)))
+            for n, scores in enumerate(zip(*(precision for _, precision in found))):
+                mean = sum(scores) / folds
+                if best is None or mean > best[0]:
+                    best = mean, shape, n, [model for model, _ in found]
+    mean, shape, n, models = best
+    params = {**shape, grid.size: grid.sizes[n]} if grid.sizes else shape
+    cut = [part_of(m, 0, grid.sizes[n]) for m in models] if grid.sizes else models
+    return Search(grid.estimator.fit(rows, params), params, mean, cut)
 
 
 @dataclass(frozen=True)
@@ -163,14 +255,15 @@ def _fit_calibrator(scored: DataFrame, method: str):
     raise ValueError(f"unknown calibration method: {method}")
 
 
-def calibrated(est, params, rows: DataFrame, folds: int, method: str = "isotonic") -> Calibrated:
-    """Per fold: fit on the others, learn the calibration on the fold itself."""
-    pairs = []
-    for k in range(folds):
-        model = est.fit(rows.where(F.col("fold") != k), params)
-        held = _with_raw(model, rows.where(F.col("fold") == k))
-        pairs.append((model, _fit_calibrator(held, method)))
-    return Calibrated(pairs, method)
+def calibrated(est, params, rows: DataFrame, folds: int, method: str = "isotonic",
+               models: Sequence | None = None, parallelism: int = 8) -> Calibrated:
+    """Per fold: a model of the others (fitted here unless given), and the calibration learned on the fold itself."""
+    def one(k: int):
+        model = models[k] if models else est.fit(rows.where(F.col("fold") != k), params)
+        return model, _fit_calibrator(_with_raw(model, rows.where(F.col("fold") == k)), method)
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        return Calibrated(list(pool.map(one, range(folds))), method)
 
 
 @dataclass(frozen=True)
@@ -229,7 +322,7 @@ def train_classifier(name: str, train: DataFrame, settings: Settings = DEFAULTS,
     inputs = learn_inputs(train, columns)
     prepared = Pipeline(stages=inputs.stages).fit(train)
     ready = prepared.transform(train).select("session_id", "target", "features")
-    searching = len(estimator(name, settings, 1.0)[1]) > 1
+    searching = estimator(name, settings, 1.0).points > 1
     if searching or calibrate or settings.imbalance == "smote":
         rows, folds = stratified_folds(ready, settings)
     else:
@@ -242,16 +335,18 @@ def train_classifier(name: str, train: DataFrame, settings: Settings = DEFAULTS,
     if settings.imbalance == "focal_loss":
         rows = materialise(focal_weights(rows))
     total = rows.count()
-    model, params, score, est = tuned(name, rows, folds, settings, float(total), weighted)
-    calibration = calibrated(est, params, rows, folds, settings.calibration) if calibrate else None
+    found = tuned(name, rows, folds, settings, float(total), weighted)
+    est = estimator(name, settings, float(total), weighted).estimator
+    calibration = calibrated(est, {getattr(est, p.name): v for p, v in found.params.items()}, rows, folds,
+                             settings.calibration, found.fold_models) if calibrate else None
     # The names in a model's record.
     metadata = {
         "model_name": name, "trained_at": started.isoformat(),
         "imbalance_strategy": settings.imbalance,
-        "best_params": {p.name: v for p, v in params.items()},
-        "cv_best_score_pr_auc": score, "feature_list": inputs.features, "n_train_rows": total,
+        "best_params": {p.name: v for p, v in found.params.items()},
+        "cv_best_score_pr_auc": found.score, "feature_list": inputs.features, "n_train_rows": total,
         "train_seconds": (datetime.now(timezone.utc) - started).total_seconds(), "folds": folds}
-    return Classifier(prepared, inputs.features, model, calibration, metadata)
+    return Classifier(prepared, inputs.features, found.model, calibration, metadata)
 
 
 def focal_weights(rows: DataFrame, gamma: float = 2.0) -> DataFrame:

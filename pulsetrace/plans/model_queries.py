@@ -17,10 +17,12 @@ from pulsetrace.plans.registry import query
 from pulsetrace.session import materialise, scratch_path
 from pulsetrace.sources import sinks
 
-# One grid point per model keeps a query short; the defaults hold the full grids.
-SMALL = DEFAULTS.with_(forest_trees=(40,), forest_depth=(8,), forest_min_leaf=(1,),
-                       boost_rounds=(10,), boost_depth=(4,), boost_step=(0.1,), logistic_c=(1.0,),
-                       cv_folds=3, autoencoder_epochs=10)
+# The searches go over every shape of the default grids with the default folds; ensembles are a twentieth and a
+# fortieth of the default sizes, since a local fit's time is the launch of its jobs (times in the README).
+SEARCH = DEFAULTS.with_(forest_trees=(10, 20, 40), boost_rounds=(5, 10))
+# Queries about what comes after the search take one shape of the trees; linear models keep their whole grid.
+SMALL = SEARCH.with_(forest_trees=(40,), forest_depth=(8,), forest_min_leaf=(1,),
+                     boost_rounds=(10,), boost_depth=(4,), boost_step=(0.1,))
 
 
 def _parts(spark, folder, split="random"):
@@ -31,8 +33,9 @@ def _parts(spark, folder, split="random"):
 
 
 def _scores(spark, folder, name):
+    """Searched, refitted and calibrated."""
     train, test = _parts(spark, folder)
-    model = supervised.train_classifier(name, train, SMALL, calibrate=False)
+    model = supervised.train_classifier(name, train, SEARCH)
     return model.score(test).select("session_id", "target", "supervised_score")
 
 
@@ -53,11 +56,9 @@ def lr_scores(spark, folder):
 
 @query("cv_grid")
 def cv_grid(spark, folder):
-    """Grid search over two points, scored by average precision on stratified folds."""
+    """Grid search over the default points, scored by average precision on stratified folds."""
     train, _ = _parts(spark, folder)
-    settings = SMALL.with_(logistic_c=(0.01, 1.0))
-    meta = supervised.train_classifier("logistic_regression", train, settings,
-                                       calibrate=False).metadata
+    meta = supervised.train_classifier("logistic_regression", train, calibrate=False).metadata
     return spark.createDataFrame(
         [(meta["model_name"], float(meta["best_params"]["regParam"]),
           float(meta["cv_best_score_pr_auc"]), meta["folds"])],
@@ -137,7 +138,7 @@ def mahalanobis_anomaly(spark, folder):
 def evaluate_split(spark, folder):
     """The held-out-family split end to end: both branches, fusion, thresholds, metrics."""
     matrix = runs.session_matrix(kept_flows(spark, folder))
-    return runs.evaluate_split(matrix, "held_out_family", SMALL, calibrate=False)[0]
+    return runs.evaluate_split(matrix, "held_out_family", SMALL)[0]
 
 
 REPORT_SCHEMA = ("split string, branch string, pr_auc double, roc_auc double, "
@@ -151,8 +152,7 @@ def evaluation_report(spark, folder):
     matrix = runs.session_matrix(kept_flows(spark, folder))
     report = None
     for split in runs.SPLITS:
-        rows = runs.evaluate_split(matrix, split, SMALL, "logistic_regression",
-                                   calibrate=False)[0]
+        rows = runs.evaluate_split(matrix, split, SMALL, "logistic_regression")[0]
         report = rows if report is None else report.unionByName(rows)
     path = scratch_path(spark, "report")
     sinks.save_report(report.withColumn("note", F.lit(curves.ACCURACY_NOTE)), path)
@@ -163,7 +163,7 @@ def evaluation_report(spark, folder):
 def explained_decisions(spark, folder):
     """Decision log of the random split with a sentence per verdict, from the refitted forest."""
     matrix = runs.session_matrix(kept_flows(spark, folder))
-    _, scored, limits, classifier = runs.evaluate_split(matrix, "random", SMALL, calibrate=False)
+    _, scored, limits, classifier = runs.evaluate_split(matrix, "random", SMALL)
     ready = classifier.inputs.transform(scored)
     found, _ = tree_attribution(ready, classifier.model, classifier.features)
     reasons = found.withColumn("reasons", explain.top_reasons(3)).select(
@@ -258,5 +258,4 @@ def model_roundtrip(spark, folder):
 def full_run(spark, folder):
     """All deliverables of one run; the result is its report."""
     settings = SMALL.with_(forest_trees=(10,), forest_depth=(5,))
-    return runs.full_run(kept_flows(spark, folder), scratch_path(spark, "run"), settings,
-                         calibrate=False)
+    return runs.full_run(kept_flows(spark, folder), scratch_path(spark, "run"), settings)

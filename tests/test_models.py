@@ -2,24 +2,21 @@
 
 import itertools
 import math
-import random
 
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pulsetrace.config import DEFAULTS
 from pulsetrace.models import anomaly
-from pulsetrace.models.forest_attribution import (
-    base_value, forest_nodes, leaf_attribution, leaf_table, tree_attribution,
-)
+from pulsetrace.models.forest_attribution import forest_nodes, tree_attribution
 from pulsetrace.models.sampled_attribution import sampled_attribution
-from pulsetrace.models.supervised import stratified_folds, train_classifier
+from pulsetrace.models.supervised import part_of, prefix_scores, stratified_folds, train_classifier
 from pulsetrace.operators.encode import assembler
 from pulsetrace.operators.smote import nearest_neighbours, smote
 
@@ -102,23 +99,60 @@ def shapley(x, leaves, d):
     return phi
 
 
-def test_tree_attribution_is_additive_and_exact(spark, rows):
-    ready = assembler(["iat_cv", "iat_mean", "pkt_ratio"]).transform(rows)
-    model = RandomForestClassifier(featuresCol="features", labelCol="target", numTrees=5, maxDepth=4,
-                                   seed=1).fit(ready)
-    found, base = tree_attribution(ready, model, ["iat_cv", "iat_mean", "pkt_ratio"])
+def plain_leaves(nodes):
+    """Leaves as (value per forest, features, low, high, shares), from a recursive walk."""
+    trees, leaves = nodes["tree"].nunique(), []
+    for _, tree in nodes.groupby("tree"):
+        by_id = {n["node"]: n for n in tree.to_dict("records")}
+
+        def walk(number, bounds):
+            node = by_id[number]
+            if node["left"] < 0:
+                names = sorted(bounds)
+                columns = np.array([bounds[f] for f in names]).reshape(-1, 3).T
+                leaves.append((node["positive"] / node["weight"] / trees, np.array(names, dtype=int), *columns))
+                return
+            low, high, share = bounds.get(node["feature"], (-np.inf, np.inf, 1.0))
+            for child, lo, hi in ((node["left"], low, min(high, node["cut"])), (node["right"], max(low, node["cut"]), high)):
+                walk(child, {**bounds, node["feature"]: (lo, hi, share * by_id[child]["weight"] / node["weight"])})
+
+        walk(0, {})
+    return leaves
+
+
+def gap_of(model, ready, found, base):
     total = found.select("session_id", F.aggregate(
         "attribution", F.lit(0.0), lambda a, e: a + e["attribution"]).alias("phi"))
-    gap = model.transform(ready).select(
+    return model.transform(ready).select(
         "session_id", vector_to_array("probability")[1].alias("p")).join(total, "session_id").agg(
-        F.max(F.abs(F.col("p") - F.col("phi") - base))).first()[0]
-    assert gap < 1e-9
-    leaves = leaf_table(forest_nodes(spark, model).toPandas())
-    x = np.array([[0.3, -0.2, 0.1], [2.0, -1.0, 1.0]])
-    got = leaf_attribution(x, leaves)
-    for i in range(len(x)):
-        assert np.allclose(got[i], shapley(x[i], leaves, 3))
-    assert 0 < base_value(leaves) < 1
+        F.count("*"), F.max(F.abs(F.col("p") - F.col("phi") - base))).first()
+
+
+def test_tree_attribution_is_additive_and_exact(spark, rows):
+    names = ["iat_cv", "iat_mean", "pkt_ratio"]
+    ready = assembler(names).transform(rows)
+    model = RandomForestClassifier(featuresCol="features", labelCol="target", numTrees=5, maxDepth=4,
+                                   seed=1).fit(ready)
+    nodes = forest_nodes(spark, model).toPandas()
+    leaves = plain_leaves(nodes)
+    for limits in ((200_000, 32_768), (20, 50)):  # one tree group and block; several of both
+        found, base = tree_attribution(ready, model, names, nodes_per_group=limits[0], rows_per_block=limits[1])
+        count, gap = gap_of(model, ready, found, base)
+        assert count == 240 and gap < 1e-9 and 0 < base < 1
+        for r in found.orderBy("session_id").limit(5).collect():
+            x = np.array([e.value for e in r.attribution])
+            assert np.allclose([e.attribution for e in r.attribution], shapley(x, leaves, 3))
+
+
+def test_deep_paths_stay_additive(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 24))
+    y = ((x * rng.normal(size=24)).sum(axis=1) + rng.normal(size=400) > 0).astype(float)
+    names = [f"f{i}" for i in range(24)]
+    df = spark.createDataFrame([(f"s{i:03}", Vectors.dense(v), float(t)) for i, (v, t) in enumerate(zip(x, y))], ["session_id", "features", "target"])
+    model = RandomForestClassifier(featuresCol="features", labelCol="target", numTrees=30, maxDepth=30, seed=2).fit(df)
+    found, base = tree_attribution(df, model, names, nodes_per_group=1000)
+    assert gap_of(model, df, found, base)[1] < 1e-9
 
 
 def test_components_error_matches_numpy(spark, rows):
@@ -204,28 +238,72 @@ def test_calibrated_scores_are_probabilities(rows, method):
     assert set(scored.columns) == {*rows.columns, "supervised_score"}
 
 
-def test_sampled_attribution_averages_over_the_whole_background(spark):
+class LinearScore:
+    """Stands in for a model whose probability is linear in the features."""
+
+    def __init__(self, slopes):
+        self.slopes = slopes
+
+    def transform(self, df):
+        value = sum((vector_to_array("features")[i] * float(w) for i, w in enumerate(self.slopes)), F.lit(0.5))
+        return df.withColumn("probability", array_to_vector(F.array(1 - value, value)))
+
+
+def test_sampled_attribution_of_a_linear_model(spark):
     draw = np.random.default_rng(4)
-    vectors = draw.normal(size=(30, 3))
+    for d in (1, 2, 3, 7):
+        vectors, slopes = draw.normal(size=(30, d)), draw.normal(size=d) / 10
+        df = spark.createDataFrame([(f"s{i:02}", Vectors.dense(v)) for i, v in enumerate(vectors)], ["session_id", "features"])
+        names = [f"n{i}" for i in range(d)]
+        found = {(r.session_id, r.feature): r.attribution
+                 for r in sampled_attribution(df.limit(6), df, LinearScore(slopes), names).collect()}
+        assert len(found) == 6 * d
+        for i in range(6):
+            want = (vectors[i] - vectors.mean(axis=0)) * slopes
+            np.testing.assert_allclose([found[f"s{i:02}", n] for n in names], want, atol=1e-9)
+
+
+def test_sampled_attribution_with_all_sets_is_exact(spark):
+    draw = np.random.default_rng(5)
+    vectors = draw.normal(size=(25, 3))
     df = spark.createDataFrame([(f"s{i:02}", Vectors.dense(v), float(v[0] + v[1] > 0)) for i, v in enumerate(vectors)],
                                ["session_id", "features", "label"])
-    model = LogisticRegression(regParam=0.1).fit(df)
-    names = ["a", "b", "c"]
-    found = {}
-    for r in sampled_attribution(df.limit(5), df, model, names, orders=2, seed=7).collect():
-        found[r.session_id, r.feature] = r.attribution
+    model, names = LogisticRegression(regParam=0.1).fit(df), ["a", "b", "c"]  # of three features every set is asked
     chance = lambda x: 1 / (1 + np.exp(-(x @ model.coefficients.toArray() + model.intercept)))
-    rng, orders = random.Random(7), []
-    for _ in range(2):
-        order = [0, 1, 2]
-        rng.shuffle(order)
-        orders.append(order)
-    for i in range(5):
-        want = np.zeros(3)
-        for order in orders:
-            mixed = vectors.copy()
-            for k in order:
-                before = chance(mixed).mean()
-                mixed[:, k] = vectors[i, k]
-                want[k] += (chance(mixed).mean() - before) / 2
-        np.testing.assert_allclose([found[f"s{i:02}", n] for n in names], want, atol=1e-9)
+    found = {(r.session_id, r.feature): r.attribution for r in sampled_attribution(df.limit(4), df, model, names).collect()}
+    for i in range(4):
+        def worth(members):
+            return chance(np.where(np.isin(range(3), members), vectors[i], vectors)).mean()
+
+        for j in range(3):
+            others = [k for k in range(3) if k != j]
+            want = sum(math.factorial(n) * math.factorial(2 - n) / 6 * (worth([*s, j]) - worth(s))
+                       for n in range(3) for s in map(list, itertools.combinations(others, n)))
+            assert found[f"s{i:02}", names[j]] == pytest.approx(want, abs=1e-9)
+
+
+def test_nested_ensembles_equal_models_of_their_own(rows):
+    ready = assembler(["iat_cv", "iat_mean", "pkt_ratio"]).transform(rows).select("session_id", "target", "features")
+    forest = RandomForestClassifier(labelCol="target", numTrees=9, maxDepth=4, seed=1).fit(ready)
+    boosted = {n: GBTClassifier(labelCol="target", maxIter=n, maxDepth=3, seed=1).fit(ready) for n in (3, 6)}
+
+    def scores(df, column="score"):
+        return sorted(r[0] for r in df.select(column).collect())
+
+    for model, sizes in ((forest, (2, 5, 9)), (boosted[6], (3, 6))):
+        found = prefix_scores(model, ready, sizes)
+        for n in sizes:
+            own = part_of(model, 0, n) if model is forest else boosted[n]
+            assert own.getNumTrees == n
+            want = own.transform(ready).select(vector_to_array("probability")[1].alias("score"))
+            np.testing.assert_allclose(scores(found.where(F.col("size") == n)), scores(want), atol=1e-12)
+
+
+def test_search_looks_at_every_point_and_keeps_its_folds(rows):
+    settings = DEFAULTS.with_(forest_trees=(3, 6), forest_depth=(2, None), forest_min_leaf=(1, 20), cv_folds=3)
+    model = train_classifier("random_forest", rows, settings)
+    best = model.metadata["best_params"]
+    assert best["numTrees"] in (3, 6) and best["maxDepth"] in (2, 30) and best["minInstancesPerNode"] in (1, 20)
+    assert 0.5 < model.metadata["cv_best_score_pr_auc"] <= 1
+    assert [m.getNumTrees for m, _ in model.calibration.pairs] == [best["numTrees"]] * 3
+    assert model.model.getNumTrees == best["numTrees"]
