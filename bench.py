@@ -48,8 +48,8 @@ def main() -> None:
         limits = calibrate_thresholds(scored)
         drain(scored.select("*", decide("risk_score", limits).alias("action")))
 
-    def regular(flows, settings):
-        return session_features(flows, settings, ("timing",)).select(
+    def regular(sessions, settings):
+        return sessions.select(
             "target", "jitter_pct", F.round(1 / (1 + F.col("iat_cv")), 6).alias("score"))
 
     queries = {
@@ -62,7 +62,8 @@ def main() -> None:
             kept_short, blocks=("timing", "volume", "meta"))))),
         "verdicts": (n_short, verdicts),
         "average_precision": (n_short, lambda: drain(curves.average_precision(scored, "risk_score"))),
-        "jitter_curve": (n_short, lambda: drain(sweeps.jitter_curve(kept_short, regular, 0.85))),
+        "jitter_curve": (n_short, lambda: drain(sweeps.jitter_curve(
+            kept_short, regular, 0.85, blocks=("timing",)))),
         "flagship_from_events": (n_short, lambda: drain(scored_sessions(spark, FOLDER))),
     }
     seconds = {}

@@ -160,14 +160,8 @@ def add_context(sessions: DataFrame, per: Sequence[str] = (), rows: int | None =
                        left_rows=rows)
 
 
-def session_features(flows: DataFrame, settings: Settings = DEFAULTS,
-                     blocks: Sequence[str] = BLOCKS) -> DataFrame:
-    """One row per session of at least ``min_session_flows`` flows, with the wanted blocks.
-
-    Output: session keys, ``n_flows``, ``first_us``, ``last_us``, ``target`` where the flows have
-    one, and the features. The context block is separate, see ``add_context``.
-    """
-    keys = list(settings.session_keys)
+def block_sums(flows: DataFrame, blocks: Sequence[str]) -> list[str]:
+    """Aggregates of the wanted blocks, all combined before the shuffle but for the picks of ``meta``."""
     sums = list(BASE_SUMS)
     if "volume" in blocks:
         sums += VOLUME_SUMS
@@ -177,6 +171,36 @@ def session_features(flows: DataFrame, settings: Settings = DEFAULTS,
         sums += _meta_picks(flows.columns)
     if "target" in flows.columns:
         sums.append("max(target) AS target")
+    return sums
+
+
+def interval_features(table: DataFrame, spectral: bool) -> DataFrame:
+    """Statistics of the intervals in the sorted array ``times``, and on demand the two spectral scores."""
+    table = _interval_columns(table, spectral)
+    return table if not spectral else table.select("*", series_scores("iats").alias("_s")).selectExpr(
+        "* EXCEPT (iats, _s)", "_s.periodicity_score", "_s.fft_dominant_power")
+
+
+def derived_features(table: DataFrame, settings: Settings, blocks: Sequence[str]) -> DataFrame:
+    """The features that follow from a session's sums and interval statistics."""
+    derived = []
+    if "timing" in blocks or "periodicity" in blocks:
+        derived += DERIVED_TIMING
+    if "volume" in blocks:
+        derived += [_log_scaled(e, settings.log_scaled) for e in DERIVED_VOLUME]
+    if "state" in blocks:
+        derived += DERIVED_STATE
+    return table.selectExpr("*", *derived) if derived else table
+
+
+def session_features(flows: DataFrame, settings: Settings = DEFAULTS,
+                     blocks: Sequence[str] = BLOCKS) -> DataFrame:
+    """One row per session of at least ``min_session_flows`` flows, with the wanted blocks.
+
+    Output: session keys, ``n_flows``, ``first_us``, ``last_us``, ``target`` where the flows have
+    one, and the features. The context block is separate, see ``add_context``.
+    """
+    keys, sums = list(settings.session_keys), block_sums(flows, blocks)
     timed, spectral = "timing" in blocks or "periodicity" in blocks, "periodicity" in blocks
     hot = find_hot_sessions(flows, keys, settings.hot_session_flows)
     normal = hot.outside(flows) if hot else flows
@@ -184,23 +208,13 @@ def session_features(flows: DataFrame, settings: Settings = DEFAULTS,
     table = (normal.groupBy(*keys).agg(*map(F.expr, sums + series))
              .where(f"n_flows >= {settings.min_session_flows}"))
     if timed:
-        table = _interval_columns(table, spectral)
-    if spectral:
-        table = table.select("*", series_scores("iats").alias("_s")).selectExpr(
-            "* EXCEPT (iats, _s)", "_s.periodicity_score", "_s.fft_dominant_power")
+        table = interval_features(table, spectral)
     if hot:
         few = hot.inside(flows).groupBy(*keys).agg(*map(F.expr, sums))
         if timed:
             few = hot_timing(few, flows, hot, spectral)
         table = table.unionByName(few)
-    derived = []
-    if timed:
-        derived += DERIVED_TIMING
-    if "volume" in blocks:
-        derived += [_log_scaled(e, settings.log_scaled) for e in DERIVED_VOLUME]
-    if "state" in blocks:
-        derived += DERIVED_STATE
-    return table.selectExpr("*", *derived) if derived else table
+    return derived_features(table, settings, blocks)
 
 
 def context_from(sessions: DataFrame, flows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -226,11 +240,17 @@ def feature_matrix(flows: DataFrame, settings: Settings = DEFAULTS,
 
     The context counts the flows of the kept sessions, or ``context_flows`` where given.
 
-    The flows are read once for the hot-session check (keys only) and once for the features; the
-    session rows are written before the context is taken from them.
+    The flows are read once for the hot-session check and once for the features; the session rows are
+    written before the context is taken from them.
     """
+    return matrix_of(session_features(flows, settings), settings, context_flows)
+
+
+def matrix_of(sessions: DataFrame, settings: Settings = DEFAULTS,
+              context_flows: DataFrame | None = None) -> DataFrame:
+    """The feature matrix of session rows that have all blocks but the context."""
     extra = [k for k in settings.session_keys if k not in ("orig_h", "resp_h", "resp_p")]
-    stored = materialise(session_features(flows, settings))
+    stored = materialise(sessions)
     if context_flows is None:
         table = add_context(stored, extra, stored.count())
     else:

@@ -61,7 +61,12 @@ def session_sizes(flows: DataFrame, keys: Sequence[str] = SESSION_KEYS) -> DataF
 
 def find_hot_sessions(flows: DataFrame, keys: Sequence[str] = SESSION_KEYS,
                       limit: int = DEFAULTS.hot_session_flows) -> HotSessions | None:
-    """The sessions above ``limit`` flows, however many, or None; reads the key columns only."""
+    """The sessions above ``limit`` flows, however many, or None; reads the key columns only.
+
+    No session can be larger than the whole, so the sizes are counted only where the flows exceed the limit.
+    """
+    if flows.count() <= limit:
+        return None
     large = session_sizes(flows, keys).where(F.col("n_flows") > limit)
     table = materialise(large.withColumn("_no", F.monotonically_increasing_id()))
     return None if table.isEmpty() else HotSessions(tuple(keys), table)

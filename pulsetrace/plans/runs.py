@@ -15,7 +15,7 @@ from pulsetrace.models.forest_attribution import tree_attribution
 from pulsetrace.models.supervised import Classifier, save_classifier, train_classifier
 from pulsetrace.operators import curves, explain, fusion, splits, sweeps
 from pulsetrace.operators.decision import Thresholds, calibrate_thresholds, decision_log
-from pulsetrace.operators.features import feature_matrix, tier_columns
+from pulsetrace.operators.features import feature_matrix, matrix_of, tier_columns
 from pulsetrace.session import materialise
 from pulsetrace.sources import sinks
 
@@ -100,13 +100,13 @@ def cross_dataset(train: DataFrame, other: DataFrame, settings: Settings = DEFAU
 
 
 def scored_with(classifier: Classifier, context_flows: DataFrame | None = None):
-    """Sweep callback: rebuild the matrix of perturbed flows and score it with a fitted model.
+    """Sweep callback: complete the matrix of perturbed sessions and score it with a fitted model.
 
     With ``context_flows`` (all flows, say) the context is that of the real network; otherwise it is
     counted over the perturbed positives alone.
     """
-    def score(flows: DataFrame, settings: Settings) -> DataFrame:
-        return classifier.score(session_matrix(flows, settings, context_flows), "score")
+    def score(sessions: DataFrame, settings: Settings) -> DataFrame:
+        return classifier.score(materialise(matrix_of(sessions, settings, context_flows)), "score")
     return score
 
 

@@ -37,8 +37,7 @@ def inject_jitter(spark, folder):
     return sweeps.inject_jitter(positives, [30]).select("uid", "ts_us")
 
 
-def _regular(flows, settings):
-    table = session_features(flows, settings, ("timing",))
+def _regular(table, settings):
     return table.select("target", "jitter_pct",
                         F.round(1 / (1 + F.col("iat_cv")), 6).alias("score"))
 
@@ -50,7 +49,7 @@ FROM js GROUP BY jitter_pct""", sql.TARGET, JITTER, f"""
 js AS (SELECT jitter_pct, ROUND(1 / (1 + STDDEV_POP(iat_us) / AVG(iat_us)), 6) AS score
        FROM jn WHERE n >= 4 GROUP BY jitter_pct, {sql.KEYS})"""))
 def jitter_curve(spark, folder):
-    curve = sweeps.jitter_curve(kept_flows(spark, folder), _regular, 0.85)
+    curve = sweeps.jitter_curve(kept_flows(spark, folder), _regular, 0.85, blocks=("timing",))
     return rounded(curve, {"jitter_pct": None, "recall_at_threshold": 6, "threshold": None})
 
 
@@ -71,8 +70,7 @@ def inject_padding(spark, folder):
     return sweeps.inject_padding(positives, [1.5]).select("uid", "orig_bytes", "orig_ip_bytes")
 
 
-def _quiet(flows, settings):
-    table = session_features(flows, settings, ("volume",))
+def _quiet(table, settings):
     return table.select("target", "padding_factor",
                         F.round(1 / (1 + F.col("orig_resp_byte_ratio")), 6).alias("score"))
 
@@ -85,7 +83,7 @@ ps AS (SELECT padding_factor, ROUND(1 / (1 + CAST(SUM(orig_ip_bytes) AS DOUBLE)
          / (CAST(SUM(COALESCE(resp_ip_bytes, 0)) AS DOUBLE) + 1)), 6) AS score
        FROM pad WHERE n >= 4 GROUP BY padding_factor, {sql.KEYS})"""))
 def padding_curve(spark, folder):
-    curve = sweeps.padding_curve(kept_flows(spark, folder), _quiet, 0.25)
+    curve = sweeps.padding_curve(kept_flows(spark, folder), _quiet, 0.25, blocks=("volume",))
     return rounded(curve, {"padding_factor": None, "recall_at_threshold": 6, "threshold": None})
 
 

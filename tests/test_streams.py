@@ -6,7 +6,8 @@ import numpy as np
 from fixtures import START, beacon, flows, irregular
 from pyspark.sql import functions as F
 
-from pulsetrace.operators import drift, enrich, sweeps
+from pulsetrace.config import DEFAULTS
+from pulsetrace.operators import drift, enrich, features, sweeps
 from pulsetrace.operators.labels import binary_target
 from pulsetrace.session import scratch_path
 from pulsetrace.streaming import live
@@ -132,3 +133,24 @@ def test_tls_properties(spark):
     assert (one.cert_validity_days, one.cert_is_self_signed) == (3, True)
     assert abs(one.cert_subject_cn_entropy - 0.918295834) < 1e-6
     assert got[uids[1]].tls_version is None
+
+
+def test_sweeps_equal_features_of_the_perturbed_flows(spark):
+    df = binary_target(flows(spark, beacon(40), irregular(30, 5, label="C&C-HeartBeat"), beacon(3, port=80)))
+    df = df.unionByName(df.limit(2).withColumn("ts_us", F.lit(None).cast("bigint")))
+    blocks = ("timing", "periodicity", "volume", "state")
+    for level, by_level, copies, built in (
+            ("jitter_pct", [0, 20, 50], sweeps.inject_jitter, sweeps.jittered_sessions),
+            ("padding_factor", [1.0, 2.0], sweeps.inject_padding, sweeps.padded_sessions)):
+        keyed = DEFAULTS.with_(session_keys=(*DEFAULTS.session_keys, level))
+        want = features.session_features(copies(df, by_level), keyed, blocks)
+        for limit in (1_000_000, 35):  # gathered, and one session on the path for hot ones
+            got = built(df, by_level, DEFAULTS.with_(hot_session_flows=limit), blocks)
+            assert set(got.columns) == set(want.columns)
+            a, b = (x.toPandas().sort_values([*keyed.session_keys]).reset_index(drop=True) for x in (got, want))
+            assert len(a) == len(b) == 2 * len(by_level)
+            for c in want.columns:
+                if b[c].dtype == float:
+                    np.testing.assert_allclose(a[c], b[c], rtol=1e-9, atol=1e-9, err_msg=c)
+                else:
+                    assert (a[c] == b[c]).all(), c
