@@ -64,18 +64,88 @@ def test_a_word_on_a_wrapper_drops_no_main_text(spark, page):
     assert html_text.extract(pages).first().text == "one\ntwo"
 
 
-def test_boilerplate_within_articles_goes_and_copies_stay(spark):
+def test_articles_keep_what_they_share(spark):
     notice = "all rights reserved by the publisher of this paper"
     own = lambda i, n=20: " ".join(f"w{i}x{j}" for j in range(n))
-    pages = [(i, f"https://news.example/{i}", f"<article><p>{own(i)}</p><p>{notice}</p></article>") for i in range(40)]
-    pages += [(100 + i, f"https://few.example/{i}", f"<article><p>{own(i)}</p><p>{notice}</p></article>") for i in range(3)]
+    pages = [(1000 * n + i, f"https://host{n}.example/{i}", f"<article><p>{own(i)}</p><p>{notice}</p></article>")
+             for n in (2, 8, 60) for i in range(n)]
     pages += [(200 + i, f"https://copy.example/{i}", f"<article><p>{own(7)}</p><p>{notice} {i}</p></article>") for i in range(40)]
     out = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
-    assert all(out[i] == own(i) for i in range(40))
-    assert all(out[100 + i] == f"{own(i)}\n{notice}" for i in range(3))  # three pages are no template
+    assert all(out[1000 * n + i] == f"{own(i)}\n{notice}" for n in (2, 8, 60) for i in range(n))
     assert all(out[200 + i] == f"{own(7)}\n{notice} {i}" for i in range(40))
 
 
+MAIN_TEXT = {
+    "<body><form id='aspnetForm'><p>one</p><article><p>two</p></article></form>": "one\ntwo",
+    "<nav><a>Home</a><article><p>two</p></article>": "two",
+    "<article><header><h1>The title</h1><p>lead</p></header><p>a <label>b</label> c</p></article>": "The title\nlead\na b c",
+    "<article><div class='share-price'>up</div><p class='hidden-gem'>gem</p><div class='share-buttons'>x</div></article>": "up\ngem",
+    "<aside><article><p>teaser</p></article></aside><article><p>two</p></article>": "two",
+    "<main><fieldset><p>in</p></fieldset><form><p>f</p></form><div hidden><p>h</p></div><footer>end</footer></main>": "in",
+    "<div hidden><article>h</article></div><p>open</p>": "open",
+}
+
+
+def test_no_element_or_class_drops_main_text(spark):
+    rows = [(i, f"https://h{i}.example/", page) for i, page in enumerate(MAIN_TEXT)]
+    clash = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], "page_id long, url string, html string, text string, row int, host string")
+    out = {r.page_id: r.text for r in html_text.extract(clash).collect()}
+    assert [out[i] for i in range(len(rows))] == list(MAIN_TEXT.values())
+
+
+def plain_boilerplate(pages, run, covered):
+    """(url, block) of open blocks that repeat on their host, by the sets of their token runs."""
+    hosts = {}
+    for _, url, page in pages:
+        found = tuple(t for t, _ in html_text.settled(html_text.parts_of(page)))
+        hosts.setdefault(html_text.host_of(url), set()).add(found)
+    out = set()
+    for host, texts in hosts.items():
+        runs = lambda t: [tuple(t.split()[i: i + run]) for i in range(len(t.split()) - run + 1)]
+        for found in texts:
+            others = [t for other in texts if other != found for t in other]
+            seen = {r for t in others for r in runs(t)}
+            for t in found:
+                hit = [0] * len(t.split())
+                for i, r in enumerate(runs(t)):
+                    if r in seen:
+                        hit[i: i + run] = [1] * run
+                if t in others or sum(hit) > covered * len(hit):
+                    out.add((host, t))
+    return out
+
+
+def test_host_suffixes_equal_a_plain_version(spark):
+    rng = random.Random(12)
+    menu = [f"m{i}" for i in range(40)]
+    pages = []
+    for n in range(120):
+        blocks = []
+        for _ in range(rng.randint(1, 6)):
+            if rng.random() < 0.5:
+                at = rng.randint(0, 30)
+                words = menu[at: at + rng.randint(1, 14)]
+            else:
+                words = [rng.choice("abcdefgh") + str(rng.randint(0, 60)) for _ in range(rng.randint(1, 25))]
+            if rng.random() < 0.3:
+                words = words + [f"u{n}"] * rng.randint(1, 8)
+            blocks.append("<p>" + " ".join(words) + "</p>")
+        pages.append((n, f"https://h{n % 3}.example/{n}", "".join(blocks)))
+    pages += [(200 + i, url, page) for i, (_, url, page) in enumerate(pages[:20])]  # exact copies
+    gone = plain_boilerplate(pages, 6, 0.5)
+    assert 20 < len(gone)
+    out = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i, url, page in pages:
+        blocks = [t for t, _ in html_text.parts_of(page)]
+        kept = [t for t in blocks if (html_text.host_of(url), t) not in gone]
+        assert out[i] == "\n".join(kept or blocks), i
+
+
+def test_a_very_long_page(spark):
+    page = "<article>" + "<p>one two three</p>" * 50_000 + "</article>"
+    assert html_text.extract(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first().text.count("\n") == 49_999
+
+
 def test_article_text_of_the_table(spark):
     import html
 
