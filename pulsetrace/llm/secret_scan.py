@@ -5,8 +5,10 @@ the matches of the patterns, but for long runs, which are what the models are to
 identifiers, most of them with digits, paths and dates; samples labelled random are the patterns' matches and a
 seeded set of uniformly random strings over the usual alphabets, letters alone and digits alone among them. Character
 pairs are counted in Arrow batches, summed by Spark, and only the two fixed-size tables reach the driver. Every run of
-enough characters is scored, and a secret where the log-likelihood ratio of random to ordinary reaches the
-threshold: the configured one, or the most that all but a small share of further labelled identifiers reach.
+enough characters is scored, also what a pattern's match leaves of it, and a secret where the log-likelihood ratio of
+random to ordinary exceeds the threshold of its shape (digits, small, large or both kinds of letters, anything). The
+thresholds are learned: all but a small share of further labelled ordinary runs stay below. Ordinary numbers are as
+random as secret ones, so next to no run of digits alone passes.
 
 Defined cases. Null text: empty, no spans; ``redact`` leaves it null. Repeated rows: each its own row. Spans may
 overlap between kinds; those of the model never overlap a pattern's. Empty table: empty result, models from the
@@ -39,6 +41,8 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 LETTERS = string.ascii_letters + string.digits + "+/_=-"
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+#: Alphabets with a threshold of their own, as a chain of pairs tells them apart with unequal ease.
+SHAPES = (re.compile("[0-9]+"), re.compile("[a-z]+"), re.compile("[A-Z]+"), re.compile("[A-Za-z]+"))
 STATES = len(LETTERS) + 1  # 0 is whatever is outside a run
 CODE = np.zeros(256, np.uint8)
 CODE[np.frombuffer(LETTERS.encode(), np.uint8)] = np.arange(1, STATES)
@@ -76,12 +80,13 @@ NAMES = """account action active add address admin after agent alert all api app
 
 @dataclass(frozen=True)
 class Scan:
-    """``threshold``: least log-likelihood ratio, in nats, of a run; ``limit``: most that one character adds or takes,
-    so that a pair the corpus happens not to have decides nothing alone; ``false_share``: most of the labelled
-    identifiers, none of which the models have seen, that may pass for secrets."""
+    """``false_share``: most of the labelled identifiers, none of which the models have seen, that may pass for secrets;
+    it sets the least log-likelihood ratio, in nats, for each shape of run. ``limit``: most that one character adds or
+    takes, so that a pair the corpus happens not to have decides nothing alone; ``least``: characters of a scored run, 16
+    or more."""
 
-    threshold: float = 15.0
     false_share: float = 0.001
+    least: int = 16
     limit: float = 4.0
     prior: float = 10.0
     seed: int = 42
@@ -116,16 +121,31 @@ def score(piece: bytes, ratio: np.ndarray) -> float:
     return float(ratio[codes[:-1], codes[1:]].sum())
 
 
-def all_spans(text: str, ratio: np.ndarray, threshold: float) -> list[tuple[int, int, int]]:
-    """The patterns' spans and those that the models add."""
+def shape_of(piece: str) -> int:
+    """Number of the first of ``SHAPES`` that the run has throughout, or their count."""
+    return next((i for i, shape in enumerate(SHAPES) if shape.fullmatch(piece)), len(SHAPES))
+
+
+def outside(start: int, end: int, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """The stretches of a run that no span covers; ``spans`` are sorted."""
+    for s, _, e in spans:
+        if s < end and start < e:
+            if s > start:
+                yield start, s
+            start = max(start, e)
+    if start < end:
+        yield start, end
+
+
+def all_spans(text: str, ratio: np.ndarray, thresholds: list[float], least: int = 16) -> list[tuple[int, int, int]]:
+    """The patterns' spans and those that the models add: runs, or what the patterns leave of them."""
     found = base_spans(text)
     added = []
     for run in RUN.finditer(text):
-        piece = run.group()
-        if any(s < run.end() and run.start() < e for s, _, e in found):
-            continue
-        if score(piece.encode(), ratio) >= threshold:
-            added.append((run.start(), 3, run.end()))
+        for start, end in outside(run.start(), run.end(), found):
+            piece = text[start:end]
+            if end - start >= least and score(piece.encode(), ratio) > thresholds[shape_of(piece)]:
+                added.append((start, 3, end))
     return sorted(found + added)
 
 
@@ -153,8 +173,29 @@ def identifiers(settings: Scan, seed: int) -> Iterator[bytes]:
                lambda: "_".join([*words, "v" + number]))[i % 10]().encode()
 
 
-def train(docs: DataFrame, settings: Scan = Scan()) -> tuple[np.ndarray, float]:
-    """Log-likelihood ratio of each character after each other one, from all texts, and the threshold."""
+def ordinary_runs(settings: Scan, seed: int) -> Iterator[str]:
+    """Labelled ordinary runs of every shape: identifiers, words run together, and numbers of any kind."""
+    draw = random.Random(seed)
+    for piece in identifiers(settings, seed):
+        yield piece.decode()
+    for i in range(settings.samples):
+        words = "".join(draw.choices(NAMES, k=draw.randint(3, 8)))
+        yield (words, words.upper(), words.title(), "".join(w.title() for w in draw.choices(NAMES, k=draw.randint(3, 6))))[i % 4]
+        # Account, card, order and serial numbers are ordinary, and as random as any.
+        yield "".join(draw.choices(string.digits, k=draw.randint(16, 40)))
+
+
+def learned(ratio: np.ndarray, settings: Scan) -> list[float]:
+    """Least ratio per shape: the score that all but ``false_share`` of the ordinary runs of that shape stay below."""
+    scores: list[list[float]] = [[] for _ in range(len(SHAPES) + 1)]
+    for piece in ordinary_runs(settings, settings.seed + 1):
+        if len(piece) >= settings.least:
+            scores[shape_of(piece)].append(score(piece.encode(), ratio))
+    return [max(0.0, float(np.quantile(x, 1 - settings.false_share, method="higher"))) if x else 0.0 for x in scores]
+
+
+def train(docs: DataFrame, settings: Scan = Scan()) -> tuple[np.ndarray, list[float]]:
+    """Log-likelihood ratio of each character after each other one, from all texts, and the thresholds by shape."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, STATES * STATES), np.int64)
         for batch in batches:
@@ -166,8 +207,9 @@ def train(docs: DataFrame, settings: Scan = Scan()) -> tuple[np.ndarray, float]:
                     sums[1] += piece
                     every = every - piece
                 for run in RUN.finditer(text):
-                    if not any(s < run.end() and run.start() < e for s, _, e in known):
-                        every = every - pairs(run.group().encode())
+                    for start, end in outside(run.start(), run.end(), known):
+                        if end - start >= settings.least:  # scored, so no sample
+                            every = every - pairs(text[start:end].encode())
                 sums[0] += np.maximum(every, 0)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at // sums.shape[1]), pa.array(at % sums.shape[1]), pa.array(
@@ -194,8 +236,7 @@ def train(docs: DataFrame, settings: Scan = Scan()) -> tuple[np.ndarray, float]:
     ratio[1:, 1:] = np.clip(chance[1] - chance[0], -settings.limit, settings.limit)
     # A character repeated, as in a ruler, does not speak for a random string.
     np.fill_diagonal(ratio, np.minimum(ratio.diagonal(), 0))
-    seen = [score(piece, ratio) for piece in identifiers(settings, settings.seed + 1)]
-    return ratio, max(settings.threshold, float(np.quantile(seen, 1 - settings.false_share)))
+    return ratio, learned(ratio, settings)
 
 
 def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -211,12 +252,12 @@ def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 
 def scan(docs: DataFrame, settings: Scan = Scan()) -> DataFrame:
     """doc_id and ``found``, the document's spans as (kind, start, end) by start, then kind; code points."""
-    ratio, threshold = train(docs, settings)
+    ratio, thresholds = train(docs, settings)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in all_spans(t, ratio, threshold)]
+            found = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in all_spans(t, ratio, thresholds, settings.least)]
                      for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["doc_id", "found"])
 
@@ -226,11 +267,11 @@ def scan(docs: DataFrame, settings: Scan = Scan()) -> DataFrame:
 
 def redact(docs: DataFrame, settings: Scan = Scan()) -> DataFrame:
     """The documents with every span replaced by the mark; a column n_chars follows the text."""
-    (ratio, threshold), mark = train(docs, settings), settings.mark
+    (ratio, thresholds), mark = train(docs, settings), settings.mark
     at = docs.columns.index("text")
 
     def clean(text: str | None) -> str | None:
-        spans = merged(all_spans(text, ratio, threshold)) if text else []
+        spans = merged(all_spans(text, ratio, thresholds, settings.least)) if text else []
         if not spans:
             return text
         parts, last = [], 0
