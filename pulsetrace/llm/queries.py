@@ -54,30 +54,46 @@ def op6_line_crf(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Two archive records per page: a full response, and a revisit that names it by ETag, by date, wrongly or not at all."""
+    """Four archive records per page: two full responses with changed validators, an error, and a revisit.
+
+    The revisit comes after all of them, between the responses (id % 11 = 1) or before (id % 11 = 0), and names the
+    latest response before it by ETag, by date, wrongly or not at all.
+    """
     day = F.lit("2024-01-01 00:00:00").cast("timestamp")
     nth = F.col("page_id")
+    start = nth % 1000
 
     def at(minutes):
         return F.timestamp_add("MINUTE", minutes.cast("int"), day)
 
-    tag, changed = F.concat(F.lit('"'), F.md5("html"), F.lit('"')), F.date_format(at(nth % 1000), "yyyy-MM-dd HH:mm")
-    length = F.char_length("html").cast("string")
-    full = pages.select(
-        F.concat(F.lit("r"), nth).alias("record_id"), F.col("url").alias("uri"), at(nth % 1000).alias("date"),
-        F.lit("response").alias("kind"), F.lit(200).alias("status"), F.create_map(
-            F.lit("Content-Type"), F.lit("text/html"), F.lit("Content-Length"), length, F.lit("ETag"), tag,
-            F.lit("Last-Modified"), changed, F.lit("Cache-Control"), F.lit("max-age=60")).alias("headers"), "html")
+    def changed(minutes):
+        return F.date_format(at(minutes), "yyyy-MM-dd HH:mm")
+
+    def tag(body):
+        return F.concat(F.lit('"'), F.md5(body), F.lit('"'))
+
+    def response(mark, minutes, status, body):
+        return pages.select(
+            F.concat(F.lit(mark), nth).alias("record_id"), F.col("url").alias("uri"), at(minutes).alias("date"),
+            F.lit("response").alias("kind"), F.lit(status).alias("status"), F.create_map(
+                F.lit("Content-Type"), F.lit("text/html"), F.lit("Content-Length"), F.char_length(body).cast("string"),
+                F.lit("ETag"), tag(body), F.lit("Last-Modified"), changed(minutes), F.lit("Cache-Control"), F.lit("max-age=60")).alias("headers"),
+            body.alias("html"))
+
+    first, second = F.col("html"), F.concat("html", F.lit(" v2"))
+    early = nth % 11 == 1
     own = F.when(nth % 5 == 0, F.create_map(F.lit("ETag"), F.lit('"stale"'))).when(
-        nth % 7 == 0, F.create_map(F.lit("last-modified"), changed)).when(
-        nth % 13 == 0, F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("etag"), F.concat(F.lit("W/"), tag)))
+        nth % 7 == 0, F.create_map(F.lit("last-modified"), F.when(early, changed(start)).otherwise(changed(start + 200)))).when(
+        nth % 13 == 0, F.create_map().cast("map<string,string>")).otherwise(
+            F.create_map(F.lit("etag"), F.concat(F.lit("W/"), F.when(early, tag(first)).otherwise(tag(second)))))
     again = pages.select(
         F.concat(F.lit("v"), nth).alias("record_id"), F.concat("url", F.lit("#again")).alias("uri"),
-        at(F.when(nth % 11 == 0, nth % 1000 - 500).otherwise(nth % 1000 + 700)).alias("date"), F.lit("revisit").alias("kind"),
+        at(F.when(nth % 11 == 0, start - 500).when(early, start + 100).otherwise(start + 700)).alias("date"), F.lit("revisit").alias("kind"),
         F.lit(304).alias("status"), F.map_concat(own, F.create_map(
             F.lit("Cache-Control"), F.concat(F.lit("max-age="), nth % 100), F.lit("Content-Length"), F.lit("0"),
             F.lit("X-Cache"), F.lit("HIT"))).alias("headers"), F.lit(None).cast("string").alias("html"))
-    return full.union(again)
+    return (response("r", start, 200, first).union(response("s", start + 200, 200, second))
+            .union(response("t", start + 300, 404, F.lit("gone"))).union(again))
 
 
 def op7_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
@@ -87,7 +103,8 @@ def op7_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
     number = lambda c: F.substr(F.col(c), F.lit(2)).cast("long")
     lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws(": ", e.key, e.value))
     return resolved.join(bodies, F.col("record_id") == F.col("id"), "left").select(
-        number("record_id").alias("page_id"), "url", number("source_id").alias("source_page_id"), "verdict",
+        number("record_id").alias("page_id"), "url", number("source_id").alias("source_page_id"),
+        F.substring("source_id", 1, 1).alias("source_version"), "verdict",
         F.array_join(lines, "; ").alias("headers"), "body_chars")
 
 
@@ -100,17 +117,22 @@ _REVISITS_SQL = r"""
         list_sort(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|fbclid|gclid)(=|$)'))) AS params FROM q),
     u AS (SELECT page_id, html, place || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS url FROM c),
     r AS (SELECT 'r' || page_id AS id, page_id, url, (page_id % 1000) AS t, true AS is_full FROM u
-        UNION ALL SELECT 'v' || page_id, page_id, url, CASE WHEN page_id % 11 = 0 THEN page_id % 1000 - 500 ELSE page_id % 1000 + 700 END, false FROM u),
-    w AS (SELECT *, last_value(CASE WHEN is_full THEN page_id END IGNORE NULLS) OVER (
+        UNION ALL SELECT 's' || page_id, page_id, url, page_id % 1000 + 200, true FROM u
+        UNION ALL SELECT 'v' || page_id, page_id, url, CASE page_id % 11 WHEN 0 THEN page_id % 1000 - 500
+            WHEN 1 THEN page_id % 1000 + 100 ELSE page_id % 1000 + 700 END, false FROM u),
+    o AS (SELECT 'r' || page_id AS id, page_id, html, page_id % 1000 AS t FROM pages
+        UNION ALL SELECT 's' || page_id, page_id, html || ' v2', page_id % 1000 + 200 FROM pages),
+    w AS (SELECT *, last_value(CASE WHEN is_full THEN id END IGNORE NULLS) OVER (
         PARTITION BY url ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hit FROM r),
-    m AS (SELECT w.page_id, w.url, w.hit, me.html AS mine, src.html AS stored,
+    m AS (SELECT w.page_id, w.url, src.page_id AS hit, w.hit[1] AS version, src.html AS stored,
         CASE WHEN w.page_id % 5 = 0 THEN '"stale"' WHEN w.page_id % 7 = 0 OR w.page_id % 13 = 0 THEN NULL ELSE 'W/"' || md5(me.html) || '"' END AS etag,
-        CASE WHEN w.page_id % 5 <> 0 AND w.page_id % 7 = 0 THEN strftime(TIMESTAMP '2024-01-01' + INTERVAL (w.page_id % 1000) MINUTE, '%Y-%m-%d %H:%M') END AS changed,
-        '"' || md5(src.html) || '"' AS old_etag, strftime(TIMESTAMP '2024-01-01' + INTERVAL (w.hit % 1000) MINUTE, '%Y-%m-%d %H:%M') AS old_changed
-        FROM w JOIN pages me ON me.page_id = w.page_id LEFT JOIN pages src ON src.page_id = w.hit WHERE NOT w.is_full),
+        CASE WHEN w.page_id % 5 <> 0 AND w.page_id % 7 = 0 THEN strftime(TIMESTAMP '2024-01-01' + INTERVAL (me.t) MINUTE, '%Y-%m-%d %H:%M') END AS changed,
+        '"' || md5(src.html) || '"' AS old_etag, strftime(TIMESTAMP '2024-01-01' + INTERVAL (src.t) MINUTE, '%Y-%m-%d %H:%M') AS old_changed
+        FROM w JOIN o me ON me.id = (CASE WHEN w.page_id % 11 = 1 THEN 'r' ELSE 's' END) || w.page_id LEFT JOIN o src ON src.id = w.hit WHERE NOT w.is_full),
     v AS (SELECT *, CASE WHEN hit IS NULL THEN 'no_response' WHEN etag IS NULL AND changed IS NULL THEN 'unverified'
         WHEN coalesce(regexp_replace(etag, '^W/', '') = old_etag, changed = old_changed) THEN 'match' ELSE 'mismatch' END AS verdict FROM m)
-    SELECT page_id, url, CASE WHEN verdict IN ('match', 'unverified') THEN hit END AS source_page_id, verdict,
+    SELECT page_id, url, CASE WHEN verdict IN ('match', 'unverified') THEN hit END AS source_page_id,
+        CASE WHEN verdict IN ('match', 'unverified') THEN version END AS source_version, verdict,
         'cache-control: max-age=' || (page_id % 100) || '; content-length: '
         || CASE WHEN verdict IN ('match', 'unverified') THEN length(stored)::VARCHAR || '; content-type: text/html' ELSE '0' END
         || coalesce('; etag: ' || coalesce(etag, CASE WHEN verdict IN ('match', 'unverified') THEN old_etag END), '')
