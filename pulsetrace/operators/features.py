@@ -290,17 +290,13 @@ def feature_summary(matrix: DataFrame, features: Sequence[str] = TIMING_FEATURES
     Long form: the features become rows, so one grouping covers them all; quartiles come from
     (value, count) pairs combined before the shuffle.
     """
-    from pulsetrace.operators.order_stats import exact_quantiles
+    from pulsetrace.operators.order_stats import quantile_table
 
     pairs = ", ".join(f"'{c}', cast({c} as double)" for c in features)
-    long = matrix.select(by, F.expr(f"stack({len(features)}, {pairs}) AS (feature, value)"))
-    moments = long.groupBy(by, "feature").agg(
+    long = matrix.select(by, F.expr(f"stack({len(features)}, {pairs}) AS (feature, value)")).withColumn(
+        "_g", F.concat_ws("|", F.col(by).cast("string"), "feature"))
+    moments = long.groupBy("_g", by, "feature").agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    named = long.withColumn("_g", F.concat_ws("|", F.col(by).cast("string"), "feature"))
-    cuts = exact_quantiles(named, "value", [0.25, 0.5, 0.75], group="_g")
-    # One row per class and feature: bounded by the column list, not by the data.
-    quartiles = matrix.sparkSession.createDataFrame(
-        [(g, *q) for g, q in cuts.items()], "_g string, q25 double, q50 double, q75 double")
-    return (moments.withColumn("_g", F.concat_ws("|", F.col(by).cast("string"), "feature"))
-            .join(F.broadcast(quartiles), "_g", "left").drop("_g"))
+    quartiles = quantile_table(long, "value", [0.25, 0.5, 0.75], "_g").toDF("_g", "q25", "q50", "q75")
+    return moments.join(quartiles, "_g", "left").drop("_g")

@@ -172,20 +172,29 @@ def select_tiers(spark, folder):
                             **{c: MATRIX[c] for c in TIER1}})
 
 
-SUMMARISED = ("iat_cv", "iat_median", "pkt_ratio", "session_flow_count", "resp_bytes_is_zero")
+SUMMARISED = (*TIMING_FEATURES, *VOLUME_FEATURES, *CONTEXT_FEATURES)
+#: Places in which sums of large numbers agree whatever their order.
+COARSE = {"session_byte_variance": -4, "bytes_per_second": 0, "resp_bytes": 3, "orig_bytes": 3}
+STATISTICS = ("mean", "std", "min", "q25", "q50", "q75", "max")
 
 
-@query("feature_summary", sql.over_sessions(" UNION ALL ".join(f"""
-SELECT mt.target, '{c}' AS feature, COUNT(*) AS n, ROUND(AVG(v), 4) AS mean,
-  ROUND(STDDEV_SAMP(v), 4) AS std, ROUND(MIN(v), 4) AS min, ROUND(QUANTILE_CONT(v, 0.25), 4) AS q25,
-  ROUND(QUANTILE_CONT(v, 0.5), 4) AS q50, ROUND(QUANTILE_CONT(v, 0.75), 4) AS q75,
-  ROUND(MAX(v), 4) AS max
-FROM (SELECT session_id, {c} AS v FROM {'tf' if c in TIMING_FEATURES else 'vf'})
-JOIN mt USING (session_id) GROUP BY mt.target""" for c in SUMMARISED),
-    sql.timing(), sql.VOLUME, sql.META))
+def _summary_sql() -> str:
+    home = {**dict.fromkeys(TIMING_PLAIN, "tf"), **dict.fromkeys(SPECTRAL, "sf"),
+            **dict.fromkeys(VOLUME_FEATURES, "vf"), **dict.fromkeys(CONTEXT_FEATURES, "xf")}
+    terms = ("AVG(v)", "STDDEV_SAMP(v)", "MIN(v)", "QUANTILE_CONT(v, 0.25)", "QUANTILE_CONT(v, 0.5)", "QUANTILE_CONT(v, 0.75)", "MAX(v)")
+    return " UNION ALL ".join(f"""
+SELECT mt.target, '{c}' AS feature, COUNT(*) AS n, {', '.join(
+        f'ROUND({t}, {COARSE.get(c, 4)}) AS "{name}"' for t, name in zip(terms, STATISTICS))}
+FROM (SELECT session_id, {home[c]}."{c}" AS v FROM {home[c]})
+JOIN mt USING (session_id) GROUP BY mt.target""" for c in SUMMARISED)
+
+
+@query("feature_summary", sql.over_sessions(
+    _summary_sql(), sql.timing(), sql.SPECTRAL, sql.VOLUME, sql.CONTEXT, sql.META))
 def feature_summary(spark, folder):
-    table = features.materialise(features.session_features(
-        kept_flows(spark, folder), blocks=("timing", "volume")))
-    return rounded(features.feature_summary(table, SUMMARISED), {
-        "target": None, "feature": None, "n": None, "mean": 4, "std": 4, "min": 4, "q25": 4,
-        "q50": 4, "q75": 4, "max": 4})
+    """Every timing, volume and context feature per class."""
+    table = features.materialise(features.feature_matrix(kept_flows(spark, folder)))
+    found = features.feature_summary(table, SUMMARISED)
+    return found.select("target", "feature", "n", *[
+        F.coalesce(*[F.when(F.col("feature") == c, F.round(x, p)) for c, p in COARSE.items()], F.round(x, 4)).alias(x)
+        for x in STATISTICS])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulsetrace.config import DEFAULTS, NATIVE_LOG_COLUMNS, REQUIRED_COLUMNS
+from pulsetrace.config import DEFAULTS, NATIVE_LOG_COLUMNS, NUMERIC_TYPES, REQUIRED_COLUMNS
 from pulsetrace.operators import labels, quality, sessions
 from pulsetrace.operators.features import session_features
 from pulsetrace.plans import sql
@@ -96,23 +96,28 @@ def schema_check(spark, folder):
     return quality.schema_report(views.flows(spark, folder))
 
 
-@query("coerce_numeric", sql.script("""
-SELECT uid, TRY_CAST(CASE WHEN orig_p % 5 = 0 THEN '-' ELSE CAST(orig_bytes AS VARCHAR) END AS BIGINT)
-    AS orig_bytes,
-  ROUND(TRY_CAST(CASE WHEN orig_p % 3 = 0 THEN 'x' ELSE CAST(duration AS VARCHAR) END AS DOUBLE), 6)
-    AS duration
-FROM flows"""))
-def coerce_numeric(spark, folder):
-    raw = views.flows(spark, folder).select(
-        "uid",
-        F.when(F.col("orig_p") % 5 == 0, "-").otherwise(F.col("orig_bytes").cast("string"))
-        .alias("orig_bytes"),
-        F.when(F.col("orig_p") % 3 == 0, "x").otherwise(F.col("duration").cast("string"))
-        .alias("duration"))
-    return quality.coerce_numeric(raw).withColumn("duration", F.round("duration", 6))
+#: Every column of the test view.
+PROFILED = ("ts", "ts_us", "uid", "orig_h", "orig_p", "resp_h", "resp_p", "proto", "service", "duration", "orig_bytes",
+            "resp_bytes", "conn_state", "history", "orig_pkts", "orig_ip_bytes", "resp_pkts", "resp_ip_bytes",
+            "detailed_label", "capture_id", "k", "user_id")
+NUMBERS = {c: k for c, k in NUMERIC_TYPES.items() if c in PROFILED}
+
 
+def _spoiled_sql(name: str, kind: str) -> str:
+    text = f"CASE WHEN orig_p % {3 + len(name) % 4} = 0 THEN '-' ELSE CAST({name} AS VARCHAR) END"
+    return (f"ROUND(TRY_CAST({text} AS DOUBLE), 6) AS {name}" if kind == "double" else f"TRY_CAST({text} AS BIGINT) AS {name}")
 
-PROFILED = ("ts_us", "uid", "service", "duration", "resp_bytes", "history", "detailed_label")
+
+@query("coerce_numeric", sql.script(f"""
+SELECT uid, {', '.join(_spoiled_sql(c, k) for c, k in NUMBERS.items())} FROM flows"""))
+def coerce_numeric(spark, folder):
+    """Every numeric column, read from text that holds the null token in some rows."""
+    flows = views.flows(spark, folder)
+    raw = flows.select("uid", *[
+        F.when(F.col("orig_p") % (3 + len(c) % 4) == 0, "-").otherwise(F.col(c).cast("string")).alias(c) for c in NUMBERS])
+    found = quality.coerce_numeric(raw)
+    return found.select("uid", *[F.round(c, 6).alias(c) if k == "double" else F.col(c).cast("bigint").alias(c)
+                                 for c, k in NUMBERS.items()])
 
 
 @query("data_profile", sql.script(" UNION ALL ".join(
@@ -120,7 +125,7 @@ PROFILED = ("ts_us", "uid", "service", "duration", "resp_bytes", "history", "det
     f"ROUND((COUNT(*) - COUNT({c})) / CAST(COUNT(*) AS DOUBLE), 4) AS null_fraction FROM flows"
     for c in PROFILED)))
 def data_profile(spark, folder):
-    return quality.data_profile(views.flows(spark, folder).select(*PROFILED))
+    return quality.data_profile(views.flows(spark, folder))
 
 
 @query("label_distribution", sql.script("""
