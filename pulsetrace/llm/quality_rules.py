@@ -179,13 +179,12 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 def keep(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The documents that pass, with all their columns.
 
-    The texts are measured twice, once for the sketches and once to judge: neither a second copy of the texts
-    nor a shuffle of them is made where the table of limits is small enough for Spark to broadcast.
+    Each text is measured once: rows are written with their counts, the sketches read the counts alone, and the table
+    of limits, one row per language and source, is joined to the written rows.
     """
-    table = limits(measure(docs, [named(c).alias(c) for c in ("lang", "source")]), rules)
-    table = materialise(table)
     own = [named(c).alias(OWN + str(i)) for i, c in enumerate(docs.columns)]
-    counts = measure(docs, [*own, named("lang").alias("lang"), named("source").alias("source")])
+    counts = materialise(measure(docs, [*own, named("lang").alias("lang"), named("source").alias("source")]))
+    table = materialise(limits(counts, rules))
     found = counts.alias("d").join(table.alias("t"), F.expr(
         "d.lang <=> t.lang AND d.source <=> t.source"), "left")
     return found.where(~base_failed(rules) & within(rules)).select(
