@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsetrace.functions.text import entropy
+from pulsetrace.operators.asof import carried
 from pulsetrace.operators.joins import counted_lookup
 
 TLS_FEATURES = ("ja3_known_client", "cipher_suite_count", "tls_version", "extension_count",
@@ -47,12 +48,12 @@ def tls_features(flows: DataFrame, tls: DataFrame, allowed_ja3: DataFrame,
 
 
 def latest_answer(flows: DataFrame, dns: DataFrame, max_gap_us: int | None = None,
-                  bucket_us: int = 3_600_000_000) -> DataFrame:
+                  ranges: int | None = None) -> DataFrame:
     """For each flow the last DNS query of its host that resolved to its destination before it.
 
-    ``dns``: ``ts_us``, ``orig_h``, ``query``, ``answer``. Rows of a host pair are ordered within time
-    buckets only; what an earlier bucket ends with is carried over by one summary row per bucket, so
-    neither side is paired row by row and a busy pair is spread over its buckets.
+    ``dns``: ``ts_us``, ``orig_h``, ``query``, ``answer``. Flows and answers are swept together in time order, so
+    neither side is paired row by row and a busy pair is spread over as many ranges as it fills. An answer of the
+    flow's own time counts; of several at one time the greatest name.
     """
     keys = ["orig_h", "resp_h"]
     answers = dns.groupBy("orig_h", F.col("answer").alias("resp_h"), "ts_us").agg(
@@ -62,23 +63,13 @@ def latest_answer(flows: DataFrame, dns: DataFrame, max_gap_us: int | None = Non
                            F.lit(0).alias("kind"), found.alias("hit"))
     asks = flows.select(*keys, "ts_us", "uid", F.lit(1).alias("kind"),
                         F.lit(None).cast(lines.schema["hit"].dataType).alias("hit"))
-    both = lines.unionByName(asks).withColumn(
-        "bucket", F.floor(F.col("ts_us") / F.lit(bucket_us)))
-    per_bucket = both.groupBy(*keys, "bucket").agg(F.max("hit").alias("hit"))
-    earlier = (Window.partitionBy(*keys).orderBy("bucket")
-               .rowsBetween(Window.unboundedPreceding, -1))
-    carried = per_bucket.select(*keys, "bucket",
-                                F.last("hit", ignorenulls=True).over(earlier).alias("carry"))
-    inside = (Window.partitionBy(*keys, "bucket").orderBy("ts_us", "kind")
-              .rowsBetween(Window.unboundedPreceding, 0))
-    seen = both.withColumn("near", F.last("hit", ignorenulls=True).over(inside)).where("kind = 1")
-    matched = (seen.join(carried, [*keys, "bucket"], "left")
-               .withColumn("hit", F.coalesce("near", "carry")))
-    gap = F.col("ts_us") - F.col("hit.ts_us")
+    swept = carried(lines.unionByName(asks), keys, ["ts_us", "kind", "uid"], "hit", "seen",
+                    ranges=ranges).where("kind = 1")
+    gap = F.col("ts_us") - F.col("seen.ts_us")
     usable = gap <= max_gap_us if max_gap_us is not None else F.lit(True)
-    return matched.select(
+    return swept.select(
         "uid", *keys, "ts_us",
-        F.when(usable, F.col("hit.query")).alias("query"),
+        F.when(usable, F.col("seen.query")).alias("query"),
         F.when(usable, gap).alias("answer_age_us"))
 
 

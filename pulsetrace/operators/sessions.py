@@ -73,12 +73,13 @@ def find_hot_sessions(flows: DataFrame, keys: Sequence[str] = SESSION_KEYS,
 
 
 def time_segments(flows: DataFrame, keys: Sequence[str], order: Sequence[str] = ("ts_us", "uid"),
-                  ) -> DataFrame:
+                  ranges: int | None = None) -> DataFrame:
     """Cut the flows into contiguous, evenly sized runs per session; the run number is ``_seg``.
 
-    The numbering comes from sampled range borders, so it is written out once and read back.
+    ``ranges`` fixes how many, else the session's settings and the data's size do. The numbering comes from sampled range borders, so it is written out once and read back.
     """
-    ranged = flows.repartitionByRange(*[F.col(c) for c in (*keys, *order)])
+    number = [ranges] if ranges else []
+    ranged = flows.repartitionByRange(*number, *[F.col(c) for c in (*keys, *order)])
     return materialise(ranged.withColumn("_seg", F.spark_partition_id()))
 
 

@@ -7,11 +7,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pulsetrace.config import DEFAULTS, SESSION_KEYS, Settings
+from pulsetrace.operators.asof import carried
+from pulsetrace.operators.joins import counted_lookup
 
 
 def flow_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -140,13 +142,13 @@ def current_sessions(spark: SparkSession, path: str, keys: Sequence[str] = SESSI
 def late_rows(flows: DataFrame, arrival: Column, delay_us: int) -> DataFrame:
     """Rows per arrival slice that come after the watermark left by the slices before it.
 
-    A slice's highest event time is one row per slice, so the running maximum is over few rows.
+    A slice's highest event time is one row per slice; its running maximum is swept over ranges of slices. The
+    rows of a slice that holds very many are dealt out before they meet its mark. A null slice comes before all others.
     """
     sliced = flows.withColumn("slice", arrival)
     tops = sliced.groupBy("slice").agg(F.max("ts_us").alias("top"))
-    before = (Window.partitionBy().orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
-    marks = tops.select("slice", (F.max("top").over(before) - F.lit(delay_us)).alias("mark"))
+    marks = carried(tops, [], ["slice"], "top", "before", "max").select(
+        "slice", (F.col("before") - F.lit(delay_us)).alias("mark"))
     late = F.coalesce(F.col("ts_us") < F.col("mark"), F.lit(False))
-    # Few slices: counted by (slice, time), combined before the shuffle.
-    return sliced.join(F.broadcast(marks), "slice").groupBy("slice").agg(
+    return counted_lookup(sliced.select("slice", "ts_us"), marks, ["slice"], ["ts_us"]).groupBy("slice").agg(
         F.count("*").alias("n_rows"), F.count_if(late).alias("n_late"))

@@ -3,11 +3,12 @@
 import random
 
 import numpy as np
+import pytest
 from fixtures import START, beacon, flows, irregular
 from pyspark.sql import functions as F
 
 from pulsetrace.config import DEFAULTS
-from pulsetrace.operators import drift, enrich, features, sweeps
+from pulsetrace.operators import asof, drift, enrich, features, sweeps
 from pulsetrace.operators.labels import binary_target
 from pulsetrace.session import scratch_path
 from pulsetrace.streaming import live
@@ -81,10 +82,10 @@ def test_latest_answer(spark):
                for i in range(80)]
     flows_df = spark.createDataFrame(asks, "uid string, orig_h string, resp_h string, ts_us bigint")
     dns = spark.createDataFrame(answers, "ts_us bigint, orig_h string, query string, answer string")
-    for bucket in (100, 10_000):
+    for ranges in (None, 7):
         for gap in (None, 60):
             got = {r.uid: (r.query, r.answer_age_us)
-                   for r in enrich.latest_answer(flows_df, dns, gap, bucket).collect()}
+                   for r in enrich.latest_answer(flows_df, dns, gap, ranges).collect()}
             for uid, host, dest, at in asks:
                 best = max(((t, q) for t, h, q, a in answers if (h, a) == (host, dest) and t <= at),
                            default=None)
@@ -93,6 +94,24 @@ def test_latest_answer(spark):
                 assert got[uid] == ((best[1], at - best[0]) if best else (None, None))
 
 
+@pytest.mark.parametrize("combine", ["last", "max"])
+@pytest.mark.parametrize("ranges", [1, 2, 9])
+def test_carried_values_cross_ranges(spark, combine, ranges):
+    rng = random.Random(ranges)
+    # One key holds half of all rows, another is null; values are missing in long runs.
+    rows = [(rng.choice(["hot", "hot", "a", None]), i // 3 if i % 40 else None, i,
+             rng.randint(0, 50) if rng.random() < 0.1 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, t int, i int, v int")
+    got = {r.i: r.seen for r in asof.carried(df, ["k"], ["t", "i"], "v", "seen", combine, ranges).collect()}
+    assert len(got) == len(rows)
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+    for at, (k, _, i, _) in enumerate(order):
+        before = [r[3] for r in order[:at] if r[0] == k and r[3] is not None]
+        want = (before[-1] if combine == "last" else max(before)) if before else None
+        assert got[i] == want
+    assert asof.carried(df.limit(0), ["k"], ["t"], "v", "seen", combine, ranges).count() == 0
+
+
 def test_no_drift_and_drift(spark):
     base = spark.range(2000).select((F.rand(1) * 10).alias("x"))
     same = drift.drift(base, base, ["x"]).first()
