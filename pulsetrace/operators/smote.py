@@ -1,16 +1,18 @@
 """Synthetic minority rows between a row and one of its nearest minority neighbours.
 
-Neighbours are exact. The minority rows are dealt into blocks; each pair of blocks is one group whose
-task finds the k best of one block for the rows of the other, and the k best overall are merged from
-those. A group holds two blocks, however large the class is, and k rows per row and block leave it.
+Neighbours are exact. Rows belong to the cell of their nearest pivot. A row first searches its own cell; the k-th
+distance found there bounds the cells that can still hold a nearer one, by the triangle inequality and the planes between
+pivots, and only those are visited. Searches run as groups of at most two blocks, however many rows a cell has or is visited by.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsetrace.config import DEFAULTS, Settings
@@ -18,6 +20,145 @@ from pulsetrace.functions.hashing import hash_uniform
 from pulsetrace.session import materialise
 
 ROWS_PER_BLOCK = 5_000
+#: Bounds what every task holds of the cells: a position, a radius and a count each.
+MOST_PIVOTS = 4_096
+#: Widens the distance bound by what rounding may take from it.
+SLACK = 1e-9
+FOUND = "session_id string, other string, distance double, x array<double>, y array<double>"
+
+
+def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distance of each row to each pivot, a few rows at a time."""
+    out = np.empty((len(x), len(pivots)))
+    step = max(1, 2_000_000 // max(pivots.size, 1))
+    for at in range(0, len(x), step):
+        out[at:at + step] = np.sqrt(((x[at:at + step, None, :] - pivots[None]) ** 2).sum(axis=2))
+    return out
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Points by the cell of their nearest pivot; ``offered`` has those that can be a neighbour of any other."""
+
+    pivots: np.ndarray
+    points: DataFrame
+    offered: DataFrame
+    k: int
+    rows_per_block: int
+
+    def searched(self, visits: DataFrame) -> DataFrame:
+        """The k best of the visited cell for each visit (``session_id``, ``x``, ``lane``, ``cell``)."""
+        rows, k = self.rows_per_block, self.k
+        asked = visits.groupBy("lane", "cell").agg(F.count("*").alias("asks"))
+        sizes = self.offered.groupBy("lane", "cell").agg(F.count("*").alias("size"))
+        blocks = lambda c: F.ceil(F.col(c) / F.lit(rows)).cast("int")
+        layout = materialise(asked.join(sizes, ["lane", "cell"]).select(
+            "lane", "cell", blocks("size").alias("subs"), blocks("asks").alias("parts")))
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        dealt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+        asking = visits.join(layout, ["lane", "cell"]).select(
+            "session_id", "x", "lane", "cell", dealt("session_id", "parts").alias("part"), every("subs").alias("sub"))
+        offered = self.offered.join(layout, ["lane", "cell"]).select(
+            "other", "y", F.col("lane").alias("lane2"), F.col("cell").alias("cell2"),
+            dealt("other", "subs").alias("sub2"), every("parts").alias("part2"))
+        together = asking.groupBy("lane", "cell", "part", "sub").cogroup(
+            offered.groupBy("lane2", "cell2", "part2", "sub2"))
+        return together.applyInPandas(lambda left, right: _best(left, right, k), FOUND)
+
+    def further(self, near: DataFrame) -> DataFrame:
+        """The other cells that may hold a point nearer than the k-th in ``near`` (``session_id``, ``neighbours``)."""
+        stats = self.offered.groupBy("lane", "cell").agg(F.max("away").alias("radius"), F.count("*").alias("n"))
+        radius, count = {}, {}
+        for r in stats.collect():  # lanes x pivots at most
+            radius.setdefault(r.lane, np.full(len(self.pivots), -np.inf))[r.cell] = r.radius
+            count.setdefault(r.lane, np.zeros(len(self.pivots)))[r.cell] = r.n
+        pivots, k = self.pivots, self.k
+
+        @F.pandas_udf("array<int>")
+        def reached(x: pd.Series, lane: pd.Series, cell: pd.Series, bound: pd.Series) -> pd.Series:
+            if not len(x):
+                return pd.Series([], dtype=object)
+            away = _distances(np.stack(x.to_numpy()), pivots)
+            out = []
+            for d, z, own, limit in zip(away, lane, cell, bound):
+                most = d + radius[z]
+                order = np.argsort(most)
+                # Cells that together hold k others lie within the farthest of them.
+                enough = np.searchsorted(np.cumsum(count[z][order]), k + 1)
+                if enough < len(order):
+                    limit = min(limit, most[order[enough]])
+                # What is nearer to another pivot lies beyond the plane between that pivot and the own one.
+                apart = np.maximum(np.sqrt(((pivots - pivots[own]) ** 2).sum(axis=1)), 1e-300)
+                plane = (d * d - d[own] * d[own]) / (2 * apart)
+                hit = (count[z] > 0) & (d - radius[z] <= limit + SLACK * (1 + d)) & (
+                    plane <= limit + SLACK * (1 + d * d / apart))
+                hit[own] = False
+                out.append(np.flatnonzero(hit).astype(np.int32))
+            return pd.Series(out)
+
+        last = F.when(F.size("neighbours") >= k, F.sqrt(F.element_at("neighbours", -1)["distance"]))
+        bounds = near.select("session_id", last.alias("bound"))
+        asking = self.points.join(bounds, "session_id", "left").withColumn(
+            "bound", F.coalesce("bound", F.lit(float("inf"))))
+        return asking.select("session_id", "x", "lane", F.explode(reached("x", "lane", "cell", "bound")).alias("cell"))
+
+
+def _best(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k nearest rows of ``right`` for each row of ``left``."""
+    names = [part.split()[0] for part in FOUND.split(", ")]
+    if left.empty or right.empty:
+        return pd.DataFrame({n: pd.Series(dtype=float if n == "distance" else object) for n in names})
+    right = right.sort_values("other")
+    q, r = np.stack(left["x"].to_numpy()), np.stack(right["y"].to_numpy())
+    ids, others = left["session_id"].to_numpy(), right["other"].to_numpy()
+    out = []
+    for start in range(0, len(q), 256):
+        part = q[start:start + 256]
+        gap = np.zeros((len(part), len(r)))
+        for j in range(q.shape[1]):
+            gap += (part[:, j:j + 1] - r[:, j]) ** 2
+        gap[ids[start:start + 256][:, None] == others[None, :]] = np.inf
+        order = np.argsort(gap, axis=1, kind="stable")[:, :k]
+        for i, row in enumerate(order):
+            for j in row:
+                if np.isfinite(gap[i, j]):
+                    out.append((ids[start + i], others[j], gap[i, j], part[i], r[j]))
+    return pd.DataFrame(out, columns=names)
+
+
+def cells(points: DataFrame, k: int, rows_per_block: int = ROWS_PER_BLOCK, per: str | None = None) -> Cells:
+    """The points in cells around about sqrt(n) pivots, the different points lowest by hash.
+
+    Points that are not finite have no neighbours. Of equal points only the k + 1 smallest ids can be among the k
+    nearest of any, so no more are offered: copies cost k + 1 distances each.
+    """
+    lane = F.col(per).cast("int") if per else F.lit(0)
+    finite = F.forall("x", lambda v: (F.abs(v) < float("inf")) & ~F.isnan(v))
+    kept = points.where(finite).select("session_id", "x", lane.alias("lane"))
+    different = materialise(kept.groupBy("x").agg(F.min("session_id").alias("first")))
+    number = min(MOST_PIVOTS, max(1, int(np.ceil(np.sqrt(different.count())))))
+    chosen = different.orderBy(F.xxhash64("first"), "first").limit(number).select("x").collect()
+    pivots = np.array([r.x for r in chosen], dtype=float)
+
+    @F.pandas_udf("cell int, away double")
+    def nearest(x: pd.Series) -> pd.DataFrame:
+        if not len(x):
+            return pd.DataFrame({"cell": pd.Series(dtype="int32"), "away": pd.Series(dtype=float)})
+        away = _distances(np.stack(x.to_numpy()), pivots)
+        cell = away.argmin(axis=1)
+        return pd.DataFrame({"cell": cell.astype(np.int32), "away": away[np.arange(len(cell)), cell]})
+
+    placed = materialise(kept.withColumn("at", nearest("x")).select("session_id", "x", "lane", "at.cell", "at.away"))
+    equal = Window.partitionBy("lane", "x").orderBy("session_id")
+    offered = materialise(placed.withColumn("_copy", F.row_number().over(equal)).where(F.col("_copy") <= k + 1).select(
+        F.col("session_id").alias("other"), F.col("x").alias("y"), "lane", "cell", "away"))
+    return Cells(pivots, placed, offered, k, rows_per_block)
+
+
+def _merged(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each row's partial results; a group holds k rows per visited block."""
+    listed = F.slice(F.array_sort(F.collect_list(F.struct("distance", "other", "y"))), 1, k)
+    return found.groupBy("session_id").agg(F.first("x").alias("x"), listed.alias("neighbours"))
 
 
 def nearest_neighbours(points: DataFrame, k: int, rows_per_block: int = ROWS_PER_BLOCK,
@@ -27,46 +168,22 @@ def nearest_neighbours(points: DataFrame, k: int, rows_per_block: int = ROWS_PER
     ``points`` has ``session_id`` and ``x`` (array<double>). With ``per`` only points of the same
     value are neighbours. Equal distances are ordered by id.
     """
-    total = points.count()
-    blocks = max(1, -(-total // rows_per_block))
-    lane = F.col(per).cast("int") if per else F.lit(0)
-    dealt = points.select("session_id", "x", lane.alias("lane"), F.pmod(
-        F.xxhash64("session_id"), F.lit(blocks)).cast("int").alias("block"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asking = dealt.withColumnRenamed("block", "a").withColumn("b", every)
-    offered = dealt.select(
-        F.col("session_id").alias("other"), F.col("x").alias("y"), F.col("lane").alias("lane2"),
-        F.col("block").alias("b2")).withColumn("a2", every)
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"session_id": pd.Series(dtype=str), "other": pd.Series(dtype=str),
-                              "distance": pd.Series(dtype=float), "x": pd.Series(dtype=object),
-                              "y": pd.Series(dtype=object)})
-        if left.empty or right.empty:
-            return empty
-        right = right.sort_values("other")
-        q, r = np.stack(left["x"].to_numpy()), np.stack(right["y"].to_numpy())
-        ids, others = left["session_id"].to_numpy(), right["other"].to_numpy()
-        out = []
-        for start in range(0, len(q), 256):
-            part = q[start:start + 256]
-            gap = np.zeros((len(part), len(r)))
-            for j in range(q.shape[1]):
-                gap += (part[:, j:j + 1] - r[:, j]) ** 2
-            gap[ids[start:start + 256][:, None] == others[None, :]] = np.inf
-            order = np.argsort(gap, axis=1, kind="stable")[:, :k]
-            for i, row in enumerate(order):
-                for j in row:
-                    if np.isfinite(gap[i, j]):
-                        out.append((ids[start + i], others[j], gap[i, j], part[i], r[j]))
-        return pd.DataFrame(out, columns=empty.columns) if out else empty
-
-    together = asking.groupBy("lane", "a", "b").cogroup(offered.groupBy("lane2", "a2", "b2"))
-    pairs = together.applyInPandas(
-        best, "session_id string, other string, distance double, x array<double>, y array<double>")
-    # k rows per block and point arrive here, so a group is k x blocks rows.
-    listed = F.slice(F.array_sort(F.collect_list(F.struct("distance", "other", "y"))), 1, k)
-    return pairs.groupBy("session_id").agg(F.first("x").alias("x"), listed.alias("neighbours"))
+    return searched_neighbours(points, k, rows_per_block, per)[0]
+
+
+def searched_neighbours(points: DataFrame, k: int, rows_per_block: int = ROWS_PER_BLOCK,
+                        per: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The nearest neighbours, and one row with ``pairs``: how many distances were looked at."""
+    placed = cells(points, k, rows_per_block, per)
+    home = placed.points.select("session_id", "x", "lane", "cell")
+    near = materialise(_merged(placed.searched(home), k))
+    visits = materialise(placed.further(near))
+    found = near.select("session_id", "x", F.inline("neighbours")).select("session_id", "other", "distance", "x", "y")
+    sizes = placed.offered.groupBy("lane", "cell").agg(F.count("*").alias("size"))
+    asked = home.unionByName(visits).groupBy("lane", "cell").agg(F.count("*").alias("asks"))
+    looked = asked.join(sizes, ["lane", "cell"]).agg(
+        F.coalesce(F.sum(F.col("asks") * F.col("size")), F.lit(0)).alias("pairs"))
+    return _merged(found.unionByName(placed.searched(visits)), k), looked
 
 
 def synthetic_points(points: DataFrame, wanted: int, k: int, seed: int,

@@ -18,7 +18,7 @@ from pulsetrace.models.forest_attribution import forest_nodes, tree_attribution
 from pulsetrace.models.sampled_attribution import sampled_attribution
 from pulsetrace.models.supervised import part_of, prefix_scores, stratified_folds, train_classifier
 from pulsetrace.operators.encode import assembler
-from pulsetrace.operators.smote import nearest_neighbours, smote
+from pulsetrace.operators.smote import nearest_neighbours, searched_neighbours, smote
 
 
 @pytest.fixture(scope="module")
@@ -44,6 +44,26 @@ def test_neighbours_are_exact(spark, rows):
             assert [n["other"] for n in r.neighbours] == [k for _, k in order]
 
 
+def test_pruned_neighbours_are_exact_on_clusters_and_copies(spark):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(1500, 3)) + 40 * rng.integers(0, 6, size=(1500, 3)), 3)
+    x[:400] = x[0]  # a third are copies of one row
+    x[400] = 1e6
+    data = [(f"s{i:04d}", p.tolist(), i % 2) for i, p in enumerate(x)] + [("odd", [float("nan"), 0.0, 1.0], 0)]
+    points = spark.createDataFrame(data, "session_id string, x array<double>, fold int")
+    for per in (None, "fold"):
+        near, looked = searched_neighbours(points, 5, 200, per)
+        got = {r.session_id: [n["other"] for n in r.neighbours] for r in near.collect()}
+        assert len(got) == 1500 and looked.first().pairs < 1500 ** 2 / 10, per
+        for i in [0, 7, 399, 400, *range(401, 1500, 9)]:
+            gap = ((x - x[i]) ** 2).T
+            gap = gap[0] + gap[1] + gap[2]
+            order = sorted((g, f"s{j:04d}") for j, g in enumerate(gap) if j != i and (per is None or j % 2 == i % 2))
+            assert got[f"s{i:04d}"] == [name for _, name in order[:5]]
+    assert nearest_neighbours(points.limit(0), 5).count() == 0
+    assert nearest_neighbours(points.limit(1), 5).count() == 0
+
+
 def test_smote_balances_and_interpolates(spark, rows):
     ready = assembler(["iat_cv", "iat_mean", "pkt_ratio"]).transform(rows).select(
         "session_id", "target", "features")
