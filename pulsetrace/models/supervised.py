@@ -255,6 +255,14 @@ def _fit_calibrator(scored: DataFrame, method: str):
     raise ValueError(f"unknown calibration method: {method}")
 
 
+def calibrate_scores(learned_on: DataFrame, rows: DataFrame, score: str, method: str, output: str) -> DataFrame:
+    """``rows`` with ``score`` mapped to a probability by a calibration learned on other scores and targets."""
+    def raw(df):
+        return df.withColumn("_raw", F.col(score))
+
+    return _calibrate(_fit_calibrator(raw(learned_on), method), raw(rows), method, output)
+
+
 def calibrated(est, params, rows: DataFrame, folds: int, method: str = "isotonic",
                models: Sequence | None = None, parallelism: int = 8) -> Calibrated:
     """Per fold: a model of the others (fitted here unless given), and the calibration learned on the fold itself."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pulsetrace.plans import (  # noqa: F401
-    enrichment_queries, feature_queries, flow_queries, model_queries, score_queries, sweep_queries,
+    closed_form_queries, enrichment_queries, feature_queries, flow_queries, model_queries, score_queries, sweep_queries,
 )
 from pulsetrace.plans.registry import ORACLES, QUERIES
 

@@ -51,6 +51,12 @@ def evaluate_split(matrix: DataFrame, split: str, settings: Settings = DEFAULTS,
     test = parts.where("split = 'test'").drop("split")
     scored, classifier = score_rows(parts.where("split = 'train'").drop("split"), test, settings,
                                     model, detector, calibrate)
+    rows, limits = branch_metrics(scored, split, settings)
+    return rows, scored, limits, classifier
+
+
+def branch_metrics(scored: DataFrame, split: str, settings: Settings = DEFAULTS) -> tuple[DataFrame, Thresholds]:
+    """Metric rows of scored sessions (fused at the BLOCK threshold, anomaly branch at 0.5) and the thresholds."""
     limits = calibrate_thresholds(scored, settings=settings)
     fused = curves.full_metrics(scored, limits.high, settings.flows_per_day, "risk_score")
     alone = curves.full_metrics(scored, 0.5, settings.flows_per_day, "anomaly_score")
@@ -58,7 +64,7 @@ def evaluate_split(matrix: DataFrame, split: str, settings: Settings = DEFAULTS,
     for branch, metrics in (("fused", fused), ("anomaly", alone)):
         one = metrics.select(F.lit(split).alias("split"), F.lit(branch).alias("branch"), "*")
         rows = one if rows is None else rows.unionByName(one)
-    return rows, scored, limits, classifier
+    return rows, limits
 
 
 def tier_ablation(train: DataFrame, test: DataFrame, settings: Settings = DEFAULTS,
@@ -85,7 +91,11 @@ def model_comparison(train: DataFrame, test: DataFrame, settings: Settings = DEF
         scored = train_classifier(name, train, settings, calibrate=calibrate).score(scored, name)
     scored = materialise(scored.withColumn("fused", fusion.weighted_average(
         models[0], "anomaly_score", settings)))
-    names = [*models, "anomaly_score", "fused"]
+    return compare_scores(scored, [*models, "anomaly_score", "fused"])
+
+
+def compare_scores(scored: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Average precision, ROC-AUC and recall at precision 0.9 of each score column."""
     long = scored.select("target", F.inline(F.array(*[
         F.struct(F.lit(n).alias("model"), F.col(n).alias("score")) for n in names])))
     return curves.ranking_metrics(long, by=["model"]).join(

@@ -29,6 +29,11 @@ def save_thresholds(scores: DataFrame, thresholds: Thresholds, path: str) -> Non
     thresholds_frame(scores, thresholds).coalesce(1).write.mode("overwrite").json(path)
 
 
+def read_thresholds(spark: SparkSession, path: str) -> Thresholds:
+    row = spark.read.schema("tau_low double, tau_high double").json(path).first()
+    return Thresholds(row["tau_low"], row["tau_high"])
+
+
 def save_report(report: DataFrame, path: str) -> None:
     """A report is a few metric rows, so one file is enough."""
     report.coalesce(1).write.mode("overwrite").json(path)

@@ -117,3 +117,4 @@ def test_log_thresholds_and_report_round_trip(spark, tmp_path):
     sinks.save_thresholds(scored, decision.Thresholds(0.4, 0.8), str(tmp_path / "t"))
     assert tuple(sinks.read_report(spark, str(tmp_path / "t"), "tau_low double, tau_high double"
                                    ).first()) == (0.4, 0.8)
+    assert sinks.read_thresholds(spark, str(tmp_path / "t")) == decision.Thresholds(0.4, 0.8)
