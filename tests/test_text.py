@@ -4,10 +4,10 @@ import math
 
 from pyspark.sql import functions as F
 
-from pulsetrace.functions.text import entropy, feature_text, sentence
+from pulsetrace.functions.text import entropy, sentence
 
 
-def test_feature_text():
+def test_feature_text(spark):
     cases = [("iat_cv", 0.03, "interval CV 0.03 (highly regular)"),
              ("iat_cv", 0.15, "interval CV 0.15 (irregular)"),
              ("resp_bytes_is_zero", 1.0, "response bytes 0"),
@@ -16,8 +16,10 @@ def test_feature_text():
              ("periodicity_score", 1.0, "periodicity score 1.00"),
              ("orig_resp_byte_ratio", 2.25, "upload/download ratio 2.2"),
              ("iat_mean", 1234.5, "iat mean 1.23e+03")]
-    for name, value, text in cases:
-        assert feature_text(name, value) == text
+    rows = spark.createDataFrame([(i, [n], [v]) for i, (n, v, _) in enumerate(cases)], "i int, n array<string>, v array<double>")
+    got = {r.i: r.text for r in rows.select("i", sentence("n", "v").alias("text")).collect()}
+    for i, (_, _, text) in enumerate(cases):
+        assert got[i] == text
 
 
 def test_sentence(spark):
