@@ -89,6 +89,7 @@ class Settings:
     anomaly_weight: float = 0.4
     fusion_method: str = "weighted_average"
     imbalance: str = "class_weight"
+    focal_gamma: float = 2.0
     smote_neighbours: int = 5
     cv_folds: int = 5
     calibration: str = "isotonic"

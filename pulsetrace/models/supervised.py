@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from pulsetrace.config import DEFAULTS, STATE_CATEGORIES, Settings
 from pulsetrace.functions.hashing import hash60
+from pulsetrace.models.focal import FocalLogistic
 from pulsetrace.operators import encode
 from pulsetrace.operators.curves import average_precision
 from pulsetrace.operators.order_stats import cut_at_fractions
@@ -94,7 +95,8 @@ def estimator(name: str, settings: Settings, total_weight: float, weighted: bool
                 .addGrid(est.stepSize, list(settings.boost_step)))
         return Grid(est, grid.build(), est.maxIter, tuple(sorted(settings.boost_rounds)))
     if name == "logistic_regression":
-        est = LogisticRegression(maxIter=200, **common)
+        focal = settings.imbalance == "focal_loss"
+        est = FocalLogistic(gamma=settings.focal_gamma, **common) if focal else LogisticRegression(maxIter=200, **common)
         # The usual C is the inverse of the penalty on the summed, not the mean, loss.
         grid = ParamGridBuilder().addGrid(
             est.regParam, [1.0 / (c * total_weight) for c in settings.logistic_c])
@@ -340,8 +342,8 @@ def train_classifier(name: str, train: DataFrame, settings: Settings = DEFAULTS,
     rows = materialise(encode.add_weight(rows, weights) if weighted else rows)
     if settings.imbalance == "smote":
         rows = materialise(smote(rows, settings, per="fold"))
-    if settings.imbalance == "focal_loss":
-        rows = materialise(focal_weights(rows))
+    if settings.imbalance == "focal_loss" and name != "logistic_regression":
+        rows = materialise(focal_weights(rows, settings.focal_gamma))
     total = rows.count()
     found = tuned(name, rows, folds, settings, float(total), weighted)
     est = estimator(name, settings, float(total), weighted).estimator
@@ -357,12 +359,13 @@ def train_classifier(name: str, train: DataFrame, settings: Settings = DEFAULTS,
     return Classifier(prepared, inputs.features, found.model, calibration, metadata)
 
 
-def focal_weights(rows: DataFrame, gamma: float = 2.0) -> DataFrame:
-    """Scale each row's weight by (1 - p)^gamma, p being a first model's probability of its class."""
-    first = LogisticRegression(featuresCol="features", labelCol="target", weightCol="weight",
-                               maxIter=100)
+def focal_weights(rows: DataFrame, gamma: float = DEFAULTS.focal_gamma) -> DataFrame:
+    """Scale each row's weight by (1 - p)^gamma, p being the focal fit's probability of its class.
+
+    For trees, whose losses pyspark.ml fixes; logistic regression is fitted to the focal loss itself.
+    """
     probability = positive_probability()
     right = F.when(F.col("target") == 1, probability).otherwise(1 - probability)
-    return (first.fit(rows).transform(rows)
+    return (FocalLogistic(labelCol="target", weightCol="weight", gamma=gamma).fit(rows).transform(rows)
             .withColumn("weight", F.col("weight") * F.pow(1 - right, F.lit(float(gamma))))
             .drop("probability", "rawPrediction", "prediction"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from pulsetrace.config import DEFAULTS
-from pulsetrace.models import anomaly
+from pulsetrace.models import anomaly, focal
 from pulsetrace.models.supervised import calibrate_scores
 from pulsetrace.operators import decision, encode
 from pulsetrace.operators.smote import smote
@@ -103,6 +104,53 @@ def smote_balance(spark, folder):
         F.every(within[0] & within[1]).alias("inside"))
 
 
+GAMMA, PENALTY = DEFAULTS.focal_gamma, 0.01
+# Where the step starts: intercept and both coefficients.
+START = (-0.4, 0.6, -0.8)
+
+
+def _focal_sql() -> str:
+    """One second-order step of the focal loss on two standardised inputs: sums, then Cramer's rule."""
+    names = ("CAST(1 AS DOUBLE)", "x", "y")
+    gradient = ", ".join(f"AVG(s * slope * {n}) + {0 if i == 0 else PENALTY * START[i]} AS g{i}" for i, n in enumerate(names))
+    bends = ", ".join(f"AVG(bend * {a} * {b}) + {PENALTY if i == j and i else 0} AS h{i}{j}"
+                      for i, a in enumerate(names) for j, b in enumerate(names))
+
+    def det(*columns):
+        a, b, c = columns
+        return (f"({a[0]} * ({b[1]} * {c[2]} - {b[2]} * {c[1]}) - {b[0]} * ({a[1]} * {c[2]} - {a[2]} * {c[1]})"
+                f" + {c[0]} * ({a[1]} * {b[2]} - {a[2]} * {b[1]}))")
+
+    h = [[f"h{i}{j}" for i in range(3)] for j in range(3)]
+    g = [f"g{i}" for i in range(3)]
+    solved = ", ".join(f"{START[k]} - {det(*[g if k == j else h[j] for j in range(3)])} / {det(*h)} AS b{k}" for k in range(3))
+    return f"""
+ab AS (SELECT session_id, target, CAST(n_flows AS DOUBLE) AS a, iat_cv AS b FROM scored),
+st AS (SELECT AVG(a) AS am, STDDEV_SAMP(a) AS s_a, AVG(b) AS bm, STDDEV_SAMP(b) AS s_b FROM ab),
+z AS (SELECT session_id, 2 * target - 1 AS s, (a - am) / s_a AS x, (b - bm) / s_b AS y FROM ab, st),
+m AS (SELECT *, 1 / (1 + EXP(-s * ({START[0]} + {START[1]} * x + {START[2]} * y))) AS p FROM z),
+d AS (SELECT *, POW(1 - p, {GAMMA}) * ({GAMMA} * p * LN(p) - (1 - p)) AS slope, GREATEST(1e-6,
+        POW(1 - p, {GAMMA}) * p * ((1 - p) * (1 + 2 * {GAMMA}) + {GAMMA} * LN(p) * (1 - p - {GAMMA} * p))) AS bend FROM m),
+sm AS (SELECT {gradient}, {bends} FROM d),
+nb AS (SELECT {solved} FROM sm)"""
+
+
+@query("focal_step", sql.over_scores(
+    "SELECT session_id, ROUND(1 / (1 + EXP(-(b0 + b1 * x + b2 * y))), 6) AS score FROM z, nb", _focal_sql()))
+def focal_step(spark, folder):
+    """Scores after one full second-order step of the focal loss from given coefficients, on two inputs."""
+    rows = _pair_sessions(spark, folder)
+    x = F.array(*[F.col(c) for c in PAIR])
+    table, centre, scale, total = focal.standardised(rows.select(x.alias("x"), F.col("target").alias("y"), F.lit(1.0).alias("a")))
+    start = np.array(START)
+    _, gradient, curvature = focal.derivatives(table, start, GAMMA)
+    beta = start + focal.direction(gradient / total, curvature / total, start, PENALTY)
+    margin = F.lit(float(beta[0]))
+    for c, mean, size, b in zip(PAIR, centre, scale, beta[1:]):
+        margin = margin + F.lit(float(b)) * (F.col(c) - F.lit(float(mean))) / F.lit(float(size))
+    return rows.select("session_id", F.round(1 / (1 + F.exp(-margin)), 6).alias("score"))
+
+
 # ------------------------------------------------------------------ runs over given scores
 
 TESTS_SQL = f"""
