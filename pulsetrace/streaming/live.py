@@ -7,14 +7,17 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pulsetrace.config import DEFAULTS, SESSION_KEYS, Settings
 from pulsetrace.operators.asof import carried
 from pulsetrace.operators.joins import counted_lookup
 
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def flow_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
     """Flows arriving as files in a folder."""
@@ -55,8 +58,10 @@ def write_stream(df: DataFrame, path: str, checkpoint: str, mode: str = "append"
     query.awaitTermination()
 
 
-STATE = "n bigint, last_us bigint, mean double, m2 double, late bigint, recent array<bigint>"
+#: Flows settled, flows without a time, last settled time, interval moments, late flows, open minutes, when to expire.
+TOTALS = ("n bigint, untimed bigint, last_us bigint, mean double, m2 double, late bigint, n_open bigint, until_ms bigint")
 UPDATE = "n_flows bigint, iat_mean double, iat_std double, late bigint, assessable boolean"
+MINUTE_US = 60_000_000
 
 
 def fold(n: int, last: int | None, mean: float, m2: float, times: np.ndarray,
@@ -74,51 +79,125 @@ def fold(n: int, last: int | None, mean: float, m2: float, times: np.ndarray,
     return n + len(times), int(times[-1]), float(mean), float(m2)
 
 
+def minutes_of(flows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Flows gathered by session and minute within each Arrow batch: keys, ``minute``, ``untimed``, ``times``, ``_time``.
+
+    Stateless and without a shuffle; a session that fills a batch leaves it as one row per minute. Flows without a time
+    are only counted.
+    """
+    names = [*keys, "minute"]
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.Table.from_batches([batch]).group_by(names, use_threads=False).aggregate([("ts_us", "list")])
+            yield from found.select([*names, "ts_us_list"]).combine_chunks().to_batches()
+
+    kinds = dict(flows.dtypes)
+    head = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    timed = flows.select(*keys, "ts_us", F.expr(f"ts_us - pmod(ts_us, {MINUTE_US}L)").alias("minute"))
+    return timed.mapInArrow(gather, f"{head}, minute bigint, times array<bigint>").selectExpr(
+        *keys, "coalesce(minute, 0L) AS minute", "IF(minute IS NULL, size(times), 0) AS untimed",
+        "IF(minute IS NULL, cast(array() AS array<bigint>), times) AS times",
+        "timestamp_micros(IF(minute IS NULL, NULL, array_max(times))) AS _time")
+
+
+class RunningSessions(StatefulProcessor):
+    """State of a session: totals of what the watermark has passed, and the later times minute by minute.
+
+    A batch rewrites only the minutes it adds to or settles.
+    """
+
+    def __init__(self, keys: Sequence[str], wait_ms: int, minimum: int):
+        self.keys, self.wait_ms, self.minimum = list(keys), wait_ms, minimum
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.totals = handle.getValueState("totals", TOTALS)
+        self.open = handle.getMapState("open", "minute bigint", "times array<bigint>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, untimed, last, mean, m2, late, n_open, until = self.totals.get() or (0, 0, None, 0.0, 0.0, 0, 0, None)
+        trailing = max(timerValues.getCurrentWatermarkInMs(), 0)  # 0 before the first batch is done
+        mark = (trailing + self.wait_ms) * 1000 if trailing else -(1 << 62)
+        came: dict[int, list[np.ndarray]] = {}
+        top = trailing
+        for pdf in rows:
+            untimed += int(pdf["untimed"].sum())
+            for minute, times in zip(pdf["minute"], pdf["times"]):
+                times = np.asarray(times, np.int64)
+                if len(times):
+                    top = max(top, int(times.max()) // 1000)
+                    fresh = times[times >= mark]
+                    late += len(times) - len(fresh)
+                    if len(fresh):
+                        came.setdefault(int(minute), []).append(fresh)
+        held = {k[0]: np.asarray(v[0], np.int64) for k, v in self.open.iterator()} if n_open else {}
+        known = set(held)
+        for minute, parts in came.items():
+            held[minute] = np.sort(np.concatenate([*parts, held.get(minute, np.empty(0, np.int64))]))
+        ahead = []
+        for minute in sorted(held):
+            settled = int(np.searchsorted(held[minute], mark))
+            n, last, mean, m2 = fold(n, last, mean, m2, held[minute][:settled])
+            rest = held[minute][settled:]
+            if len(rest):
+                ahead.append(rest)
+                if settled or minute in came:
+                    self.open.updateValue((minute,), (rest.tolist(),))
+            elif minute in known:
+                self.open.removeKey((minute,))
+        if until is None:
+            self.handle.registerTimer(top + 1)
+        until = max(until or 0, top + 1)
+        self.totals.update((n, untimed, last, mean, m2, late, len(ahead), until))
+        total, _, centre, square = fold(n, last, mean, m2, np.concatenate(ahead) if ahead else np.empty(0, np.int64))
+        spread = math.sqrt(max(square, 0.0) / (total - 1)) if total > 1 else 0.0
+        yield pd.DataFrame({**{k: [v] for k, v in zip(self.keys, key)}, "n_flows": [total + untimed],
+                            "iat_mean": [centre], "iat_std": [spread], "late": [late],
+                            "assessable": [total + untimed >= self.minimum]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """One timer a session: where later flows have come since it was set, it is set anew."""
+        until = self.totals.get()[-1]
+        if until > expiredTimerInfo.getExpiryTimeInMs():
+            self.handle.registerTimer(until)
+        else:
+            self.totals.clear()
+            self.open.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
 def partial_sessions(flows: DataFrame, settings: Settings = DEFAULTS,
                      idle: str = "30 days", delay: str = "1 hour") -> DataFrame:
     """Running interval statistics per session, updated with every micro-batch.
 
     Flows may arrive out of order within ``delay``. A flow the watermark has not passed stays in the
-    state, as an earlier one may still come; what the watermark has passed is folded into five numbers.
+    state, as an earlier one may still come; what the watermark has passed is folded into a few numbers.
     Every update covers both. A flow older than the watermark cannot be placed any more and is counted
-    as late. ``assessable`` stays false until the session has the minimum number of flows.
+    as late. One without a time counts as a flow that has no interval and is never late. ``assessable``
+    stays false until the session has the minimum number of flows.
+
+    Flows are gathered by session and minute before they are shuffled, and the state holds the open
+    minutes one by one.
 
     Spark's own watermark trails this one by ``idle``: it then hands over late flows instead of dropping
-    them unseen, and expires a session that got nothing for so long. Only flows late by more than
+    them unseen, and a timer expires a session that got nothing for so long. Only flows late by more than
     ``idle``, whose session is gone, are dropped (``numRowsDroppedByWatermark`` in the query's progress).
+
+    State of this kind needs Spark's RocksDB store; it is chosen in the session's settings here.
     """
     keys = list(settings.session_keys)
-    minimum = settings.min_session_flows
     wait = int(pd.Timedelta(idle).total_seconds() * 1000)
     trail = f"{int((pd.Timedelta(idle) + pd.Timedelta(delay)).total_seconds())} seconds"
-
-    def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        n, last, mean, m2, late, recent = state.get if state.exists else (0, None, 0.0, 0.0, 0, [])
-        trailing = state.getCurrentWatermarkMs()  # 0 before the first batch is done
-        mark = (trailing + wait) * 1000 if trailing else -(1 << 62)
-        came = np.concatenate([pdf["ts_us"].to_numpy(np.int64) for pdf in batches])
-        fresh = came[came >= mark]
-        late += len(came) - len(fresh)
-        waiting = np.sort(np.concatenate([np.array(recent, np.int64), fresh]))
-        settled = int(np.searchsorted(waiting, mark))
-        n, last, mean, m2 = fold(n, last, mean, m2, waiting[:settled])
-        state.update((n, last, mean, m2, late, waiting[settled:].tolist()))
-        state.setTimeoutTimestamp(max(int(came.max()) // 1000, trailing) + 1)
-        total, _, centre, square = fold(n, last, mean, m2, waiting[settled:])
-        spread = math.sqrt(max(square, 0.0) / (total - 1)) if total > 1 else 0.0
-        yield pd.DataFrame({**{k: [v] for k, v in zip(keys, key)}, "n_flows": [total],
-                            "iat_mean": [centre], "iat_std": [spread], "late": [late],
-                            "assessable": [total >= minimum]})
-
+    flows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     kinds = dict(flows.dtypes)
     head = ", ".join(f"{k} {kinds[k]}" for k in keys)
-    return (flows.select(*keys, "ts_us").withColumn("_time", event_time())
-            .withWatermark("_time", trail).groupBy(*keys)
-            .applyInPandasWithState(advance, f"{head}, {UPDATE}", STATE, "update",
-                                    GroupStateTimeout.EventTimeTimeout))
+    return (minutes_of(flows, keys).withWatermark("_time", trail).groupBy(*keys)
+            .transformWithStateInPandas(RunningSessions(keys, wait, settings.min_session_flows), f"{head}, {UPDATE}",
+                                        "update", "EventTime"))
 
 
 def keep_latest(updates: DataFrame, path: str, checkpoint: str) -> None:

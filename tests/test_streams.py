@@ -173,3 +173,46 @@ def test_sweeps_equal_features_of_the_perturbed_flows(spark):
                     np.testing.assert_allclose(a[c], b[c], rtol=1e-9, atol=1e-9, err_msg=c)
                 else:
                     assert (a[c] == b[c]).all(), c
+
+
+def streamed(spark, arrivals, **options):
+    """Running sessions after batches of (host, second) rows, by host."""
+    source, out, offsets = (scratch_path(spark, n) for n in ("batches", "states", "offsets"))
+    for rows in arrivals:
+        rows = [(h, "b", 1, None if t is None else (START * 1_000_000 + round(t * 1e6))) for h, t in rows]
+        df = spark.createDataFrame(rows, "orig_h string, resp_h string, resp_p int, ts_us bigint")
+        df.repartition(3).write.mode("append").parquet(source)
+        live.keep_latest(live.partial_sessions(live.flow_stream(spark, source, df.schema), **options), out, offsets)
+    return {r.orig_h: r for r in live.current_sessions(spark, out).collect()}
+
+
+def test_a_session_with_half_of_a_batch(spark):
+    rng = random.Random(8)
+    hot = [[("hot", i * 900 + rng.random() * 1500) for _ in range(4000)] for i in range(3)]
+    rest = [[(f"h{j}", i * 900 + rng.random() * 900) for j in range(200) for _ in range(20)] for i in range(3)]
+    got = streamed(spark, [a + b for a, b in zip(hot, rest)])
+    for host in ("hot", "h7", "h199"):
+        times = sorted(round(t * 1e6) for part in (*hot, *rest) for h, t in part if h == host)
+        gaps = np.diff(times) / 1e6
+        assert (got[host].n_flows, got[host].late) == (len(times), 0)
+        assert np.isclose(got[host].iat_mean, gaps.mean()) and np.isclose(got[host].iat_std, gaps.std())
+    df = spark.createDataFrame([(h, "b", 1, int(t * 1e6)) for h, t in hot[0] + rest[0]],
+                               "orig_h string, resp_h string, resp_p int, ts_us bigint").coalesce(1)
+    assert live.minutes_of(df, DEFAULTS.session_keys).where("orig_h = 'hot'").count() <= 26
+
+
+def test_flows_without_a_time_or_host_in_a_stream(spark):
+    hour = 3_600
+    got = streamed(spark, [[("a", 0), ("a", None), (None, 5)], [("a", 30), ("a", 20 * hour), (None, None)],
+                           [("a", None), (None, 20 * hour), (None, 6)]])
+    assert (got["a"].n_flows, got["a"].late, got["a"].assessable) == (5, 0, True)
+    assert np.isclose(got["a"].iat_mean, 10 * hour)
+    assert (got[None].n_flows, got[None].late, got[None].assessable) == (3, 1, False)
+
+
+def test_idle_sessions_leave_the_state(spark):
+    hour = 3_600
+    got = streamed(spark, [[("a", 0), ("a", 10), ("b", 0)], [("b", 30 * hour)], [("b", 31 * hour)],
+                           [("a", 31 * hour), ("b", 32 * hour)]], idle="5 hours")
+    assert (got["a"].n_flows, got["a"].late) == (1, 0)
+    assert (got["b"].n_flows, got["b"].late) == (4, 0)
