@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsetrace.operators.joins import lookup_join
 from pulsetrace.operators.order_stats import quantile_table
 from pulsetrace.operators.sessions import HotSessions, hot_intervals, renamed_keys, same_keys
 from pulsetrace.session import materialise
@@ -52,6 +53,15 @@ def fourier(points: DataFrame) -> DataFrame:
     return turned.groupBy("series", "part").applyInPandas(_rows_pass, POINTS)
 
 
+def _told(points: DataFrame, facts: DataFrame, rows: str) -> DataFrame:
+    """The points of every series in ``facts`` with its facts; ``rows`` says about how many points a series has.
+
+    All series here are hot keys, so their points are dealt out by position.
+    """
+    known = facts.withColumns({"_known": F.lit(True), "_points": F.expr(rows)})
+    return lookup_join(points, known, ["no"], "_points", ["i"]).where("_known").drop("_known")
+
+
 def spectral_scores(series: DataFrame, lengths: DataFrame) -> DataFrame:
     """Autocorrelation peak and dominant-frequency share per series.
 
@@ -60,7 +70,7 @@ def spectral_scores(series: DataFrame, lengths: DataFrame) -> DataFrame:
     length works.
     """
     sizes = lengths.select("no", "n", F.length(F.bin(2 * F.col("n") - 1)).alias("bits"))
-    base = series.join(sizes, "no")
+    base = _told(series, sizes, "n")
     square = F.col("i").cast("decimal(18,0)") * F.col("i").cast("decimal(18,0)")
     turn = (square % (F.col("n") * 2)).cast("double") * F.lit(np.pi) / F.col("n")
     base = base.withColumn("turn", turn)
@@ -92,8 +102,7 @@ def spectral_scores(series: DataFrame, lengths: DataFrame) -> DataFrame:
         "series", "bits", "i",
         (F.col("re") * F.col("cre") - F.col("im") * F.col("cim")).alias("re"),
         (-(F.col("re") * F.col("cim") + F.col("im") * F.col("cre"))).alias("im"))
-    back = fourier(power.unionByName(product)).withColumn(
-        "no", F.expr("series DIV 3")).join(sizes.drop("bits"), "no")
+    back = _told(fourier(power.unionByName(product)).withColumn("no", F.expr("series DIV 3")), sizes.drop("bits"), "2 * n")
     is_acf = F.col("series") % 3 == 0
     inside = F.col("i").between(1, F.col("n") - 1)
     half = F.col("i") <= F.floor(F.col("n") / 2)
@@ -118,7 +127,7 @@ def hot_timing(sums: DataFrame, flows: DataFrame, hot: HotSessions, spectral: bo
         F.count("*").alias("m"), F.avg("iat_us").alias("mean"), F.stddev_pop("iat_us").alias("std"),
         F.min("iat_us").alias("lo"), F.max("iat_us").alias("hi"))
     centre = quantile_table(points, "iat_us", [0.5], "no").withColumnRenamed("q0", "median")
-    away = points.join(centre, "no").withColumn(
+    away = _told(points, centre.join(stats.select("no", "m"), "no"), "m").withColumn(
         "dev", F.abs(2 * F.col("iat_us") - (2 * F.col("median")).cast("bigint")))
     spread = quantile_table(away, "dev", [0.5], "no").withColumnRenamed("q0", "mad")
     far = F.greatest(F.col("hi") - F.col("mean"), F.col("mean") - F.col("lo")) / 1e6
@@ -131,7 +140,7 @@ def hot_timing(sums: DataFrame, flows: DataFrame, hot: HotSessions, spectral: bo
     scores = ["periodicity_score", "fft_dominant_power"]
     if spectral:
         open_ = facts.where("score IS NULL").select("no", F.col("m").alias("n"), "iat_mean")
-        series = points.join(open_.drop("n"), "no").select(
+        series = _told(points, open_, "n").select(
             "no", "i", (F.col("iat_us") / F.lit(1e6) - F.col("iat_mean")).alias("x"))
         found = spectral_scores(series, open_.drop("iat_mean"))
         facts = facts.join(found, "no", "left").withColumns({c: F.coalesce(c, "score") for c in scores})

@@ -98,7 +98,8 @@ def _stitched(flows: DataFrame, keys: Sequence[str]) -> DataFrame:
         .alias("_offset"),
         F.lag("_last").over(over).alias("_carry"))
     edges = renamed_keys(edges, [*keys, "_seg"])
-    joined = local.join(F.broadcast(edges), same_keys([*keys, "_seg"]))
+    # Where they are many, the join splits by session and segment, so even a hot session's flows stay apart.
+    joined = local.join(edges, same_keys([*keys, "_seg"]))
     previous = F.coalesce(F.col("_before"), F.when(F.col("_at") == 1, F.col("_carry")))
     return joined.select(*[c for c in flows.columns if c != "_seg"],
                          (F.col("_offset") + F.col("_at") - 1).alias("flow_no"),

@@ -202,3 +202,16 @@ def test_missing_detailed_label_can_fall_back(spark):
     df = flows(spark, irregular(4, label=None)).withColumn("label", F.lit("Benign"))
     assert labels.binary_target(df).count() == 0
     assert labels.binary_target(df, DEFAULTS.with_(label_fallback="label")).count() == 4
+
+
+def test_points_of_hot_series_are_dealt_out(spark, mixed, monkeypatch):
+    from pulsetrace.operators import joins
+
+    settings = DEFAULTS.with_(hot_session_flows=3)
+    plain = session_features(mixed, settings).toPandas()
+    monkeypatch.setattr(joins.lookup_join, "__defaults__", (7, None))
+    dealt = session_features(mixed, settings).toPandas()
+    order = ["orig_h", "resp_h", "resp_p"]
+    plain, dealt = (t.sort_values(order).reset_index(drop=True) for t in (plain, dealt))
+    for c in ("iat_mad", "iat_median", "periodicity_score", "fft_dominant_power"):
+        assert np.allclose(plain[c], dealt[c], rtol=1e-9, atol=1e-9), c
