@@ -6,13 +6,14 @@ the driver, one row per round.
 
 Sampling: a source whose target is r times its size gives every document floor(r) times, and one time more where
 the document's seeded hash lies below a cut. The cut is found by narrowing 256 hash ranges at a time with sums of
-words per source and range, so a source of any size needs no sort and no task of its own.
+words per source and range, so a source of any size needs no sort and no task of its own. Where several documents
+share the last range (repeated rows hash alike), they are taken one after the other, as they are stored, up to the cut.
 
 Only DataFrame functions are used.
 
 Defined cases. Null text: size 0. Null source: a source of its own, last in order. Documents of size 0 never
-matter to a target; they are repeated like their source. Repeated rows hash alike and are taken alike. Empty
-table or no words at all: targets 0, nothing taken. Extra columns pass through ``mix`` untouched.
+matter to a target; they are repeated like their source. Repeated rows hash alike; those that share the place of the
+cut are taken in part, so that the target is met to half a document however many they are. Empty table or no words at all: targets 0, nothing taken. Extra columns pass through ``mix`` untouched.
 """
 
 from __future__ import annotations
@@ -92,6 +93,8 @@ def targets(sources: DataFrame, mix: Mix = Mix()) -> DataFrame:
 def plan(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """Per source: source_size, target, whole repetitions and the hash ``cut`` below which one more is given.
 
+    Where several documents share the range of the cut, it ends at ``crowd_end``, and ``crowd_words`` of it are given.
+
     ``sizes`` has source, size and place. Each round sums the words of the 256 sub-ranges of the range that holds
     the cut and moves on into the one where the wanted words are reached; the last one ends at its nearer border.
     """
@@ -107,12 +110,12 @@ def plan(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
         inside = sizes.join(table.select(F.col("source").alias("s"), "prefix"), F.expr(
             f"source <=> s AND shiftright(place, {shift + DIGIT}) = prefix"))
         digits = inside.groupBy("source", F.shiftright("place", shift).bitwiseAND((1 << DIGIT) - 1).alias(
-            "digit")).agg(F.sum("size").alias("words"))
-        sums = digits.select("source", "digit", "words", F.sum("words").over(order).alias("upto"))
+            "digit")).agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
+        sums = digits.select("source", "digit", "words", "rows", F.sum("words").over(order).alias("upto"))
         gone = table.select(F.col("source").alias("s"), "wanted", "below")
         past = sums.join(gone, F.expr("source <=> s")).withColumn("upto", F.col("upto") + F.col("below"))
         hit = past.where(F.col("upto") > F.col("wanted")).groupBy("source").agg(
-            F.min(F.struct("digit", "upto", "words")).alias("hit"))
+            F.min(F.struct("digit", "upto", "words", "rows")).alias("hit"))
         step = hit.select(F.col("source").alias("s"), "hit.*")
         base = F.shiftleft("prefix", DIGIT)
         table = table.join(step, F.expr("source <=> s"), "left")
@@ -123,15 +126,36 @@ def plan(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
                                  low.alias("below"))
         else:
             nearer = F.when(F.col("upto") - F.col("wanted") <= F.col("wanted") - (F.col("upto") - F.col("words")), 1).otherwise(0)
-            cut = F.shiftleft(base + F.coalesce(F.col("digit") + nearer, F.lit(1 << DIGIT)), shift)
-            table = table.select("source", "source_size", "target", "whole", F.when(F.col("wanted") > 0, cut).otherwise(
-                F.lit(0)).cast("long").alias("cut"))
+            crowded = (F.col("wanted") > 0) & (F.col("rows") > 1)
+            cut = F.shiftleft(base + F.coalesce(F.when(crowded, F.col("digit")), F.col("digit") + nearer,
+                                                F.lit(1 << DIGIT)), shift)
+            table = table.select(
+                "source", "source_size", "target", "whole",
+                F.when(F.col("wanted") > 0, cut).otherwise(F.lit(0)).cast("long").alias("cut"),
+                F.when(crowded, F.shiftleft(base + F.col("digit") + 1, shift)).cast("long").alias("crowd_end"),
+                (F.col("wanted") - F.col("upto") + F.col("words")).alias("crowd_words"))
     return materialise(table)
 
 
-def copies() -> Column:
-    """How often a document is given; needs the columns whole, cut and place."""
-    return F.col("whole") + F.when(F.col("place") < F.col("cut"), 1).otherwise(0)
+def given(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows of (source, place, size, ...) with their source's plan and ``n``, how often a document is given."""
+    joined = rows.join(table.withColumnRenamed("source", "s"), F.expr("source <=> s"))
+    plain = F.col("whole") + F.when(F.col("place") < F.col("cut"), 1).otherwise(0)
+    if table.where("crowd_end IS NOT NULL").isEmpty():
+        return joined.withColumn("n", plain)
+    crowd = F.expr("coalesce(place >= cut AND place < crowd_end, false)")
+    # Words before a row: those of earlier partitions, one number each, and of earlier rows of its own.
+    stored = materialise(joined.where(crowd).withColumn("at", F.monotonically_increasing_id())).withColumn(
+        "part", F.shiftright("at", 33))
+    before = (Window.unboundedPreceding, -1)
+    parts = stored.groupBy("s", "part").agg(F.sum("size").alias("words")).select(
+        F.col("s").alias("of"), F.col("part").alias("of_part"),
+        F.coalesce(F.sum("words").over(Window.partitionBy("s").orderBy("part").rowsBetween(*before)), F.lit(0)).alias("earlier"))
+    own = F.coalesce(F.sum("size").over(Window.partitionBy("s", "part").orderBy("at").rowsBetween(*before)), F.lit(0))
+    numbered = stored.withColumn("own", own).join(parts, F.expr("s <=> of AND part = of_part"))
+    reached = F.col("earlier") + F.col("own") + F.col("size") / 2 <= F.col("crowd_words")
+    taken = numbered.withColumn("n", F.col("whole") + F.when(reached, 1).otherwise(0)).select(*joined.columns, "n")
+    return joined.where(~crowd).withColumn("n", plain).unionByName(taken)
 
 
 def sized(docs: DataFrame, mix: Mix) -> DataFrame:
@@ -142,16 +166,14 @@ def sized(docs: DataFrame, mix: Mix) -> DataFrame:
 def counts(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """doc_id, size, source_size, target and the words taken of every document."""
     sizes = sized(docs, mix)
-    table = plan(sizes, mix).withColumnRenamed("source", "s")
-    return sizes.join(table, F.expr("source <=> s")).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("size") * copies()).alias("taken"))
+    return given(sizes, plan(sizes, mix)).select(
+        "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("n")).alias("taken"))
 
 
 def mix(docs: DataFrame, settings: Mix = Mix()) -> DataFrame:
     """The mixed corpus: every document as often as the mix takes it, with its own columns."""
     columns = [F.col(OWN + str(i)).alias(c) for i, c in enumerate(docs.columns)]
-    table = plan(sized(docs, settings), settings).withColumnRenamed("source", "s")
     rows = docs.select(*[named(c).alias(OWN + str(i)) for i, c in enumerate(docs.columns)],
-                       named("source").alias("source"), dealt(settings).alias("place"))
-    taken = rows.join(table, F.expr("source <=> s")).withColumn("n", copies()).where("n > 0")
+                       named("source").alias("source"), dealt(settings).alias("place"), size_of().alias("size"))
+    taken = given(rows, plan(sized(docs, settings), settings)).where("n > 0")
     return taken.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias(OWN + "n")).drop(OWN + "n")

@@ -494,3 +494,25 @@ def test_extra_columns_and_dots(spark):
     df = spark.createDataFrame([(1, "some words of a text", "en", "a", 20, 1)], "doc_id long, text string, lang string, source string, n_chars long, `odd.name` int")
     for operator in (quality_rules.keep, simhash.keep_one, secret_scan.redact, source_mix.mix, suffix_dedup.cut):
         assert operator(df).columns == df.columns
+
+
+def test_mix_takes_repeated_rows_in_part(spark):
+    # One source of 40 equal rows beside a distinct one, and a source a third of which is one repeated row.
+    rows = [(1, "a b c d e f g h i j", "one", "en")] * 400 + [(i, "x y z " * 10, "two", "en") for i in range(2, 60)]
+    rows += [(900, "q " * 5, None, "en")] * 300 + [(1000 + i, "w " * (1 + i % 9), None, "de") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(7)
+    for settings in (source_mix.Mix(), source_mix.Mix(budget_percent=50), source_mix.Mix(weights=(1, 4, 2))):
+        found = source_mix.counts(docs, settings).collect()
+        assert len(found) == len(rows)
+        for source in ("one", "two", None):
+            mine = [r for r in found if r.source == source]
+            longest = max(r.size for r in mine)
+            assert abs(sum(r.taken for r in mine) - mine[0].target) <= longest
+            assert all(r.taken <= 2 * r.size for r in mine)
+        mixed = source_mix.mix(docs, settings)
+        words = Counter()
+        for r in mixed.collect():
+            words[r.source] += len(WORD.findall(r.text))
+        for source in ("one", "two", None):
+            assert words[source] == sum(r.taken for r in found if r.source == source)
+        assert mixed.columns == docs.columns
