@@ -9,7 +9,10 @@ its complement, and share the kernel's remaining weight.
 Every row is asked for the same sets, so the matrix of the normal equations is one d x d matrix; its right side is
 summed per row from one number for each coalition, combined before the shuffle.
 
-Cost: coalitions x background rows model rows per explained row, by default about 4 d x 100.
+Cost: coalitions x background rows scores per explained row, by default about 4 d x 100. Where the score is a logistic
+function of a weighted sum, the sum of a mixed row is the row's part plus the background's, so a task computes these scores
+from the two parts, all sets and background rows of a session together, and nothing is shuffled. Any other model is given
+the mixed rows.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +31,8 @@ from pulsetrace.functions.hashing import hash60
 from pulsetrace.models.supervised import positive_probability
 
 BACKGROUND_ROWS = 100
+#: Scores held at a time by a task of a logistic model.
+SCORES_HELD = 1_000_000
 
 
 def coalitions(d: int, drawn: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,6 +64,46 @@ def solution(sets: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndar
     return inverse - np.outer(ones, ones) / ones.sum(), ones / ones.sum()
 
 
+def logistic(margin: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-margin)), in place."""
+    np.negative(margin, out=margin)
+    with np.errstate(over="ignore"):
+        np.exp(margin, out=margin)
+    margin += 1.0
+    return np.reciprocal(margin, out=margin)
+
+
+def logistic_shares(rows: DataFrame, model: LogisticRegressionModel, sample: np.ndarray, sets: np.ndarray, weights: np.ndarray,
+                    matrix: np.ndarray, share: np.ndarray) -> DataFrame:
+    """``session_id`` and coefficients ``_phi`` under a two-class logistic model."""
+    slope, start = model.coefficients.toArray(), float(model.intercept)
+    base = float(logistic(sample @ slope + start).mean())
+    d = sets.shape[1]
+    others = (1.0 - sets) @ (sample * slope).T + start  # what the background adds: sets x background rows
+    step = max(1, SCORES_HELD // max(others.size, 1))
+    to_phi = matrix @ (weights[:, None] * sets).T
+
+    def explained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d) * slope
+            found = np.outer(logistic(x.sum(axis=1) + start) - base, share)
+            own = x @ sets.T
+            for lo in range(0, len(x) if len(sets) else 0, step):
+                values = logistic(own[lo: lo + step, :, None] + others[None]).mean(axis=2)
+                found[lo: lo + step] += (values - base) @ to_phi.T
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * d, pa.int32()), pa.array(found.ravel()))],
+                names=["session_id", "_phi"])
+
+    return rows.select("session_id", vector_to_array("features").alias("_x")).mapInArrow(
+        explained, "session_id string, _phi array<double>")
+
+
+def listed(shares: DataFrame, features: Sequence[str]) -> DataFrame:
+    names = F.array(*[F.lit(n) for n in features])
+    return shares.select("session_id", F.inline(F.arrays_zip(names.alias("feature"), F.col("_phi").alias("attribution"))))
+
+
 def sampled_attribution(rows: DataFrame, background: DataFrame, model, features: Sequence[str],
                         drawn: int | None = None, seed: int = 42) -> DataFrame:
     """``session_id``, ``feature``, ``attribution`` of every row; ids are distinct.
@@ -69,6 +115,8 @@ def sampled_attribution(rows: DataFrame, background: DataFrame, model, features:
                        .limit(BACKGROUND_ROWS).select(vector_to_array("features")).collect()])
     sets, weights = coalitions(d, 2 * d if drawn is None else drawn, seed)
     matrix, share = solution(sets, weights)
+    if isinstance(model, LogisticRegressionModel) and model.numClasses == 2:
+        return listed(logistic_shares(rows, model, sample, sets, weights, matrix, share), features)
     taken = sets.astype(bool)
 
     def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,6 +153,4 @@ def sampled_attribution(rows: DataFrame, background: DataFrame, model, features:
 
     zeros = F.array(*[F.lit(0.0)] * d)
     sides = total.join(right, "session_id", "left").select("session_id", "_total", F.coalesce("_right", zeros).alias("_right"))
-    names = F.array(*[F.lit(n) for n in features])
-    return sides.mapInArrow(solved, "session_id string, _phi array<double>").select(
-        "session_id", F.inline(F.arrays_zip(names.alias("feature"), F.col("_phi").alias("attribution"))))
+    return listed(sides.mapInArrow(solved, "session_id string, _phi array<double>"), features)

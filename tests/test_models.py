@@ -327,3 +327,23 @@ def test_search_looks_at_every_point_and_keeps_its_folds(rows):
     assert 0.5 < model.metadata["cv_best_score_pr_auc"] <= 1
     assert [m.getNumTrees for m, _ in model.calibration.pairs] == [best["numTrees"]] * 3
     assert model.model.getNumTrees == best["numTrees"]
+
+
+def test_sampled_attribution_of_a_logistic_model_shuffles_nothing(spark):
+    draw = np.random.default_rng(6)
+    vectors = draw.normal(size=(120, 7))
+    df = spark.createDataFrame([(f"s{i:03}", Vectors.dense(v), float(v[0] + v[1] * v[2] > 0)) for i, v in enumerate(vectors)],
+                               ["session_id", "features", "label"])
+    model, names = LogisticRegression(regParam=0.01).fit(df), [f"n{i}" for i in range(7)]
+
+    class Hidden:
+        transform = staticmethod(model.transform)
+
+    found = sampled_attribution(df, df, model, names)
+    assert "Exchange" not in found._jdf.queryExecution().toString()
+    own = {(r.session_id, r.feature): r.attribution for r in found.collect()}
+    asked = {(r.session_id, r.feature): r.attribution for r in sampled_attribution(df, df, Hidden(), names).collect()}
+    assert own.keys() == asked.keys() and len(own) == 120 * 7
+    assert max(abs(own[k] - asked[k]) for k in own) < 1e-12
+    far = df.select(F.lit("far").alias("session_id"), array_to_vector(F.array(*[F.lit(1e9)] * 7)).alias("features")).limit(1)
+    assert all(np.isfinite(r.attribution) for r in sampled_attribution(far, df, model, names).collect())
