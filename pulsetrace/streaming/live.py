@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pulsetrace.config import DEFAULTS, SESSION_KEYS, Settings
 from pulsetrace.operators.asof import carried
@@ -58,25 +59,48 @@ def write_stream(df: DataFrame, path: str, checkpoint: str, mode: str = "append"
     query.awaitTermination()
 
 
-#: Flows settled, flows without a time, last settled time, interval moments, late flows, open minutes, when to expire.
-TOTALS = ("n bigint, untimed bigint, last_us bigint, mean double, m2 double, late bigint, n_open bigint, until_ms bigint")
+#: Sessions share so many groups of state; a constant of the method, not of the data.
+BUCKETS = 1024
+#: Key, flows settled, flows without a time, last settled time, interval moments, late flows, when to expire, open times.
+STATE = pa.schema([("key", pa.string()), ("n", pa.int64()), ("untimed", pa.int64()), ("last", pa.int64()), ("mean", pa.float64()),
+                   ("m2", pa.float64()), ("late", pa.int64()), ("until", pa.int64()), ("open", pa.list_(pa.int64()))])
 UPDATE = "n_flows bigint, iat_mean double, iat_std double, late bigint, assessable boolean"
 MINUTE_US = 60_000_000
 
 
-def fold(n: int, last: int | None, mean: float, m2: float, times: np.ndarray,
-         ) -> tuple[int, int | None, float, float]:
-    """Moments of the intervals of n flows up to ``last``, extended by later flows in time order."""
-    if not len(times):
-        return n, last, mean, m2
-    gaps = np.diff(times if last is None else np.concatenate([[last], times])) / 1e6
-    old, new = max(n - 1, 0), len(gaps)
-    if new:
-        centre = gaps.mean()
-        shift = centre - mean
-        m2 += ((gaps - centre) ** 2).sum() + shift * shift * old * new / (old + new)
-        mean += shift * new / (old + new)
-    return n + len(times), int(times[-1]), float(mean), float(m2)
+#: In place of the last time of a session that has none.
+NEVER = -(1 << 62)
+
+
+@dataclass
+class Totals:
+    """Per session: flows, last time, and mean and summed square deviation of the intervals in seconds."""
+
+    n: np.ndarray
+    last: np.ndarray
+    mean: np.ndarray
+    m2: np.ndarray
+
+    def fold(self, codes: np.ndarray, times: np.ndarray) -> Totals:
+        """Extended by later flows, ordered by session and time."""
+        size = len(self.n)
+        first = np.ones(len(codes), bool)
+        first[1:] = codes[1:] != codes[:-1]
+        before = np.empty(len(codes), np.int64)
+        before[1:] = times[:-1]
+        before[first] = self.last[codes[first]]
+        known = before != NEVER
+        at, gaps = codes[known], (times[known] - before[known]) / 1e6
+        old, new = np.maximum(self.n - 1, 0), np.bincount(at, minlength=size)
+        both = np.maximum(old + new, 1)
+        centre = np.where(new > 0, np.bincount(at, gaps, size) / np.maximum(new, 1), self.mean)
+        shift = centre - self.mean
+        last = self.last.copy()
+        final = np.ones(len(codes), bool)
+        final[:-1] = first[1:]
+        last[codes[final]] = times[final]
+        return Totals(self.n + np.bincount(codes, minlength=size), last, self.mean + shift * new / both,
+                      self.m2 + np.bincount(at, (gaps - centre[at]) ** 2, size) + shift * shift * old * new / both)
 
 
 def minutes_of(flows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -101,73 +125,74 @@ def minutes_of(flows: DataFrame, keys: Sequence[str]) -> DataFrame:
         "timestamp_micros(IF(minute IS NULL, NULL, array_max(times))) AS _time")
 
 
-class RunningSessions(StatefulProcessor):
-    """State of a session: totals of what the watermark has passed, and the later times minute by minute.
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, STATE) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _keep(state: GroupState, table: pa.Table) -> None:
+    """Store the sessions of a bucket and when the next of them expires."""
+    if table.num_rows:
+        state.update((_packed(table),))
+        state.setTimeoutTimestamp(pc.min(table["until"]).as_py())
+    else:
+        state.remove()
 
-    A batch rewrites only the minutes it adds to or settles.
-    """
 
-    def __init__(self, keys: Sequence[str], wait_ms: int, minimum: int):
-        self.keys, self.wait_ms, self.minimum = list(keys), wait_ms, minimum
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.totals = handle.getValueState("totals", TOTALS)
-        self.open = handle.getMapState("open", "minute bigint", "times array<bigint>")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, untimed, last, mean, m2, late, n_open, until = self.totals.get() or (0, 0, None, 0.0, 0.0, 0, 0, None)
-        trailing = max(timerValues.getCurrentWatermarkInMs(), 0)  # 0 before the first batch is done
-        mark = (trailing + self.wait_ms) * 1000 if trailing else -(1 << 62)
-        came: dict[int, list[np.ndarray]] = {}
-        top = trailing
-        for pdf in rows:
-            untimed += int(pdf["untimed"].sum())
-            for minute, times in zip(pdf["minute"], pdf["times"]):
-                times = np.asarray(times, np.int64)
-                if len(times):
-                    top = max(top, int(times.max()) // 1000)
-                    fresh = times[times >= mark]
-                    late += len(times) - len(fresh)
-                    if len(fresh):
-                        came.setdefault(int(minute), []).append(fresh)
-        held = {k[0]: np.asarray(v[0], np.int64) for k, v in self.open.iterator()} if n_open else {}
-        known = set(held)
-        for minute, parts in came.items():
-            held[minute] = np.sort(np.concatenate([*parts, held.get(minute, np.empty(0, np.int64))]))
-        ahead = []
-        for minute in sorted(held):
-            settled = int(np.searchsorted(held[minute], mark))
-            n, last, mean, m2 = fold(n, last, mean, m2, held[minute][:settled])
-            rest = held[minute][settled:]
-            if len(rest):
-                ahead.append(rest)
-                if settled or minute in came:
-                    self.open.updateValue((minute,), (rest.tolist(),))
-            elif minute in known:
-                self.open.removeKey((minute,))
-        if until is None:
-            self.handle.registerTimer(top + 1)
-        until = max(until or 0, top + 1)
-        self.totals.update((n, untimed, last, mean, m2, late, len(ahead), until))
-        total, _, centre, square = fold(n, last, mean, m2, np.concatenate(ahead) if ahead else np.empty(0, np.int64))
-        spread = math.sqrt(max(square, 0.0) / (total - 1)) if total > 1 else 0.0
-        yield pd.DataFrame({**{k: [v] for k, v in zip(self.keys, key)}, "n_flows": [total + untimed],
-                            "iat_mean": [centre], "iat_std": [spread], "late": [late],
-                            "assessable": [total + untimed >= self.minimum]})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """One timer a session: where later flows have come since it was set, it is set anew."""
-        until = self.totals.get()[-1]
-        if until > expiredTimerInfo.getExpiryTimeInMs():
-            self.handle.registerTimer(until)
-        else:
-            self.totals.clear()
-            self.open.clear()
-        yield from ()
-
-    def close(self) -> None:
-        pass
+def running_sessions(wait_ms: int, minimum: int):
+    """The step of one bucket of sessions in one micro-batch; all of its sessions are moved on together.
+
+    The state of a session is the totals of what the watermark has passed and the times after it.
+    """
+    def step(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        trailing = max(state.getCurrentWatermarkMs(), 0)  # 0 before the first batch is done
+        known = pa.ipc.open_stream(state.get[0]).read_all() if state.exists else STATE.empty_table()
+        if state.hasTimedOut:
+            _keep(state, known.filter(pc.greater(known["until"], trailing)))
+            return
+        mark = (trailing + wait_ms) * 1000 if trailing else NEVER
+        came = pd.concat(list(rows), ignore_index=True)
+        codes, keys = pd.factorize(np.concatenate([known["key"].to_numpy(), came["key"].to_numpy()]))
+        size, old = len(keys), known.num_rows  # the known sessions have the first numbers
+        row_codes = codes[old:]
+
+        def column(name: str, empty=0) -> np.ndarray:
+            values = known[name].to_numpy()
+            return np.concatenate([values, np.full(size - old, empty, values.dtype)])
+
+        untimed, late, until = column("untimed"), column("late"), column("until")
+        np.add.at(untimed, row_codes, came["untimed"].to_numpy())
+        touched = np.zeros(size, bool)
+        touched[row_codes] = True
+        times = np.concatenate([np.asarray(t, np.int64) for t in came["times"]])
+        at = np.repeat(row_codes, [len(t) for t in came["times"]])
+        until[touched] = np.maximum(until[touched], trailing + 1)
+        np.maximum.at(until, at, times // 1000 + 1)
+        fresh = times >= mark
+        late += np.bincount(at[~fresh], minlength=size)
+        open_ = known["open"].combine_chunks()
+        held = np.concatenate([open_.flatten().to_numpy(), times[fresh]])
+        of = np.concatenate([np.repeat(np.arange(old), pc.list_value_length(open_).to_numpy()), at[fresh]])
+        order = np.lexsort((held, of))
+        held, of = held[order], of[order]
+        passed = held < mark
+        settled = Totals(column("n"), column("last", NEVER), column("mean"), column("m2")).fold(of[passed], held[passed])
+        held, of = held[~passed], of[~passed]
+        now = settled.fold(of, held)
+        counts = np.bincount(of, minlength=size)
+        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        table = pa.Table.from_arrays([
+            pa.array(keys, pa.string()), pa.array(settled.n), pa.array(untimed), pa.array(settled.last), pa.array(settled.mean),
+            pa.array(settled.m2), pa.array(late), pa.array(until), pa.ListArray.from_arrays(pa.array(ends), pa.array(held))], schema=STATE)
+        _keep(state, table.filter(pa.array(touched | (until > trailing))))
+        found = pd.DataFrame({"key": keys, "n_flows": now.n + untimed, "iat_mean": now.mean,
+                              "iat_std": np.sqrt(np.maximum(now.m2, 0.0) / np.maximum(now.n - 1, 1)), "late": late,
+                              "assessable": now.n + untimed >= minimum})
+        yield found[touched]
+
+    return step
 
 
 def partial_sessions(flows: DataFrame, settings: Settings = DEFAULTS,
@@ -180,24 +205,29 @@ def partial_sessions(flows: DataFrame, settings: Settings = DEFAULTS,
     as late. One without a time counts as a flow that has no interval and is never late. ``assessable``
     stays false until the session has the minimum number of flows.
 
-    Flows are gathered by session and minute before they are shuffled, and the state holds the open
-    minutes one by one.
+    Flows are gathered by session and minute before they are shuffled. Sessions are dealt into ``BUCKETS`` groups of
+    state by hash; a micro-batch moves all sessions of a bucket on at once, in arrays, and costs a session no call of its
+    own. It reads and writes the state of the buckets it has flows for.
 
     Spark's own watermark trails this one by ``idle``: it then hands over late flows instead of dropping
-    them unseen, and a timer expires a session that got nothing for so long. Only flows late by more than
+    them unseen, and a timeout expires a session that got nothing for so long. Only flows late by more than
     ``idle``, whose session is gone, are dropped (``numRowsDroppedByWatermark`` in the query's progress).
 
-    State of this kind needs Spark's RocksDB store; it is chosen in the session's settings here.
+    Spark's RocksDB store, which keeps state on disk, is chosen in the session's settings here.
     """
     keys = list(settings.session_keys)
     wait = int(pd.Timedelta(idle).total_seconds() * 1000)
     trail = f"{int((pd.Timedelta(idle) + pd.Timedelta(delay)).total_seconds())} seconds"
     flows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     kinds = dict(flows.dtypes)
-    head = ", ".join(f"{k} {kinds[k]}" for k in keys)
-    return (minutes_of(flows, keys).withWatermark("_time", trail).groupBy(*keys)
-            .transformWithStateInPandas(RunningSessions(keys, wait, settings.min_session_flows), f"{head}, {UPDATE}",
-                                        "update", "EventTime"))
+    head = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    dealt = minutes_of(flows, keys).select(
+        F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("bucket"), F.to_json(F.struct(*keys)).alias("key"), "untimed", "times", "_time")
+    updates = dealt.withWatermark("_time", trail).groupBy("bucket").applyInPandasWithState(
+        running_sessions(wait, settings.min_session_flows), f"key string, {UPDATE}", "sessions binary", "update",
+        GroupStateTimeout.EventTimeTimeout)
+    rest = [c for c in updates.columns if c != "key"]
+    return updates.select(F.from_json("key", head).alias("key"), *rest).select("key.*", *rest)
 
 
 def keep_latest(updates: DataFrame, path: str, checkpoint: str) -> None:

@@ -216,3 +216,25 @@ def test_idle_sessions_leave_the_state(spark):
                            [("a", 31 * hour), ("b", 32 * hour)]], idle="5 hours")
     assert (got["a"].n_flows, got["a"].late) == (1, 0)
     assert (got["b"].n_flows, got["b"].late) == (4, 0)
+
+
+def test_sessions_of_a_bucket_are_moved_on_together(spark):
+    rng = random.Random(9)
+    source, offsets = scratch_path(spark, "many"), scratch_path(spark, "offsets")
+    rows = [(f"h{i % 3000}", "b", 1, int((START + rng.random() * 3000) * 1e6)) for i in range(9000)]
+    df = spark.createDataFrame(rows, "orig_h string, resp_h string, resp_p int, ts_us bigint")
+    df.repartition(3).write.parquet(source)
+    found = []
+    query = (live.partial_sessions(live.flow_stream(spark, source, df.schema)).writeStream.outputMode("update")
+             .foreachBatch(lambda batch, number: found.extend(batch.collect())).option("checkpointLocation", offsets)
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    states = [s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]]
+    assert 0 < max(states) <= live.BUCKETS  # 3,000 sessions
+    times = {}
+    for h, _, _, t in rows:
+        times.setdefault(h, []).append(t)
+    assert len(found) == 3000 and all(r.n_flows == 3 and r.resp_p == 1 and not r.assessable for r in found)
+    for r in found:
+        gaps = np.diff(sorted(times[r.orig_h])) / 1e6
+        assert np.isclose(r.iat_mean, gaps.mean()) and np.isclose(r.iat_std, gaps.std())
