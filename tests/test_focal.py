@@ -87,3 +87,16 @@ def test_classifier_under_focal_loss(spark):
     assert scored["supervised_score"].between(0, 1).all()
     means = scored.groupby("target")["supervised_score"].mean()
     assert means[1] > means[0] + 0.2
+
+
+def test_moments_of_parts_are_those_of_the_whole():
+    rng = np.random.default_rng(2)
+    x = np.column_stack([rng.normal(1e6, 1.0, 500), rng.normal(size=500), np.full(500, 0.1)])
+    n, mean, square = 0, np.zeros(0), np.zeros(0)
+    for part in np.split(x, [1, 2, 130, 400]):
+        n, mean, square = focal.merged((n, mean, square), focal.spread(part))
+    assert n == 500 and mean[2] == 0.1 and square[2] == 0  # one value: no rounding makes a deviation of it
+    assert np.allclose(mean, x.mean(axis=0)) and np.allclose(square[:2], ((x - x.mean(axis=0)) ** 2).sum(axis=0)[:2])
+    margin = np.concatenate([np.linspace(-40, 40, 161), [-800.0, 800.0]])
+    for gamma in (0.0, 0.5, 2.0):
+        assert np.allclose(focal.plain_loss(margin, gamma), focal.row_loss(margin, gamma)[0], rtol=1e-12, atol=0)
