@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import threading
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pulsetrace.config import DEFAULTS
-from pulsetrace.models import anomaly
+from pulsetrace.models import anomaly, supervised
 from pulsetrace.models.forest_attribution import forest_nodes, tree_attribution
 from pulsetrace.models.sampled_attribution import sampled_attribution
 from pulsetrace.models.supervised import part_of, prefix_scores, stratified_folds, train_classifier
@@ -347,3 +348,31 @@ def test_sampled_attribution_of_a_logistic_model_shuffles_nothing(spark):
     assert max(abs(own[k] - asked[k]) for k in own) < 1e-12
     far = df.select(F.lit("far").alias("session_id"), array_to_vector(F.array(*[F.lit(1e9)] * 7)).alias("features")).limit(1)
     assert all(np.isfinite(r.attribution) for r in sampled_attribution(far, df, model, names).collect())
+
+
+def test_folds_of_all_shapes_are_fitted_side_by_side(spark, rows, monkeypatch):
+    meet, fits = threading.Barrier(4), itertools.count()
+
+    class Waiting:
+        def fit(self, part, params):
+            if next(fits) < 4:
+                meet.wait(60)
+            return params
+
+    grid = supervised.Grid(Waiting(), [{"a": 1}, {"a": 2}])
+    monkeypatch.setattr(supervised, "estimator", lambda *args: grid)
+    monkeypatch.setattr(supervised, "fold_precision", lambda model, held, sizes: [model["a"] / 2])
+    found = supervised.tuned("any", rows.withColumn("fold", F.lit(0)), 2, DEFAULTS, 1.0, False)
+    assert (found.params, found.score, found.fold_models) == ({"a": 2}, 1.0, [{"a": 2}] * 2)
+
+
+def test_autoencoder_lanes_are_shuffled_once(spark, rows, monkeypatch):
+    monkeypatch.setattr(anomaly, "LANE_ROWS", 20)
+    frame, grouped = type(rows), []
+    plain = frame.groupBy
+    monkeypatch.setattr(frame, "groupBy", lambda df, *keys: grouped.append(keys) or plain(df, *keys))
+    settings = DEFAULTS.with_(autoencoder_epochs=4, autoencoder_hidden=(3, 2, 3))
+    models = [anomaly.train_autoencoder(rows.where("target = 0").repartition(n), settings) for n in (1, 5)]
+    assert len([k for k in grouped if k == ("lane",)]) == 2  # one a training of four passes
+    assert np.allclose(models[0].flat, models[1].flat, rtol=1e-6) and models[0].epochs == 4
+    assert all(np.isfinite(m.validation_loss) for m in models)
