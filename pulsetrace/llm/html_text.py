@@ -1,4 +1,4 @@
-"""Main text of web pages: page structure first, then a sparse suffix array per host for what structure leaves open.
+"""Main text of web pages: page structure first, then sparse suffix arrays per host over open and article blocks.
 
 Each page is cut into blocks by its markup. A block inside an article is content; one inside a menu, header, footer,
 sidebar or form element, or hidden, is chrome; the rest is open. No element or class makes chrome of what holds or
@@ -14,7 +14,12 @@ extended left and right window by window (the steps of ``suffix_dedup``). A bloc
 ``run`` tokens that another page of the host has is boilerplate; blocks with unique runs stay. Exact copies of a page
 count as one. Where a page has no article and everything open on it repeats, its open blocks stay.
 
-Blocks of articles are never removed for being repeated: articles that quote each other or are copied are main text.
+Blocks of articles are never removed for what articles share: articles that quote each other or are copied are main
+text. They pass through a second suffix array with the host's furniture, the repeated blocks outside articles, and one
+goes where substrings of the furniture cover it mostly and it is no article's own: it stands, as a whole, in more than
+one and in over ``common`` of the host's different articles (different: by their longest block), and not at the start.
+Every article block is compared; those without enough runs in the furniture, which a bitmap of fixed size tells without
+missing one, cannot be covered by it and leave no suffix.
 
 Defined cases. Null html: empty text. Null url: the pages without one share a host. Repeated rows: each its own.
 Pages of any length are read whole; unclosed tags close with their parent or the page. Empty table: empty result.
@@ -28,24 +33,28 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsetrace.llm.common import named
-from pulsetrace.llm.suffix_dedup import Passages, shared, union_of
+from pulsetrace.llm.suffix_dedup import Passages, mixed, powers, shared, union_of
 from pulsetrace.session import materialise
 
 
 @dataclass(frozen=True)
 class Extraction:
     """``run``: least tokens of a repeated substring; ``gram``: tokens that suffixes are sorted by; ``covered``: share
-    of a block's tokens above which it goes."""
+    of a block's tokens above which it goes; ``common``: share of a host's different articles that an article block must
+    stand in, to go."""
 
     run: int = 6
     gram: int = 3
     covered: float = 0.5
+    common: float = 0.5
 
 
 CONTENT, OPEN, CHROME, MARKED, NESTED, HIDDEN = range(6)
@@ -215,46 +224,47 @@ def host_of(url: str | None) -> str:
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """row key, page_id, url, host, signature of the whole text, and blocks of every page, as a table.
+    """row key, page_id, url, host and blocks of every page, as a table.
 
-    ``text`` holds the result of pages without open blocks, null on the others; ``blocks`` are those with their roles on
-    pages with open blocks, and what lies outside articles on all.
+    ``article``: the blocks of articles; ``rest``: the others with their roles; both with their places on the page.
+    ``print`` tells the whole text, ``core`` the article by its longest block, null where there is none.
     """
-    kind = pa.list_(pa.struct([("text", pa.string()), ("role", pa.int32())]))
+    place, role = [("at", pa.int32()), ("text", pa.string())], [("role", pa.int32())]
+    kinds = [pa.list_(pa.struct(place)), pa.list_(pa.struct(place + role))]
+
+    def mark(text: str) -> int:
+        return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [settled(parts_of(h or "")) for h in batch.column(2).to_pylist()]
-            urls = batch.column(1).to_pylist()
-            prints = [xxhash.xxh64_intdigest("\n".join(t for t, _ in f).encode("utf-8", "surrogatepass")) >> 1 for f in found]
-            open_ = [any(r == OPEN for _, r in f) for f in found]
+            hosts = [host_of(u) for u in batch.column(1).to_pylist()]
+            article = [[{"at": i, "text": t} for i, (t, r) in enumerate(f) if r == CONTENT] for f in found]
+            rest = [[{"at": i, "text": t, "role": r} for i, (t, r) in enumerate(f) if r != CONTENT] for f in found]
+            prints = [mark("\n".join(t for t, _ in f)) for f in found]
+            cores = [mark(max((b["text"] for b in a), key=lambda t: (len(t), t))) if a else None for a in article]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([host_of(u) for u in urls]), pa.array(prints, pa.int64()),
-                 pa.array([None if o else "\n".join(t for t, r in f if r == CONTENT) for f, o in zip(found, open_)], pa.string()),
-                 pa.array([[{"text": t, "role": r} for t, r in f if o or r != CONTENT] for f, o in zip(found, open_)], kind)],
-                names=["page_id", "url", "host", "print", "text", "blocks"])
+                [batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(prints, pa.int64()),
+                 pa.array(cores, pa.int64()), pa.array(article, kinds[0]), pa.array(rest, kinds[1])],
+                names=["page_id", "url", "host", "print", "core", "article", "rest"])
 
     slim = pages.select(named("page_id").cast("long").alias("page_id"), named("url").cast("string").alias("url"),
                         named("html").cast("string").alias("html"))
-    parsed = slim.mapInArrow(run, "page_id long, url string, host string, print long, text string, "
-                                  "blocks array<struct<text:string,role:int>>")
+    parsed = slim.mapInArrow(run, "page_id long, url string, host string, print long, core long, "
+                                  "article array<struct<at:int,text:string>>, rest array<struct<at:int,text:string,role:int>>")
     return materialise(parsed.withColumn("row", F.monotonically_increasing_id()))
 
 
 def distinct_blocks(parsed: DataFrame) -> DataFrame:
     """block, host, text, and smallest and largest page signature of every different block of a host outside articles."""
-    every = parsed.select("host", "print", F.explode(F.filter("blocks", lambda b: b.role != CONTENT)).alias("b")).select(
+    every = parsed.select("host", "print", F.explode("rest").alias("b")).select(
         "host", "print", F.col("b.text").alias("text"), F.xxhash64("host", "b.text").alias("block"))
     return every.groupBy("block").agg(F.first("host").alias("host"), F.first("text").alias("text"),
                                       F.min("print").alias("lo"), F.max("print").alias("hi"))
 
 
 def tied(blocks: DataFrame) -> DataFrame:
-    """doc_id and text of each block for the suffix array: tokens prefixed by their host's hash.
-
-    A block of one page counts as that page, a repeated one as a page of its own, so that either differs from every other
-    page that has part of it.
-    """
+    """block, doc_id and text for the suffix array: tokens prefixed by their host's hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
@@ -263,13 +273,11 @@ def tied(blocks: DataFrame) -> DataFrame:
                 texts.append(" ".join([tie + t for t in text.split(" ")]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["block", "doc_id", "text"])
 
-    page = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-F.shiftrightunsigned("block", 1) - 1)
-    return blocks.select("block", page.alias("doc_id"), "host", "text").mapInArrow(run, "block long, doc_id long, text string")
+    return blocks.select("block", "doc_id", "host", "text").mapInArrow(run, "block long, doc_id long, text string")
 
 
-def boilerplate(parsed: DataFrame, settings: Extraction = Extraction()) -> DataFrame:
-    """The blocks that other pages of their host have, as a whole or in more than ``covered`` of their tokens."""
-    blocks = materialise(distinct_blocks(parsed))
+def mostly_shared(blocks: DataFrame, settings: Extraction) -> DataFrame:
+    """block and doc_id of the blocks that substrings of other doc_ids of their host cover in more than ``covered``."""
     streams = materialise(tied(blocks))
     texts, intervals = shared(streams, Passages(min_words=settings.run, gram=settings.gram))
     found = intervals.distinct().groupBy("doc", "mark").agg(
@@ -277,29 +285,148 @@ def boilerplate(parsed: DataFrame, settings: Extraction = Extraction()) -> DataF
     covered = F.aggregate(union_of("found", "lo", "hi"), F.lit(0).cast("long"), lambda a, x: a + x.hi - x.lo)
     mostly = found.where(covered > settings.covered * F.col("n_words")).select(
         F.col("doc").alias("doc_id"), F.col("mark").alias("mark"))
-    partly = streams.select("block", "doc_id", F.xxhash64("text").alias("mark")).join(mostly, ["doc_id", "mark"]).select("block")
-    return blocks.where("lo < hi").select("block").union(partly).distinct()
+    return streams.select("block", "doc_id", F.xxhash64("text").alias("mark")).join(mostly, ["doc_id", "mark"]).select("block", "doc_id")
+
+
+def boilerplate(parsed: DataFrame, settings: Extraction = Extraction()) -> DataFrame:
+    """block, host and text of the blocks outside articles that other pages of their host have, as a whole or in more
+    than ``covered`` of their tokens.
+
+    A block of one page counts as that page, a repeated one as a page of its own, so that either differs from every other
+    page that has part of it.
+    """
+    blocks = materialise(distinct_blocks(parsed))
+    page = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-F.shiftrightunsigned("block", 1) - 1)
+    partly = mostly_shared(blocks.withColumn("doc_id", page), settings)
+    return blocks.where("lo < hi").union(blocks.where("lo = hi").join(partly, "block", "left_semi")).select("block", "host", "text")
+
+
+#: Bits of the bitmap of the furniture's runs, 8 MB. With many more runs it lets blocks pass that the suffix array rejects.
+BITS = 1 << 26
+#: Bits of one row of Spark's bitmap functions.
+ROW = 1 << 15
+#: Characters of the blocks that are compared with the bitmap at a time.
+PIECE = 1 << 20
+
+
+def pieces(hosts: list[str], texts: list[str]) -> Iterator[tuple[int, list[str], list[str]]]:
+    """(number of the first block, hosts, texts) of blocks of about ``PIECE`` characters together."""
+    first, size = 0, 0
+    for i, text in enumerate(texts):
+        if size > PIECE:
+            yield first, hosts[first:i], texts[first:i]
+            first, size = i, 0
+        size += len(text)
+    if texts:
+        yield first, hosts[first:], texts[first:]
+
+
+def places_of(hosts: list[str], texts: list[str], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place in the bitmap and first token of every run of so many tokens within a block; block of every token.
+
+    A run is told by a polynomial hash of its bytes, tied to its host.
+    """
+    data = np.frombuffer("\n".join(texts).encode("utf-8", "surrogatepass"), np.uint8)
+    blank = np.flatnonzero((data == 32) | (data == 10))
+    starts, ends = np.append(0, blank + 1), np.append(blank, len(data))
+    block = np.cumsum(np.append(0, data[blank] == 10))
+    count = max(0, len(starts) - run + 1)
+    tokens = np.flatnonzero(block[:count] == block[len(block) - count:])
+    lo, hi = starts[tokens], ends[tokens + run - 1]
+    up, down = powers(len(data) + 1)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(data * up[:-1], dtype=np.uint64)])
+    found = (sums[hi] - sums[lo]) * down[lo]
+    ties = {h: xxhash.xxh64_intdigest(h.encode("utf-8", "surrogatepass")) for h in set(hosts)}
+    found = mixed(found) ^ np.array([ties[h] for h in hosts], np.uint64)[block[tokens]]
+    return (found & np.uint64(BITS - 1)).astype(np.int64), tokens, block
+
+
+def bitmap_of(blocks: DataFrame, run: int) -> np.ndarray:
+    """Bitmap, ``BITS`` in all, of the places of all runs of the blocks."""
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, hosts, texts in pieces(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(places_of(hosts, texts, run)[0])], names=["place"])
+
+    place = blocks.select("host", "text").mapInArrow(places, "place long")
+    rows = place.groupBy((F.col("place") / ROW).cast("int").alias("at")).agg(
+        F.bitmap_construct_agg(F.col("place") % ROW).alias("bits")).collect()  # at most BITS / ROW
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in rows:
+        out[r["at"] * (ROW // 8): (r["at"] + 1) * (ROW // 8)] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def likely(parsed: DataFrame, furniture: DataFrame, settings: Extraction) -> DataFrame:
+    """row, at, host, core, text and whether it is the first of every article block that runs in the furniture's
+    bitmap cover in more than ``covered`` of its tokens."""
+    bits, run, least = bitmap_of(furniture, settings.run), settings.run, settings.covered
+
+    def covered(hosts: list[str], texts: list[str]) -> np.ndarray:
+        at, tokens, block = places_of(hosts, texts, run)
+        hits = tokens[np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)]
+        step = np.zeros(len(block) + 1, np.int64)
+        step[hits] += 1
+        step[hits + run] -= 1
+        inside = np.cumsum(step[:-1]) > 0
+        return np.flatnonzero(np.bincount(block, inside) > least * np.bincount(block))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages = list(zip(*(c.to_pylist() for c in batch.columns[:3])))
+            of = np.repeat(np.arange(len(pages)), pc.list_value_length(batch.column(3)).to_numpy())
+            article = batch.column(3).flatten()
+            places, texts = article.field("at"), article.field("text").to_pylist()
+            found = [first + i for first, *piece in pieces([pages[i][1] for i in of], texts) for i in covered(*piece)]
+            if found:
+                rows = [(*pages[of[i]], places[int(i)].as_py(), texts[i], i == 0 or of[i] != of[i - 1]) for i in found]
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
+                                                 names=["row", "host", "core", "at", "text", "first"])
+
+    return parsed.select("row", "host", "core", "article").mapInArrow(
+        find, "row long, host string, core long, at int, text string, first boolean")
+
+
+def template_lines(parsed: DataFrame, furniture: DataFrame, settings: Extraction = Extraction()) -> DataFrame:
+    """row and place of the article blocks that are furniture of their host.
+
+    In their suffix array the furniture counts as one page and the articles as another: what only articles share is not
+    shared there.
+    """
+    every = materialise(likely(parsed, furniture, settings).withColumn("block", F.xxhash64("host", "text")))
+    blocks = materialise(every.groupBy("block").agg(
+        F.first("host").alias("host"), F.first("text").alias("text"), F.countDistinct("core").alias("n")))
+    sides = blocks.select("block", F.lit(1).cast("long").alias("doc_id"), "host", "text").union(
+        furniture.select("block", F.lit(0).cast("long"), "host", "text"))
+    covered = mostly_shared(sides, settings).where("doc_id = 1")
+    articles = materialise(parsed.groupBy("host").agg(F.countDistinct("core").alias("articles")))
+    # Small unless most pages have such blocks: a table of known size, so that no line of many pages lands in one task.
+    gone = materialise(blocks.join(covered, "block", "left_semi").join(articles, "host").where(
+        (F.col("n") > 1) & (F.col("n") > settings.common * F.col("articles"))).select("block"))
+    return every.where("NOT first").join(gone, "block", "left_semi").select("row", "at")
 
 
 def extract(pages: DataFrame, settings: Extraction = Extraction()) -> DataFrame:
     """page_id, url and text of every page."""
     parsed = parse(pages)
-    asked = parsed.where("text IS NULL").select("row", F.posexplode(F.transform("blocks", lambda b: F.struct(
-        F.xxhash64("host", b.text).alias("block"), b.role.alias("role")))).alias("at", "b")).where(F.col("b.role") == OPEN)
-    gone = asked.select("row", "at", F.col("b.block").alias("block")).join(boilerplate(parsed, settings), "block").groupBy(
-        F.col("row").alias("of")).agg(F.collect_set("at").alias("gone"))  # at most the page's own blocks
-    decided = parsed.where("text IS NULL").join(gone, F.col("row") == F.col("of"), "left").select("page_id", "url", "blocks", "gone")
-
-    def text(found: list[dict], gone: list[int] | None) -> str:
+    furniture = materialise(boilerplate(parsed, settings))
+    asked = parsed.select("row", "host", F.explode(F.filter("rest", lambda b: b.role == OPEN)).alias("b")).select(
+        "row", F.col("b.at").alias("at"), F.xxhash64("host", "b.text").alias("block"))
+    repeated = asked.join(furniture, "block", "left_semi").select("row", "at")
+    gone = materialise(repeated.union(template_lines(parsed, furniture, settings)).groupBy(
+        F.col("row").alias("of")).agg(F.collect_set("at").alias("gone")))  # at most the page's own blocks
+    decided = parsed.join(gone, F.col("row") == F.col("of"), "left").select(
+        "page_id", "url", "article", F.filter("rest", lambda b: b.role == OPEN).alias("open"), "gone")
+
+    def text(article: list[dict], open_: list[dict], gone: list[int] | None) -> str:
         drop = set(gone or ())
-        kept = [b["text"] for i, b in enumerate(found) if b["role"] == CONTENT or b["role"] == OPEN and i not in drop]
-        return "\n".join(kept or [b["text"] for b in found if b["role"] == OPEN])
+        kept = [b for b in (*article, *open_) if b["at"] not in drop] or open_
+        return "\n".join(b["text"] for b in sorted(kept, key=lambda b: b["at"]))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [text(*x) for x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())],
-                                             names=["page_id", "url", "text"])
+            texts = [text(*x) for x in zip(*(c.to_pylist() for c in batch.columns[2:]))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return parsed.where("text IS NOT NULL").select("page_id", "url", "text").union(
-        decided.mapInArrow(finish, "page_id long, url string, text string"))
+    return decided.mapInArrow(finish, "page_id long, url string, text string")

@@ -74,16 +74,19 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    """The same hashes with their bits spread."""
+    out = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(29))
+
+
 def runs_of(hashes: np.ndarray, *lengths: int) -> list[np.ndarray]:
     """Mixed polynomial hashes of all runs of so many words."""
     up, down = powers(len(hashes))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * up, dtype=np.uint64)])
     out = []
     for n in lengths:
-        run = (sums[n:] - sums[:-n]) * down[: len(hashes) - n + 1]
-        run ^= run >> np.uint64(31)
-        run *= np.uint64(0xBF58476D1CE4E5B9)
-        out.append(run ^ (run >> np.uint64(29)))
+        out.append(mixed((sums[n:] - sums[:-n]) * down[: len(hashes) - n + 1]))
     return out
 
 

@@ -75,6 +75,85 @@ def test_articles_keep_what_they_share(spark):
     assert all(out[200 + i] == f"{own(7)}\n{notice} {i}" for i in range(40))
 
 
+def test_furniture_goes_from_articles(spark):
+    line = "subscribe now to get our weekly letter by mail"
+    own = lambda i, n=20: " ".join(f"w{i}x{j}" for j in range(n))
+    foot = lambda t: f"<footer>{t} and much more</footer>"
+    pages = [(i, f"https://news.example/{i}", f"<article><h1>title {i}</h1><p>{own(i)}</p><p>{line}</p></article>"
+              + (foot(line) if i < 2 else "<footer>x</footer>")) for i in range(6)]
+    # A title and a lead that menus tease stay, also where another article quotes them.
+    title, lead = "ten words of a title that menus have as well", own(100, 12)
+    tease = lambda t: f"<nav>{title}</nav><aside>{lead}</aside><article><h1>{t}</h1><p>{own(t)}</p>"
+    pages += [(100, "https://tease.example/100", f"<article><h1>{title}</h1><p>{lead}</p><p>{own(101, 30)}</p></article>")]
+    pages += [(100 + i, f"https://tease.example/{100 + i}", tease(200 + i) + (f"<p>{lead}</p>" if i == 1 else "") + "</article>") for i in range(1, 6)]
+    # Views of one article do not make its lead furniture, nor does a line that other hosts have outside articles.
+    pages += [(300 + i, f"https://views.example/{i}", f"<header>{lead}</header><article><h1>t</h1><p>{lead}</p><p>{own(7)}</p><p>seen {i}</p></article>") for i in range(4)]
+    pages += [(400 + i, f"https://plain.example/{i}", f"<article><h1>t</h1><p>{own(400 + i)}</p><p>{line}</p></article>") for i in range(4)]
+    out = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == f"title {i}\n{own(i)}" for i in range(6))
+    assert out[100] == f"{title}\n{lead}\n{own(101, 30)}" and out[101] == f"201\n{own(201)}\n{lead}"
+    assert all(out[300 + i] == f"t\n{lead}\n{own(7)}\nseen {i}" for i in range(4))
+    assert all(out[400 + i] == f"t\n{own(400 + i)}\n{line}" for i in range(4))
+
+
+def plain_template_lines(pages, run, covered, common):
+    """(host, block) of article blocks that are furniture, by the sets of their token runs."""
+    runs = lambda t: [tuple(t.split()[i: i + run]) for i in range(len(t.split()) - run + 1)]
+    rest = [(i, u, "".join(f"<p>{t}</p>" for t, r in html_text.settled(html_text.parts_of(p)) if r != html_text.CONTENT)) for i, u, p in pages]
+    furniture, articles = {}, {}
+    for host, t in plain_boilerplate(rest, run, covered):
+        furniture.setdefault(host, set()).update(runs(t))
+    for _, url, page in pages:
+        if own := [t for t, r in html_text.settled(html_text.parts_of(page)) if r == html_text.CONTENT]:
+            articles.setdefault(html_text.host_of(url), {}).setdefault(max(own, key=lambda t: (len(t), t)), set()).update(own)
+    out = set()
+    for host, cores in articles.items():
+        for t in set().union(*cores.values()):
+            n, hit = sum(t in own for own in cores.values()), [0] * len(t.split())
+            for i, r in enumerate(runs(t)):
+                if r in furniture.get(host, ()):
+                    hit[i: i + run] = [1] * run
+            if sum(hit) > covered * len(hit) and n > 1 and n > common * len(cores):
+                out.add((host, t))
+    return out
+
+
+def test_article_suffixes_equal_a_plain_version(spark):
+    rng = random.Random(3)
+    menu = [f"m{i}" for i in range(40)]
+    piece = lambda: " ".join(menu[(at := rng.randint(0, 20)): at + rng.randint(4, 18)])
+    lines = [[piece() + " tail" * rng.randint(0, 9) for _ in range(6)] for _ in range(3)]
+    pages = []
+    for n in range(60):
+        own = [" ".join(f"w{rng.randint(0, 9)}" for _ in range(rng.randint(1, 60)))]
+        blocks = own + [t for t in lines[n % 3] if rng.random() < 0.6]
+        rng.shuffle(blocks)
+        outside = "".join(f"<{tag}>{piece()}</{tag}>" for tag in rng.choices(["footer", "nav", "p", "aside"], k=2))
+        pages.append((n, f"https://h{n % 3}.example/{n}", f"<article>{''.join(f'<p>{t}</p>' for t in blocks)}</article>{outside}"))
+    pages += [(100 + i, *p[1:]) for i, p in enumerate(pages[:9])]  # exact copies
+    gone, rest = plain_template_lines(pages, 6, 0.5, 0.5), plain_boilerplate(
+        [(i, u, re.sub("<article>.*</article>", "", p)) for i, u, p in pages], 6, 0.5)
+    lost = 0
+    out = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i, url, page in pages:
+        host, found = html_text.host_of(url), html_text.settled(html_text.parts_of(page))
+        keep = [t for at, (t, r) in enumerate(found) if r == html_text.CONTENT and (at == 0 or (host, t) not in gone)
+                or r == html_text.OPEN and (host, t) not in rest]
+        lost += sum(r == html_text.CONTENT for _, r in found) - sum(t in keep for t, r in found if r == html_text.CONTENT)
+        assert out[i] == "\n".join(keep), i
+    assert lost > 20
+
+
+def test_a_full_bitmap_changes_nothing(spark, monkeypatch):
+    line = "subscribe now to get our weekly letter by mail"
+    pages = [(i, "https://a.example/", f"<article><h1>t</h1><p>{' '.join(f'w{i}x{j}' for j in range(15))}</p><p>{line}</p></article>"
+              f"<footer>{line}</footer><nav>{i}</nav>") for i in range(5)]
+    pages = spark.createDataFrame(pages, "page_id long, url string, html string")
+    before = sorted(html_text.extract(pages).collect())
+    monkeypatch.setattr(html_text, "bitmap_of", lambda blocks, run: np.full(html_text.BITS // 8, 255, np.uint8))
+    assert sorted(html_text.extract(pages).collect()) == before and line not in before[0].text
+
+
 MAIN_TEXT = {
     "<body><form id='aspnetForm'><p>one</p><article><p>two</p></article></form>": "one\ntwo",
     "<nav><a>Home</a><article><p>two</p></article>": "two",
