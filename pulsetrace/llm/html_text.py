@@ -411,13 +411,10 @@ def extract(pages: DataFrame, settings: Extraction = Extraction()) -> DataFrame:
     """page_id, url and text of every page."""
     parsed = parse(pages)
     furniture = materialise(boilerplate(parsed, settings))
+    lines = materialise(template_lines(parsed, furniture, settings))
     asked = parsed.select("row", "host", F.explode(F.filter("rest", lambda b: b.role == OPEN)).alias("b")).select(
         "row", F.col("b.at").alias("at"), F.xxhash64("host", "b.text").alias("block"))
     repeated = asked.join(furniture, "block", "left_semi").select("row", "at")
-    gone = materialise(repeated.union(template_lines(parsed, furniture, settings)).groupBy(
-        F.col("row").alias("of")).agg(F.collect_set("at").alias("gone")))  # at most the page's own blocks
-    decided = parsed.join(gone, F.col("row") == F.col("of"), "left").select(
-        "page_id", "url", "article", F.filter("rest", lambda b: b.role == OPEN).alias("open"), "gone")
 
     def text(article: list[dict], open_: list[dict], gone: list[int] | None) -> str:
         drop = set(gone or ())
@@ -429,4 +426,12 @@ def extract(pages: DataFrame, settings: Extraction = Extraction()) -> DataFrame:
             texts = [text(*x) for x in zip(*(c.to_pylist() for c in batch.columns[2:]))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return decided.mapInArrow(finish, "page_id long, url string, text string")
+    def without(pages: DataFrame, blocks: DataFrame) -> DataFrame:
+        gone = materialise(blocks.groupBy(F.col("row").alias("of")).agg(F.collect_set("at").alias("gone")))  # at most the page's own
+        return pages.join(gone, F.col("row") == F.col("of"), "left").select(
+            "page_id", "url", "article", F.filter("rest", lambda b: b.role == OPEN).alias("open"), "gone").mapInArrow(
+            finish, "page_id long, url string, text string")
+
+    # Apart, as most open blocks go and few of articles: pages of articles only then need not move to their lines.
+    any_open = F.exists("rest", lambda b: b.role == OPEN)
+    return without(parsed.where(any_open), repeated.union(lines)).union(without(parsed.where(~any_open), lines))
