@@ -20,6 +20,7 @@ from pulsetrace.models.sampled_attribution import sampled_attribution
 from pulsetrace.models.supervised import part_of, prefix_scores, stratified_folds, train_classifier
 from pulsetrace.operators.encode import assembler
 from pulsetrace.operators.smote import nearest_neighbours, searched_neighbours, smote
+from pulsetrace.plans import catalog, model_queries
 
 
 @pytest.fixture(scope="module")
@@ -376,3 +377,39 @@ def test_autoencoder_lanes_are_shuffled_once(spark, rows, monkeypatch):
     assert len([k for k in grouped if k == ("lane",)]) == 2  # one a training of four passes
     assert np.allclose(models[0].flat, models[1].flat, rtol=1e-6) and models[0].epochs == 4
     assert all(np.isfinite(m.validation_loss) for m in models)
+
+
+@pytest.mark.parametrize("query, name", [("gbt_scores", "gradient_boosting")])
+def test_score_queries_search_the_whole_default_grid(spark, monkeypatch, query, name):
+    asked = []
+
+    class Scores:
+        score = staticmethod(lambda test: spark.createDataFrame([("s", 1, 0.5)], "session_id string, target int, supervised_score double"))
+
+    monkeypatch.setattr(model_queries, "_parts", lambda *args: (None, None))
+    monkeypatch.setattr(supervised, "train_classifier", lambda kind, train, settings=DEFAULTS: asked.append((kind, settings)) or Scores)
+    catalog.QUERIES[query](spark, "anywhere")
+    (kind, settings), = asked
+    assert kind == name and settings == DEFAULTS
+    grid = supervised.estimator(name, settings, 1.0)
+    assert grid.sizes == {"gbt_scores": (200, 400), "rf_scores": (200, 400, 800)}[query] and len(grid.shapes) == 9
+
+
+def test_ensembles_come_without_an_object_a_tree(spark, rows, tmp_path):
+    ready = assembler(["iat_cv", "iat_mean", "pkt_ratio"]).transform(rows).select("session_id", "target", "features")
+    settings = DEFAULTS.with_(forest_trees=(6,), boost_rounds=(6,))
+    for name, plain in (("random_forest", RandomForestClassifier), ("gradient_boosting", GBTClassifier)):
+        grid = supervised.estimator(name, settings, 1.0, weighted=False)
+        model = grid.estimator.fit(ready, {grid.estimator.maxDepth: 3, grid.size: 6})
+        size = {"numTrees": 6} if name == "random_forest" else {"maxIter": 6}
+        want = plain(labelCol="target", maxDepth=3, seed=DEFAULTS.seed, **size).fit(ready)
+        cut = part_of(model, 1, 4)
+        assert "trees" not in model.__dict__ and "trees" not in cut.__dict__ and "trees" in want.__dict__
+        strip = lambda text: text.split("\n", 1)[1]
+        assert strip(model.toDebugString) == strip(want.toDebugString) and cut.getNumTrees == len(cut.trees) == 3
+    assert spark.sparkContext.getCheckpointDir()  # rounds of boosting do not keep their whole lineage
+
+
+def test_fewer_fits_side_by_side_where_rows_do_not_fit(spark):
+    assert supervised.side_by_side(spark, 1000, 50, 800) == 8
+    assert supervised.side_by_side(spark, 10 ** 9, 50) == 1
