@@ -379,7 +379,7 @@ def test_autoencoder_lanes_are_shuffled_once(spark, rows, monkeypatch):
     assert all(np.isfinite(m.validation_loss) for m in models)
 
 
-@pytest.mark.parametrize("query, name", [("gbt_scores", "gradient_boosting")])
+@pytest.mark.parametrize("query, name", [("gbt_scores", "gradient_boosting"), ("rf_scores", "random_forest")])
 def test_score_queries_search_the_whole_default_grid(spark, monkeypatch, query, name):
     asked = []
 
