@@ -19,6 +19,7 @@ from pulsetrace.models.forest_attribution import forest_nodes, tree_attribution
 from pulsetrace.models.sampled_attribution import sampled_attribution
 from pulsetrace.models.supervised import part_of, prefix_scores, stratified_folds, train_classifier
 from pulsetrace.operators.encode import assembler
+from pulsetrace.operators import smote as smote_steps
 from pulsetrace.operators.smote import nearest_neighbours, searched_neighbours, smote
 from pulsetrace.plans import catalog, model_queries
 
@@ -413,3 +414,35 @@ def test_ensembles_come_without_an_object_a_tree(spark, rows, tmp_path):
 def test_fewer_fits_side_by_side_where_rows_do_not_fit(spark):
     assert supervised.side_by_side(spark, 1000, 50, 800) == 8
     assert supervised.side_by_side(spark, 10 ** 9, 50) == 1
+
+
+def test_neighbour_search_carries_ids_and_few_distances(spark):
+    draw = np.random.default_rng(9)
+    x = draw.normal(size=(300, 4))
+    points = spark.createDataFrame([(f"s{i // 2:03d}", v.tolist()) for i, v in enumerate(x)], "session_id string, x array<double>")
+    placed = smote_steps.cells(points, 3, 100)
+    found = placed.searched(placed.points.select("session_id", "x", "lane", "cell"))
+    assert not any(kind.startswith("array") for _, kind in found.dtypes)
+    pivots = draw.normal(size=(500, 40))
+    rows = draw.normal(size=(900, 40))
+    parts = list(smote_steps._distances(pd.Series(list(rows)), pivots))
+    assert max(len(p) for p in parts) * pivots.size <= 2_000_000
+    assert np.allclose(np.concatenate(parts)[7], np.sqrt(((rows[7] - pivots) ** 2).sum(axis=1)))
+    near = nearest_neighbours(points, 3).collect()  # every id comes twice
+    where = {tuple(v): f"s{i // 2:03d}" for i, v in enumerate(x)}
+    assert len(near) == 150 and all(len(r.neighbours) == 3 and all(where[tuple(n["y"])] == n.other != r.session_id for n in r.neighbours) for r in near)
+
+
+def test_rows_are_held_in_memory_only_where_fits_leave_room(spark, rows, monkeypatch):
+    seen = []
+
+    def tuned(name, part, folds, settings, total, weighted, parallelism):
+        seen.append((parallelism, part.storageLevel.useMemory))
+        raise KeyError(name)
+
+    monkeypatch.setattr(supervised, "tuned", tuned)
+    for most in (3, 1):
+        monkeypatch.setattr(supervised, "side_by_side", lambda *args, most=most: most)
+        with pytest.raises(KeyError):
+            train_classifier("logistic_regression", rows)
+    assert seen == [(3, True), (1, False)]
