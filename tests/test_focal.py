@@ -7,7 +7,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from pulsetrace.config import DEFAULTS
-from pulsetrace.models import focal
+from pulsetrace.models import focal, supervised
 from pulsetrace.models.supervised import focal_weights, train_classifier
 
 KIND = "x array<double>, y int, a double"
@@ -100,3 +100,42 @@ def test_moments_of_parts_are_those_of_the_whole():
     margin = np.concatenate([np.linspace(-40, 40, 161), [-800.0, 800.0]])
     for gamma in (0.0, 0.5, 2.0):
         assert np.allclose(focal.plain_loss(margin, gamma), focal.row_loss(margin, gamma)[0], rtol=1e-12, atol=0)
+
+
+def test_fits_of_all_folds_equal_fits_of_their_own(spark):
+    df, *_ = sample(spark, parts=4)
+    odd = spark.createDataFrame([(None, 1, 1.0), ([1.0, 2.0, float("nan")], 0, 1.0), ([0.0, 0.0, 0.0], None, 1.0)], KIND)
+    rows = df.union(odd).withColumn("fold", F.pmod(F.xxhash64("x"), F.lit(3)).cast("int"))
+    rows = rows.withColumn("x", F.concat("x", F.array(F.when(F.col("fold") == 1, F.col("x")[0]).otherwise(7.0)))).cache()
+    data, fits = focal.packed(rows, 3), [(k, p) for k in (-1, 0, 1, 2) for p in (0.001, 0.1)]
+    found = focal.fit_folds(data, fits, 2.0)
+    for (k, penalty), fit in zip(fits, found):
+        own = focal.fit_focal(rows.where(F.col("fold") != k), 2.0, penalty)
+        assert np.allclose(fit.beta, own.beta, rtol=1e-5, atol=1e-7) and np.allclose(fit.losses, own.losses, rtol=1e-6)
+    assert found[4].beta[4] == found[5].beta[4] == 0  # without fold 1 the last column has one value
+    scores = focal.held_scores(data, {(0, 2): found[6]}).toPandas()
+    assert len(scores) == rows.where("fold = 2 AND x IS NOT NULL AND y IS NOT NULL AND NOT exists(x, v -> isnan(v))").count()
+    empty = focal.packed(rows.limit(0), 3)
+    assert focal.fit_folds(empty, [(-1, 0.1), (0, 0.1)])[1].losses == []
+
+
+def test_search_passes_over_the_rows_do_not_grow_with_its_fits(spark, monkeypatch):
+    df, *_ = sample(spark)
+    rows = df.rdd.map(lambda r: (f"s{r.x}", Vectors.dense(r.x), r.y, r.a)).toDF(["session_id", "features", "target", "weight"])
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("session_id"), F.lit(3)).cast("int")).cache()
+    passes, written = [], []
+    plain, write = focal.Packed.summed, focal.materialise
+    monkeypatch.setattr(focal.Packed, "summed", lambda *args: passes.append(1) or plain(*args))
+    monkeypatch.setattr(focal, "materialise", lambda df: written.append(1) or write(df))
+    settings = DEFAULTS.with_(imbalance="focal_loss")
+    found = supervised.tuned("logistic_regression", rows, 3, settings, 300.0, True)
+    assert len(written) == 1 and len(passes) <= 2 * 50  # 16 fits, one table, two passes a step
+    est = supervised.estimator("logistic_regression", settings, 300.0).estimator
+    means = []
+    for shape in supervised.estimator("logistic_regression", settings, 300.0).shapes:
+        held = [(est.fit(rows.where(F.col("fold") != k), {est.regParam: list(shape.values())[0]}), rows.where(F.col("fold") == k)) for k in range(3)]
+        means.append(sum(supervised.fold_precision(m, part, ())[0] for m, part in held) / 3)
+    assert found.score == pytest.approx(max(means), abs=1e-6)
+    assert list(found.params.values())[0] == pytest.approx(1 / (300 * settings.logistic_c[int(np.argmax(np.round(means, 9)))]))
+    own = est.fit(rows, {est.regParam: list(found.params.values())[0]})
+    assert np.allclose(found.model.coefficients.toArray(), own.coefficients.toArray(), rtol=1e-4, atol=1e-6) and len(found.fold_models) == 3
